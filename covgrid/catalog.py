@@ -234,3 +234,85 @@ FROM squares GROUP BY operator_code, technology, quarter
 UNION ALL SELECT 'antennas', operator, technology, NULL, COUNT(*) FROM sites GROUP BY operator, technology
 UNION ALL SELECT 'antennas_total', NULL, NULL, NULL, COUNT(*) FROM sites""")(
     lambda s, d: RP.data_summary(_t(s, d).coverage, _t(s, d).sites))
+
+# ---------------------------------------------------------------- coverage
+from covgrid.operators import geometry as G  # noqa: E402
+from covgrid.plans import coverage as C  # noqa: E402
+
+
+def _lines(t: FX.Tables) -> DataFrame:
+    return G.lines_table(t.line_vertices, t.stations)
+
+
+_LINES_SQL = """
+, sg AS (SELECT line_id, feature, seq, x AS x1, y AS y1,
+                lead(x) OVER (PARTITION BY feature ORDER BY seq) AS x2,
+                lead(y) OVER (PARTITION BY feature ORDER BY seq) AS y2 FROM line_vertices),
+segs AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM sg WHERE x2 IS NOT NULL),
+names AS (SELECT line_code AS line_id, min(station_name) || ' — ' || max(station_name) AS label
+          FROM stations WHERE station_name <> '' GROUP BY line_code HAVING COUNT(DISTINCT station_name) >= 2),
+lines AS (SELECT l.line_id, l.feature, coalesce(n.label, '') AS line_name, l.length_km
+          FROM (SELECT line_id, feature, list_reduce(list(len ORDER BY seq), lambda a, b: a + b) / 1000.0 AS length_km
+                FROM segs GROUP BY line_id, feature) l LEFT JOIN names n USING (line_id))
+"""
+
+
+def _sq_simplified(tol: float) -> str:
+    """Squares after Douglas-Peucker at ``tol``: a square ring survives iff
+    its corner lies farther than tol from the diagonal (h * sqrt 2 > tol)."""
+    return f"""
+, poly AS (SELECT id, quarter, operator_code, technology, cx, cy, hw,
+                  CASE WHEN hole_hw > 0 AND hole_hw * sqrt(2.0) > {tol} THEN hole_hw ELSE 0 END AS hh
+           FROM squares WHERE hw * sqrt(2.0) > {tol})
+"""
+
+
+def _lb(lo: str, hi: str, a: str, d: str) -> tuple[str, str]:
+    """Entry / exit parameters of a segment a + t d on the slab [lo, hi]."""
+    return f"least(({lo} - {a}) / {d}, ({hi} - {a}) / {d})", f"greatest(({lo} - {a}) / {d}, ({hi} - {a}) / {d})"
+
+
+def _clip(h: str) -> tuple[str, str]:
+    ex0, ex1 = _lb(f"p.cx - {h}", f"p.cx + {h}", "s.x1", "(s.x2 - s.x1)")
+    ey0, ey1 = _lb(f"p.cy - {h}", f"p.cy + {h}", "s.y1", "(s.y2 - s.y1)")
+    return f"greatest(0.0, {ex0}, {ey0})", f"least(1.0, {ex1}, {ey1})"
+
+
+_T0, _T1 = _clip("p.hw")
+_H0, _H1 = _clip("p.hh")
+ROUTE_COVERAGE_SQL = W("line_vertices", "stations", "squares") + _LINES_SQL + _sq_simplified(5000.0) + f"""
+, cl AS (SELECT s.line_id, s.feature, p.id, p.operator_code, s.len, p.hh, {_T0} AS t0, {_T1} AS t1,
+                {_H0} AS h0, {_H1} AS h1,
+                (p.hh > 0 AND least(s.x1, s.x2) > p.cx - p.hh AND greatest(s.x1, s.x2) < p.cx + p.hh
+                 AND least(s.y1, s.y2) > p.cy - p.hh AND greatest(s.y1, s.y2) < p.cy + p.hh) AS in_hole
+         FROM segs s JOIN poly p
+           ON p.technology = '4G' AND least(s.x1, s.x2) <= p.cx + p.hw AND greatest(s.x1, s.x2) >= p.cx - p.hw
+          AND least(s.y1, s.y2) <= p.cy + p.hw AND greatest(s.y1, s.y2) >= p.cy - p.hw),
+pp AS (SELECT line_id, feature, id, operator_code,
+              SUM(greatest(t1 - t0, 0.0) * len - CASE WHEN hh > 0 THEN greatest(h1 - h0, 0.0) * len ELSE 0.0 END)
+                AS inside_m,
+              bool_or(t0 <= t1 AND NOT in_hole) AS touch
+       FROM cl GROUP BY line_id, feature, id, operator_code),
+agg AS (SELECT pp.line_id, pp.operator_code, SUM(inside_m / 1000.0) AS cov, MAX(l.length_km) AS total
+        FROM pp JOIN lines l USING (line_id, feature) WHERE touch GROUP BY pp.line_id, pp.operator_code)
+SELECT line_id, operator_code AS operator, o.name AS operator_name, total AS total_length_km,
+       {R('least(cov, total)', 1)} AS covered_length_km,
+       {R('least(cov / nullif(total, 0) * 100, 100)', 1)} AS coverage_pct
+FROM agg LEFT JOIN {OPS_SQL} o ON agg.operator_code = o.code"""
+
+
+def _route_coverage(s, d, technology="4G", line_ids=None):
+    t = _t(s, d)
+    stg = C.simplified_coverage(t.coverage, C.SIMPLIFY_TOLERANCE)
+    return C.route_coverage(t.line_vertices, _lines(t), stg, schema.ref_operators(s), technology, line_ids)
+
+
+register("route_coverage", ROUTE_COVERAGE_SQL)(lambda s, d: _route_coverage(s, d))
+
+register("simplified_coverage", W("squares") + f"""
+SELECT id, operator_code, technology, cx - hw AS bbox_xmin, cy - hw AS bbox_ymin, cx + hw AS bbox_xmax,
+       cy + hw AS bbox_ymax,
+       CAST(CASE WHEN hw * sqrt(2.0) <= 5000.0 THEN 0
+                 WHEN hole_hw > 0 AND hole_hw * sqrt(2.0) > 5000.0 THEN 10 ELSE 5 END AS INTEGER) AS n_points
+FROM squares""")(
+    lambda s, d: C.simplified_summary(C.simplified_coverage(_t(s, d).coverage, C.SIMPLIFY_TOLERANCE)))
