@@ -280,7 +280,7 @@ def _clip(h: str) -> tuple[str, str]:
 
 _T0, _T1 = _clip("p.hw")
 _H0, _H1 = _clip("p.hh")
-ROUTE_COVERAGE_SQL = W("line_vertices", "stations", "squares") + _LINES_SQL + _sq_simplified(5000.0) + f"""
+ROUTE_CTES = W("line_vertices", "stations", "squares") + _LINES_SQL + _sq_simplified(5000.0) + f"""
 , cl AS (SELECT s.line_id, s.feature, p.id, p.operator_code, s.len, p.hh, {_T0} AS t0, {_T1} AS t1,
                 {_H0} AS h0, {_H1} AS h1,
                 (p.hh > 0 AND least(s.x1, s.x2) > p.cx - p.hh AND greatest(s.x1, s.x2) < p.cx + p.hh
@@ -295,10 +295,13 @@ pp AS (SELECT line_id, feature, id, operator_code,
        FROM cl GROUP BY line_id, feature, id, operator_code),
 agg AS (SELECT pp.line_id, pp.operator_code, SUM(inside_m / 1000.0) AS cov, MAX(l.length_km) AS total
         FROM pp JOIN lines l USING (line_id, feature) WHERE touch GROUP BY pp.line_id, pp.operator_code)
+"""
+ROUTE_SELECT = f"""
 SELECT line_id, operator_code AS operator, o.name AS operator_name, total AS total_length_km,
        {R('least(cov, total)', 1)} AS covered_length_km,
        {R('least(cov / nullif(total, 0) * 100, 100)', 1)} AS coverage_pct
 FROM agg LEFT JOIN {OPS_SQL} o ON agg.operator_code = o.code"""
+ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 
 def _route_coverage(s, d, technology="4G", line_ids=None):
@@ -316,3 +319,184 @@ SELECT id, operator_code, technology, cx - hw AS bbox_xmin, cy - hw AS bbox_ymin
                  WHEN hole_hw > 0 AND hole_hw * sqrt(2.0) > 5000.0 THEN 10 ELSE 5 END AS INTEGER) AS n_points
 FROM squares""")(
     lambda s, d: C.simplified_summary(C.simplified_coverage(_t(s, d).coverage, C.SIMPLIFY_TOLERANCE)))
+
+_ROUTE_LINES = ["000002", "000064"]
+register("merged_route_coverage", ROUTE_CTES + f"""
+, rc AS ({ROUTE_SELECT} WHERE line_id IN ('000002', '000064'))
+SELECT operator, min(operator_name) AS operator_name, {R('SUM(total_length_km)', 1)} AS total_length_km,
+       {R('SUM(covered_length_km)', 1)} AS covered_length_km,
+       {R('SUM(covered_length_km) / (CASE WHEN SUM(total_length_km) <> 0 THEN SUM(total_length_km) ELSE 1.0 END) * 1000.0', 0)} / 10.0 AS coverage_pct
+FROM rc GROUP BY operator""")(
+    lambda s, d: C.merged_route_coverage(_route_coverage(s, d, "4G", _ROUTE_LINES)))
+
+from covgrid.functions.expr import sql_lambert_xy  # noqa: E402
+
+_PT = (47.0, 2.0)
+_PX, _PY = sql_lambert_xy(repr(_PT[1]), repr(_PT[0]))
+register("operators_at_point", W("squares") + f"""
+, q AS (SELECT *, {_PX} AS px, {_PY} AS py FROM squares WHERE technology = '4G')
+SELECT DISTINCT operator_code AS operator, technology FROM q
+WHERE px > cx - hw AND px < cx + hw AND py > cy - hw AND py < cy + hw
+  AND NOT (hole_hw > 0 AND px > cx - hole_hw AND px < cx + hole_hw AND py > cy - hole_hw AND py < cy + hole_hw)""")(
+    lambda s, d: C.operators_at_point(_t(s, d).coverage, *_PT, "4G"))
+
+register("coverage_geojson")(
+    lambda s, d: C.coverage_features(C.simplified_coverage(_t(s, d).coverage, C.SIMPLIFY_TOLERANCE),
+                                     schema.ref_operators(s), "4G"))
+register("coverage_tiles")(
+    lambda s, d: C.coverage_features(C.simplified_coverage(_t(s, d).coverage, C.TILE_TOLERANCE),
+                                     schema.ref_operators(s), "all"))
+
+# -------------------------------------------------------------------- rail
+from covgrid.plans import rail as RL  # noqa: E402
+
+register("line_names", W("stations") + """
+SELECT line_code AS line_id, min(station_name) || ' — ' || max(station_name) AS label
+FROM stations WHERE station_name <> '' GROUP BY line_code HAVING COUNT(DISTINCT station_name) >= 2""")(
+    lambda s, d: G.line_names(_t(s, d).stations))
+
+register("railway_lines", W("line_vertices", "stations") + _LINES_SQL + f"""
+SELECT line_id, line_name, {R('length_km', 1)} AS length_km FROM lines ORDER BY line_name, line_id LIMIT 50""")(
+    lambda s, d: RL.railway_lines(_lines(_t(s, d)), None, 50))
+
+register("railway_lines_search", W("line_vertices", "stations") + _LINES_SQL + f"""
+SELECT line_id, line_name, {R('length_km', 1)} AS length_km FROM lines
+WHERE lower(line_name) LIKE '%gare 12%' OR line_id LIKE '%Gare 12%' ORDER BY line_name, line_id LIMIT 50""")(
+    lambda s, d: RL.railway_lines(_lines(_t(s, d)), "Gare 12", 50))
+
+register("railway_stations", W("stations") + f"""
+SELECT min(station_id) AS station_id, station_name,
+       array_to_string(list_sort(list(DISTINCT line_code)), ',') AS line_codes,
+       min(commune) AS commune, min(department) AS department,
+       {R(sql_mean_exact('latitude'), 6)} AS latitude, {R(sql_mean_exact('longitude'), 6)} AS longitude
+FROM stations GROUP BY station_name ORDER BY station_name LIMIT 20""")(
+    lambda s, d: RL.railway_stations(_t(s, d).stations, None, 20))
+
+from covgrid.functions.expr import sql_lambert_lonlat  # noqa: E402
+
+_LON, _LAT = sql_lambert_lonlat("x", "y")
+register("route_vertices", W("line_vertices", "stations") + _LINES_SQL + f"""
+SELECT v.line_id, CAST(0 AS INTEGER) AS part, CAST(v.seq AS INTEGER) AS seq, {R(_LON, 7)} AS lon, {R(_LAT, 7)} AS lat,
+       l.line_name, {R('l.length_km', 1)} AS length_km
+FROM line_vertices v JOIN lines l USING (line_id, feature)""")(
+    lambda s, d: RL.route_vertices(_t(s, d).line_vertices, _lines(_t(s, d))))
+
+register("route_geojson")(lambda s, d: RL.route_geojson(_t(s, d).line_vertices, _lines(_t(s, d))))
+
+register("direct_route", W("stations") + """
+, g AS (SELECT list_sort(list(DISTINCT line_code) FILTER (WHERE station_name = 'Gare 14')) AS dl,
+               list_sort(list(DISTINCT line_code) FILTER (WHERE station_name = 'Gare 38')) AS al
+        FROM stations WHERE station_name IN ('Gare 14', 'Gare 38')),
+c AS (SELECT list_filter(dl, lambda x: list_contains(al, x)) AS common FROM g)
+SELECT 'Gare 14' AS departure, 'Gare 38' AS arrival, array_to_string(common, ',') AS common_lines,
+       common[1] AS direct_line FROM c""")(
+    lambda s, d: RL.direct_route(_t(s, d).stations, "Gare 14", "Gare 38"))
+
+
+def station_position(suppkey: int, i: int) -> tuple[float, float]:
+    """Latitude/longitude of fixture station i of a supplier's line."""
+    lat = 46.5 + (6150000 + (suppkey * 64217 % 800000) + (1 if suppkey % 2 == 0 else -1) * i * 15000
+                  - 6600000) / 111200.0
+    lon = 3 + (150000 + (suppkey * 78901 % 600000) + i * 40000 - 700000) / 76500.0
+    return lat, lon
+
+
+_DEP = station_position(2, 0)
+_ARR = station_position(64, 0)
+_SX, _SY = sql_lambert_xy("longitude", "latitude")
+
+
+def _contact_sql() -> str:
+    def pt_seg(px, py, ax, ay, bx, by, tag):
+        dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+        l2 = f"({dx} * {dx} + {dy} * {dy})"
+        t = (f"(CASE WHEN {l2} > 0 THEN least(1.0, greatest(0.0, (({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {l2}))"
+             f" ELSE 0.0 END)")
+        cx, cy = f"({ax} + {t} * {dx})", f"({ay} + {t} * {dy})"
+        d = f"sqrt(({px} - {cx}) * ({px} - {cx}) + ({py} - {cy}) * ({py} - {cy}))"
+        return f"{cx} AS {tag}x, {cy} AS {tag}y, {d} AS {tag}d"
+    return ", ".join([
+        pt_seg("ax1", "ay1", "bx1", "by1", "bx2", "by2", "p1"),
+        pt_seg("ax2", "ay2", "bx1", "by1", "bx2", "by2", "p2"),
+        pt_seg("bx1", "by1", "ax1", "ay1", "ax2", "ay2", "p3"),
+        pt_seg("bx2", "by2", "ax1", "ay1", "ax2", "ay2", "p4"),
+    ])
+
+
+TRANSFERS_SQL = W("line_vertices", "stations") + _LINES_SQL + f"""
+, a AS (SELECT line_id AS line_a, feature AS fa, seq AS sa, x1 AS ax1, y1 AS ay1, x2 AS ax2, y2 AS ay2
+        FROM segs WHERE line_id IN ('000002', '000064')),
+b AS (SELECT line_id AS line_b, feature AS fb, seq AS sb, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2
+      FROM segs WHERE line_id NOT IN ('000002', '000064')),
+pr AS (SELECT *, (ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1) AS den,
+              (bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1) AS tn,
+              (bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1) AS un,
+              {_contact_sql()}
+       FROM a JOIN b ON line_a <> line_b
+        AND least(ax1, ax2) - 500.0 <= greatest(bx1, bx2) AND least(bx1, bx2) <= greatest(ax1, ax2) + 500.0
+        AND least(ay1, ay2) - 500.0 <= greatest(by1, by2) AND least(by1, by2) <= greatest(ay1, ay2) + 500.0),
+cp AS (SELECT line_a, fa, line_b, fb, sa, sb,
+              (den <> 0 AND tn / den >= 0 AND tn / den <= 1 AND un / den >= 0 AND un / den <= 1) AS crosses,
+              * EXCLUDE (line_a, fa, line_b, fb, sa, sb) FROM pr),
+cq AS (SELECT line_a, fa, line_b, fb, sa, sb,
+              CASE WHEN crosses THEN 0.0 ELSE least(p1d, p2d, p3d, p4d) END AS d,
+              CASE WHEN crosses THEN 0 WHEN p1d <= p2d AND p1d <= p3d AND p1d <= p4d THEN 1
+                   WHEN p2d <= p3d AND p2d <= p4d THEN 2 WHEN p3d <= p4d THEN 3 ELSE 4 END AS k,
+              CASE WHEN crosses THEN ax1 + tn / den * (ax2 - ax1) WHEN p1d <= p2d AND p1d <= p3d AND p1d <= p4d THEN ax1
+                   WHEN p2d <= p3d AND p2d <= p4d THEN ax2 WHEN p3d <= p4d THEN p3x ELSE p4x END AS cx,
+              CASE WHEN crosses THEN ay1 + tn / den * (ay2 - ay1) WHEN p1d <= p2d AND p1d <= p3d AND p1d <= p4d THEN ay1
+                   WHEN p2d <= p3d AND p2d <= p4d THEN ay2 WHEN p3d <= p4d THEN p3y ELSE p4y END AS cy
+       FROM cp),
+adj AS (SELECT line_a, fa, line_b, fb, arg_min(cx, (d, sa, sb, k)) AS cx, arg_min(cy, (d, sa, sb, k)) AS cy
+        FROM cq WHERE d <= 500.0 GROUP BY line_a, fa, line_b, fb),
+bridge AS (SELECT d.fb AS feature, d.line_b AS line_id, d.fa AS dep_feature, d.cx, d.cy, l.line_name, l.length_km
+           FROM adj d JOIN lines l ON l.feature = d.fb
+           WHERE d.line_a IN ('000002') AND d.fb IN (SELECT fb FROM adj WHERE line_a IN ('000064'))),
+st AS (SELECT line_code, station_id, station_name, {_SX} AS sx, {_SY} AS sy FROM stations),
+nearest AS (SELECT b.feature, b.dep_feature, b.line_id, b.line_name, b.length_km,
+                   arg_min(st.station_name, (sqrt((st.sx - b.cx) * (st.sx - b.cx) + (st.sy - b.cy) * (st.sy - b.cy)),
+                                             st.station_id)) AS transfer_station
+            FROM bridge b JOIN st ON st.line_code = b.line_id OR st.line_code IN ('000002')
+            GROUP BY b.feature, b.dep_feature, b.line_id, b.line_name, b.length_km),
+ends AS (SELECT arg_min(station_name, ((latitude - {_DEP[0]!r}) * (latitude - {_DEP[0]!r})
+                                       + (longitude - {_DEP[1]!r}) * (longitude - {_DEP[1]!r}), station_id)) AS n
+         FROM stations
+         UNION ALL
+         SELECT arg_min(station_name, ((latitude - {_ARR[0]!r}) * (latitude - {_ARR[0]!r})
+                                       + (longitude - {_ARR[1]!r}) * (longitude - {_ARR[1]!r}), station_id))
+         FROM stations),
+first_pos AS (SELECT station_name, arg_min(latitude, station_id) AS transfer_lat,
+                     arg_min(longitude, station_id) AS transfer_lon FROM stations GROUP BY station_name),
+opts AS (SELECT DISTINCT line_id, line_name, {R('length_km', 1)} AS length_km, transfer_station FROM nearest
+         WHERE transfer_station NOT IN (SELECT n FROM ends)),
+ranked AS (SELECT o.*, f.transfer_lat, f.transfer_lon,
+                  row_number() OVER (PARTITION BY transfer_station ORDER BY length_km DESC, line_id) AS r
+           FROM opts o LEFT JOIN first_pos f ON f.station_name = o.transfer_station)
+SELECT line_id, line_name, length_km, transfer_station, transfer_lat, transfer_lon FROM ranked WHERE r = 1
+ORDER BY length_km DESC, line_id, transfer_station LIMIT 5"""
+
+register("transfers", TRANSFERS_SQL)(
+    lambda s, d: RL.transfers(_t(s, d).line_vertices, _lines(_t(s, d)), _t(s, d).stations,
+                              ["000002"], ["000064"], *_DEP, *_ARR))
+
+# ----------------------------------------------------------------- reports
+register("table_counts", W("sites", "squares", "line_vertices", "stations", "mart") + """
+SELECT 'raw_antenna_sites' AS table_name, COUNT(*) AS row_count FROM sites
+UNION ALL SELECT 'raw_coverage', COUNT(*) FROM squares
+UNION ALL SELECT 'ref_railway_lines', COUNT(DISTINCT feature) FROM line_vertices
+UNION ALL SELECT 'ref_railway_stations', COUNT(*) FROM stations
+UNION ALL SELECT 'stg_coverage_simplified', COUNT(*) FROM squares
+UNION ALL SELECT 'mart_coverage_by_commune', COUNT(*) FROM mart""")(
+    lambda s, d: RP.table_counts({
+        "raw_antenna_sites": _t(s, d).sites, "raw_coverage": _t(s, d).coverage,
+        "ref_railway_lines": _lines(_t(s, d)), "ref_railway_stations": _t(s, d).stations,
+        "stg_coverage_simplified": C.simplified_coverage(_t(s, d).coverage),
+        "mart_coverage_by_commune": _t(s, d).mart}))
+
+register("load_report", W("sites", "line_vertices", "stations") + _LINES_SQL + f"""
+SELECT 'site_rows' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM sites
+UNION ALL SELECT 'operators', CAST(COUNT(DISTINCT operator) AS DOUBLE) FROM sites
+UNION ALL SELECT 'lines', CAST(COUNT(*) AS DOUBLE) FROM lines
+UNION ALL SELECT 'total_km', {R('SUM(length_km)', 0)} FROM lines
+UNION ALL SELECT 'stations', CAST(COUNT(*) AS DOUBLE) FROM stations""")(
+    lambda s, d: RP.load_report(_t(s, d).sites, _lines(_t(s, d)), _t(s, d).stations))

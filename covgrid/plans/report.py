@@ -47,11 +47,14 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_report(sites: DataFrame, lines: DataFrame, stations: DataFrame) -> DataFrame:
-    """Load verification: site rows and distinct operators; line count,
-    station count and the summed length of lines in km (0 dp)."""
-    s = sites.agg(F.count(F.lit(1)).alias("site_rows"), F.countDistinct("operator").alias("operators"))
-    ln = lines.agg(F.count(F.lit(1)).alias("lines"), E.round_half(F.sum("length_km"), 0).alias("total_km"))
-    st = stations.agg(F.count(F.lit(1)).alias("stations"))
-    # Three one-row global aggregates side by side: join on a constant key.
-    k = F.lit(1).alias("_k")
-    return (s.select("*", k).join(ln.select("*", k), "_k").join(st.select("*", k), "_k").drop("_k"))
+    """Load verification as (metric, value): site rows and distinct
+    operators; line count, station count and summed km of lines (0 dp)."""
+    def metric(df: DataFrame, name: str, agg) -> DataFrame:
+        return df.agg(agg.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+    return reduce(DataFrame.unionByName, [
+        metric(sites, "site_rows", F.count(F.lit(1))),
+        metric(sites, "operators", F.countDistinct("operator")),
+        metric(lines, "lines", F.count(F.lit(1))),
+        metric(lines, "total_km", E.round_half(F.sum("length_km"), 0)),
+        metric(stations, "stations", F.count(F.lit(1))),
+    ])
