@@ -500,3 +500,48 @@ UNION ALL SELECT 'lines', CAST(COUNT(*) AS DOUBLE) FROM lines
 UNION ALL SELECT 'total_km', {R('SUM(length_km)', 0)} FROM lines
 UNION ALL SELECT 'stations', CAST(COUNT(*) AS DOUBLE) FROM stations""")(
     lambda s, d: RP.load_report(_t(s, d).sites, _lines(_t(s, d)), _t(s, d).stations))
+
+_FROM = station_position(2, 0)
+_TO = station_position(2, 8)
+_FX, _FY = sql_lambert_xy(repr(_FROM[1]), repr(_FROM[0]))
+_TX, _TY = sql_lambert_xy(repr(_TO[1]), repr(_TO[0]))
+
+
+def _locate_sql(px: str, py: str, name: str) -> str:
+    t = (f"(CASE WHEN l2 > 0 THEN least(1.0, greatest(0.0, (({px} - x1) * dx + ({py} - y1) * dy) / l2)) "
+         f"ELSE 0.0 END)")
+    return f"""{name} AS (
+  SELECT feature, arg_min(before + {t} * len,
+         (sqrt(({px} - (x1 + {t} * dx)) * ({px} - (x1 + {t} * dx)) + ({py} - (y1 + {t} * dy)) * ({py} - (y1 + {t} * dy))),
+          seq)) / max(total) AS f
+  FROM c2 GROUP BY feature)"""
+
+
+register("route_segment", W("line_vertices", "stations") + _LINES_SQL + f"""
+, sv AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2
+         FROM segs WHERE line_id = '000002'),
+ls AS (SELECT feature, list(len ORDER BY seq) AS lens FROM sv GROUP BY feature),
+c2 AS (SELECT sv.*, list_reduce(list_prepend(0.0, lens[1:seq]), lambda a, b: a + b) AS before,
+              list_reduce(list_prepend(0.0, lens), lambda a, b: a + b) AS total
+       FROM sv JOIN ls USING (feature)),
+{_locate_sql(_FX, _FY, 'f1')},
+{_locate_sql(_TX, _TY, 'f2')},
+co AS (SELECT feature, list([{R(_LON, 7)}, {R(_LAT, 7)}] ORDER BY seq) AS coords
+       FROM line_vertices WHERE line_id = '000002' GROUP BY feature),
+g AS (SELECT l.line_id, l.line_name, l.length_km, co.coords, len(co.coords) AS n,
+             least(f1.f, f2.f) AS lo, greatest(f1.f, f2.f) AS hi
+      FROM co JOIN f1 USING (feature) JOIN f2 USING (feature) JOIN lines l USING (feature)),
+g2 AS (SELECT *, greatest(0, CAST(trunc(lo * (n - 1)) AS INTEGER)) AS s,
+              least(n - 1, CAST(trunc(hi * (n - 1)) AS INTEGER) + 1) AS e0 FROM g),
+g3 AS (SELECT *, CASE WHEN e0 <= s THEN s + 1 ELSE e0 END AS e FROM g2),
+g4 AS (SELECT *, CASE WHEN n > 1 THEN coords[s + 1:e] ELSE coords END AS sg FROM g3),
+fin AS (SELECT line_id, line_name, {R(R('length_km', 1) + ' * (hi - lo)', 1)} AS length_km,
+               CASE WHEN len(sg) > 150
+                    THEN list_concat(list_transform(range(150),
+                             lambda j: sg[CAST(trunc(CAST(j AS DOUBLE) * (len(sg) / 150.0)) AS INTEGER) + 1]), [sg[-1]])
+                    ELSE sg END AS out
+        FROM g4)
+SELECT line_id, line_name, length_km, idx, out[idx + 1][1] AS lon, out[idx + 1][2] AS lat
+FROM (SELECT *, unnest(range(len(out))) AS idx FROM fin)""")(
+    lambda s, d: RL.route_segment_points(RL.route_segment(_t(s, d).line_vertices, _lines(_t(s, d)), "000002",
+                                                          *_FROM, *_TO)))

@@ -216,6 +216,8 @@ def locate_fraction(segs: DataFrame, x: float | Column, y: float | Column, name:
     """Fraction of each feature's length at the point of the line closest
     to (x, y) (first segment on ties), with the total length."""
     c = F.col
+    # Running length before each segment, summed in vertex order; the
+    # window holds one line feature (a bounded group).
     w = Window.partitionBy("feature").orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
     s = segs.withColumn("_before", F.coalesce(F.sum("len").over(w), F.lit(0.0)))
     px = x if isinstance(x, Column) else F.lit(float(x))
@@ -227,7 +229,7 @@ def locate_fraction(segs: DataFrame, x: float | Column, y: float | Column, name:
     d = E.seg_len(px, py, c("x1") + t * dx, c("y1") + t * dy)
     at = c("_before") + t * c("len")
     return s.groupBy("feature").agg(
-        F.min_by(at, F.struct(d, c("part"), c("seg"))).alias("_at"), F.sum("len").alias("_total")
+        F.min_by(at, F.struct(d, c("part"), c("seg"))).alias("_at"), F.max(c("_before") + c("len")).alias("_total")
     ).select("feature", (F.col("_at") / F.col("_total")).alias(name))
 
 
@@ -266,5 +268,11 @@ def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat:
         F.array(F.element_at("_seg", -1)))
     out = F.when(m > MAX_SEGMENT_POINTS, sampled).otherwise(c("_seg"))
     km = E.round_half(E.round_half("length_km", 1) * (c("_hi") - c("_lo")), 1)
-    return g.select("line_id", "line_name", km.alias("length_km"), c("_lo").alias("frac_from"),
-                    c("_hi").alias("frac_to"), out.alias("coordinates"))
+    return g.select("line_id", "line_name", km.alias("length_km"), out.alias("coordinates"))
+
+
+def route_segment_points(segment: DataFrame) -> DataFrame:
+    """The coordinates of a route segment as rows (idx, lon, lat)."""
+    p = segment.select("line_id", "line_name", "length_km", F.posexplode("coordinates").alias("idx", "c"))
+    return p.select("line_id", "line_name", "length_km", F.col("idx").cast("long").alias("idx"),
+                    F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
