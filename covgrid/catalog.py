@@ -237,6 +237,7 @@ UNION ALL SELECT 'antennas_total', NULL, NULL, NULL, COUNT(*) FROM sites""")(
 
 # ---------------------------------------------------------------- coverage
 from covgrid.operators import geometry as G  # noqa: E402
+from covgrid.session import materialize  # noqa: E402
 from covgrid.plans import coverage as C  # noqa: E402
 
 
@@ -304,9 +305,15 @@ FROM agg LEFT JOIN {OPS_SQL} o ON agg.operator_code = o.code"""
 ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 
+def _stg(t: FX.Tables, tolerance: float = C.SIMPLIFY_TOLERANCE) -> DataFrame:
+    """stg_coverage_simplified, materialised once (it is a stored stage in
+    the reference pipeline and feeds several branches of the plans)."""
+    return materialize(C.simplified_coverage(t.coverage, tolerance), "stg")
+
+
 def _route_coverage(s, d, technology="4G", line_ids=None):
     t = _t(s, d)
-    stg = C.simplified_coverage(t.coverage, C.SIMPLIFY_TOLERANCE)
+    stg = _stg(t)
     return C.route_coverage(t.line_vertices, _lines(t), stg, schema.ref_operators(s), technology, line_ids)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covgrid.functions import expr as E
+from covgrid.session import spread
 
 
 # ------------------------------------------------------------------ lines
@@ -164,10 +165,10 @@ def _simplify_batches(tol: float, pts_col: str):
     def run(batches):
         for b in batches:
             pts = b.column(pts_col)
+            # raw offsets index the unsliced child array
             offsets = pts.offsets.to_numpy()
-            flat = pts.flatten()
-            xs = flat.field("x").to_numpy(zero_copy_only=False)
-            ys = flat.field("y").to_numpy(zero_copy_only=False)
+            xs = pts.values.field("x").to_numpy(zero_copy_only=False)
+            ys = pts.values.field("y").to_numpy(zero_copy_only=False)
             out_x, out_y, out_off = [], [], [0]
             for r in range(len(pts)):
                 lo, hi = offsets[r], offsets[r + 1]
@@ -189,11 +190,14 @@ def simplify_rings(ring_rows: DataFrame, tolerance: float) -> DataFrame:
     independent, so Spark spreads them over all tasks).  Rings left with
     fewer than 4 points collapse: a collapsed shell removes its polygon
     part with its holes, a collapsed hole is dropped."""
-    simplified = ring_rows.mapInArrow(_simplify_batches(float(tolerance), "pts"), ring_rows.schema)
-    ok = simplified.filter(F.size("pts") >= 4)
-    keys = [c for c in ring_rows.columns if c not in ("ring", "pts")]
-    shells = ok.filter(F.col("ring") == 0).select(*keys)
-    return ok.join(shells, keys, "left_semi")
+    # The Python work is per ring: make sure rings reach every task slot.
+    simplified = spread(ring_rows).mapInArrow(_simplify_batches(float(tolerance), "pts"), ring_rows.schema)
+    return simplified.filter(F.size("pts") >= 4)
+
+
+def drop_orphan_holes(rings_col: str = "rings"):
+    """Keep only rings whose polygon part still has its shell (ring 0)."""
+    return F.filter(rings_col, lambda r: F.exists(rings_col, lambda s: (s["part"] == r["part"]) & (s["ring"] == 0)))
 
 
 def nest_rings(ring_rows: DataFrame, *keep: str) -> DataFrame:

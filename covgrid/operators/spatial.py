@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
 from covgrid.operators import geometry as G
+from covgrid.session import spread
 
 SEG_KEY = ["feature", "part", "seg", "piece"]
 
@@ -46,23 +47,31 @@ def _div(a: Column, b: Column) -> Column:
 def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
     """For rows holding a segment (x1,y1)-(x2,y2) and an edge (ax,ay)-(bx,by):
     ``hit`` (closed segments touch) and ``ts`` (split parameters along the
-    segment: the crossing, or both ends of a collinear overlap)."""
+    segment: the crossing, or both ends of a collinear overlap).
+
+    Intermediate terms are separate projections so each is computed once
+    (a reused Column object would otherwise be expanded at every use)."""
     c = F.col
-    rx, ry = c("x2") - c("x1"), c("y2") - c("y1")
-    sx, sy = c("bx") - c("ax"), c("by") - c("ay")
-    qx, qy = c("ax") - c("x1"), c("ay") - c("y1")
-    den = _cross(rx, ry, sx, sy)
-    t = _div(_cross(qx, qy, sx, sy), den)
-    u = _div(_cross(qx, qy, rx, ry), den)
-    rr = rx * rx + ry * ry
-    ta = _div(qx * rx + qy * ry, rr)
-    tb = _div((c("bx") - c("x1")) * rx + (c("by") - c("y1")) * ry, rr)
-    collinear = (den == 0) & (_cross(qx, qy, rx, ry) == 0) & (rr > 0)
+    p = pairs.select("*", (c("x2") - c("x1")).alias("_rx"), (c("y2") - c("y1")).alias("_ry"),
+                     (c("bx") - c("ax")).alias("_sx"), (c("by") - c("ay")).alias("_sy"),
+                     (c("ax") - c("x1")).alias("_qx"), (c("ay") - c("y1")).alias("_qy"))
+    p = p.select("*", _cross(c("_rx"), c("_ry"), c("_sx"), c("_sy")).alias("_den"),
+                 _cross(c("_qx"), c("_qy"), c("_sx"), c("_sy")).alias("_tn"),
+                 _cross(c("_qx"), c("_qy"), c("_rx"), c("_ry")).alias("_un"),
+                 (c("_rx") * c("_rx") + c("_ry") * c("_ry")).alias("_rr"),
+                 (c("_qx") * c("_rx") + c("_qy") * c("_ry")).alias("_ta_n"),
+                 ((c("bx") - c("x1")) * c("_rx") + (c("by") - c("y1")) * c("_ry")).alias("_tb_n"))
+    p = p.select("*", _div(c("_tn"), c("_den")).alias("_t"), _div(c("_un"), c("_den")).alias("_u"),
+                 _div(c("_ta_n"), c("_rr")).alias("_ta"), _div(c("_tb_n"), c("_rr")).alias("_tb"))
     clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    proper = F.coalesce((den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.lit(False))
-    overlap = F.coalesce(collinear & (F.greatest(ta, tb) >= 0) & (F.least(ta, tb) <= 1), F.lit(False))
-    ts = (F.when(den != 0, F.array(t)).otherwise(F.array(clamp(ta), clamp(tb))))
-    return pairs.select("*", (proper | overlap).alias("hit"), ts.alias("ts"))
+    proper = (c("_den") != 0) & (c("_t") >= 0) & (c("_t") <= 1) & (c("_u") >= 0) & (c("_u") <= 1)
+    collinear = (c("_den") == 0) & (c("_un") == 0) & (c("_rr") > 0)
+    overlap = collinear & (F.greatest(c("_ta"), c("_tb")) >= 0) & (F.least(c("_ta"), c("_tb")) <= 1)
+    hit = F.coalesce(proper, F.lit(False)) | F.coalesce(overlap, F.lit(False))
+    ts = F.when(c("_den") != 0, F.array(c("_t"))).otherwise(F.array(clamp(c("_ta")), clamp(c("_tb"))))
+    out = p.select("*", hit.alias("hit"), ts.alias("ts"))
+    return out.drop("_rx", "_ry", "_sx", "_sy", "_qx", "_qy", "_den", "_tn", "_un", "_rr", "_ta_n", "_tb_n",
+                    "_t", "_u", "_ta", "_tb")
 
 
 def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.0,
@@ -77,11 +86,11 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
                 geometries intersect (touching only gives inside_m = 0).
     """
     band = band or cell
-    segs = G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len")
+    segs = spread(G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len"))
     seg_box = _box(segs, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "s")
     seg_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", cell)
 
-    pr = poly_rings.withColumnRenamed("part", "ppart")
+    pr = spread(poly_rings.withColumnRenamed("part", "ppart"))
     pkey = ["id", "operator_code", "ppart"]
     pbox = G.ring_bbox(pr, *pkey).select(*pkey, F.col("xmin").alias("px0"), F.col("ymin").alias("py0"),
                                          F.col("xmax").alias("px1"), F.col("ymax").alias("py1"))
@@ -98,14 +107,18 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     edge_cells = G.bbox_cells(e_box, "ex0", "ey0", "ex1", "ey1", cell)
     se = (seg_cells.join(edge_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "e", cell)))
     hits = segment_edge_contacts(se).filter("hit")
-    cuts = hits.groupBy(*SEG_KEY, *pkey).agg(F.flatten(F.collect_list("ts")).alias("cuts"))
 
-    # 3. sub-intervals between cuts; midpoint of each.
+    # 3. per (segment, polygon part): all cuts in one aggregation over the
+    #    union of candidates (no cut) and hits (one shuffle, no join).
+    geom = ["x1", "y1", "x2", "y2", "len"]
+    none = F.array().cast("array<double>")
+    both = (cand.select(*SEG_KEY, *pkey, *geom, none.alias("ts"), F.lit(False).alias("hit"))
+            .unionByName(hits.select(*SEG_KEY, *pkey, *geom, "ts", "hit")))
+    p = both.groupBy(*SEG_KEY, *pkey).agg(
+        *[F.first(g).alias(g) for g in geom], F.max("hit").alias("touch"),
+        F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)),
+                                               F.flatten(F.collect_list("ts"))))).alias("_t"))
     c = F.col
-    p = cand.join(cuts, SEG_KEY + pkey, "left")
-    tsort = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)),
-                                                   F.coalesce(c("cuts"), F.array().cast("array<double>")))))
-    p = p.select("*", (c("cuts").isNotNull()).alias("touch"), tsort.alias("_t"))
     iv = p.select(*SEG_KEY, *pkey, "touch", "x1", "y1", "x2", "y2", "len",
                   F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - 1),
                                         lambda i: F.struct(i.alias("k"), F.element_at("_t", i).alias("t0"),
@@ -119,16 +132,22 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     #    crossed by the ray to +x (half-open rule), edges bucketed by y band.
     edge_rows = (edg.withColumn("row", F.explode(E.cell_range(F.least("ay", "by"), F.greatest("ay", "by"), band)))
                  .select("id", "ppart", "row", "ax", "ay", "bx", "by"))
-    mids = iv.withColumn("row", E.cell("my", band))
-    crossing = (((c("ay") > c("my")) != (c("by") > c("my")))
-                & (c("mx") < c("ax") + _div((c("my") - c("ay")) * (c("bx") - c("ax")), c("by") - c("ay"))))
-    inside = (mids.join(edge_rows, ["id", "ppart", "row"]).filter(crossing)
-              .groupBy(*SEG_KEY, *pkey, "k").agg(F.first("piece_len").alias("piece_len"),
-                                                  F.count(F.lit(1)).alias("n"))
-              .filter(c("n") % 2 == 1))
-
-    # 5. per (feature, polygon): inside length; keep pairs that touch.
-    inside_len = inside.groupBy("feature", "id", "operator_code").agg(F.sum("piece_len").alias("inside_m"))
-    touched = p.filter("touch").select("feature", "id", "operator_code").distinct()
-    return (inside_len.join(touched, ["feature", "id", "operator_code"], "full")
-            .select("feature", "id", "operator_code", F.coalesce("inside_m", F.lit(0.0)).alias("inside_m")))
+    mids = iv.withColumn("row", E.cell("my", band)).alias("m")
+    er = edge_rows.alias("e")
+    m, e = (lambda n: F.col(f"m.{n}")), (lambda n: F.col(f"e.{n}"))
+    straddle = (e("ay") > m("my")) != (e("by") > m("my"))
+    crossing = m("mx") < e("ax") + _div((m("my") - e("ay")) * (e("bx") - e("ax")), e("by") - e("ay"))
+    on = (m("id") == e("id")) & (m("ppart") == e("ppart")) & (m("row") == e("row")) & straddle & crossing
+    # Left join keeps pieces that cross no edge (outside, unless touching).
+    pieces = (mids.join(er, on, "left")
+              .groupBy(*[m(k) for k in SEG_KEY], m("id"), m("operator_code"), m("ppart"), m("k"))
+              .agg(F.first(m("piece_len")).alias("piece_len"), F.first(m("touch")).alias("touch"),
+                   F.count(e("ax")).alias("n")))
+
+    # 5. per (feature, polygon): inside length, and whether they meet at all
+    #    (an edge contact, or any piece inside).
+    inside = c("n") % 2 == 1
+    per = pieces.groupBy("feature", "id", "operator_code").agg(
+        F.sum(F.when(inside, c("piece_len")).otherwise(F.lit(0.0))).alias("inside_m"),
+        F.max(c("touch") | inside).alias("meets"))
+    return per.filter("meets").select("feature", "id", "operator_code", "inside_m")

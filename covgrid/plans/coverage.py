@@ -25,7 +25,7 @@ def simplified_coverage(coverage: DataFrame, tolerance: float = SIMPLIFY_TOLERAN
     r = G.rings(cov, "operator_code", "technology")
     bbox = G.ring_bbox(r, "id").select("id", F.col("xmin").alias("bbox_xmin"), F.col("ymin").alias("bbox_ymin"),
                                        F.col("xmax").alias("bbox_xmax"), F.col("ymax").alias("bbox_ymax"))
-    nested = G.nest_rings(G.simplify_rings(r, tolerance)).select("id", F.col("rings").alias("_r"))
+    nested = G.nest_rings(G.simplify_rings(r, tolerance)).select("id", G.drop_orphan_holes("rings").alias("_r"))
     empty = F.array().cast(nested.schema["_r"].dataType)
     return (cov.select("id", "quarter", "operator_code", "technology").join(nested, "id", "left")
             .join(bbox, "id", "left")

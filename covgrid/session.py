@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="covgrid-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    and read it back.  The written table survives executor loss, is
+    computed exactly once, and later reads prune columns.  Used where one
+    expensive intermediate feeds several branches of a plan."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/covgrid-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df):
+    """Repartition a scan-rooted DataFrame that has fewer partitions than the
+    cluster has task slots.  Geometry rows are compute-heavy, so a small
+    input read from one file must not stay in one task.  Inputs that are
+    already the output of a shuffle, or large tables with enough file
+    splits, are returned unchanged (the check plans the query but runs no
+    job: only exchange-free plans are asked for their partition count)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
