@@ -552,3 +552,25 @@ SELECT line_id, line_name, length_km, idx, out[idx + 1][1] AS lon, out[idx + 1][
 FROM (SELECT *, unnest(range(len(out))) AS idx FROM fin)""")(
     lambda s, d: RL.route_segment_points(RL.route_segment(_t(s, d).line_vertices, _lines(_t(s, d)), "000002",
                                                           *_FROM, *_TO)))
+
+# ------------------------------------------------- report variants (tools)
+register("route_coverage_ranked", ROUTE_COVERAGE_SQL.replace(
+    "SELECT line_id, operator_code AS operator,",
+    "SELECT line_id, operator_code AS operator, CAST(row_number() OVER (PARTITION BY line_id ORDER BY "
+    f"{R('least(cov / nullif(total, 0) * 100, 100)', 1)} DESC NULLS LAST, operator_code) AS INTEGER) AS rank,", 1))(
+    lambda s, d: C.ranked_route_coverage(_route_coverage(s, d)))
+
+register("nearby_report", W("sites") + f"""
+SELECT id, operator, technology, latitude, longitude, commune_code, department_code,
+       {R(sql_planar_km('latitude', 'longitude', 46.5, 2.5), 2)} AS distance_km
+FROM sites WHERE latitude BETWEEN {46.5 - _d!r} AND {46.5 + _d!r}
+  AND longitude BETWEEN {2.5 - _d!r} AND {2.5 + _d!r} AND technology = '4G'
+ORDER BY distance_km, id LIMIT 20""")(
+    lambda s, d: A.nearby_antennas(_t(s, d).sites, 46.5, 2.5, 50.0, "4G", 20))
+
+register("route_extent", W("stations") + f"""
+, p AS (SELECT station_name, {R(sql_mean_exact('latitude'), 6)} AS lat, {R(sql_mean_exact('longitude'), 6)} AS lon
+        FROM stations WHERE station_name IN ('Gare 14', 'Gare 38') GROUP BY station_name)
+SELECT min(lon) - 0.5 AS west, min(lat) - 0.3 AS south, max(lon) + 0.5 AS east, max(lat) + 0.3 AS north,
+       COUNT(*) AS stations FROM p""")(
+    lambda s, d: RL.route_extent(_t(s, d).stations, ["Gare 14", "Gare 38"]))

@@ -132,3 +132,11 @@ def coverage_features(stg: DataFrame, operators: DataFrame, technology: str = "4
                                        F.struct(F.col("operator_code").alias("operator"),
                                                 F.coalesce("_n", "operator_code").alias("operator_name"),
                                                 "technology", "quarter").alias("properties"))).alias("feature")))
+
+
+def ranked_route_coverage(route_rows: DataFrame) -> DataFrame:
+    """Route coverage with each operator's rank on its line (best first;
+    ties on the operator code)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("line_id").orderBy(F.desc_nulls_last("coverage_pct"), "operator")
+    return route_rows.withColumn("rank", F.row_number().over(w))

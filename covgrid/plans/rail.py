@@ -276,3 +276,16 @@ def route_segment_points(segment: DataFrame) -> DataFrame:
     p = segment.select("line_id", "line_name", "length_km", F.posexplode("coordinates").alias("idx", "c"))
     return p.select("line_id", "line_name", "length_km", F.col("idx").cast("long").alias("idx"),
                     F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
+
+
+def route_extent(stations: DataFrame, station_names: list[str], pad_lon: float = 0.5,
+                 pad_lat: float = 0.3) -> DataFrame:
+    """Map extent around the stations of a route: per station name the
+    mean position (6 dp, as the station search returns it), then the box
+    padded by 0.5 degree east-west and 0.3 north-south."""
+    pos = (stations.filter(F.col("station_name").isin(station_names)).groupBy("station_name")
+           .agg(E.round_half(E.mean_exact("latitude"), 6).alias("lat"),
+                E.round_half(E.mean_exact("longitude"), 6).alias("lon")))
+    return pos.agg((F.min("lon") - pad_lon).alias("west"), (F.min("lat") - pad_lat).alias("south"),
+                   (F.max("lon") + pad_lon).alias("east"), (F.max("lat") + pad_lat).alias("north"),
+                   F.count(F.lit(1)).alias("stations"))
