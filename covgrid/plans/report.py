@@ -58,3 +58,22 @@ def load_report(sites: DataFrame, lines: DataFrame, stations: DataFrame) -> Data
         metric(lines, "total_km", E.round_half(F.sum("length_km"), 0)),
         metric(stations, "stations", F.count(F.lit(1))),
     ])
+
+
+def dimension_lists(operators: DataFrame, technologies: DataFrame) -> DataFrame:
+    """Operators ordered by name and technologies by generation, as one
+    list (kind, position, code, label)."""
+    from pyspark.sql import Window
+    ops = operators.select(F.lit("operator").alias("kind"),
+                           F.row_number().over(Window.orderBy("name", "code")).alias("position"),
+                           "code", F.col("name").alias("label"))
+    techs = technologies.select(F.lit("technology").alias("kind"),
+                                F.row_number().over(Window.orderBy("generation", "code")).alias("position"),
+                                "code", F.col("description").alias("label"))
+    return ops.unionByName(techs).orderBy("kind", "position")
+
+
+def seed_refs(existing: DataFrame, seed: DataFrame, key: str = "code") -> DataFrame:
+    """Insert-or-ignore: the existing rows plus the seed rows whose key is
+    not there yet (running it twice changes nothing)."""
+    return existing.unionByName(seed.join(existing.select(key), key, "left_anti"))
