@@ -97,6 +97,10 @@ def operators_at_point(coverage: DataFrame, latitude: float, longitude: float,
     the edges of the point's y band; the ray runs to +x)."""
     cov = coverage.filter(F.col("technology") == technology) if technology else coverage
     x, y = E.lambert_xy(F.lit(float(longitude)), F.lit(float(latitude)))
+    # Only geometries whose box holds the point are exploded to edges.
+    shells = F.flatten(F.transform(F.filter("rings", lambda r: r["ring"] == 0), lambda r: r["pts"]))
+    xs, ys = F.transform(shells, lambda p: p["x"]), F.transform(shells, lambda p: p["y"])
+    cov = cov.filter((F.array_min(xs) <= x) & (F.array_max(xs) >= x) & (F.array_min(ys) <= y) & (F.array_max(ys) >= y))
     edg = G.edges(G.rings(cov, "operator_code", "technology"))
     c = F.col
     pt = edg.select("*", x.alias("px"), y.alias("py"))
