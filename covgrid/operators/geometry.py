@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from covgrid.functions import expr as E
 from covgrid.session import spread
@@ -161,49 +160,64 @@ def _dp_keep(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
     return keep
 
 
-def _simplify_batches(tol: float, pts_col: str):
+def _simplify_geometry_batches(tol: float, rings_col: str):
+    """Arrow batches of geometries -> the same batches with each geometry's
+    rings simplified.  A ring left with fewer than 4 points collapses; a
+    hole whose shell collapsed goes with it."""
     def run(batches):
         for b in batches:
-            pts = b.column(pts_col)
-            # raw offsets index the unsliced child array
-            offsets = pts.offsets.to_numpy()
+            rings = b.column(rings_col)
+            r_off = rings.offsets.to_numpy()
+            rv = rings.values
+            part = rv.field("part").to_numpy(zero_copy_only=False)
+            ring = rv.field("ring").to_numpy(zero_copy_only=False)
+            pts = rv.field("pts")
+            p_off = pts.offsets.to_numpy()
             xs = pts.values.field("x").to_numpy(zero_copy_only=False)
             ys = pts.values.field("y").to_numpy(zero_copy_only=False)
-            out_x, out_y, out_off = [], [], [0]
-            for r in range(len(pts)):
-                lo, hi = offsets[r], offsets[r + 1]
-                keep = _dp_keep(xs[lo:hi], ys[lo:hi], tol)
-                out_x.append(xs[lo:hi][keep])
-                out_y.append(ys[lo:hi][keep])
-                out_off.append(out_off[-1] + int(keep.sum()))
-            cx = np.concatenate(out_x) if out_x else np.zeros(0)
-            cy = np.concatenate(out_y) if out_y else np.zeros(0)
-            child = pa.StructArray.from_arrays([pa.array(cx, pa.float64()), pa.array(cy, pa.float64())], ["x", "y"])
-            new = pa.ListArray.from_arrays(pa.array(out_off, pa.int32()), child)
-            cols = [new if n == pts_col else b.column(n) for n in b.schema.names]
+            o_roff, o_part, o_ring, o_poff, o_x, o_y = [0], [], [], [0], [], []
+            for g in range(len(rings)):
+                kept = []
+                for j in range(r_off[g], r_off[g + 1]):
+                    x, y = xs[p_off[j]:p_off[j + 1]], ys[p_off[j]:p_off[j + 1]]
+                    keep = _dp_keep(x, y, tol)
+                    if keep.sum() >= 4:
+                        kept.append((int(part[j]), int(ring[j]), x[keep], y[keep]))
+                shells = {p for p, r, _, _ in kept if r == 0}
+                kept = [k for k in kept if k[0] in shells]
+                for p, r, x, y in kept:
+                    o_part.append(p)
+                    o_ring.append(r)
+                    o_x.append(x)
+                    o_y.append(y)
+                    o_poff.append(o_poff[-1] + len(x))
+                o_roff.append(o_roff[-1] + len(kept))
+            cx = np.concatenate(o_x) if o_x else np.zeros(0)
+            cy = np.concatenate(o_y) if o_y else np.zeros(0)
+            new_pts = pa.ListArray.from_arrays(
+                pa.array(o_poff, pa.int32()),
+                pa.StructArray.from_arrays([pa.array(cx, pa.float64()), pa.array(cy, pa.float64())], ["x", "y"]))
+            new_rings = pa.ListArray.from_arrays(
+                pa.array(o_roff, pa.int32()),
+                pa.StructArray.from_arrays([pa.array(o_part, pa.int32()), pa.array(o_ring, pa.int32()), new_pts],
+                                           ["part", "ring", "pts"]))
+            cols = [new_rings if n == rings_col else b.column(n) for n in b.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
     return run
 
 
-def simplify_rings(ring_rows: DataFrame, tolerance: float) -> DataFrame:
-    """Douglas-Peucker per ring (numpy inside Arrow batches; rings are
-    independent, so Spark spreads them over all tasks).  Rings left with
-    fewer than 4 points collapse: a collapsed shell removes its polygon
-    part with its holes, a collapsed hole is dropped."""
-    # The Python work is per ring: make sure rings reach every task slot.
-    simplified = spread(ring_rows).mapInArrow(_simplify_batches(float(tolerance), "pts"), ring_rows.schema)
-    return simplified.filter(F.size("pts") >= 4)
+def simplify_geometries(geoms: DataFrame, tolerance: float, rings_col: str = "rings") -> DataFrame:
+    """Douglas-Peucker on every ring of every geometry row (numpy inside
+    Arrow batches; geometries are independent, so Spark spreads them over
+    all tasks and no shuffle regroups rings).  Collapsed rings (< 4 points)
+    are dropped, and a collapsed shell takes its polygon part's holes."""
+    return spread(geoms).mapInArrow(_simplify_geometry_batches(float(tolerance), rings_col), geoms.schema)
 
 
-def drop_orphan_holes(rings_col: str = "rings"):
-    """Keep only rings whose polygon part still has its shell (ring 0)."""
-    return F.filter(rings_col, lambda r: F.exists(rings_col, lambda s: (s["part"] == r["part"]) & (s["ring"] == 0)))
+def geometry_bbox(rings_col: str = "rings") -> list:
+    """Bounding-box columns of a nested geometry, computed in the row."""
+    pts = F.flatten(F.transform(rings_col, lambda r: r["pts"]))
+    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    return [F.array_min(xs).alias("bbox_xmin"), F.array_min(ys).alias("bbox_ymin"),
+            F.array_max(xs).alias("bbox_xmax"), F.array_max(ys).alias("bbox_ymax")]
 
-
-def nest_rings(ring_rows: DataFrame, *keep: str) -> DataFrame:
-    """Ring rows back to one row per geometry (the rings of one geometry)."""
-    return ring_rows.groupBy("id", *keep).agg(
-        F.array_sort(F.collect_list(F.struct("part", "ring", "pts"))).alias("rings"))
-
-
-T_XY = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))

@@ -22,15 +22,8 @@ def simplified_coverage(coverage: DataFrame, tolerance: float = SIMPLIFY_TOLERAN
     *unsimplified* geometry.  Rows whose geometry collapses are kept with
     empty rings, so the row count is preserved."""
     cov = coverage.filter(F.col("quarter") == quarter) if quarter else coverage
-    r = G.rings(cov, "operator_code", "technology")
-    bbox = G.ring_bbox(r, "id").select("id", F.col("xmin").alias("bbox_xmin"), F.col("ymin").alias("bbox_ymin"),
-                                       F.col("xmax").alias("bbox_xmax"), F.col("ymax").alias("bbox_ymax"))
-    nested = G.nest_rings(G.simplify_rings(r, tolerance)).select("id", G.drop_orphan_holes("rings").alias("_r"))
-    empty = F.array().cast(nested.schema["_r"].dataType)
-    return (cov.select("id", "quarter", "operator_code", "technology").join(nested, "id", "left")
-            .join(bbox, "id", "left")
-            .select("id", "quarter", "operator_code", "technology", F.coalesce("_r", empty).alias("rings"),
-                    "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"))
+    boxed = cov.select("id", "quarter", "operator_code", "technology", "rings", *G.geometry_bbox("rings"))
+    return G.simplify_geometries(boxed, tolerance)
 
 
 def simplified_summary(stg: DataFrame) -> DataFrame:

@@ -167,10 +167,13 @@ def transfers(vertices: DataFrame, lines: DataFrame, stations: DataFrame, dep_li
     ends = dep_lines + arr_lines
     bridge_segs = segs.filter(~F.col("line_id").isin(ends))
     adj = line_adjacency(segs.filter(F.col("line_id").isin(ends)), bridge_segs)
-    dep_adj = adj.filter(F.col("line_a").isin(dep_lines)).select(
-        F.col("fb").alias("feature"), F.col("line_b").alias("line_id"), F.col("fa").alias("dep_feature"), "contact")
-    arr_ok = adj.filter(F.col("line_a").isin(arr_lines)).select(F.col("fb").alias("feature")).distinct()
-    bridge = (dep_adj.join(arr_ok, "feature", "left_semi")
+    # A bridge touches a departure line and an arrival line: one pass over
+    # the adjacency rows of each bridge feature (a window, not a self-join).
+    near_arr = F.max(F.col("line_a").isin(arr_lines)).over(Window.partitionBy("fb"))
+    bridge = (adj.withColumn("_arr", near_arr)
+              .filter(F.col("_arr") & F.col("line_a").isin(dep_lines))
+              .select(F.col("fb").alias("feature"), F.col("line_b").alias("line_id"),
+                      F.col("fa").alias("dep_feature"), "contact")
               .join(lines.select("feature", "line_name", "length_km"), "feature"))
 
     # Candidate stations: on the bridge line or on any departure line.  The
