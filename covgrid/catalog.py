@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from covgrid import schema
-from covgrid.functions.expr import sql_mean_exact, sql_planar_km, sql_round_half as R
+from covgrid.functions.expr import sql_fixed_sum, sql_mean_exact, sql_planar_km, sql_round_half as R
 from covgrid.plans import antennas as A
 from covgrid.plans import mart as M
 from covgrid.plans import report as RP
@@ -245,7 +245,7 @@ def _lines(t: FX.Tables) -> DataFrame:
     return G.lines_table(t.line_vertices, t.stations)
 
 
-_LINES_SQL = """
+_LINES_SQL = f"""
 , sg AS (SELECT line_id, feature, seq, x AS x1, y AS y1,
                 lead(x) OVER (PARTITION BY feature ORDER BY seq) AS x2,
                 lead(y) OVER (PARTITION BY feature ORDER BY seq) AS y2 FROM line_vertices),
@@ -253,7 +253,7 @@ segs AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FR
 names AS (SELECT line_code AS line_id, min(station_name) || ' — ' || max(station_name) AS label
           FROM stations WHERE station_name <> '' GROUP BY line_code HAVING COUNT(DISTINCT station_name) >= 2),
 lines AS (SELECT l.line_id, l.feature, coalesce(n.label, '') AS line_name, l.length_km
-          FROM (SELECT line_id, feature, list_reduce(list(len ORDER BY seq), lambda a, b: a + b) / 1000.0 AS length_km
+          FROM (SELECT line_id, feature, {sql_fixed_sum('len', 6)} / 1000.0 AS length_km
                 FROM segs GROUP BY line_id, feature) l LEFT JOIN names n USING (line_id))
 """
 

@@ -139,13 +139,26 @@ def web_mercator_tile(lon, lat, zoom) -> tuple[Column, Column]:
     return x, y
 
 
+def fixed_sum(x, scale: int) -> Column:
+    """Sum of ``x`` rounded to ``10^-scale`` units as exact integers, returned
+    as a double: the same value whatever order rows reach the aggregate (a
+    double sum differs in its last bits), with ordinary partial
+    aggregation.  Units must keep |sum| * 10^scale below 2^53."""
+    p = float(10 ** scale)
+    units = F.floor(_c(x) * F.lit(p) + F.lit(0.5)).cast("long")
+    return F.sum(units).cast("double") / F.lit(p)
+
+
+def sql_fixed_sum(x: str, scale: int) -> str:
+    p = f"CAST({10 ** scale} AS DOUBLE)"
+    return f"(CAST(SUM(CAST(floor({x} * {p} + 0.5) AS BIGINT)) AS DOUBLE) / {p})"
+
+
 def mean_exact(x, scale: int = 9) -> Column:
-    """Mean with an exact decimal sum: the result does not depend on the
-    order rows reach the aggregate (a double sum does, in its last bits,
-    which flips ties when the mean is rounded afterwards)."""
-    s = F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
-    return s / F.count(_c(x))
+    """Mean through an exact fixed-point sum (see ``fixed_sum``), so that
+    rounding the mean afterwards does not flip on summation order."""
+    return fixed_sum(x, scale) / F.count(_c(x))
 
 
 def sql_mean_exact(x: str, scale: int = 9) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE) / COUNT({x}))"
+    return f"({sql_fixed_sum(x, scale)} / COUNT({x}))"

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
@@ -23,25 +23,23 @@ from covgrid.session import spread
 # ------------------------------------------------------------------ lines
 def segments(vertices: DataFrame) -> DataFrame:
     """Consecutive vertex pairs of each (feature, part): one row per segment.
-    The window partitions by one geometry part, a bounded group."""
-    w = Window.partitionBy("feature", "part").orderBy("seq")
-    s = vertices.select(
-        "line_id", "feature", "part", F.col("seq").alias("seg"),
-        F.col("x").alias("x1"), F.col("y").alias("y1"),
-        F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"),
-    ).filter(F.col("x2").isNotNull())
-    return s.withColumn("len", E.seg_len("x1", "y1", "x2", "y2"))
+
+    An equi-join of vertex ``seq`` with vertex ``seq + 1`` (``seq`` is dense
+    per part, as the loaders number it): the join key is unique, so even a
+    line holding a large share of all vertices spreads over every task."""
+    a = vertices.select("line_id", "feature", "part", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    b = vertices.select("feature", "part", (F.col("seq") - 1).alias("seq"),
+                        F.col("x").alias("x2"), F.col("y").alias("y2"))
+    s = a.join(b, ["feature", "part", "seq"])
+    return s.select("line_id", "feature", "part", F.col("seq").alias("seg"), "x1", "y1", "x2", "y2",
+                    E.seg_len("x1", "y1", "x2", "y2").alias("len"))
 
 
 def line_lengths(segs: DataFrame) -> DataFrame:
-    """(line_id, feature, length_km) with the segment lengths summed in
-    vertex order, so the value does not depend on partitioning."""
-    return (
-        segs.groupBy("line_id", "feature")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "seg", "len"))).alias("_s"))
-        .select("line_id", "feature",
-                (E.fold_sum(F.transform("_s", lambda s: s["len"])) / F.lit(1000.0)).alias("length_km"))
-    )
+    """(line_id, feature, length_km): segment lengths summed exactly in
+    micrometre units, so the value does not depend on partitioning and a
+    long line needs no per-line array."""
+    return segs.groupBy("line_id", "feature").agg((E.fixed_sum("len", 6) / F.lit(1000.0)).alias("length_km"))
 
 
 def line_names(stations: DataFrame) -> DataFrame:
