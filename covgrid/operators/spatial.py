@@ -10,7 +10,7 @@ needed.  Skewed cells (dense cities) are split by AQE's skew-join handling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
@@ -86,7 +86,11 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
                 geometries intersect (touching only gives inside_m = 0).
     """
     band = band or cell
-    segs = spread(G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len"))
+    # Line segments are few next to coverage edges but each one drives many
+    # cell and edge tests: always spread them over every task slot (AQE
+    # may have coalesced their last shuffle into very few partitions).
+    slots = segs.sparkSession.sparkContext.defaultParallelism
+    segs = G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len").repartition(slots)
     seg_box = _box(segs, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "s")
     seg_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", cell)
 
@@ -108,25 +112,24 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     se = (seg_cells.join(edge_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "e", cell)))
     hits = segment_edge_contacts(se).filter("hit")
 
-    # 3. per (segment, polygon part): all cuts in one aggregation over the
-    #    union of candidates (no cut) and hits (one shuffle, no join).
+    # 3. pieces between cuts: cut parameters become rows (plus 0 and 1 for
+    #    every candidate pair); ``lead`` over (segment, polygon part) ordered
+    #    by t gives the sub-intervals, ``max(hit)`` over the same window
+    #    whether the pair touches at all.  No per-pair arrays are collected.
     geom = ["x1", "y1", "x2", "y2", "len"]
-    none = F.array().cast("array<double>")
-    both = (cand.select(*SEG_KEY, *pkey, *geom, none.alias("ts"), F.lit(False).alias("hit"))
-            .unionByName(hits.select(*SEG_KEY, *pkey, *geom, "ts", "hit")))
-    p = both.groupBy(*SEG_KEY, *pkey).agg(
-        *[F.first(g).alias(g) for g in geom], F.max("hit").alias("touch"),
-        F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)),
-                                               F.flatten(F.collect_list("ts"))))).alias("_t"))
+    ends = cand.select(*SEG_KEY, *pkey, *geom, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"),
+                       F.lit(False).alias("hit"))
+    cuts = hits.select(*SEG_KEY, *pkey, *geom, F.explode("ts").alias("t"), "hit")
+    key = SEG_KEY + pkey
+    w = Window.partitionBy(*key).orderBy("t")
+    w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     c = F.col
-    iv = p.select(*SEG_KEY, *pkey, "touch", "x1", "y1", "x2", "y2", "len",
-                  F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - 1),
-                                        lambda i: F.struct(i.alias("k"), F.element_at("_t", i).alias("t0"),
-                                                           F.element_at("_t", i + 1).alias("t1")))).alias("_i"))
-    iv = iv.select(*SEG_KEY, *pkey, "touch", "_i.k",
-                   ((c("_i.t1") - c("_i.t0")) * c("len")).alias("piece_len"),
-                   (c("x1") + (c("x2") - c("x1")) * (c("_i.t0") + c("_i.t1")) / 2).alias("mx"),
-                   (c("y1") + (c("y2") - c("y1")) * (c("_i.t0") + c("_i.t1")) / 2).alias("my"))
+    tt = ends.unionByName(cuts).select("*", F.lead("t").over(w).alias("t1"), F.max("hit").over(w_all).alias("touch"))
+    iv = tt.filter(c("t1") > c("t")).select(
+        *key, "touch", c("t").alias("k"),
+        ((c("t1") - c("t")) * c("len")).alias("piece_len"),
+        (c("x1") + (c("x2") - c("x1")) * (c("t") + c("t1")) / 2).alias("mx"),
+        (c("y1") + (c("y2") - c("y1")) * (c("t") + c("t1")) / 2).alias("my"))
 
     # 4. midpoint inside test: odd number of edges of the same polygon part
     #    crossed by the ray to +x (half-open rule), edges bucketed by y band.

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
+
+
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "covgrid", extra: dict | None = None) -> SparkSession:
     """A local session tuned like a small cluster: AQE on, UI off, UTC."""
@@ -22,6 +25,10 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("COVGRID_DRIVER_MEMORY", "16g"))
+        # Geometry stages generate long methods (segment/edge tests); let the
+        # JIT compile them instead of interpreting anything over 8 KB.
+        .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JIT_OPTIONS)
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
