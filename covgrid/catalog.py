@@ -53,7 +53,6 @@ SELECT id, operator, latitude, longitude, commune_code, technology FROM sites
 WHERE operator = 'OF' AND technology = '4G' ORDER BY operator, technology, id LIMIT 100 OFFSET 20""")(
     lambda s, d: A.antenna_list(_t(s, d).sites, "OF", "4G", None, 100, 20))
 
-_NEAR = (46.5, 2.5, 50.0)
 _d = 50.0 / 111.0
 register("nearby_antennas", W("sites") + f"""
 SELECT id, operator, technology, latitude, longitude, commune_code, department_code,
