@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
 from covgrid.operators import geometry as G
-from covgrid.session import spread
+from covgrid.session import spread, task_slots
 
 SEG_KEY = ["feature", "part", "seg", "piece"]
 
@@ -89,7 +89,7 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     # Line segments are few next to coverage edges but each one drives many
     # cell and edge tests: always spread them over every task slot (AQE
     # may have coalesced their last shuffle into very few partitions).
-    slots = segs.sparkSession.sparkContext.defaultParallelism
+    slots = task_slots(segs.sparkSession)
     segs = G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len").repartition(slots)
     seg_box = _box(segs, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "s")
     seg_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", cell)

@@ -44,16 +44,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is.  Only when it is unset (local tests) do we create a private one.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext behind a Spark Connect session
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="covgrid-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def materialize(df, name: str = "stage"):
@@ -68,6 +74,15 @@ def materialize(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
+def task_slots(spark: SparkSession) -> int:
+    """Task slots of the cluster (default parallelism), or the shuffle
+    partition count when no SparkContext is reachable."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def spread(df):
     """Repartition a scan-rooted DataFrame that has fewer partitions than the
     cluster has task slots.  Geometry rows are compute-heavy, so a small
@@ -75,10 +90,12 @@ def spread(df):
     already the output of a shuffle, or large tables with enough file
     splits, are returned unchanged (the check plans the query but runs no
     job: only exchange-free plans are asked for their partition count)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
+    slots = task_slots(df.sparkSession)
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Exchange" in plan:
+            return df
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - plan not inspectable (e.g. Spark Connect)
         return df
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    return df.repartition(slots) if parts < slots else df

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covgrid import schema
+from covgrid.session import task_slots
 from covgrid.sources.sinks import write_table
 
 CHUNK_ROWS = 16  # geometries per read task unit (a national polygon can hold 300k points)
@@ -159,7 +160,7 @@ def read_geopackages(files: DataFrame) -> DataFrame:
     returns raw_coverage rows (id, quarter, operator_code, technology,
     usage, rings, source_file); id is a stable hash of (source_file, fid)."""
     chunks = files.select("path").mapInArrow(_chunk_files, "path string, lo long, hi long")
-    n = files.sparkSession.sparkContext.defaultParallelism
+    n = task_slots(files.sparkSession)
     geoms = chunks.repartition(n).mapInArrow(
         _read_chunks,
         "path string, fid long, rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>")
