@@ -75,7 +75,7 @@ def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
 
 
 def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.0,
-                   band: float | None = None) -> DataFrame:
+                   band: float | None = None, box_cell: float | None = None) -> DataFrame:
     """Length of each line feature inside each polygon it intersects.
 
     segs:       feature, part, seg, x1, y1, x2, y2, len (metres)
@@ -84,8 +84,13 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
                 every ring)
     returns     feature, id, operator_code, inside_m -- one row per pair whose
                 geometries intersect (touching only gives inside_m = 0).
+
+    ``cell`` grids segments against edges (edges are short); ``box_cell``
+    (default 4 x cell) grids segments against whole polygon-part boxes,
+    which can be large, so each box explodes to few cells.
     """
     band = band or cell
+    box_cell = box_cell or 4 * cell
     # Line segments are few next to coverage edges but each one drives many
     # cell and edge tests: always spread them over every task slot (AQE
     # may have coalesced their last shuffle into very few partitions).
@@ -98,11 +103,12 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     pkey = ["id", "operator_code", "ppart"]
     pbox = G.ring_bbox(pr, *pkey).select(*pkey, F.col("xmin").alias("px0"), F.col("ymin").alias("py0"),
                                          F.col("xmax").alias("px1"), F.col("ymax").alias("py1"))
-    poly_cells = G.bbox_cells(pbox, "px0", "py0", "px1", "py1", cell)
+    poly_cells = G.bbox_cells(pbox, "px0", "py0", "px1", "py1", box_cell)
+    seg_box_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", box_cell)
 
     # 1. candidate (segment, polygon part) pairs from box cells: segments
     #    wholly inside a polygon meet no edge, so edges alone miss them.
-    cand = (seg_cells.join(poly_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "p", cell))
+    cand = (seg_box_cells.join(poly_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "p", box_cell))
             .select(*SEG_KEY, *pkey, "x1", "y1", "x2", "y2", "len"))
 
     # 2. segment x edge contacts in shared cells -> split parameters.
