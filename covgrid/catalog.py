@@ -143,8 +143,8 @@ FROM sites""")(
 register("antenna_export", W("sites") + """
 SELECT * FROM (SELECT id, operator, latitude, longitude, commune_code, technology FROM sites
                WHERE operator = 'OF' ORDER BY operator, technology, id LIMIT 10000)
-WHERE starts_with(commune_code, '31')""")(
-    lambda s, d: A.antenna_export(_t(s, d).sites, "31", "OF", None))
+WHERE starts_with(commune_code, '13')""")(
+    lambda s, d: A.antenna_export(_t(s, d).sites, "13", "OF", None))
 
 register("antenna_geojson", W("sites") + f"""
 SELECT id, operator, coalesce(o.name, operator) AS operator_name, technology, commune_code AS commune,
