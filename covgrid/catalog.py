@@ -335,7 +335,7 @@ SELECT operator, min(operator_name) AS operator_name, {R('SUM(total_length_km)',
 FROM rc GROUP BY operator""")(
     lambda s, d: C.merged_route_coverage(_route_coverage(s, d, "4G", _ROUTE_LINES)))
 
-from covgrid.functions.expr import sql_lambert_xy  # noqa: E402
+from covgrid.functions.expr import sql_lambert_lonlat, sql_lambert_xy  # noqa: E402
 
 _PT = (47.0, 2.0)
 _PX, _PY = sql_lambert_xy(repr(_PT[1]), repr(_PT[0]))
@@ -346,10 +346,31 @@ WHERE px > cx - hw AND px < cx + hw AND py > cy - hw AND py < cy + hw
   AND NOT (hole_hw > 0 AND px > cx - hole_hw AND px < cx + hole_hw AND py > cy - hole_hw AND py < cy + hole_hw)""")(
     lambda s, d: C.operators_at_point(_t(s, d).coverage, *_PT, "4G"))
 
-register("coverage_geojson")(
+def _ring_sql(h: str) -> str:
+    """GeoJSON text of a square ring (counter-clockwise from the lower-left
+    corner, closed) of half-width ``h`` around (cx, cy), in degrees."""
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
+    pts = []
+    for dx, dy in corners:
+        lon, lat = sql_lambert_lonlat(f"(cx + {dx} * {h})", f"(cy + {dy} * {h})")
+        pts.append(f"'[' || printf('%.7f', {R(lon, 7)}) || ',' || printf('%.7f', {R(lat, 7)}) || ']'")
+    return "'[' || " + " || ',' || ".join(pts) + " || ']'"
+
+
+def _features_sql(tol: float, tech_filter: str) -> str:
+    return W("squares") + _sq_simplified(tol) + f"""
+SELECT p.id, p.operator_code AS operator, p.technology, p.quarter,
+       '{{"type":"Feature","geometry":{{"type":"MultiPolygon","coordinates":[[' || {_ring_sql('hw')} ||
+       CASE WHEN hh > 0 THEN ',' || {_ring_sql('hh')} ELSE '' END || ']]}},"properties":' ||
+       to_json({{'operator': p.operator_code, 'operator_name': coalesce(o.name, p.operator_code),
+                'technology': p.technology, 'quarter': p.quarter}}) || '}}' AS feature
+FROM poly p LEFT JOIN {OPS_SQL} o ON p.operator_code = o.code {tech_filter}"""
+
+
+register("coverage_geojson", _features_sql(5000.0, "WHERE p.technology = '4G'"))(
     lambda s, d: C.coverage_features(C.simplified_coverage(_t(s, d).coverage, C.SIMPLIFY_TOLERANCE),
                                      schema.ref_operators(s), "4G"))
-register("coverage_tiles")(
+register("coverage_tiles", _features_sql(750.0, ""))(
     lambda s, d: C.coverage_features(C.simplified_coverage(_t(s, d).coverage, C.TILE_TOLERANCE),
                                      schema.ref_operators(s), "all"))
 
@@ -378,7 +399,6 @@ SELECT min(station_id) AS station_id, station_name,
 FROM stations GROUP BY station_name ORDER BY station_name LIMIT 20""")(
     lambda s, d: RL.railway_stations(_t(s, d).stations, None, 20))
 
-from covgrid.functions.expr import sql_lambert_lonlat  # noqa: E402
 
 _LON, _LAT = sql_lambert_lonlat("x", "y")
 register("route_vertices", W("line_vertices", "stations") + _LINES_SQL + f"""
@@ -387,7 +407,14 @@ SELECT v.line_id, CAST(0 AS INTEGER) AS part, CAST(v.seq AS INTEGER) AS seq, {R(
 FROM line_vertices v JOIN lines l USING (line_id, feature)""")(
     lambda s, d: RL.route_vertices(_t(s, d).line_vertices, _lines(_t(s, d))))
 
-register("route_geojson")(lambda s, d: RL.route_geojson(_t(s, d).line_vertices, _lines(_t(s, d))))
+register("route_geojson", W("line_vertices", "stations") + _LINES_SQL + f"""
+SELECT v.line_id, l.line_name, {R('l.length_km', 1)} AS length_km,
+       '{{"type":"LineString","coordinates":[' ||
+       string_agg('[' || printf('%.7f', {R(_LON, 7)}) || ',' || printf('%.7f', {R(_LAT, 7)}) || ']', ',' ORDER BY v.seq)
+       || ']}}' AS geometry
+FROM line_vertices v JOIN lines l USING (line_id, feature)
+GROUP BY v.line_id, l.line_name, l.length_km""")(
+    lambda s, d: RL.route_geojson(_t(s, d).line_vertices, _lines(_t(s, d))))
 
 register("direct_route", W("stations") + """
 , g AS (SELECT list_sort(list(DISTINCT line_code) FILTER (WHERE station_name = 'Gare 14')) AS dl,

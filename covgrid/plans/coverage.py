@@ -109,26 +109,32 @@ def operators_at_point(coverage: DataFrame, latitude: float, longitude: float,
 def coverage_features(stg: DataFrame, operators: DataFrame, technology: str = "4G",
                       operator_code: str | None = None) -> DataFrame:
     """GeoJSON features of simplified coverage in degrees: one row per
-    geometry that is not empty, properties operator, operator_name,
-    technology, quarter; ``technology='all'`` keeps every technology."""
+    geometry that is not empty, properties operator, operator_name (code
+    when unknown), technology, quarter; ``technology='all'`` keeps every
+    technology.  Coordinates are written with 7 fixed decimals."""
     s = stg if technology == "all" else stg.filter(F.col("technology") == technology)
     if operator_code:
         s = s.filter(F.col("operator_code") == operator_code)
     s = s.filter(F.size("rings") > 0)
-    lonlat = lambda p: F.array(*[E.round_half(v, 7) for v in E.lambert_lonlat(p["x"], p["y"])])
-    r = s.select("id", "quarter", "operator_code", "technology",
-                 F.transform("rings", lambda r: F.struct(r["part"].alias("part"), r["ring"].alias("ring"),
-                                                         F.transform(r["pts"], lonlat).alias("c"))).alias("rr"))
+
+    def pt_text(p):
+        lon, lat = E.lambert_lonlat(p["x"], p["y"])
+        return F.concat(F.lit("["), F.format_string("%.7f", E.round_half(lon, 7)), F.lit(","),
+                        F.format_string("%.7f", E.round_half(lat, 7)), F.lit("]"))
+
+    ring_text = lambda r: F.concat(F.lit("["), F.array_join(F.transform(r["pts"], pt_text), ","), F.lit("]"))
+    parts = F.array_sort(F.array_distinct(F.transform("rings", lambda r: r["part"])))
+    poly_text = F.transform(parts, lambda p: F.concat(
+        F.lit("["), F.array_join(F.transform(F.filter("rings", lambda r: r["part"] == p), ring_text), ","),
+        F.lit("]")))
+    geom = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.array_join(poly_text, ","), F.lit("]}"))
     names = F.broadcast(operators.select(F.col("code").alias("operator_code"), F.col("name").alias("_n")))
-    parts = F.array_distinct(F.transform("rr", lambda r: r["part"]))
-    coords = F.transform(parts, lambda p: F.transform(F.filter("rr", lambda r: r["part"] == p), lambda r: r["c"]))
-    geom = F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates"))
-    return (r.join(names, "operator_code", "left")
+    props = F.to_json(F.struct(F.col("operator_code").alias("operator"),
+                               F.coalesce("_n", "operator_code").alias("operator_name"), "technology", "quarter"))
+    return (s.join(names, "operator_code", "left")
             .select("id", F.col("operator_code").alias("operator"), "technology", "quarter",
-                    F.to_json(F.struct(F.lit("Feature").alias("type"), geom.alias("geometry"),
-                                       F.struct(F.col("operator_code").alias("operator"),
-                                                F.coalesce("_n", "operator_code").alias("operator_name"),
-                                                "technology", "quarter").alias("properties"))).alias("feature")))
+                    F.concat(F.lit('{"type":"Feature","geometry":'), geom, F.lit(',"properties":'), props,
+                             F.lit("}")).alias("feature")))
 
 
 def ranked_route_coverage(route_rows: DataFrame) -> DataFrame:

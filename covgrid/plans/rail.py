@@ -60,20 +60,29 @@ def route_vertices(vertices: DataFrame, lines: DataFrame, line_ids: list[str] |
                     "line_name", E.round_half("length_km", 1).alias("length_km")))
 
 
+def _coord_text(lon, lat):
+    """``[lon,lat]`` with 7 fixed decimals (values are already rounded to 7
+    dp, so every engine prints the same digits; no exponent notation)."""
+    return F.concat(F.lit("["), F.format_string("%.7f", lon), F.lit(","), F.format_string("%.7f", lat), F.lit("]"))
+
+
 def route_geojson(vertices: DataFrame, lines: DataFrame, line_ids: list[str] | None = None) -> DataFrame:
-    """One GeoJSON Feature per line (LineString, or MultiLineString when the
-    feature has several parts).  A line's vertices are one geometry, so
-    collecting them per line is bounded."""
+    """One GeoJSON geometry per line (LineString, or MultiLineString when the
+    feature has several parts), with the line's id, name and length.  A
+    line's vertices are one geometry, so collecting them per line is
+    bounded by that geometry."""
     rv = route_vertices(vertices, lines, line_ids)
     parts = (rv.groupBy("line_id", "line_name", "length_km", "part")
-             .agg(F.array_sort(F.collect_list(F.struct("seq", F.array("lon", "lat").alias("c")))).alias("_p"))
-             .select("line_id", "line_name", "length_km", "part", F.transform("_p", lambda p: p["c"]).alias("c")))
+             .agg(F.array_sort(F.collect_list(F.struct("seq", _coord_text("lon", "lat").alias("c")))).alias("_p"))
+             .select("line_id", "line_name", "length_km", "part",
+                     F.concat(F.lit("["), F.array_join(F.transform("_p", lambda p: p["c"]), ","), F.lit("]")).alias("c")))
     g = parts.groupBy("line_id", "line_name", "length_km").agg(
         F.array_sort(F.collect_list(F.struct("part", "c"))).alias("_ps"))
-    coords_multi = F.transform("_ps", lambda p: p["c"])
-    geom = F.when(F.size("_ps") == 1, F.to_json(F.struct(F.lit("LineString").alias("type"),
-                                                         F.element_at(coords_multi, 1).alias("coordinates"))))\
-        .otherwise(F.to_json(F.struct(F.lit("MultiLineString").alias("type"), coords_multi.alias("coordinates"))))
+    texts = F.transform("_ps", lambda p: p["c"])
+    geom = F.when(F.size("_ps") == 1,
+                  F.concat(F.lit('{"type":"LineString","coordinates":'), F.element_at(texts, 1), F.lit("}")))\
+        .otherwise(F.concat(F.lit('{"type":"MultiLineString","coordinates":['), F.array_join(texts, ","),
+                            F.lit("]}")))
     return g.select("line_id", "line_name", "length_km", geom.alias("geometry"))
 
 
