@@ -85,8 +85,8 @@ def split_segments(segs: DataFrame, max_len: float) -> DataFrame:
     x2 = F.when(F.col("_n") == 1, F.col("x2")).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * f1)
     y2 = F.when(F.col("_n") == 1, F.col("y2")).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * f1)
     keep = [c for c in segs.columns if c not in ("x1", "y1", "x2", "y2", "len")]
-    return s.select(*keep, F.col("_k").alias("piece"), x1.alias("x1"), y1.alias("y1"),
-                    x2.alias("x2"), y2.alias("y2")).withColumn("len", E.seg_len("x1", "y1", "x2", "y2"))
+    return s.select(*keep, F.col("_k").alias("piece"), F.col("_n").alias("npieces"), x1.alias("x1"),
+                    y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).withColumn("len", E.seg_len("x1", "y1", "x2", "y2"))
 
 
 # --------------------------------------------------------------- polygons

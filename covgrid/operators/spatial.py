@@ -18,6 +18,7 @@ from covgrid.operators import geometry as G
 from covgrid.session import spread, task_slots
 
 SEG_KEY = ["feature", "part", "seg", "piece"]
+EPS = 1e-9
 
 
 def _box(df: DataFrame, x1, y1, x2, y2, prefix: str) -> DataFrame:
@@ -69,13 +70,18 @@ def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
     overlap = collinear & (F.greatest(c("_ta"), c("_tb")) >= 0) & (F.least(c("_ta"), c("_tb")) <= 1)
     hit = F.coalesce(proper, F.lit(False)) | F.coalesce(overlap, F.lit(False))
     ts = F.when(c("_den") != 0, F.array(c("_t"))).otherwise(F.array(clamp(c("_ta")), clamp(c("_tb"))))
-    out = p.select("*", hit.alias("hit"), ts.alias("ts"))
+    # A clean crossing passes through the interior of both the segment and
+    # the edge (away from vertices by a relative margin): the inside/outside
+    # status certainly flips there.
+    inner = lambda v: (v > EPS) & (v < 1 - EPS)
+    clean = F.coalesce((c("_den") != 0) & inner(c("_t")) & inner(c("_u")), F.lit(False))
+    out = p.select("*", hit.alias("hit"), ts.alias("ts"), clean.alias("clean"))
     return out.drop("_rx", "_ry", "_sx", "_sy", "_qx", "_qy", "_den", "_tn", "_un", "_rr", "_ta_n", "_tb_n",
                     "_t", "_u", "_ta", "_tb")
 
 
 def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.0,
-                   band: float | None = None, box_cell: float | None = None) -> DataFrame:
+                   band: float | None = None, box_cell: float | None = None, inside: str = "ray") -> DataFrame:
     """Length of each line feature inside each polygon it intersects.
 
     segs:       feature, part, seg, x1, y1, x2, y2, len (metres)
@@ -88,6 +94,13 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     ``cell`` grids segments against edges (edges are short); ``box_cell``
     (default 4 x cell) grids segments against whole polygon-part boxes,
     which can be large, so each box explodes to few cells.
+
+    ``inside`` picks how pieces are classified: ``"ray"`` tests every piece
+    midpoint against the polygon part's edges in its band; ``"walk"`` walks
+    each line through each polygon part, flipping the status at clean
+    crossings, and ray-tests only where the status is not known (a line
+    that starts inside the part's box, or a cut through a vertex or along an
+    edge).  The walk reads far fewer edges on large rings.
     """
     band = band or cell
     box_cell = box_cell or 4 * cell
@@ -95,7 +108,7 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     # cell and edge tests: always spread them over every task slot (AQE
     # may have coalesced their last shuffle into very few partitions).
     slots = task_slots(segs.sparkSession)
-    segs = G.split_segments(segs, cell).select(*SEG_KEY, "x1", "y1", "x2", "y2", "len").repartition(slots)
+    segs = G.split_segments(segs, cell).select(*SEG_KEY, "npieces", "x1", "y1", "x2", "y2", "len").repartition(slots)
     seg_box = _box(segs, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "s")
     seg_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", cell)
 
@@ -109,7 +122,7 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     # 1. candidate (segment, polygon part) pairs from box cells: segments
     #    wholly inside a polygon meet no edge, so edges alone miss them.
     cand = (seg_box_cells.join(poly_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "p", box_cell))
-            .select(*SEG_KEY, *pkey, "x1", "y1", "x2", "y2", "len"))
+            .select(*SEG_KEY, *pkey, "npieces", "x1", "y1", "x2", "y2", "len"))
 
     # 2. segment x edge contacts in shared cells -> split parameters.
     edg = G.edges(pr.select(*pkey, "ring", "pts"))
@@ -122,17 +135,25 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     #    every candidate pair); ``lead`` over (segment, polygon part) ordered
     #    by t gives the sub-intervals, ``max(hit)`` over the same window
     #    whether the pair touches at all.  No per-pair arrays are collected.
-    geom = ["x1", "y1", "x2", "y2", "len"]
+    geom = ["npieces", "x1", "y1", "x2", "y2", "len"]
     ends = cand.select(*SEG_KEY, *pkey, *geom, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"),
-                       F.lit(False).alias("hit"))
-    cuts = hits.select(*SEG_KEY, *pkey, *geom, F.explode("ts").alias("t"), "hit")
+                       F.lit(False).alias("hit"), F.lit(False).alias("clean"))
+    cuts = hits.select(*SEG_KEY, *pkey, *geom, F.explode("ts").alias("t"), "hit", "clean")
     key = SEG_KEY + pkey
     w = Window.partitionBy(*key).orderBy("t")
     w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w_t = Window.partitionBy(*key, "t")
     c = F.col
-    tt = ends.unionByName(cuts).select("*", F.lead("t").over(w).alias("t1"), F.max("hit").over(w_all).alias("touch"))
+    tt = ends.unionByName(cuts).select(
+        "*", F.lead("t").over(w).alias("t1"), F.max("hit").over(w_all).alias("touch"),
+        F.sum(c("hit").cast("int")).over(w_t).alias("_nh"),
+        F.min(F.when(c("hit"), c("clean").cast("int"))).over(w_t).alias("_clean"))
+    # The cut at a piece's start flips the status iff exactly one edge is
+    # hit there, cleanly; any other hit there leaves the status unknown.
+    toggle = (c("_nh") == 1) & (c("_clean") == 1) & (c("t") > 0)
     iv = tt.filter(c("t1") > c("t")).select(
-        *key, "touch", c("t").alias("k"),
+        *key, "touch", c("t").alias("k"), "t1", "npieces", toggle.alias("toggle"),
+        ((c("_nh") > 0) & ~toggle).alias("ambiguous"),
         ((c("t1") - c("t")) * c("len")).alias("piece_len"),
         (c("x1") + (c("x2") - c("x1")) * (c("t") + c("t1")) / 2).alias("mx"),
         (c("y1") + (c("y2") - c("y1")) * (c("t") + c("t1")) / 2).alias("my"))
@@ -141,7 +162,12 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     #    crossed by the ray to +x (half-open rule), edges bucketed by y band.
     edge_rows = (edg.withColumn("row", F.explode(E.cell_range(F.least("ay", "by"), F.greatest("ay", "by"), band)))
                  .select("id", "ppart", "row", "ax", "ay", "bx", "by"))
-    mids = iv.withColumn("row", E.cell("my", band)).alias("m")
+    if inside == "walk":
+        iv = _walk(iv)
+        tested = iv.filter("needs_ray")
+    else:
+        tested = iv
+    mids = tested.withColumn("row", E.cell("my", band)).alias("m")
     er = edge_rows.alias("e")
     m, e = (lambda n: F.col(f"m.{n}")), (lambda n: F.col(f"e.{n}"))
     straddle = (e("ay") > m("my")) != (e("by") > m("my"))
@@ -153,6 +179,10 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
               .agg(F.first(m("piece_len")).alias("piece_len"), F.first(m("touch")).alias("touch"),
                    F.count(e("ax")).alias("n")))
 
+    if inside == "walk":
+        status = pieces.select(*SEG_KEY, *pkey, "k", (c("n") % 2).alias("_ray"))
+        pieces = _walk_status(iv.join(status, SEG_KEY + pkey + ["k"], "left"))
+
     # 5. per (feature, polygon): inside length, and whether they meet at all
     #    (an edge contact, or any piece inside).
     inside = c("n") % 2 == 1
@@ -160,3 +190,42 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
         F.sum(F.when(inside, c("piece_len")).otherwise(F.lit(0.0))).alias("inside_m"),
         F.max(c("touch") | inside).alias("meets"))
     return per.filter("meets").select("feature", "id", "operator_code", "inside_m")
+
+
+def _walk(iv: DataFrame) -> DataFrame:
+    """Order pieces along each (line part, polygon part) and mark anchors:
+    a piece not continuing the previous one, or one after an ambiguous cut.
+    An anchor whose predecessor piece exists but is not a candidate starts
+    outside (the shared point lies outside the part's box); other anchors
+    need a ray test.  ``grp`` numbers the runs between anchors, ``par`` is
+    the parity of clean crossings since the run's anchor."""
+    c = F.col
+    walk = ["feature", "part", "id", "operator_code", "ppart"]
+    w = Window.partitionBy(*walk).orderBy("seg", "piece", "k")
+    prev = lambda n: F.lag(n).over(w)
+    same_piece = (prev("seg") == c("seg")) & (prev("piece") == c("piece")) & (prev("t1") == c("k"))
+    next_piece = ((c("k") == 0) & (prev("t1") == 1)
+                  & (((prev("seg") == c("seg")) & (prev("piece") == c("piece") - 1))
+                     | ((prev("seg") == c("seg") - 1) & (c("piece") == 0) & (prev("piece") == prev("npieces") - 1))))
+    contiguous = F.coalesce(same_piece | next_piece, F.lit(False))
+    anchor = ~contiguous | c("ambiguous")
+    known_out = ~contiguous & ~c("ambiguous") & ((c("seg") > 0) | (c("piece") > 0)) & (c("k") == 0)
+    iv = iv.select("*", anchor.alias("anchor"), known_out.alias("known_out"))
+    iv = iv.select("*", (c("anchor") & ~c("known_out")).alias("needs_ray"),
+                   F.sum(c("anchor").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
+    wg = Window.partitionBy(*walk, "grp").orderBy("seg", "piece", "k").rowsBetween(Window.unboundedPreceding, 0)
+    return iv.select("*", F.sum((c("toggle") & ~c("anchor")).cast("int")).over(wg).alias("par"))
+
+
+def _walk_status(iv: DataFrame) -> DataFrame:
+    """Status of every piece: its run's anchor status (ray result, or 0 when
+    known outside) flipped by the crossings since; returned in the shape of
+    the ray path's piece counts (``n`` odd = inside)."""
+    c = F.col
+    walk = ["feature", "part", "id", "operator_code", "ppart"]
+    wg = Window.partitionBy(*walk, "grp").orderBy("seg", "piece", "k")
+    anchor_status = F.when(c("known_out"), F.lit(0)).otherwise(F.coalesce(c("_ray"), F.lit(0)))
+    first = F.first(F.when(c("anchor"), anchor_status), ignorenulls=True).over(
+        wg.rowsBetween(Window.unboundedPreceding, 0))
+    return iv.select(*SEG_KEY, "id", "operator_code", "ppart", "k", "piece_len", "touch",
+                     ((first + c("par")) % 2).cast("long").alias("n"))

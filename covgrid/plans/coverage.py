@@ -35,7 +35,7 @@ def simplified_summary(stg: DataFrame) -> DataFrame:
 
 def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operators: DataFrame,
                    technology: str = "4G", line_ids: list[str] | None = None, buffer_km: float = 2.0,
-                   cell: float = 10_000.0) -> DataFrame:
+                   cell: float = 10_000.0, inside: str = "ray") -> DataFrame:
     """Covered km and percent of each railway line per operator.
 
     Sums over overlapping polygons and quarters, then caps at the line
@@ -50,7 +50,7 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
         chosen = chosen.filter(F.col("line_id").isin(line_ids))
     segs = G.segments(vertices).join(chosen, ["line_id", "feature"], "left_semi")
     polys = G.rings(stg.filter(F.col("technology") == technology), "operator_code")
-    pairs = S.covered_length(segs, polys, cell=cell)
+    pairs = S.covered_length(segs, polys, cell=cell, inside=inside)
     per = (
         pairs.join(lines.select("feature", "line_id", "length_km"), "feature")
         .groupBy("line_id", "operator_code")

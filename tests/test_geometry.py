@@ -124,3 +124,28 @@ def test_pick_feature_for_duplicate_line_id(spark):
                                   "line_id string, feature long, line_name string, length_km double")
     (r,) = G.pick_features(lines).collect()
     assert r["feature"] == 3
+
+
+WALK_CASES = [
+    ([(0, 0), (10, 0)], [(1, "OF", [square(3, 0, 1)])], 3.0),
+    ([(0, 0), (10, 0)], [(1, "OF", [square(3, 0, 1), square(3, 0, 0.5)])], 3.0),
+    ([(1, 1), (2, 2)], [(1, "OF", [square(0, 0, 50)])], 10.0),
+    ([(0, 10), (10, 0)], [(1, "OF", [square(6.5, 6.5, 1.5)])], 3.0),
+    ([(0, 0.5), (3, 0.5)], [(1, "OF", [square(3, 0, 1)])], 3.0),
+    # passes exactly through polygon vertices and runs along an edge
+    ([(0, 0), (2, -1), (4, -1), (6, 0)], [(1, "OF", [square(3, 0, 1)])], 3.0),
+    # starts inside a box and inside the polygon, many cells, hole on the way
+    ([(20, 1), (30, 4), (60, -4), (90, 0)], [(1, "OF", [square(45, 0, 30), square(45, 0, 5)])], 7.0),
+]
+
+
+@pytest.mark.parametrize("case", range(len(WALK_CASES)))
+def test_walk_matches_ray(spark, case):
+    pts, rows, cell = WALK_CASES[case]
+    segs = G.segments(line(spark, pts))
+    p = polys(spark, rows)
+    got = {}
+    for mode in ("ray", "walk"):
+        out = S.covered_length(segs, p, cell=cell, inside=mode).collect()
+        got[mode] = {r["id"]: round(r["inside_m"], 9) for r in out}
+    assert got["ray"] == got["walk"]
