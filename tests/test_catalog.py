@@ -47,10 +47,8 @@ def test_against_oracle(spark, con, key):
     assert _rows(s) == _rows(o)
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - set(entry.oracle_sql())))
-def test_runs_without_oracle(spark, key):
-    df = entry.queries()[key](spark, SF)
-    assert df.count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(entry.queries()) == set(entry.oracle_sql())
 
 
 def test_entry(spark):
