@@ -75,18 +75,15 @@ def pick_features(lines: DataFrame) -> DataFrame:
 
 def split_segments(segs: DataFrame, max_len: float) -> DataFrame:
     """Cut segments longer than ``max_len`` into equal pieces so each piece
-    spans at most a few grid cells."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("len") / F.lit(float(max_len))).cast("int"))
-    s = segs.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    f0 = F.col("_k") / F.col("_n")
-    f1 = (F.col("_k") + 1) / F.col("_n")
-    x1 = F.when(F.col("_n") == 1, F.col("x1")).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * f0)
-    y1 = F.when(F.col("_n") == 1, F.col("y1")).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * f0)
-    x2 = F.when(F.col("_n") == 1, F.col("x2")).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * f1)
-    y2 = F.when(F.col("_n") == 1, F.col("y2")).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * f1)
+    spans at most a few grid cells (``piece`` numbers them, ``npieces``
+    counts them); a segment that needs no cut keeps its exact endpoints."""
     keep = [c for c in segs.columns if c not in ("x1", "y1", "x2", "y2", "len")]
-    return s.select(*keep, F.col("_k").alias("piece"), F.col("_n").alias("npieces"), x1.alias("x1"),
-                    y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).withColumn("len", E.seg_len("x1", "y1", "x2", "y2"))
+    s = segs.selectExpr("*", f"greatest(1, CAST(ceil(len / {float(max_len)!r}) AS INT)) AS npieces")
+    s = s.selectExpr("*", "explode(sequence(0, npieces - 1)) AS piece")
+    at = lambda a, d, k: f"CASE WHEN npieces = 1 THEN {a}{'2' if k else '1'} ELSE {a}1 + ({a}2 - {a}1) * ((piece + {k}) / npieces) END"  # noqa: E501,E731
+    s = s.selectExpr(*keep, "piece", "npieces", f"{at('x', 0, 0)} AS x1", f"{at('y', 0, 0)} AS y1",
+                     f"{at('x', 0, 1)} AS x2", f"{at('y', 0, 1)} AS y2")
+    return s.withColumn("len", E.seg_len("x1", "y1", "x2", "y2"))
 
 
 # --------------------------------------------------------------- polygons

@@ -27,13 +27,13 @@ def _box(df: DataFrame, x1, y1, x2, y2, prefix: str) -> DataFrame:
 
 
 def _overlap_in_ref_cell(a: str, b: str, size: float) -> Column:
-    """Boxes a and b overlap and the current (cx, cy) is the reference cell."""
-    c = F.col
-    ov = ((c(f"{a}x0") <= c(f"{b}x1")) & (c(f"{b}x0") <= c(f"{a}x1"))
-          & (c(f"{a}y0") <= c(f"{b}y1")) & (c(f"{b}y0") <= c(f"{a}y1")))
-    rx = E.cell(F.greatest(c(f"{a}x0"), c(f"{b}x0")), size)
-    ry = E.cell(F.greatest(c(f"{a}y0"), c(f"{b}y0")), size)
-    return ov & (c("cx") == rx) & (c("cy") == ry)
+    """Boxes a and b overlap and the current (cx, cy) is the reference cell
+    (one SQL expression: a single call to build, however often it is used)."""
+    z = float(size)
+    return F.expr(
+        f"{a}x0 <= {b}x1 AND {b}x0 <= {a}x1 AND {a}y0 <= {b}y1 AND {b}y0 <= {a}y1"
+        f" AND cx = CAST(floor(greatest({a}x0, {b}x0) / {z!r}) AS BIGINT)"
+        f" AND cy = CAST(floor(greatest({a}y0, {b}y0) / {z!r}) AS BIGINT)")
 
 
 def _cross(ax, ay, bx, by) -> Column:
@@ -47,35 +47,33 @@ def _div(a: Column, b: Column) -> Column:
 
 def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
     """For rows holding a segment (x1,y1)-(x2,y2) and an edge (ax,ay)-(bx,by):
-    ``hit`` (closed segments touch) and ``ts`` (split parameters along the
-    segment: the crossing, or both ends of a collinear overlap).
-
-    Intermediate terms are separate projections so each is computed once
-    (a reused Column object would otherwise be expanded at every use)."""
-    c = F.col
-    p = pairs.select("*", (c("x2") - c("x1")).alias("_rx"), (c("y2") - c("y1")).alias("_ry"),
-                     (c("bx") - c("ax")).alias("_sx"), (c("by") - c("ay")).alias("_sy"),
-                     (c("ax") - c("x1")).alias("_qx"), (c("ay") - c("y1")).alias("_qy"))
-    p = p.select("*", _cross(c("_rx"), c("_ry"), c("_sx"), c("_sy")).alias("_den"),
-                 _cross(c("_qx"), c("_qy"), c("_sx"), c("_sy")).alias("_tn"),
-                 _cross(c("_qx"), c("_qy"), c("_rx"), c("_ry")).alias("_un"),
-                 (c("_rx") * c("_rx") + c("_ry") * c("_ry")).alias("_rr"),
-                 (c("_qx") * c("_rx") + c("_qy") * c("_ry")).alias("_ta_n"),
-                 ((c("bx") - c("x1")) * c("_rx") + (c("by") - c("y1")) * c("_ry")).alias("_tb_n"))
-    p = p.select("*", _div(c("_tn"), c("_den")).alias("_t"), _div(c("_un"), c("_den")).alias("_u"),
-                 _div(c("_ta_n"), c("_rr")).alias("_ta"), _div(c("_tb_n"), c("_rr")).alias("_tb"))
-    clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    proper = (c("_den") != 0) & (c("_t") >= 0) & (c("_t") <= 1) & (c("_u") >= 0) & (c("_u") <= 1)
-    collinear = (c("_den") == 0) & (c("_un") == 0) & (c("_rr") > 0)
-    overlap = collinear & (F.greatest(c("_ta"), c("_tb")) >= 0) & (F.least(c("_ta"), c("_tb")) <= 1)
-    hit = F.coalesce(proper, F.lit(False)) | F.coalesce(overlap, F.lit(False))
-    ts = F.when(c("_den") != 0, F.array(c("_t"))).otherwise(F.array(clamp(c("_ta")), clamp(c("_tb"))))
-    # A clean crossing passes through the interior of both the segment and
-    # the edge (away from vertices by a relative margin): the inside/outside
-    # status certainly flips there.
-    inner = lambda v: (v > EPS) & (v < 1 - EPS)
-    clean = F.coalesce((c("_den") != 0) & inner(c("_t")) & inner(c("_u")), F.lit(False))
-    out = p.select("*", hit.alias("hit"), ts.alias("ts"), clean.alias("clean"))
+    ``hit`` (closed segments touch), ``ts`` (split parameters along the
+    segment: the crossing, or both ends of a collinear overlap) and
+    ``clean`` (the crossing passes through the interior of both, away from
+    vertices by a relative margin, so the inside/outside status certainly
+    flips there).
+
+    Intermediate terms are separate projections so each is computed once,
+    written as SQL expressions (one JVM call per projection to build)."""
+    p = pairs.selectExpr("*", "x2 - x1 AS _rx", "y2 - y1 AS _ry", "bx - ax AS _sx", "by - ay AS _sy",
+                         "ax - x1 AS _qx", "ay - y1 AS _qy")
+    p = p.selectExpr("*", "_rx * _sy - _ry * _sx AS _den", "_qx * _sy - _qy * _sx AS _tn",
+                     "_qx * _ry - _qy * _rx AS _un", "_rx * _rx + _ry * _ry AS _rr",
+                     "_qx * _rx + _qy * _ry AS _ta_n", "(bx - x1) * _rx + (by - y1) * _ry AS _tb_n")
+    # division guarded: ANSI mode raises on a zero divisor
+    p = p.selectExpr("*", "CASE WHEN _den <> 0 THEN _tn / _den END AS _t",
+                     "CASE WHEN _den <> 0 THEN _un / _den END AS _u",
+                     "CASE WHEN _rr <> 0 THEN _ta_n / _rr END AS _ta",
+                     "CASE WHEN _rr <> 0 THEN _tb_n / _rr END AS _tb")
+    e = repr(EPS)
+    out = p.selectExpr(
+        "*",
+        "coalesce(_den <> 0 AND _t >= 0 AND _t <= 1 AND _u >= 0 AND _u <= 1, false)"
+        " OR coalesce(_den = 0 AND _un = 0 AND _rr > 0 AND greatest(_ta, _tb) >= 0 AND least(_ta, _tb) <= 1,"
+        " false) AS hit",
+        "CASE WHEN _den <> 0 THEN array(_t)"
+        " ELSE array(least(1.0D, greatest(0.0D, _ta)), least(1.0D, greatest(0.0D, _tb))) END AS ts",
+        f"coalesce(_den <> 0 AND _t > {e} AND _t < 1 - {e} AND _u > {e} AND _u < 1 - {e}, false) AS clean")
     return out.drop("_rx", "_ry", "_sx", "_sy", "_qx", "_qy", "_den", "_tn", "_un", "_rr", "_ta_n", "_tb_n",
                     "_t", "_u", "_ta", "_tb")
 
