@@ -50,8 +50,17 @@ def sql_round_half(expr: str, k: int) -> str:
     return f"(CASE WHEN ({expr}) < 0 THEN -{mag} ELSE {mag} END)"
 
 
+def _spark_num(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
 def lambert_xy(lon, lat) -> tuple[Column, Column]:
-    """Forward Lambert-93: degrees -> metres, as two columns."""
+    """Forward Lambert-93: degrees -> metres, as two columns.  SQL-text
+    inputs (column names, literals) build one SQL expression each, a single
+    call to the JVM; Column inputs (e.g. lambda variables) build Columns."""
+    if isinstance(lon, str) and isinstance(lat, str):
+        x, y = sql_lambert_xy(lon, lat, _spark_num)
+        return F.expr(x), F.expr(y)
     phi = F.radians(_c(lat))
     s = F.sin(phi)
     q = F.atanh(s) - F.lit(LAMBERT_E) * F.atanh(F.lit(LAMBERT_E) * s)
@@ -60,16 +69,21 @@ def lambert_xy(lon, lat) -> tuple[Column, Column]:
     return F.lit(LAMBERT_XS) + r * F.sin(g), F.lit(LAMBERT_YS) - r * F.cos(g)
 
 
-def sql_lambert_xy(lon: str, lat: str) -> tuple[str, str]:
+def sql_lambert_xy(lon: str, lat: str, num=repr) -> tuple[str, str]:
+    e, n, c = num(LAMBERT_E), num(LAMBERT_N), num(LAMBERT_C)
     s = f"sin(radians({lat}))"
-    q = f"(atanh({s}) - {LAMBERT_E!r} * atanh({LAMBERT_E!r} * {s}))"
-    r = f"({LAMBERT_C!r} * exp(-{LAMBERT_N!r} * {q}))"
-    g = f"({LAMBERT_N!r} * radians({lon} - {LAMBERT_LON0!r}))"
-    return f"({LAMBERT_XS!r} + {r} * sin({g}))", f"({LAMBERT_YS!r} - {r} * cos({g}))"
+    q = f"(atanh({s}) - {e} * atanh({e} * {s}))"
+    r = f"({c} * exp(-{n} * {q}))"
+    g = f"({n} * radians({lon} - {num(LAMBERT_LON0)}))"
+    return f"({num(LAMBERT_XS)} + {r} * sin({g}))", f"({num(LAMBERT_YS)} - {r} * cos({g}))"
 
 
 def lambert_lonlat(x, y) -> tuple[Column, Column]:
-    """Inverse Lambert-93: metres -> degrees, fixed-point iteration unrolled."""
+    """Inverse Lambert-93: metres -> degrees, fixed-point iteration unrolled
+    (SQL-text inputs build one SQL expression each, as in ``lambert_xy``)."""
+    if isinstance(x, str) and isinstance(y, str):
+        lon, lat = sql_lambert_lonlat(x, y, _spark_num)
+        return F.expr(lon), F.expr(lat)
     dx = _c(x) - F.lit(LAMBERT_XS)
     dy = F.lit(LAMBERT_YS) - _c(y)
     r = F.sqrt(dx * dx + dy * dy)
@@ -83,15 +97,17 @@ def lambert_lonlat(x, y) -> tuple[Column, Column]:
     return lon, F.degrees(phi)
 
 
-def sql_lambert_lonlat(x: str, y: str) -> tuple[str, str]:
-    dx = f"({x} - {LAMBERT_XS!r})"
-    dy = f"({LAMBERT_YS!r} - {y})"
+def sql_lambert_lonlat(x: str, y: str, num=repr) -> tuple[str, str]:
+    e, n, c = num(LAMBERT_E), num(LAMBERT_N), num(LAMBERT_C)
+    dx = f"({x} - {num(LAMBERT_XS)})"
+    dy = f"({num(LAMBERT_YS)} - {y})"
     r = f"sqrt({dx} * {dx} + {dy} * {dy})"
-    lon = f"({LAMBERT_LON0!r} + degrees(atan2({dx}, {dy}) / {LAMBERT_N!r}))"
-    big_l = f"(-ln({r} / {LAMBERT_C!r}) / {LAMBERT_N!r})"
-    phi = f"(2.0 * atan(exp({big_l})) - {math.pi / 2!r})"
+    lon = f"({num(LAMBERT_LON0)} + degrees(atan2({dx}, {dy}) / {n}))"
+    big_l = f"(-ln({r} / {c}) / {n})"
+    two, half_pi = num(2.0), num(math.pi / 2)
+    phi = f"({two} * atan(exp({big_l})) - {half_pi})"
     for _ in range(INVERSE_ITERATIONS):
-        phi = f"(2.0 * atan(exp({big_l} + {LAMBERT_E!r} * atanh({LAMBERT_E!r} * sin({phi})))) - {math.pi / 2!r})"
+        phi = f"({two} * atan(exp({big_l} + {e} * atanh({e} * sin({phi})))) - {half_pi})"
     return lon, f"degrees({phi})"
 
 

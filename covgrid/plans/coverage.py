@@ -89,7 +89,7 @@ def operators_at_point(coverage: DataFrame, latitude: float, longitude: float,
     """Operators whose coverage polygons contain a point (odd-even rule on
     the edges of the point's y band; the ray runs to +x)."""
     cov = coverage.filter(F.col("technology") == technology) if technology else coverage
-    x, y = E.lambert_xy(F.lit(float(longitude)), F.lit(float(latitude)))
+    x, y = E.lambert_xy(f"{float(longitude)!r}D", f"{float(latitude)!r}D")
     # Only geometries whose box holds the point are exploded to edges.
     shells = F.flatten(F.transform(F.filter("rings", lambda r: r["ring"] == 0), lambda r: r["pts"]))
     xs, ys = F.transform(shells, lambda p: p["x"]), F.transform(shells, lambda p: p["y"])

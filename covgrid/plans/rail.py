@@ -255,8 +255,8 @@ def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat:
     length times the fraction gap.  One row per line with the coordinates."""
     v = chosen_vertices(vertices, lines, [line_id])
     segs = G.segments(v)
-    fx, fy = E.lambert_xy(F.lit(float(from_lon)), F.lit(float(from_lat)))
-    tx, ty = E.lambert_xy(F.lit(float(to_lon)), F.lit(float(to_lat)))
+    fx, fy = E.lambert_xy(f"{float(from_lon)!r}D", f"{float(from_lat)!r}D")
+    tx, ty = E.lambert_xy(f"{float(to_lon)!r}D", f"{float(to_lat)!r}D")
     fr = locate_fraction(segs, fx, fy, "f1").join(locate_fraction(segs, tx, ty, "f2"), "feature")
     lon, lat = E.lambert_lonlat("x", "y")
     coords = (v.select("feature", "part", "seq", F.array(E.round_half(lon, 7), E.round_half(lat, 7)).alias("c"))

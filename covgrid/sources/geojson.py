@@ -74,7 +74,7 @@ def line_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = f.select(prop("code_ligne").alias("line_id"), "feature", parts.alias("parts")).filter(F.col("parts").isNotNull())
     p = f.select("line_id", "feature", F.posexplode("parts").alias("part", "pts"))
     v = p.select("line_id", "feature", "part", F.posexplode("pts").alias("seq", "c"))
-    x, y = E.lambert_xy(F.col("c")[0], F.col("c")[1])
+    x, y = E.lambert_xy("c[0]", "c[1]")
     vertices = v.select("line_id", "feature", "part", "seq", x.alias("x"), y.alias("y"))
     lengths = G.line_lengths(G.segments(vertices))
     lines = (f.select("line_id", "feature").join(lengths, ["line_id", "feature"], "left")
