@@ -9,6 +9,7 @@ job reads the driver's tables (through the derivations in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,17 @@ def register(key: str, oracle: str | None = None):
     return deco
 
 
-def _t(spark, sf_dir) -> FX.Tables:
+@lru_cache(maxsize=16)
+def _tables(spark, sf_dir: str) -> FX.Tables:
     return FX.load(spark, sf_dir)
 
 
+def _t(spark, sf_dir) -> FX.Tables:
+    """Derived tables of a directory, shared by the queries of one session
+    (lazy DataFrames: sharing them only saves re-reading file metadata)."""
+    return _tables(spark, sf_dir)
+
+
 OPS_SQL = "(SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', '{n}', '{col}')" for c, n, col in schema.OPERATORS) + ") AS t(code, name, color))"
 DEPTS_SQL = "(SELECT * FROM (VALUES " + ", ".join(

@@ -9,7 +9,7 @@ derivations exist as SQL text (``ORACLE_CTES``) for the oracle database.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,24 +52,22 @@ def coverage_squares(part: DataFrame) -> DataFrame:
     )
 
 
-def _square_ring(cx, cy, h) -> F.Column:
-    """Closed counter-clockwise ring starting at the lower-left corner."""
-    pt = lambda dx, dy: F.struct((cx + dx * h).alias("x"), (cy + dy * h).alias("y"))
-    return F.array(pt(-1, -1), pt(1, -1), pt(1, 1), pt(-1, 1), pt(-1, -1))
+def _square_ring_sql(h: str) -> str:
+    """Closed counter-clockwise square ring around (cx, cy), starting at the
+    lower-left corner, as one SQL expression."""
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
+    return "array(" + ", ".join(f"named_struct('x', cx + {dx} * {h}, 'y', cy + {dy} * {h})"
+                                for dx, dy in corners) + ")"
 
 
 def coverage(part: DataFrame) -> DataFrame:
     """raw_coverage in nested ring form (see schema.COVERAGE_SCHEMA)."""
-    sq = coverage_squares(part)
-    cx, cy, hw, hh = F.col("cx"), F.col("cy"), F.col("hw"), F.col("hole_hw")
-    shell = F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), _square_ring(cx, cy, hw).alias("pts"))
-    hole = F.struct(F.lit(0).alias("part"), F.lit(1).alias("ring"), _square_ring(cx, cy, hh).alias("pts"))
-    rings = F.when(hh > 0, F.array(shell, hole)).otherwise(F.array(shell))
-    return sq.select(
-        "id", "quarter", "operator_code", "technology",
-        F.lit("data").alias("usage"), rings.alias("rings"),
-        F.concat_ws("_", "quarter", "operator_code", "technology").alias("source_file"),
-    )
+    shell = f"named_struct('part', 0, 'ring', 0, 'pts', {_square_ring_sql('hw')})"
+    hole = f"named_struct('part', 0, 'ring', 1, 'pts', {_square_ring_sql('hole_hw')})"
+    return coverage_squares(part).selectExpr(
+        "id", "quarter", "operator_code", "technology", "'data' AS usage",
+        f"CASE WHEN hole_hw > 0 THEN array({shell}, {hole}) ELSE array({shell}) END AS rings",
+        "concat_ws('_', quarter, operator_code, technology) AS source_file")
 
 
 def line_vertices(supplier: DataFrame) -> DataFrame:
@@ -120,27 +118,43 @@ def fixture_mart(sites_df: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
 class Tables:
-    """All derived tables for one scale-factor directory (lazy DataFrames)."""
+    """Derived tables of one scale-factor directory, built on first use
+    (lazy DataFrames; nothing is read until a query runs)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _read(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return sites(self._read("events"))
+
+    @cached_property
+    def _supplier(self) -> DataFrame:
+        return self._read("supplier")
 
-    sites: DataFrame
-    coverage: DataFrame
-    line_vertices: DataFrame
-    stations: DataFrame
-    mart: DataFrame
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return coverage(self._read("part"))
+
+    @cached_property
+    def line_vertices(self) -> DataFrame:
+        return line_vertices(self._supplier)
+
+    @cached_property
+    def stations(self) -> DataFrame:
+        return stations(self._supplier)
+
+    @cached_property
+    def mart(self) -> DataFrame:
+        return fixture_mart(self.sites)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    s = sites(read_table(spark, sf_dir, "events"))
-    sup = read_table(spark, sf_dir, "supplier")
-    return Tables(
-        sites=s,
-        coverage=coverage(read_table(spark, sf_dir, "part")),
-        line_vertices=line_vertices(sup),
-        stations=stations(sup),
-        mart=fixture_mart(s),
-    )
+    return Tables(spark, sf_dir)
 
 
 # SQL twins of the derivations above, for the oracle database (DuckDB).
