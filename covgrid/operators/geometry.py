@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
-from covgrid.session import spread
+from covgrid.session import ship_package, spread
 
 
 # ------------------------------------------------------------------ lines
@@ -206,6 +206,7 @@ def simplify_geometries(geoms: DataFrame, tolerance: float, rings_col: str = "ri
     Arrow batches; geometries are independent, so Spark spreads them over
     all tasks and no shuffle regroups rings).  Collapsed rings (< 4 points)
     are dropped, and a collapsed shell takes its polygon part's holes."""
+    ship_package(geoms.sparkSession)
     return spread(geoms).mapInArrow(_simplify_geometry_batches(float(tolerance), rings_col), geoms.schema)
 
 

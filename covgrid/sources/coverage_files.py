@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covgrid import schema
-from covgrid.session import task_slots
+from covgrid.session import ship_package, task_slots
 from covgrid.sources.sinks import write_table
 
 CHUNK_ROWS = 16  # geometries per read task unit (a national polygon can hold 300k points)
@@ -159,6 +159,7 @@ def read_geopackages(files: DataFrame) -> DataFrame:
     files: path, quarter, operator_code, technology, source_file
     returns raw_coverage rows (id, quarter, operator_code, technology,
     usage, rings, source_file); id is a stable hash of (source_file, fid)."""
+    ship_package(files.sparkSession)
     chunks = files.select("path").mapInArrow(_chunk_files, "path string, lo long, hi long")
     n = task_slots(files.sparkSession)
     geoms = chunks.repartition(n).mapInArrow(

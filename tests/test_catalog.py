@@ -56,3 +56,21 @@ def test_entry(spark):
     assert df.columns == ["line_id", "operator", "operator_name", "total_length_km", "covered_length_km",
                           "coverage_pct"]
     assert df.count() > 0
+
+
+def test_entry_from_another_directory(tmp_path):
+    """Python workers must import the package even when the driver was
+    started elsewhere (the package is shipped with addPyFile)."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as e\n"
+            "print('ROWS', e.entry(spark).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
