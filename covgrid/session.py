@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 
@@ -39,16 +40,23 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Does this session run inside one JVM on one machine?"""
+    master = spark.conf.get("spark.master", None) or ""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we create a private one.
+    as is; without it this raises, because executors cannot see each other's
+    private folders.  Only a local session (tests) gets a private one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no SparkContext behind a Spark Connect session
+    except PySparkNotImplementedError:  # no SparkContext behind a Spark Connect session
         sc = None
     if sc is not None:
         current = sc.getCheckpointDir()
@@ -56,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current
         configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="covgrid-ckpt-", dir="/tmp")
     if sc is not None:
         sc.setCheckpointDir(configured)
@@ -63,16 +73,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new path under the shared checkpoint folder, removed by the JVM
+    when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/covgrid-{name}-{uuid.uuid4().hex}"
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
     and read it back.  The written table survives executor loss, is
     computed exactly once, and later reads prune columns.  Used where one
     expensive intermediate feeds several branches of a plan."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/covgrid-{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def task_slots(spark: SparkSession) -> int:
