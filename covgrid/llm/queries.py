@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covgrid.llm import chat_format, line_dedup, url_filter
+from covgrid.llm import chat_format, line_dedup, minhash_dedup, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,10 +90,16 @@ OP5_SQL = url_filter.oracle(r"""
       '^[^/?#]*([^?#]*)', 1), '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS doc FROM pages)
   LEFT JOIN (SELECT doc_id AS doc, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY 1) USING (doc)""", RULES)
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 ORACLE = {
