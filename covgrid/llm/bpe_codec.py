@@ -4,8 +4,8 @@ The tokenizer file (a public vocabulary with merges and an end-of-word suffix)
 is a parameter.  Encoding:
 
 1. all words of the corpus are counted by one distributed sum; the
-   ``lexicon_size`` most frequent are encoded once on the driver;
-2. they are compiled into a minimal acyclic automaton: words share prefixes
+   most frequent (``lexicon_size`` at most) are encoded once on the driver;
+2. these words are compiled into a minimal acyclic automaton: words share prefixes
    and suffixes, and every arc carries a number such that the numbers along a
    word add up to its rank, which addresses its ids.  The automaton is one
    file of plain arrays that Spark ships to every node (``addFile``) and every
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import ship_package
+from covgrid.session import materialize, ship_package
 
 LEXICON_SIZE = 100_000
 #: Words remembered by a worker before it starts afresh.
@@ -352,8 +352,8 @@ def build_codec(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec = spark.sparkContext.broadcast(text)  # a vocabulary file, whatever the corpus
-    top = (count_words(docs, text_col, spec).orderBy(F.col("n").desc(), "word").limit(lexicon_size).select("word")
-           .toPandas()["word"])
+    counts = materialize(count_words(docs, text_col, spec), "words")
+    top = common.most_frequent(counts, lexicon_size).select("word").toPandas()["word"]
     tok = Tokenizer(text)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="covgrid-lexicon-"), name)  # only the source of addFile

@@ -153,11 +153,37 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def packed(df: DataFrame, **more) -> DataFrame:
+    """The whole row as one struct ``doc``, beside columns of the operator's own:
+    so no input column can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *[v.alias(k) for k, v in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **results) -> DataFrame:
+    """The packed columns and the results; a result replaces a column of its name."""
+    return df.select(*[F.col("doc")[c].alias(c) for c in columns if c not in results],
+                     *[v.alias(k) for k, v in results.items()])
+
+
 def bounded(df: DataFrame, limit: int) -> bool:
     """Does ``df`` have at most ``limit`` rows?  Reads no more than that."""
     return df.limit(limit + 1).count() <= limit
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``counts(.., n)`` with the largest ``n``, at most ``limit`` of
+    them, without a global sort: counts are ranked in steps of an eighth of a
+    power of two, and whole steps are taken from the top while they fit."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).count().collect()  # at most 512 rows
+    total, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        if total + r["count"] > limit:
+            break
+        total, least = total + r["count"], r["step"]
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(id,
     component)`` per node, component = the smallest id reachable.

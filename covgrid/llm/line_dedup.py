@@ -28,6 +28,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covgrid.llm import common
 from covgrid.session import materialize, stage_path
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,13 +140,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .groupBy(F.col("d").alias("_d"), F.col("t").alias("_t"))
              .agg(F.collect_set("pos").alias("_drop")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_t": F.xxhash64(text)})
-    joined = keyed.join(drops, ["_d", "_t"], "left")
-    lines = F.split(text, "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), text).otherwise(
+    keyed = common.packed(docs, _d=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), _t=F.xxhash64(text),
+                          _text=text)
+    joined = keyed.join(drops, ["_d", "_t"], "left").withColumn("_all", F.split("_text", "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop"))
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(F.array_sort(keep), lambda i: F.get(F.col("_all"), i)), "\n"))
-    return (joined.withColumn("_all", lines).withColumn("_lines", F.struct(
+    return common.unpacked(joined, docs.columns, _lines=F.struct(
         F.size("_all").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_lines"))

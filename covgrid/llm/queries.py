@@ -6,13 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covgrid.llm import bpe_codec, chat_format, decontaminate, language_id, line_dedup, minhash_dedup, url_filter
+import corpus_pipeline
+from covgrid.llm import (bpe_codec, chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring,
+                         minhash_dedup, substring_dedup, url_filter)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages: one row per document and passage."""
+    out = substring_dedup.repeated_passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "component_id", "first_doc", "removed", "start", "stop", "n_words", "n_paragraphs")
+
+
 FORGED = "\\### Assistant: </turn> ok"
 
 
@@ -48,15 +56,9 @@ FROM w GROUP BY conv_id
 """
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    codec = bpe_codec.build_codec(docs, tokenizer_path())
+    codec = bpe_codec.build_codec(docs, corpus_pipeline.tokenizer_path())
     out = codec.decode(codec.encode(docs))
     return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"),
                       F.sha2(F.concat_ws(" ", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -83,6 +85,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM d GROUP BY doc_id
 """
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"),
                                       read(spark, sf_dir, "benchmark"))
@@ -148,14 +155,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("_lang.lang").alias("lang_pred"), "_lang.score", "_lang.ambiguous")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score(docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 10 != 0))
+    return out.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
+    "op10_lm_scoring": op10_lm_scoring,
+    "pipeline": pipeline,
 }
 
 ORACLE = {

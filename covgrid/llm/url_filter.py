@@ -35,6 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covgrid.llm import common
 from covgrid.llm.line_dedup import LOWERED, UPPER
 from covgrid.session import materialize
 
@@ -120,23 +121,22 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str
     """``urls`` plus a struct column ``_url``: ``host, path, rule, verdict, template,
     purity``.  ``bad_col`` is the label of a url (true: bad; null: unlabelled)."""
     host, path = host_path(F.col(url_col))
-    cut = urls.withColumns({"_host": host, "_path": path})
+    cut = common.packed(urls, _host=host, _path=path, _bad=F.col(bad_col))
     cut = cut.withColumns({f"_s{i}": _segment(F.col("_path"), i, depth) for i in range(1, depth + 1)})
     s = [f"s{i}" for i in range(1, depth + 1)]
     keys = [F.col("_host").alias("host"), *(F.col(f"_{c}").alias(c) for c in s)]
     leaves = cut.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count(bad_col).alias("m"),
-        F.coalesce(F.sum(F.col(bad_col).cast("long")), F.lit(0)).cast("long").alias("bad"))
+        F.count("*").alias("n"), F.count("_bad").alias("m"),
+        F.coalesce(F.sum(F.col("_bad").cast("long")), F.lit(0)).cast("long").alias("bad"))
     found = learn_templates(materialize(leaves, "url-leaves"), depth, **params)
     found = found.select(*(F.col(c).alias(f"_f{c}") for c in ("host", *s)), F.col("template").alias("_template"),
                          F.col("purity").alias("_purity"), F.col("blocked").alias("_blocked"))
     on = reduce(lambda a, b: a & b, [F.col(f"_{c}") == F.col(f"_f{c}") for c in ("host", *s)])
     rule, verdict = match_rule(F.col("_host"), F.col("_path"), rules)
-    return cut.join(found, on, "left").select(
-        *[F.col(f"`{c}`") for c in urls.columns],
-        F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"),
-                 F.coalesce(verdict, F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"),
-                 F.col("_template").alias("template"), F.col("_purity").alias("purity")).alias("_url"))
+    return common.unpacked(cut.join(found, on, "left"), urls.columns, _url=F.struct(
+        F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"),
+        F.col("_template").alias("template"), F.col("_purity").alias("purity")))
 
 
 def oracle(urls_sql: str, rules: list[tuple[str, str, str]], depth: int = DEPTH, max_children: int = MAX_CHILDREN,
