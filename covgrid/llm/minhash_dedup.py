@@ -144,23 +144,29 @@ def signatures(docs: DataFrame, k: int, hashes: int, bands: int, rows: int) -> D
     return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def long_signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
-    """``id, sig`` of ``docs(id, text)`` with ``hashes`` positions; it begins with
-    the shorter signature."""
+def long_signatures(docs: DataFrame, k: int, hashes: int, bands: int, rows: int) -> DataFrame:
+    """``id, sig, keys`` of ``docs(id, text)``: a signature of ``hashes`` positions,
+    which begins with the shorter one, and the band keys."""
     a, b = _seeds(hashes)
 
     def run(batches):
         for batch in batches:
             ids, at, out = batch.column(0), 0, []
+
+            def flush(start, out):
+                return pa.RecordBatch.from_arrays([ids.slice(start, len(out)), pa.array([o[0] for o in out], pa.binary()),
+                                                   pa.array([o[1] for o in out], pa.binary())], ["id", "sig", "keys"])
+
             for s in shingle_sets(batch.column(1), k):
-                out.append(minhash(s, a, b).astype(np.uint8).tobytes())
+                v = minhash(s, a, b)
+                out.append((v.astype(np.uint8).tobytes(), band_keys(v, bands, rows).tobytes()))
                 if len(out) == 2000:
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array(out, pa.binary())], ["id", "sig"])
+                    yield flush(at, out)
                     at, out = at + len(out), []
             if out:
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array(out, pa.binary())], ["id", "sig"])
+                yield flush(at, out)
 
-    return docs.mapInArrow(run, "id long, sig binary")
+    return docs.mapInArrow(run, "id long, sig binary, keys binary")
 
 
 def key_groups(batches, keys: int):
@@ -227,8 +233,9 @@ def forest(sig: np.ndarray, steps) -> list[tuple[int, int]]:
     return edges
 
 
-def crossing(sig: np.ndarray, label: np.ndarray, steps) -> list[tuple[int, int]]:
-    """Surviving pairs between different labels."""
+def crossing(sig: np.ndarray, keys: np.ndarray, label: np.ndarray, key: np.uint64, steps) -> list[tuple[int, int]]:
+    """Surviving pairs between different labels, each in the first bucket only that
+    both members share."""
     order = np.argsort(label, kind="stable")
     out = []
     for i, cur in enumerate(order):
@@ -236,6 +243,8 @@ def crossing(sig: np.ndarray, label: np.ndarray, steps) -> list[tuple[int, int]]
         rest = rest[label[rest] != label[cur]]
         if len(rest):
             rows, _ = survivors(sig, sig[cur], rest, steps)
+            same = keys[rows] == keys[cur]
+            rows = rows[keys[cur][same.argmax(axis=1)] == key]
             out += [(int(cur), int(r)) for r in rows]
     return out
 
@@ -310,10 +319,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(rows_of.join(sizes.select("key"), "key", "left_semi").distinct(), "members")
     grouped = (dealt(members, sizes, block).join(reps.select("id", "sig"), "id").select("key", "part", "id", "sig"))
 
-    def matrix(group):
-        ids = np.asarray(group.column("id"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        return ids, sig
+    def matrix(group, column, kind):
+        return np.frombuffer(b"".join(group.column(column).to_pylist()), kind).reshape(group.num_rows, -1)
 
     def edges_of(ids, pairs):
         p = np.array(pairs, np.int64).reshape(-1, 2)
@@ -323,13 +330,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def forests(batches):
         for group in key_groups(batches, 2):
-            ids, sig = matrix(group)
-            yield edges_of(ids, forest(sig, steps))
+            yield edges_of(np.asarray(group.column("id")), forest(matrix(group, "sig", np.uint8), steps))
 
     def crossings(batches):
         for group in key_groups(batches, 2):
-            ids, sig = matrix(group)
-            yield edges_of(ids, crossing(sig, np.asarray(group.column("label")), finer_steps))
+            pairs = crossing(matrix(group, "sig", np.uint8), matrix(group, "keys", np.uint64),
+                             np.asarray(group.column("label")), np.int64(group.column("key")[0].as_py()).view(np.uint64),
+                             finer_steps)
+            yield edges_of(np.asarray(group.column("id")), pairs)
 
     def in_groups(df, *order):
         return df.repartition("key", "part").sortWithinPartitions("key", "part", *order)
@@ -345,11 +353,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where("lo < hi").select("key", "size"))
     mixed = materialize(mixed, "mixed")
     open_ids = named.join(mixed.select("key"), "key", "left_semi").select("id").distinct()
-    finer = materialize(long_signatures(docs.join(open_ids, "id", "left_semi").select("id", "text"), k, more_hashes),
-                        "signatures")
+    finer = materialize(long_signatures(docs.join(open_ids, "id", "left_semi").select("id", "text"), k, more_hashes,
+                                        bands, rows), "signatures")
     finer_steps = least_matches(t, more_hashes, BATCH, miss)
     open_rows = (dealt(named, mixed, block).join(finer, "id")
-                 .select("key", "part", "id", "sig", "label"))
+                 .select("key", "part", "id", "sig", "keys", "label"))
     more = (in_groups(open_rows, "id").mapInArrow(crossings, "a long, b long").distinct()
             .join(tested, ["a", "b"], "left_anti"))
     more = materialize(more, "pairs")
