@@ -48,7 +48,7 @@ MIN_WORDS = 50
 #: Unmatched paragraphs that do not end a passage.
 GAP = 2
 #: Paragraphs alone may show a passage up to this many words shorter at each end.
-CONTEXT = 32
+CONTEXT = 24
 RECALL = 0.99
 #: Tables of at most this many rows (of three numbers) are broadcast.
 BROADCAST_ROWS = 1 << 19
@@ -117,7 +117,7 @@ def _block_paragraphs(data, bounds, rows: int, k: int, bands: int, band_rows: in
                     m = np.minimum.reduceat(common.mix(shingles * seeds[band * band_rows + j]), pairs)[::2]
                     v = v * np.uint64(0x9E3779B97F4A7C15) + m
                 keys[:, band] = common.mix(v)
-        out |= {"keys": keys, "shingles": [shingles[x:y] for x, y in zip(a, b)]}
+        out |= {"keys": keys, "shingles": shingles, "span": (a, b)}
     return out
 
 
@@ -146,10 +146,11 @@ class Paragraphs:
             for batch in batches:
                 for i, j, data, bounds in common.text_blocks(batch.column(1)):
                     p = _block_paragraphs(data, bounds, j - i, k, bands, rows, seeds, reach, longest, least)
-                    if p is not None:
-                        yield emit(batch.column(0).slice(i, j - i), data, bounds, p)
+                    if p is not None:  # further columns go to emit() as they are
+                        yield emit(batch.column(0).slice(i, j - i), data, bounds, p,
+                                   *[c.slice(i, j - i) for c in batch.columns[2:]])
 
-        return (docs or self.docs).select("doc_id", "text").mapInArrow(run, schema)
+        return (docs or self.docs).mapInArrow(run, schema)
 
     def spans(self) -> DataFrame:
         """``doc_id, t, no, start, stop, n_words, content``: paragraphs with their place
@@ -169,25 +170,29 @@ class Paragraphs:
         return self._pass(emit, "doc_id long, t long, no int, start long, stop long, n_words int, content long", False)
 
     def contexts(self, wanted: DataFrame) -> DataFrame:
-        """``doc_id, t, no, content, before, after`` of the documents ``wanted(doc_id)``:
-        32-bit hashes of up to CONTEXT words before (nearest first) and after."""
-        def emit(ids, data, bounds, p):
+        """``doc_id, t, no, content, before, after`` of the paragraphs ``wanted(doc_id,
+        contents)``: 32-bit hashes of up to CONTEXT words before (nearest first) and after."""
+        def emit(ids, data, bounds, p, asked):
             h = (p["h"] >> np.uint64(32)).astype(np.uint32)
             cut = np.searchsorted(p["words"], np.arange(len(bounds)))
             text = np.array([hash_bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
             begin = np.concatenate([[True], p["row"][1:] != p["row"][:-1]])
             no = np.arange(len(begin)) - np.maximum.accumulate(np.where(begin, np.arange(len(begin)), 0))
-            lo, hi = cut[p["row"]], cut[p["row"] + 1]
-            first, stop = p["first"], p["first"] + p["n"]
+            off, flat = np.asarray(asked.offsets), np.asarray(asked.values)
+            content, start = common.signed(p["content"]), row_starts(p["row"], len(ids))
+            at = np.concatenate([np.flatnonzero(np.isin(content[a:b], flat[x:y])) + a for a, b, x, y in
+                                 zip(start, start[1:], off, off[1:])])
+            row = p["row"][at]
+            lo, hi, first = cut[row], cut[row + 1], p["first"][at]
+            stop = first + p["n"][at]
             return pa.RecordBatch.from_arrays([
-                ids.take(pa.array(p["row"])), pa.array(text[p["row"]]), pa.array(no.astype(np.int32)),
-                pa.array(common.signed(p["content"])),
+                ids.take(pa.array(row)), pa.array(text[row]), pa.array(no[at].astype(np.int32)), pa.array(content[at]),
                 pa.array([h[max(a, f - CONTEXT): f][::-1].tobytes() for a, f in zip(lo, first)], pa.binary()),
                 pa.array([h[e: min(b, e + CONTEXT)].tobytes() for b, e in zip(hi, stop)], pa.binary())],
                 names=["doc_id", "t", "no", "content", "before", "after"])
 
         return self._pass(emit, "doc_id long, t long, no int, content long, before binary, after binary", False,
-                          self.docs.join(hinted(wanted), "doc_id", "left_semi"))
+                          self.docs.join(hinted(wanted), "doc_id").select("doc_id", "text", "contents"))
 
     def holders(self) -> DataFrame:
         """``doc_id, content``, each once per block."""
@@ -201,15 +206,23 @@ class Paragraphs:
         """``key, content`` (and ``shingles``), contents once per block."""
         def emit(ids, data, bounds, p):
             content, at = np.unique(p["content"][p["some"]], return_index=True)
-            b = p["keys"].shape[1]
-            arrays = [common.list_array([common.signed(x) for x in p["keys"][at]], pa.int64()), pa.array(common.signed(content))]
-            if sets:
-                arrays.append(common.list_array([common.signed(np.unique(p["shingles"][i])) for i in at], pa.int64()))
+            keys = np.ascontiguousarray(p["keys"][at])
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]),
+                                               pa.array(common.signed(keys.ravel()))), pa.array(common.signed(content))]
+            if sets:  # the shingles of each paragraph, one after the other
+                lo, n = p["span"][0][at], (p["span"][1] - p["span"][0])[at]
+                off = np.concatenate([[0], np.cumsum(n)])
+                flat = p["shingles"][np.arange(off[-1]) + np.repeat(lo - off[:-1], n)]
+                arrays.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(common.signed(flat))))
             return pa.RecordBatch.from_arrays(arrays, ["keys", "content", "shingles"][: 2 + sets])
 
         return self._pass(emit, "keys array<long>, content long" + ", shingles array<long>" * sets, True)
 
 
+def row_starts(row: np.ndarray, rows: int) -> np.ndarray:
+    return np.searchsorted(row, np.arange(rows + 1))
+
+
 def hash_bytes(data: np.ndarray) -> int:
     import hashlib
 
@@ -235,7 +248,7 @@ def near_contents(p: Paragraphs, similarity: float) -> DataFrame:
         sets = p.keys(sets=True).select("content", "shingles").join(met.select("content").distinct(), "content", "left_semi")
         met = met.join(sets.dropDuplicates(["content"]), "content")
     met = materialize(met.dropDuplicates(["content", "lo", "hi"]), "near-rows")
-    sets = met.select("content", "shingles").dropDuplicates(["content"])
+    sets = met.select("content", F.array_distinct("shingles").alias("shingles")).dropDuplicates(["content"])
     pairs = (met.select(F.col("content").alias("a"), F.col("lo").alias("b"))
              .union(met.select("content", "hi")).where("a <> b")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -294,11 +307,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     short = passages.where(F.col("covered") < min_words)
     ends = (short.select("passage", "doc_id", "t", F.lit("before").alias("side"), "first.*")
             .union(short.select("passage", "doc_id", "t", F.lit("after"), "last.*")).where("other <> doc_id"))
-    around = materialize(p.contexts(ends.select("doc_id").union(ends.select("other")).distinct()), "contexts")
-    here = around.select("doc_id", "t", "no", F.col("before").alias("b1"), F.col("after").alias("a1"))
+    wanted = (ends.select("doc_id", "content").union(ends.select("other", "content"))
+              .groupBy("doc_id").agg(F.collect_set("content").alias("contents")))
+    around = materialize(p.contexts(materialize(wanted, "wanted")), "contexts")
+    here = (around.select("doc_id", "t", "no", F.col("before").alias("b1"), F.col("after").alias("a1"))
+            .dropDuplicates(["doc_id", "t", "no"]))
     there = (around.groupBy(F.col("doc_id").alias("other"), "content")
              .agg(F.min(F.struct("no", "before", "after")).alias("w")))
-    compared = ends.join(here.distinct(), ["doc_id", "t", "no"]).join(there, ["other", "content"])
+    compared = ends.join(here, ["doc_id", "t", "no"]).join(there, ["other", "content"])
     before = F.col("side") == "before"
     more = (compared.select("passage", F.when(before, F.col("b1")).otherwise(F.col("a1")).alias("x"),
                             F.when(before, F.col("w.before")).otherwise(F.col("w.after")).alias("y"))
