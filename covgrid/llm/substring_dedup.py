@@ -12,9 +12,9 @@ paragraphs are equal in every copy.
    ``tune_bands`` picks the fewest hashes that collide a pair at the threshold
    with the wanted recall.  A paragraph with too few shingles to reach the
    threshold other than by equality needs no band.
-3. Contents that share a band key are joined with the smallest and the largest
-   content of the key (linear in the bucket), verified by exact Jaccard
-   similarity of their shingle sets, and clustered by connected components.
+3. Rows are sorted by band key; every content is paired with the first and the
+   previous one of its key (linear in the bucket), verified by exact Jaccard
+   similarity of the shingle sets, and clustered by connected components.
 4. A component held by two documents is repeated; the smallest document id
    keeps it.  Consecutive repeated paragraphs of a document form a passage (a
    gap of up to ``gap`` paragraphs, an edit, does not end it).
@@ -23,7 +23,8 @@ paragraphs are equal in every copy.
    compared with those around the same paragraph in another document that holds
    it.  Passages of at least ``min_words`` words are returned.
 
-Counts are pre-aggregated before every shuffle.  Small tables (their row counts
+Counts are pre-aggregated before every shuffle; a very common paragraph is one
+row per block of text before its key is dealt.  Small tables (their row counts
 are checked) are broadcast; larger ones are plain equi-joins.
 
 Defined cases: a null or empty text has no paragraphs; rows that share a
@@ -50,8 +51,8 @@ GAP = 2
 #: Paragraphs alone may show a passage up to this many words shorter at each end.
 CONTEXT = 24
 RECALL = 0.99
-#: Tables of at most this many rows (of three numbers) are broadcast.
-BROADCAST_ROWS = 1 << 19
+#: Tables of at most this many rows (of few numbers) are broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def tune_bands(similarity: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -234,24 +235,33 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if common.bounded(df, limit) else df
 
 
+def _neighbours(batches):
+    """Pairs of contents that share a key, from rows sorted by key and content: each
+    with the first and the previous one of its key.  Linear, nothing is held."""
+    last_key = head = before = None
+    for batch in batches:
+        key, content = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(key):
+            continue
+        begin = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
+        first = np.where(at >= 0, content[at], content[0] if head is None else head)
+        previous = np.concatenate([[content[0] if before is None else before], content[:-1]])
+        star, chain = first != content, ~begin & (previous != content) & (previous != first)
+        last_key, head, before = key[-1], first[-1], content[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([first[star], previous[chain]])),
+                                          pa.array(np.concatenate([content[star], content[chain]]))], ["a", "b"])
+
+
 def near_contents(p: Paragraphs, similarity: float) -> DataFrame:
     """``id, component`` of the contents that are near-duplicates of another one."""
-    shared = (p.keys().select(F.explode("keys").alias("key"), "content").groupBy("key")
-              .agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi"))
-    shared = materialize(shared, "band-keys")
-    if common.bounded(shared, BROADCAST_ROWS):
-        rows = p.keys(sets=True).select(F.explode("keys").alias("key"), "content", "shingles")
-        met = rows.join(F.broadcast(shared), "key").select("content", "shingles", "lo", "hi")
-    else:  # first which contents, then their shingles: the sets of all others never move
-        met = p.keys().select(F.explode("keys").alias("key"), "content").join(shared, "key")
-        met = materialize(met.select("content", "lo", "hi").distinct(), "met")
-        sets = p.keys(sets=True).select("content", "shingles").join(met.select("content").distinct(), "content", "left_semi")
-        met = met.join(sets.dropDuplicates(["content"]), "content")
-    met = materialize(met.dropDuplicates(["content", "lo", "hi"]), "near-rows")
-    sets = met.select("content", F.array_distinct("shingles").alias("shingles")).dropDuplicates(["content"])
-    pairs = (met.select(F.col("content").alias("a"), F.col("lo").alias("b"))
-             .union(met.select("content", "hi")).where("a <> b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows = p.keys().select(F.explode("keys").alias("key"), "content")
+    pairs = materialize(rows.repartition("key").sortWithinPartitions("key", "content")
+                        .mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), "wanted")
+    met = p.keys(sets=True).select("content", "shingles").join(hinted(wanted), "content", "left_semi")
+    met = materialize(met.dropDuplicates(["content"]), "near-sets")
+    sets = met.select("content", F.array_distinct("shingles").alias("shingles"))
     joined = (pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
               .join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -289,7 +299,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = (held.groupBy("component_id").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last"))
                 .where("first_doc < last").drop("last"))
     repeated = materialize(held.join(repeated, "component_id"), "repeated")
-    found = (p.spans().join(hinted(repeated), "content")
+    found = (p.spans().join(repeated, "content")
              .withColumn("removed", F.col("first_doc") < F.col("doc_id")))
     run = Window.partitionBy("doc_id", "t", "removed").orderBy("no")
     step = F.when(F.col("no") - F.lag("no").over(run) <= gap + 1, 0).otherwise(1)
