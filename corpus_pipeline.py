@@ -63,9 +63,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids, decoded``."""
     codec = bpe_codec.build_codec(docs, tokenizer_path())
-    out = codec.decode(codec.encode(docs.select("doc_id", "lang", "source", "text")))
-    return out.select("doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_tokens"),
-                      F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))
+    out = codec.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", F.size("_bpe.ids").cast("long").alias("n_tokens"),
+                      "_bpe.ids", "_bpe.decoded")
 
 
 STAGES = [

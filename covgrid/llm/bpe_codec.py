@@ -10,10 +10,10 @@ is a parameter.  Encoding:
    word add up to its rank, which addresses its ids.  The automaton is one
    file of plain arrays that Spark ships to every node (``addFile``) and every
    Python worker memory-maps, so the workers of a node share its pages;
-3. each task cuts its texts into words, looks the distinct new words of a
-   block up in the automaton (all words at once, one byte position at a time),
-   and merges words that are not in it by the exact merge rules.  The lexicon
-   decides speed, never results.
+3. each task cuts a block of texts into words by array operations over its code
+   points, looks the distinct new words up in the automaton (all words at once,
+   one byte position at a time), and merges words that are not in it by the
+   exact merge rules.  The lexicon decides speed, never results.
 
 Text is treated as the tokenizer file says: special tokens are cut out of the
 raw text, the rest is normalised to NFC and lower case, white space is dropped,
@@ -37,7 +37,6 @@ import os
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -55,9 +54,12 @@ LEXICON_SIZE = 100_000
 #: Words remembered by a worker before it starts afresh.
 REMEMBERED = 200_000
 LONG_WORD = 64
-#: Fixed by the tokenizer file: how a text is cut into words.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts are cut into words in pieces of about this many code points, at white space.
+PIECE = 1 << 20
+#: Fixed by the tokenizer file: contractions that are words, by their letters.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SUFFIX = "</w>"
+SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
 def byte_symbols() -> list[str]:
@@ -83,21 +85,14 @@ class Tokenizer:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + SUFFIX] for s in symbols]
-        self.word = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
                                  if self.special else r"(?!)()")
 
-    def words(self, text: str) -> list:
-        """Words of a text; a special token is its id."""
+    def parts(self, text: str) -> list:
+        """Normalised runs of a text, and the ids of its special tokens between them."""
         if not any(s in text for s in self.special):
-            return self.word.findall(normalise(text))
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            if k % 2:
-                out.append(self.special[part])
-            else:
-                out += self.word.findall(normalise(part))
-        return out
+            return [normalise(text)]
+        return [self.special[part] if k % 2 else normalise(part) for k, part in enumerate(self.cut.split(text))]
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The merge rules on one word: the pair of lowest rank first, leftmost first."""
@@ -151,6 +146,74 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()  # lower case is per character: no final sigma
 
 
+def class_table() -> np.ndarray:
+    """White space, letter, digit or other, of every code point."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            table[ord(every[m.start()]): ord(every[m.end() - 1]) + 1] = kind
+    return table
+
+
+def cut_words(text: str, begins: np.ndarray, classes: np.ndarray):
+    """64-bit hash, start and end of every word of ``text``, several runs one after
+    the other that begin at ``begins``: letters, one digit, other marks, or an
+    English contraction where its apostrophe begins a word."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(cp)
+    kind = classes[cp]
+    edge = np.zeros(n + 1, bool)
+    edge[begins] = True
+    edge = edge[:n]
+    start = edge | (kind == DIGIT)
+    start[1:] |= kind[1:] != kind[:-1]
+    start &= kind != SPACE
+    mark = np.flatnonzero(start & (cp == 39))
+    if len(mark):
+        run = np.append(np.cumsum(edge), -1)  # the run of each code point
+        far = np.append(cp, [0, 0, 0])
+        for letters in CONTRACTIONS:
+            k = len(letters)
+            hit = mark[(mark + k < n)]
+            for j, c in enumerate(letters, 1):
+                hit = hit[far[hit + j] == ord(c)]
+            hit = hit[run[hit + k] == run[hit]]
+            start[hit + 1] = False
+            after = hit + k + 1
+            after = after[after < n]
+            start[after[kind[after] == LETTER]] = True
+    stop = np.flatnonzero(start | (kind == SPACE))
+    at = np.flatnonzero(start[stop])
+    starts, ends = stop[at], np.append(stop, n)[at + 1]
+    up, down = common._powers(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+    h = (prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return common.mix(h), starts, ends
+
+
+def pieces(runs: Iterator[tuple[int, str]]):
+    """Groups of (owner, run) of bounded size; a long run is cut at white space."""
+    held, size = [], 0
+    for owner, run in runs:
+        at = 0
+        while at < len(run):
+            stop = len(run)
+            if stop - at > 2 * PIECE and (m := _BLANK.search(run, at + PIECE)):
+                stop = m.end()
+            held.append((owner, run[at:stop]))
+            size, at = size + stop - at, stop
+            if size > PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+_BLANK = regex.compile(r"\s")
+
+
 def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> dict[str, np.ndarray]:
     """Arrays of the minimal acyclic transducer of ``entries``.
 
@@ -256,17 +319,27 @@ def count_words(docs: DataFrame, text_col: str, spec) -> DataFrame:
     """``word, n`` over all texts; ``spec`` is the broadcast tokenizer file."""
 
     def run(batches):
-        tok, counts = tokenizer_of(spec), Counter()
+        (tok, classes), counts, words = tokenizer_of(spec), {}, {}
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                               ["word", "n"])
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([words[h] for h in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
+            words.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(w for w in tok.words(text.as_py() or "") if isinstance(w, str))
+            runs = ((0, part) for t in batch.column(0) for part in tok.parts(t.as_py() or "") if isinstance(part, str))
+            for piece in pieces(runs):
+                text = "".join(r for _, r in piece)
+                begins = np.cumsum([0, *(len(r) for _, r in piece)])
+                h, starts, ends = cut_words(text, begins, classes)
+                h, at, n = np.unique(h, return_index=True, return_counts=True)
+                for k, c, a, b in zip(h.tolist(), n.tolist(), starts[at].tolist(), ends[at].tolist()):
+                    if k in counts:
+                        counts[k] += c
+                    else:
+                        counts[k], words[k] = c, text[a:b]
                 if len(counts) > REMEMBERED:
                     yield flush()
         yield flush()
@@ -277,12 +350,105 @@ def count_words(docs: DataFrame, text_col: str, spec) -> DataFrame:
 _KEPT: dict = {}
 
 
-def tokenizer_of(spec) -> Tokenizer:
-    """The worker's tokenizer of a broadcast file."""
+def tokenizer_of(spec) -> tuple[Tokenizer, np.ndarray]:
+    """The worker's tokenizer of a broadcast file, and the classes of code points."""
     if _KEPT.get("spec") != spec.value:
         _KEPT.clear()
-        _KEPT.update(spec=spec.value, tokenizer=Tokenizer(spec.value))
-    return _KEPT["tokenizer"]
+        _KEPT.update(spec=spec.value, tokenizer=Tokenizer(spec.value), classes=class_table())
+    return _KEPT["tokenizer"], _KEPT["classes"]
+
+
+def words_of(spec, lexicon_file: str):
+    """The worker's tokenizer, words met so far, classes and token strings."""
+    tok, classes = tokenizer_of(spec)
+    if _KEPT.get("lexicon") != lexicon_file:
+        tokens = np.empty(max(tok.tokens) + 1, object)
+        for i, t in tok.tokens.items():
+            tokens[i] = t
+        _KEPT.update(lexicon=lexicon_file, words=Words(Lexicon(SparkFiles.get(lexicon_file)), tok), tokens=tokens)
+    return tok, _KEPT["words"], classes, _KEPT["tokens"]
+
+
+class Words:
+    """The ids of the words a worker has met, by hash."""
+
+    def __init__(self, lexicon: Lexicon, tok: Tokenizer):
+        self.lexicon, self.tok = lexicon, tok
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def positions(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        """Place of each distinct word among ``off``; new words are added."""
+        if len(self.index) > REMEMBERED:
+            self.clear()
+        get = self.index.get
+        at = np.array([get(k, -1) for k in h.tolist()], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            found = self.lexicon.look_up([w.encode() for w in words])
+            found = [self.tok.encode_word(w) if ids is None else ids for w, ids in zip(words, found)]
+            at[new] = np.arange(len(new)) + len(self.off) - 1
+            self.index.update(zip(h[new].tolist(), at[new].tolist()))
+            more = np.cumsum([len(x) for x in found]) + self.off[-1]
+            self.off = np.concatenate([self.off, more])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+        return at
+
+
+def encode_texts(texts: pa.Array, tok: Tokenizer, words: Words, classes: np.ndarray) -> pa.ListArray:
+    """Ids of each text."""
+    rows, flat, special = [], [], []  # owner of each id, the id; texts with special tokens
+
+    def runs():
+        for i, t in enumerate(texts):
+            parts = tok.parts(t.as_py() or "")
+            if len(parts) == 1:
+                yield i, parts[0]
+            else:
+                special.append((i, parts))
+
+    def encoded(piece):
+        text = "".join(r for _, r in piece)
+        begins = np.cumsum([0, *(len(r) for _, r in piece)])
+        h, starts, ends = cut_words(text, begins, classes)
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = words.positions(u, starts[first], ends[first], text)[back]
+        lo, n = words.off[at], words.off[at + 1] - words.off[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        owner = np.array([i for i, _ in piece])[np.searchsorted(begins, starts, "right") - 1]
+        return np.repeat(owner, n), words.ids[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)]
+
+    for piece in pieces(runs()):
+        owner, ids = encoded(piece)
+        rows.append(owner)
+        flat.append(ids)
+    for i, parts in special:
+        for part in parts:
+            if isinstance(part, int):
+                rows.append(np.array([i]))
+                flat.append(np.array([part], np.int32))
+            else:
+                for piece in pieces([(i, part)]):
+                    owner, ids = encoded(piece)
+                    rows.append(owner)
+                    flat.append(ids)
+    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    if special:
+        order = np.argsort(rows, kind="stable")
+        rows, flat = rows[order], flat[order]
+    off = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))
+
+
+def decode_ids(ids: pa.ListArray, tokens: np.ndarray) -> pa.Array:
+    """The tokens' strings, joined by a blank."""
+    off, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    return pa.array([" ".join(tokens[flat[a:b]].tolist()) for a, b in zip(off, off[1:])], pa.string())
 
 
 class Codec:
@@ -297,52 +463,37 @@ class Codec:
 
         @F.arrow_udf("array<int>")
         def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tok = tokenizer_of(spec)
-            if _KEPT.get("lexicon") != name:
-                _KEPT.update(lexicon=name, automaton=Lexicon(SparkFiles.get(name)), seen={})
-            seen, lexicon = _KEPT["seen"], _KEPT["automaton"]
-
-            def encoded(texts):
-                cut = [tok.words(t) for t in texts]
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                new = list({w for words in cut for w in words if w not in seen})
-                for i in [w for w in new if isinstance(w, int)]:
-                    seen[i] = (i,)
-                new = [w for w in new if isinstance(w, str)]
-                for w, ids in zip(new, lexicon.look_up([w.encode() for w in new]) if new else []):
-                    seen[w] = tok.encode_word(w) if ids is None else ids
-                get = seen.__getitem__
-                return common.list_array(
-                    [np.fromiter(chain.from_iterable(map(get, words)), np.int32) for words in cut], pa.int32())
-
+            tok, words, classes, _ = words_of(spec, name)
             for texts in column:
-                parts, held, size = [], [], 0
-                for text in texts:
-                    held.append(text.as_py() or "")
-                    size += len(held[-1])
-                    if size > common.BLOCK_BYTES:
-                        parts.append(encoded(held))
-                        held, size = [], 0
-                parts.append(encoded(held))
-                yield pa.concat_arrays(parts)
+                yield encode_texts(texts, tok, words, classes)
 
         return docs.withColumn("_ids", run(F.col(text_col)))
 
     def decode(self, docs: DataFrame, ids_col: str = "_ids") -> DataFrame:
         """``docs`` plus ``_decoded string``."""
-        spec = self.spec
+        spec, name = self.spec, self.lexicon_file
 
         @F.arrow_udf("string")
         def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            get = tokenizer_of(spec).tokens.__getitem__
+            tokens = words_of(spec, name)[3]
             for ids in column:
-                off, flat = np.asarray(ids.offsets), ids.values
-                yield pa.array([" ".join(map(get, flat.slice(a, b - a).to_pylist())) for a, b in zip(off, off[1:])],
-                               pa.string())
+                yield decode_ids(ids, tokens)
 
         return docs.withColumn("_decoded", run(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
+    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``docs`` plus ``_bpe struct<ids, decoded>`` in one pass: one Python worker a task."""
+        spec, name = self.spec, self.lexicon_file
+
+        @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+        def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tok, words, classes, tokens = words_of(spec, name)
+            for texts in column:
+                ids = encode_texts(texts, tok, words, classes)
+                yield pa.StructArray.from_arrays([ids, decode_ids(ids, tokens)], ["ids", "decoded"])
+
+        return docs.withColumn("_bpe", run(F.col(text_col)))
+
 
 def build_codec(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 lexicon_size: int = LEXICON_SIZE) -> Codec:

@@ -188,6 +188,13 @@ def normalised(params) -> np.ndarray:
 _KEPT: dict = {}
 
 
+def table_of(params) -> np.ndarray:
+    """The worker's table of log-probabilities of a broadcast model."""
+    if _KEPT.get("model") is not params:
+        _KEPT.update(model=params, table=normalised(params))
+    return _KEPT["table"]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train",
           outputs: int = OUTPUTS, head: int = HEAD, dim: int = DIM, noise: int = NOISE, steps: int = STEPS) -> DataFrame:
     """One row per row of ``docs``: ``id, learned, n_tokens, n_known, train_tokens,
@@ -217,9 +224,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
     def run(batches):
         voc = sent.value
-        if _KEPT.get("model") is not model.value[0]:
-            _KEPT.update(model=model.value[0], table=normalised(model.value[0]))
-        table, bucket_mass = _KEPT["table"], model.value[1]
+        table, bucket_mass = table_of(model.value[0]), model.value[1]
         count_log = np.log10(voc.n + SMOOTH)
         for batch in batches:
             for i, j, data, bounds in common.text_blocks(batch.column(1)):

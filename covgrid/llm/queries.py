@@ -59,10 +59,10 @@ FROM w GROUP BY conv_id
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe_codec.build_codec(docs, corpus_pipeline.tokenizer_path())
-    out = codec.decode(codec.encode(docs))
-    return out.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"),
-                      F.sha2(F.concat_ws(" ", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
-                      F.sha2("_decoded", 256).alias("decoded_sha256"))
+    out = codec.round_trip(docs)
+    return out.select("doc_id", F.size("_bpe.ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(" ", F.col("_bpe.ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2("_bpe.decoded", 256).alias("decoded_sha256"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
