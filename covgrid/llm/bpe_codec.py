@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 LEXICON_SIZE = 100_000
 #: Words remembered by a worker before it starts afresh.
@@ -401,7 +401,8 @@ class Words:
 
 def encode_texts(texts: pa.Array, tok: Tokenizer, words: Words, classes: np.ndarray) -> pa.ListArray:
     """Ids of each text."""
-    rows, flat, special = [], [], []  # owner of each id, the id; texts with special tokens
+    flat, special = [], {}  # ids in row order; texts with special tokens, by row
+    n_ids = np.zeros(len(texts), np.int64)
 
     def runs():
         for i, t in enumerate(texts):
@@ -409,9 +410,10 @@ def encode_texts(texts: pa.Array, tok: Tokenizer, words: Words, classes: np.ndar
             if len(parts) == 1:
                 yield i, parts[0]
             else:
-                special.append((i, parts))
+                special[i] = parts
 
     def encoded(piece):
+        """Ids of a piece, and how many belong to each of its runs."""
         text = "".join(r for _, r in piece)
         begins = np.cumsum([0, *(len(r) for _, r in piece)])
         h, starts, ends = cut_words(text, begins, classes)
@@ -419,30 +421,23 @@ def encode_texts(texts: pa.Array, tok: Tokenizer, words: Words, classes: np.ndar
         at = words.positions(u, starts[first], ends[first], text)[back]
         lo, n = words.off[at], words.off[at + 1] - words.off[at]
         total = np.concatenate([[0], np.cumsum(n)])
-        owner = np.array([i for i, _ in piece])[np.searchsorted(begins, starts, "right") - 1]
-        return np.repeat(owner, n), words.ids[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)]
+        ids = words.ids[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)]
+        return ids, np.diff(total[np.searchsorted(starts, begins)])
 
     for piece in pieces(runs()):
-        owner, ids = encoded(piece)
-        rows.append(owner)
+        ids, n = encoded(piece)
         flat.append(ids)
-    for i, parts in special:
-        for part in parts:
-            if isinstance(part, int):
-                rows.append(np.array([i]))
-                flat.append(np.array([part], np.int32))
-            else:
-                for piece in pieces([(i, part)]):
-                    owner, ids = encoded(piece)
-                    rows.append(owner)
-                    flat.append(ids)
-    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        np.add.at(n_ids, [i for i, _ in piece], n)
+    off = np.concatenate([[0], np.cumsum(n_ids)])
     flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
     if special:
-        order = np.argsort(rows, kind="stable")
-        rows, flat = rows[order], flat[order]
-    off = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))
+        rows = [flat[a:b] for a, b in zip(off, off[1:])]
+        for i, parts in special.items():
+            rows[i] = np.concatenate([np.zeros(0, np.int32), *(
+                np.array([part], np.int32) if isinstance(part, int) else encoded(piece)[0]
+                for part in parts for piece in ([None] if isinstance(part, int) else pieces([(i, part)])))])
+        return common.list_array(rows, pa.int32())
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 def decode_ids(ids: pa.ListArray, tokens: np.ndarray) -> pa.Array:
@@ -499,7 +494,7 @@ def build_codec(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 lexicon_size: int = LEXICON_SIZE) -> Codec:
     """Count the corpus's words and ship the lexicon of the most frequent ones."""
     spark = docs.sparkSession
-    ship_package(spark)
+    common.prepare(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec = spark.sparkContext.broadcast(text)  # a vocabulary file, whatever the corpus

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covgrid.session import materialize
+from covgrid.session import materialize, ship_package
 
 BLOCK_BYTES = 1 << 20
 #: A text longer than this is tokenised piece by piece, cut at separators.
@@ -38,6 +38,18 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS = {"n": 0}
 
 
+#: Rows in an Arrow batch: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def prepare(spark) -> None:
+    """Ship the package to the Python workers and bound the session's Arrow batches."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place on a fresh array)."""
     h = h ^ (h >> np.uint64(30))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 SIZE = 10
 SHINGLE = 3
@@ -170,7 +170,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per row of ``docs``: ``id, n_words, n_hit, item_ids array<string>
     (sorted), contaminated``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    common.prepare(spark)
     every = materialize(windows(items.select(F.col(item_col).cast("string"), item_text), size, shingle), "windows")
     total = every.select(F.coalesce(F.sum(F.size("shingles")), F.lit(0)), F.collect_set("m")).first()
     lengths = sorted({min(shingle, m) for m in total[1]})

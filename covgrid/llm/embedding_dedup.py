@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from covgrid.llm import common
 from covgrid.llm.minhash_dedup import key_groups
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 TABLES = 7
 PROBES = 3
@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE,
                     block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links, component_id, kept``."""
-    ship_package(vectors.sparkSession)
+    common.prepare(vectors.sparkSession)
     v = F.col("v")
     usable = (F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull()
               & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

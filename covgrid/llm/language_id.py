@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import ship_package
 
 ORDERS = (2, 3, 4)
 DIM = 1 << 17
@@ -143,7 +142,7 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from all rows of ``labelled`` with a language."""
-    ship_package(labelled.sparkSession)
+    common.prepare(labelled.sparkSession)
     langs = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct()
              .limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
@@ -165,7 +164,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def predict(docs: DataFrame, model: Model, text_col: str = "text", sure: float = SURE) -> DataFrame:
     """``docs`` plus a struct column ``_lang``: ``lang, score, ambiguous``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    common.prepare(spark)
     sent = spark.sparkContext.broadcast((model.langs, model.weights))  # bounded by MAX_LANGUAGES
 
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")

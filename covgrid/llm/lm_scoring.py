@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 END = np.uint64(0x5E4D5E4D5E4D5E4D)
 OUTPUTS = 1024
@@ -201,7 +201,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     base_score, score`` (log10 probabilities of the text)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    ship_package(spark)
+    common.prepare(spark)
     learn = docs.where(F.col(train_col)).select(F.col(text_col).alias("text"))
     counts = materialize(count_tokens(learn), "token-counts")
     n_train, v = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

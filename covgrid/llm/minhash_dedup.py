@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 HASHES = 256
 BATCH = 32
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    common.prepare(spark)
     t = percent / 100
     bands, rows = tune_bands(t, hashes // 2, recall)
     steps = least_matches(t, hashes, BATCH, miss)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
-from covgrid.session import materialize, ship_package
+from covgrid.session import materialize
 
 REACH = 5
 LONGEST = 64
@@ -289,7 +289,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (with the words shared at both ends), ``n_paragraphs, component_id,
     first_doc`` (the smallest document id holding one of its paragraphs) and
     ``removed`` (another document keeps them)."""
-    ship_package(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     p = Paragraphs(docs, id_col, text_col, k, similarity, recall, reach, longest)
     labels = near_contents(p, similarity).select(F.col("id").alias("content"), "component")
     held = p.holders().groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
