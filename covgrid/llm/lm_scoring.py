@@ -114,11 +114,10 @@ class Vocabulary:
     def look_up(self, h: np.ndarray, place: np.ndarray):
         """(outcome, index in the head or -1) of every token."""
         if not len(self.h):
-            return np.where(h == END, 0, self.outputs + place), np.full(len(h), -1)
+            return self.outputs + place, np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         known = self.h[at] == h
-        outcome = np.where(known, self.outcome[at], self.outputs + place)
-        return np.where(h == END, 0, outcome), np.where(known, at, -1)
+        return np.where(known, self.outcome[at], self.outputs + place), np.where(known, at, -1)
 
 
 def contexts(outcome: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
