@@ -61,26 +61,21 @@ SELECT id, operator, latitude, longitude, commune_code, technology FROM sites
 WHERE operator = 'OF' AND technology = '4G' ORDER BY operator, technology, id LIMIT 100 OFFSET 20""")(
     lambda s, d: A.antenna_list(_t(s, d).sites, "OF", "4G", None, 100, 20))
 
-_d = 50.0 / 111.0
 register("nearby_antennas", W("sites") + f"""
 SELECT id, operator, technology, latitude, longitude, commune_code, department_code,
        {R(sql_planar_km('latitude', 'longitude', 46.5, 2.5), 2)} AS distance_km
-FROM sites WHERE latitude BETWEEN {46.5 - _d!r} AND {46.5 + _d!r}
-  AND longitude BETWEEN {2.5 - _d!r} AND {2.5 + _d!r}
+FROM sites WHERE {sql_planar_km('latitude', 'longitude', 46.5, 2.5)} <= 50.0
 ORDER BY distance_km, id LIMIT 200""")(
     lambda s, d: A.nearby_antennas(_t(s, d).sites, 46.5, 2.5, 50.0, None, 200))
 
 _P = (49.919, 2.841)
-_d2 = 2.0 / 111.0
 register("nearby_breakdown", W("sites") + f"""
 , near AS (
   SELECT id, operator, technology, {R(sql_planar_km('latitude', 'longitude', *_P), 2)} AS distance_km
-  FROM sites WHERE latitude BETWEEN {_P[0] - _d2!r} AND {_P[0] + _d2!r}
-    AND longitude BETWEEN {_P[1] - _d2!r} AND {_P[1] + _d2!r}
-  ORDER BY distance_km, id LIMIT 15)
+  FROM sites WHERE {sql_planar_km('latitude', 'longitude', *_P)} <= 2.0)
 SELECT 'operator' AS dimension, operator AS value, COUNT(*) AS n FROM near GROUP BY operator
 UNION ALL SELECT 'technology', technology, COUNT(*) FROM near GROUP BY technology""")(
-    lambda s, d: A.nearby_breakdown(_t(s, d).sites, *_P, 2.0, 15))
+    lambda s, d: A.nearby_breakdown(_t(s, d).sites, *_P, 2.0))
 
 register("department_stats", W("sites") + """
 SELECT operator, technology, COUNT(*) AS site_count FROM sites WHERE department_code = '31'
@@ -129,7 +124,8 @@ register("operator_tech_pivot", W("sites") + """
 SELECT operator, COUNT(*) FILTER (WHERE technology = '2G') AS sites_2g,
        COUNT(*) FILTER (WHERE technology = '3G') AS sites_3g,
        COUNT(*) FILTER (WHERE technology = '4G') AS sites_4g,
-       COUNT(*) FILTER (WHERE technology = '5G') AS sites_5g
+       COUNT(*) FILTER (WHERE technology = '5G') AS sites_5g,
+       COUNT(*) FILTER (WHERE coalesce(technology NOT IN ('2G', '3G', '4G', '5G'), true)) AS sites_other
 FROM sites GROUP BY operator""")(
     lambda s, d: A.operator_tech_pivot(_t(s, d).sites))
 
@@ -144,14 +140,15 @@ SELECT COUNT(*) AS total_sites,
        COUNT(*) FILTER (WHERE technology = '2G') AS sites_2g, COUNT(*) FILTER (WHERE technology = '3G') AS sites_3g,
        COUNT(*) FILTER (WHERE technology = '4G') AS sites_4g, COUNT(*) FILTER (WHERE technology = '5G') AS sites_5g,
        COUNT(*) FILTER (WHERE operator = 'BYT') AS sites_byt, COUNT(*) FILTER (WHERE operator = 'FREE') AS sites_free,
-       COUNT(*) FILTER (WHERE operator = 'OF') AS sites_of, COUNT(*) FILTER (WHERE operator = 'SFR') AS sites_sfr
+       COUNT(*) FILTER (WHERE operator = 'OF') AS sites_of, COUNT(*) FILTER (WHERE operator = 'SFR') AS sites_sfr,
+       COUNT(*) FILTER (WHERE coalesce(technology NOT IN ('2G', '3G', '4G', '5G'), true)) AS sites_other_technology,
+       COUNT(*) FILTER (WHERE coalesce(operator NOT IN ('BYT', 'FREE', 'OF', 'SFR'), true)) AS sites_other_operator
 FROM sites""")(
     lambda s, d: A.panel_totals(_t(s, d).sites))
 
 register("antenna_export", W("sites") + """
-SELECT * FROM (SELECT id, operator, latitude, longitude, commune_code, technology FROM sites
-               WHERE operator = 'OF' ORDER BY operator, technology, id LIMIT 10000)
-WHERE starts_with(commune_code, '13')""")(
+SELECT id, operator, latitude, longitude, commune_code, technology FROM sites
+WHERE operator = 'OF' AND starts_with(commune_code, '13')""")(
     lambda s, d: A.antenna_export(_t(s, d).sites, "13", "OF", None))
 
 register("antenna_geojson", W("sites") + f"""
@@ -527,12 +524,14 @@ UNION ALL SELECT 'raw_coverage', COUNT(*) FROM squares
 UNION ALL SELECT 'ref_railway_lines', COUNT(DISTINCT feature) FROM line_vertices
 UNION ALL SELECT 'ref_railway_stations', COUNT(*) FROM stations
 UNION ALL SELECT 'stg_coverage_simplified', COUNT(*) FROM squares
-UNION ALL SELECT 'mart_coverage_by_commune', COUNT(*) FROM mart""")(
+UNION ALL SELECT 'mart_coverage_by_commune', COUNT(*) FROM mart
+UNION ALL SELECT 'ref_operators', 4 UNION ALL SELECT 'ref_technologies', 4""")(
     lambda s, d: RP.table_counts({
         "raw_antenna_sites": _t(s, d).sites, "raw_coverage": _t(s, d).coverage,
         "ref_railway_lines": _lines(_t(s, d)), "ref_railway_stations": _t(s, d).stations,
-        "stg_coverage_simplified": C.simplified_coverage(_t(s, d).coverage),
-        "mart_coverage_by_commune": _t(s, d).mart}))
+        "stg_coverage_simplified": _t(s, d).coverage,  # simplification keeps every row
+        "mart_coverage_by_commune": _t(s, d).mart,
+        "ref_operators": schema.ref_operators(s), "ref_technologies": schema.ref_technologies(s)}))
 
 register("load_report", W("sites", "line_vertices", "stations") + _LINES_SQL + f"""
 SELECT 'site_rows' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM sites
@@ -573,14 +572,11 @@ g AS (SELECT l.line_id, l.line_name, l.length_km, co.coords, len(co.coords) AS n
              least(f1.f, f2.f) AS lo, greatest(f1.f, f2.f) AS hi
       FROM co JOIN f1 USING (feature) JOIN f2 USING (feature) JOIN lines l USING (feature)),
 g2 AS (SELECT *, greatest(0, CAST(trunc(lo * (n - 1)) AS INTEGER)) AS s,
-              least(n - 1, CAST(trunc(hi * (n - 1)) AS INTEGER) + 1) AS e0 FROM g),
+              least(n, CAST(trunc(hi * (n - 1)) AS INTEGER) + 1) AS e0 FROM g),
 g3 AS (SELECT *, CASE WHEN e0 <= s THEN s + 1 ELSE e0 END AS e FROM g2),
 g4 AS (SELECT *, CASE WHEN n > 1 THEN coords[s + 1:e] ELSE coords END AS sg FROM g3),
 fin AS (SELECT line_id, line_name, {R(R('length_km', 1) + ' * (hi - lo)', 1)} AS length_km,
-               CASE WHEN len(sg) > 150
-                    THEN list_concat(list_transform(range(150),
-                             lambda j: sg[CAST(trunc(CAST(j AS DOUBLE) * (len(sg) / 150.0)) AS INTEGER) + 1]), [sg[-1]])
-                    ELSE sg END AS out
+               sg AS out
         FROM g4)
 SELECT line_id, line_name, length_km, idx, out[idx + 1][1] AS lon, out[idx + 1][2] AS lat
 FROM (SELECT *, unnest(range(len(out))) AS idx FROM fin)""")(
@@ -597,8 +593,7 @@ register("route_coverage_ranked", ROUTE_COVERAGE_SQL.replace(
 register("nearby_report", W("sites") + f"""
 SELECT id, operator, technology, latitude, longitude, commune_code, department_code,
        {R(sql_planar_km('latitude', 'longitude', 46.5, 2.5), 2)} AS distance_km
-FROM sites WHERE latitude BETWEEN {46.5 - _d!r} AND {46.5 + _d!r}
-  AND longitude BETWEEN {2.5 - _d!r} AND {2.5 + _d!r} AND technology = '4G'
+FROM sites WHERE {sql_planar_km('latitude', 'longitude', 46.5, 2.5)} <= 50.0 AND technology = '4G'
 ORDER BY distance_km, id LIMIT 20""")(
     lambda s, d: A.nearby_antennas(_t(s, d).sites, 46.5, 2.5, 50.0, "4G", 20))
 

@@ -159,15 +159,15 @@ def fixed_sum(x, scale: int) -> Column:
     """Sum of ``x`` rounded to ``10^-scale`` units as exact integers, returned
     as a double: the same value whatever order rows reach the aggregate (a
     double sum differs in its last bits), with ordinary partial
-    aggregation.  Units must keep |sum| * 10^scale below 2^53."""
+    aggregation.  The sum is a decimal of 38 digits, so it does not overflow."""
     p = float(10 ** scale)
-    units = F.floor(_c(x) * F.lit(p) + F.lit(0.5)).cast("long")
+    units = F.floor(_c(x) * F.lit(p) + F.lit(0.5)).cast("long").cast("decimal(28,0)")
     return F.sum(units).cast("double") / F.lit(p)
 
 
 def sql_fixed_sum(x: str, scale: int) -> str:
     p = f"CAST({10 ** scale} AS DOUBLE)"
-    return f"(CAST(SUM(CAST(floor({x} * {p} + 0.5) AS BIGINT)) AS DOUBLE) / {p})"
+    return f"(CAST(SUM(CAST(CAST(floor({x} * {p} + 0.5) AS BIGINT) AS DECIMAL(28,0))) AS DOUBLE) / {p})"
 
 
 def mean_exact(x, scale: int = 9) -> Column:

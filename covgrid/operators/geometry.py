@@ -28,9 +28,9 @@ def segments(vertices: DataFrame) -> DataFrame:
     per part, as the loaders number it): the join key is unique, so even a
     line holding a large share of all vertices spreads over every task."""
     a = vertices.select("line_id", "feature", "part", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = vertices.select("feature", "part", (F.col("seq") - 1).alias("seq"),
+    b = vertices.select("line_id", "feature", "part", (F.col("seq") - 1).alias("seq"),
                         F.col("x").alias("x2"), F.col("y").alias("y2"))
-    s = a.join(b, ["feature", "part", "seq"])
+    s = a.join(b, ["line_id", "feature", "part", "seq"])
     return s.select("line_id", "feature", "part", F.col("seq").alias("seg"), "x1", "y1", "x2", "y2",
                     E.seg_len("x1", "y1", "x2", "y2").alias("len"))
 
@@ -95,7 +95,7 @@ def rings(coverage: DataFrame, *keep: str) -> DataFrame:
 
 def edges(ring_rows: DataFrame) -> DataFrame:
     """One row per ring edge (ax, ay) -> (bx, by); rings are closed."""
-    e = ring_rows.select(
+    e = ring_rows.filter(F.size("pts") >= 2).select(  # shorter rings have no edge
         *[c for c in ring_rows.columns if c != "pts"],
         F.explode(F.transform(F.sequence(F.lit(0), F.size("pts") - 2),
                               lambda i: F.struct(i.alias("e"), F.col("pts")[i].alias("a"),

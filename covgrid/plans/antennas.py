@@ -42,16 +42,18 @@ def antenna_list(sites: DataFrame, operator: str | None = None, technology: str
 
 
 def nearby_antennas(sites: DataFrame, latitude: float, longitude: float, radius_km: float = 2.0,
-                    technology: str | None = None, limit: int = 50, strict: bool = False) -> DataFrame:
-    """Sites in a degree box around a point, nearest first.
-
-    Default semantics are the reference's: the box uses the same degree
-    delta for latitude and longitude and no final radius filter.  With
-    ``strict`` the longitude delta is widened by 1/cos(lat) and rows beyond
-    the radius are dropped.  Ties on the rounded distance break on id.
+                    technology: str | None = None, limit: int | None = 50, strict: bool = True) -> DataFrame:
+    """Sites within a radius of a point, nearest first (all of them without a
+    ``limit``).
+
+    The degree box that prunes the scan is widened east-west by 1/cos(lat)
+    and rows beyond the radius are dropped.  With ``strict=False`` the box is
+    a plain degree square and nothing else is dropped.  Ties on the rounded
+    distance break on id.
     """
-    check_range("radius_km", radius_km, 0.1, 50)
-    check_range("limit", limit, 1, 200)
+    check_range("radius_km", radius_km, 0.1)
+    if limit is not None:
+        check_range("limit", limit, 1)
     delta = radius_km / E.KM_PER_DEGREE
     dlon = delta / math.cos(math.radians(latitude)) if strict else delta
     dist = E.planar_km("latitude", "longitude", latitude, longitude)
@@ -62,16 +64,15 @@ def nearby_antennas(sites: DataFrame, latitude: float, longitude: float, radius_
     ).withColumn("_d", dist)
     if strict:
         out = out.filter(F.col("_d") <= radius_km)
-    return (
-        out.select("id", "operator", "technology", "latitude", "longitude", "commune_code",
-                   "department_code", E.round_half("_d", 2).alias("distance_km"))
-        .orderBy("distance_km", "id").limit(limit)
-    )
+    out = out.select("id", "operator", "technology", "latitude", "longitude", "commune_code",
+                     "department_code", E.round_half("_d", 2).alias("distance_km"))
+    return out if limit is None else out.orderBy("distance_km", "id").limit(limit)
 
 
 def nearby_breakdown(sites: DataFrame, latitude: float, longitude: float,
-                     radius_km: float = 2.0, limit: int = 15) -> DataFrame:
-    """Counts by operator and by technology over the nearby result."""
+                     radius_km: float = 2.0, limit: int | None = None) -> DataFrame:
+    """Counts by operator and by technology over all sites in range (over the
+    ``limit`` nearest ones if given)."""
     near = nearby_antennas(sites, latitude, longitude, radius_km, None, limit)
     by_op = near.groupBy(F.col("operator").alias("value")).count().withColumn("dimension", F.lit("operator"))
     by_tech = near.groupBy(F.col("technology").alias("value")).count().withColumn("dimension", F.lit("technology"))
@@ -150,19 +151,20 @@ def compare_operators(sites: DataFrame, operators: DataFrame, technology: str =
 
 
 def search_antennas(sites: DataFrame, commune_code: str, technology: str = "4G", limit: int = 20) -> DataFrame:
-    """Sites of a commune for one technology; limit capped at 50, id order."""
-    limit = min(limit, 50)
-    check_range("limit", limit, 1, 50)
+    """Sites of a commune for one technology, id order."""
+    check_range("limit", limit, 1)
     return (sites.filter((F.col("commune_code") == commune_code) & (F.col("technology") == technology))
             .select("id", "operator", "latitude", "longitude", "technology")
             .orderBy("id").limit(limit))
 
 
 def operator_tech_pivot(sites: DataFrame) -> DataFrame:
-    """Operator x technology matrix of site counts, missing cells = 0."""
-    p = sites.groupBy("operator").pivot("technology", schema.TECH_CODES).agg(F.count(F.lit(1)))
-    return p.select("operator", *[F.coalesce(F.col(t), F.lit(0)).alias(f"sites_{t.lower()}")
-                                  for t in schema.TECH_CODES]).orderBy(F.asc_nulls_last("operator"))
+    """Operator x technology matrix of site counts; other technologies (and
+    none) are counted as ``sites_other``."""
+    known = F.coalesce(F.col("technology").isin(schema.TECH_CODES), F.lit(False))
+    return sites.groupBy("operator").agg(
+        *[F.count(F.when(F.col("technology") == t, 1)).alias(f"sites_{t.lower()}") for t in schema.TECH_CODES],
+        F.count(F.when(~known, 1)).alias("sites_other")).orderBy(F.asc_nulls_last("operator"))
 
 
 def technology_share(sites: DataFrame) -> DataFrame:
@@ -175,24 +177,25 @@ def technology_share(sites: DataFrame) -> DataFrame:
 
 
 def panel_totals(sites: DataFrame, operators: list[str] | None = None) -> DataFrame:
-    """One row: total sites, per technology and per operator."""
+    """One row: total sites, per technology and per operator, each with the rest
+    as ``other``."""
     ops = operators or [c for c, _, _ in schema.OPERATORS]
     tech = [F.count(F.when(F.col("technology") == t, 1)).alias(f"sites_{t.lower()}") for t in schema.TECH_CODES]
     per_op = [F.count(F.when(F.col("operator") == o, 1)).alias(f"sites_{o.lower()}") for o in ops]
-    return sites.agg(F.count(F.lit(1)).alias("total_sites"), *tech, *per_op)
+    rest = [F.count(F.when(~F.coalesce(F.col(c).isin(known), F.lit(False)), 1)).alias(name) for c, known, name in
+            (("technology", schema.TECH_CODES, "sites_other_technology"), ("operator", ops, "sites_other_operator"))]
+    return sites.agg(F.count(F.lit(1)).alias("total_sites"), *tech, *per_op, *rest)
 
 
 def antenna_export(sites: DataFrame, department: str | None = None, operator: str | None = None,
-                   technology: str | None = None, filter_first: bool = False) -> DataFrame:
-    """Rows of the CSV export: the 10,000-row list, then the commune-code
-    prefix filter (reference order; ``filter_first`` applies it before)."""
+                   technology: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of the CSV export: all sites whose commune code begins with the
+    department, or the first ``limit`` of them."""
     prefix = F.col("commune_code").startswith(department) if department else F.lit(True)
-    base = sites.filter(prefix) if (filter_first and department) else sites
-    rows = (base.filter(all_of(operator=operator, technology=technology))
-            .select("id", "operator", "latitude", "longitude", "commune_code", "technology")
-            .orderBy(F.asc_nulls_last("operator"), F.asc_nulls_last("technology"), F.asc_nulls_last("id"))
-            .limit(10000))
-    return rows.filter(prefix) if department else rows
+    rows = (sites.filter(prefix & all_of(operator=operator, technology=technology))
+            .select("id", "operator", "latitude", "longitude", "commune_code", "technology"))
+    order = [F.asc_nulls_last(c) for c in ("operator", "technology", "id")]
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def antenna_features(sites: DataFrame, operators: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from covgrid.operators import spatial as S
 from covgrid.operators.predicates import check_range, like_any
 
 ADJACENCY_M = 500.0
-MAX_SEGMENT_POINTS = 150
 
 
 def railway_lines(lines: DataFrame, search: str | None = None, limit: int = 50) -> DataFrame:
@@ -246,13 +245,13 @@ def locate_fraction(segs: DataFrame, x: float | Column, y: float | Column, name:
 
 
 def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat: float, from_lon: float,
-                  to_lat: float, to_lon: float) -> DataFrame:
+                  to_lat: float, to_lon: float, max_points: int | None = None) -> DataFrame:
     """Sub-line between the points closest to two positions.
 
     Fractions of length map to *vertex indices* (truncated) over the
-    flattened coordinates; the slice end is exclusive; more than 150 points
-    are sampled down to 150 plus the last; the length is the rounded line
-    length times the fraction gap.  One row per line with the coordinates."""
+    flattened coordinates, both ends included; with ``max_points`` more
+    points are sampled down to that many plus the last; the length is the
+    rounded line length times the fraction gap.  One row per line with the coordinates."""
     v = chosen_vertices(vertices, lines, [line_id])
     segs = G.segments(v)
     fx, fy = E.lambert_xy(f"{float(from_lon)!r}D", f"{float(from_lat)!r}D")
@@ -267,18 +266,20 @@ def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat:
     n = F.size("coords")
     f_lo, f_hi = F.least("f1", "f2"), F.greatest("f1", "f2")
     start = F.greatest(F.lit(0), (f_lo * (n - 1)).cast("int"))
-    end0 = F.least(n - 1, (f_hi * (n - 1)).cast("int") + 1)
+    end0 = F.least(n, (f_hi * (n - 1)).cast("int") + 1)
     end = F.when(end0 <= start, start + 1).otherwise(end0)
     g = g.select("*", start.alias("_s"), end.alias("_e"), f_lo.alias("_lo"), f_hi.alias("_hi"))
     sl = F.when(n > 1, F.slice("coords", c("_s") + 1, c("_e") - c("_s"))).otherwise(c("coords"))
     g = g.select("*", sl.alias("_seg"))
-    m = F.size("_seg")
-    step = m.cast("double") / F.lit(float(MAX_SEGMENT_POINTS))
-    sampled = F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(MAX_SEGMENT_POINTS - 1)),
-                    lambda j: F.element_at("_seg", (j.cast("double") * step).cast("int") + 1)),
-        F.array(F.element_at("_seg", -1)))
-    out = F.when(m > MAX_SEGMENT_POINTS, sampled).otherwise(c("_seg"))
+    out = c("_seg")
+    if max_points is not None:
+        m = F.size("_seg")
+        step = m.cast("double") / F.lit(float(max_points))
+        sampled = F.concat(
+            F.transform(F.sequence(F.lit(0), F.lit(max_points - 1)),
+                        lambda j: F.element_at("_seg", (j.cast("double") * step).cast("int") + 1)),
+            F.array(F.element_at("_seg", -1)))
+        out = F.when(m > max_points, sampled).otherwise(out)
     km = E.round_half(E.round_half("length_km", 1) * (c("_hi") - c("_lo")), 1)
     return g.select("line_id", "line_name", km.alias("length_km"), out.alias("coordinates"))
 

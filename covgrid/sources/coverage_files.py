@@ -56,7 +56,7 @@ def _wkb_polygons(buf: memoryview, pos: int, out: list) -> int:
     base = (code & 0x0FFFFFFF) % 1000
     dims = 2 + has_z + has_m
     if base == 3:
-        part = sum(1 for _ in {p for p, *_ in out})
+        part = out[-1][0] + 1 if out else 0
         (nrings,) = struct.unpack_from(order + "I", buf, pos)
         pos += 4
         for r in range(nrings):
@@ -120,8 +120,8 @@ def _chunk_files(batches):
 
 def _read_chunks(batches):
     for b in batches:
-        fids, paths, geoms = [], [], []
-        for r in b.to_pylist():
+        for r in b.to_pylist():  # one chunk at a time: geometries are large
+            fids, paths, geoms = [], [], []
             con = _open(r["path"])
             try:
                 table, column = _feature_table(con)
@@ -133,24 +133,24 @@ def _read_chunks(batches):
                     geoms.append(gpkg_rings(blob) if blob is not None else [])
             finally:
                 con.close()
-        ring_off, pt_off, parts, ring_ids, xs, ys = [0], [0], [], [], [], []
-        for g in geoms:
-            for part, ring, x, y in g:
-                parts.append(part)
-                ring_ids.append(ring)
-                xs.append(x)
-                ys.append(y)
-                pt_off.append(pt_off[-1] + len(x))
-            ring_off.append(ring_off[-1] + len(g))
-        cx = np.concatenate(xs) if xs else np.zeros(0)
-        cy = np.concatenate(ys) if ys else np.zeros(0)
-        pts = pa.ListArray.from_arrays(pa.array(pt_off, pa.int32()),
-                                       pa.StructArray.from_arrays([pa.array(cx), pa.array(cy)], ["x", "y"]))
-        rings = pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(ring_ids, pa.int32()), pts],
-                                           ["part", "ring", "pts"])
-        col = pa.ListArray.from_arrays(pa.array(ring_off, pa.int32()), rings)
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(fids, pa.int64()), col],
-                                         names=["path", "fid", "rings"])
+            ring_off, pt_off, parts, ring_ids, xs, ys = [0], [0], [], [], [], []
+            for g in geoms:
+                for part, ring, x, y in g:
+                    parts.append(part)
+                    ring_ids.append(ring)
+                    xs.append(x)
+                    ys.append(y)
+                    pt_off.append(pt_off[-1] + len(x))
+                ring_off.append(ring_off[-1] + len(g))
+            cx = np.concatenate(xs) if xs else np.zeros(0)
+            cy = np.concatenate(ys) if ys else np.zeros(0)
+            pts = pa.ListArray.from_arrays(pa.array(pt_off, pa.int32()),
+                                           pa.StructArray.from_arrays([pa.array(cx), pa.array(cy)], ["x", "y"]))
+            rings = pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(ring_ids, pa.int32()), pts],
+                                               ["part", "ring", "pts"])
+            col = pa.ListArray.from_arrays(pa.array(ring_off, pa.int32()), rings)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(fids, pa.int64()), col],
+                                             names=["path", "fid", "rings"])
 
 
 def read_geopackages(files: DataFrame) -> DataFrame:
@@ -165,17 +165,19 @@ def read_geopackages(files: DataFrame) -> DataFrame:
     geoms = chunks.repartition(n).mapInArrow(
         _read_chunks,
         "path string, fid long, rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>")
-    return (geoms.join(F.broadcast(files), "path")
+    return (geoms.join(files, "path")
             .select(F.xxhash64("source_file", "fid").alias("id"), "quarter", "operator_code", "technology",
                     F.lit("data").alias("usage"), "rings", "source_file"))
 
 
-def load_coverage(coverage: DataFrame, table_path: str) -> DataFrame:
-    """Write coverage rows partitioned by quarter / technology / operator,
-    replacing only the partitions being loaded (reloading a file does not
-    duplicate rows), and return the geometry count per source file."""
-    write_table(coverage, table_path, ["quarter", "technology", "operator_code"])
+def load_coverage(coverage: DataFrame, table_path: str, files: DataFrame | None = None) -> DataFrame:
+    """Write coverage rows partitioned by quarter / technology / operator /
+    source file, replacing only the files being loaded (a reload does not
+    duplicate rows, another file of the same quarter, technology and operator
+    stays), and return the geometry count per source file.  ``files`` names
+    the files being loaded; without it they are read off the rows once more."""
+    write_table(coverage, table_path, ["quarter", "technology", "operator_code", "source_file"])
     loaded = coverage.sparkSession.read.parquet(table_path)
-    files = coverage.select("source_file").distinct()
+    files = (coverage if files is None else files).select("source_file").distinct()
     return loaded.join(files, "source_file", "left_semi").groupBy("source_file").agg(
         F.count(F.lit(1)).alias("geometry_count"))

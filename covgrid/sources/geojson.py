@@ -43,14 +43,18 @@ METRO_LON = (-6.0, 10.0)        # and this longitude range
 
 
 def read_features(spark: SparkSession, path: str, seq: bool = False) -> DataFrame:
-    """Features with their position in the file: (feature, properties,
-    geometry)."""
+    """Features with a key that is stable over evaluations and differs between
+    files: (feature, properties, geometry).  In a collection the key is a hash
+    of the file and the position in it; a line of a sequence file has no
+    position, so its key is a hash of the file and of its content (equal lines
+    of one file are one feature)."""
     if seq:
         df = spark.read.schema(FEATURE).json(path)
-        return df.select(F.monotonically_increasing_id().alias("feature"), "properties", "geometry")
+        key = F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct("properties", "geometry")))
+        return df.select(key.alias("feature"), "properties", "geometry").dropDuplicates(["feature"])
     coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-    f = coll.select(F.posexplode("features").alias("feature", "f"))
-    return f.select(F.col("feature").cast("long"), "f.properties", "f.geometry")
+    f = coll.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
+    return f.select(F.xxhash64("file", "pos").alias("feature"), "f.properties", "f.geometry")
 
 
 def prop(name: str, col: str = "properties") -> Column:

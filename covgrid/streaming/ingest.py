@@ -26,15 +26,17 @@ FILE_NAME_RE = r"^(\d{4}_T\d)_couv_Metropole_([A-Z0-9]+)_(\dG)_data\.gpkg$"
 
 def landed_files(paths: DataFrame, operator_codes: DataFrame) -> DataFrame:
     """(path, quarter, operator_code, technology, source_file) from file
-    paths; names not following the layout are ignored."""
+    paths; names not following the layout are ignored, an unknown operator
+    keeps the code of its file name."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     f = paths.select("path", name.alias("source_file"))
     f = f.select("path", "source_file",
                  F.regexp_extract("source_file", FILE_NAME_RE, 1).alias("quarter"),
                  F.regexp_extract("source_file", FILE_NAME_RE, 2).alias("file_code"),
                  F.regexp_extract("source_file", FILE_NAME_RE, 3).alias("technology")).filter(F.col("quarter") != "")
-    codes = F.broadcast(operator_codes.select("file_code", "operator_code"))
-    return f.join(codes, "file_code").select("path", "quarter", "operator_code", "technology", "source_file")
+    codes = operator_codes.select("file_code", "operator_code")
+    return f.join(codes, "file_code", "left").select(
+        "path", "quarter", F.coalesce("operator_code", "file_code").alias("operator_code"), "technology", "source_file")
 
 
 def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, checkpoint: str | None = None,
@@ -52,7 +54,7 @@ def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, chec
         files = landed_files(batch, codes)
         if files.isEmpty():
             return
-        CF.load_coverage(CF.read_geopackages(files), table_path).collect()  # small: one row per file
+        CF.load_coverage(CF.read_geopackages(files), table_path, files)  # the write is done here
 
     writer = paths.writeStream.foreachBatch(load_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

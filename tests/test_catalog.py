@@ -48,7 +48,7 @@ def test_against_oracle(spark, con, key):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLE)
 
 
 def test_entry(spark):

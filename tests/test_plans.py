@@ -20,8 +20,8 @@ def tables(spark):
 
 
 def test_nearby_strict_vs_reference_box(spark, tables):
-    ref = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None, 200)
-    strict = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None, 200, strict=True)
+    ref = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None, 200, strict=False)
+    strict = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None)
     assert ref.count() == 90  # reference box (trap: too narrow east-west, corners beyond radius)
     assert strict.count() == 105
     assert strict.agg(F.max("distance_km")).first()[0] <= 50.0
@@ -32,8 +32,9 @@ def test_parameter_bounds(tables):
     with pytest.raises(ValueError):
         A.antenna_list(tables.sites, limit=1001)
     with pytest.raises(ValueError):
-        A.nearby_antennas(tables.sites, 46.5, 2.5, radius_km=51)
-    assert A.search_antennas(tables.sites, "31003", "4G", limit=500).count() <= 50
+        A.nearby_antennas(tables.sites, 46.5, 2.5, radius_km=0)
+    with pytest.raises(ValueError):
+        A.search_antennas(tables.sites, "31003", "4G", limit=0)
 
 
 def test_transfers_empty_lists(spark, tables):

@@ -68,3 +68,37 @@ def test_read_and_load(spark, tmp_path):
     (r1,) = CF.load_coverage(cov, table).collect()
     (r2,) = CF.load_coverage(cov, table).collect()  # reload: same count, no duplicates
     assert r1["geometry_count"] == r2["geometry_count"] == 150
+
+
+def test_second_file_of_a_partition_keeps_the_first(spark, tmp_path):
+    rows = [(1, "2025_T3", "OF", "4G", "data", [], "a.gpkg"), (2, "2025_T3", "OF", "4G", "data", [], "b.gpkg")]
+    kind = ("id long, quarter string, operator_code string, technology string, usage string, "
+            "rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>, source_file string")
+    table = str(tmp_path / "coverage")
+    for r in (rows[0], rows[1], rows[1]):
+        CF.load_coverage(spark.createDataFrame([r], kind), table)
+    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [1, 2]
+
+
+def test_line_lengths_of_several_files(spark, tmp_path):
+    import json
+
+    from covgrid.sources import geojson as GJ
+
+    for i in range(2):
+        feature = {"type": "Feature", "properties": {"code_ligne": f"00{i}", "libelle": GJ.OPERATED_STATUS},
+                   "geometry": {"type": "LineString", "coordinates": [[2.0 + i, 48.0], [2.1 + i, 48.0]]}}
+        (tmp_path / f"{i}.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+
+    def lengths(path):
+        return {r["line_id"]: round(r["length_km"], 6) for r in GJ.line_features(GJ.read_features(spark, path))[0].collect()}
+
+    both = lengths(str(tmp_path))
+    assert both == lengths(str(tmp_path / "0.json")) | lengths(str(tmp_path / "1.json")) and len(both) == 2
+
+
+def test_means_do_not_overflow(spark):
+    from covgrid.functions import expr as E
+
+    got = spark.range(200_000_000).selectExpr("51.0D AS lat").agg(E.mean_exact("lat").alias("m")).first()["m"]
+    assert got == 51.0
