@@ -21,7 +21,7 @@ def tables(spark):
 
 def test_nearby_strict_vs_reference_box(spark, tables):
     ref = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None, 200, strict=False)
-    strict = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, None)
+    strict = A.nearby_antennas(tables.sites, 46.5, 2.5, 50.0, limit=None)
     assert ref.count() == 90  # reference box (trap: too narrow east-west, corners beyond radius)
     assert strict.count() == 105
     assert strict.agg(F.max("distance_km")).first()[0] <= 50.0
@@ -43,14 +43,16 @@ def test_transfers_empty_lists(spark, tables):
 
 
 def test_route_segment_sampling(spark):
-    # 200-vertex straight line, fractions 0 and 1: 199 vertices kept before
-    # sampling (slice end exclusive), then 150 sampled + the last = 151.
+    # 200-vertex straight line, fractions 0 and 1: every vertex, or 150 sampled
+    # and the last = 151.
     rows = [("L", 1, 0, i, 700000.0 + 100.0 * i, 6600000.0 + 50.0 * i) for i in range(200)]
     v = spark.createDataFrame(rows, "line_id string, feature long, part int, seq int, x double, y double")
     lines = G.lines_table(v, spark.createDataFrame([], schema.STATIONS_SCHEMA))
     start = (46.4, 2.9)   # before the first vertex (south-west)
     end = (47.5, 5.0)     # beyond the last vertex (north-east)
     (r,) = RL.route_segment(v, lines, "L", *start, *end).collect()
+    assert len(r["coordinates"]) == 200
+    (r,) = RL.route_segment(v, lines, "L", *start, *end, max_points=150).collect()
     assert len(r["coordinates"]) == 151
 
 
