@@ -12,6 +12,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from covgrid import schema
 from covgrid.functions.expr import sql_fixed_sum, sql_mean_exact, sql_planar_km, sql_round_half as R
@@ -82,17 +83,21 @@ SELECT operator, technology, COUNT(*) AS site_count FROM sites WHERE department_
 GROUP BY operator, technology""")(
     lambda s, d: A.department_stats(_t(s, d).sites, "31"))
 
-register("commune_summary", W("sites") + f"""
+def _commune_summary_sql(code: str) -> str:
+    return W("sites") + f"""
 , g AS (SELECT commune_code, operator, technology, COUNT(*) AS count,
                {R(sql_mean_exact('latitude'), 5)} AS avg_lat, {R(sql_mean_exact('longitude'), 5)} AS avg_lon
-        FROM sites WHERE commune_code = '31003' GROUP BY commune_code, operator, technology),
-c AS (SELECT commune_code, SUM(count) AS total,
+        FROM sites WHERE commune_code = '{code}' GROUP BY commune_code, operator, technology),
+c AS (SELECT '{code}' AS commune_code, coalesce(SUM(count), 0) AS total,
              list_reduce(list(avg_lat ORDER BY operator, technology), lambda a, b: a + b) / COUNT(*) AS center_lat,
              list_reduce(list(avg_lon ORDER BY operator, technology), lambda a, b: a + b) / COUNT(*) AS center_lon
-      FROM g GROUP BY commune_code)
-SELECT g.commune_code, operator, technology, count, avg_lat, avg_lon,
-       CAST(total AS BIGINT) AS total, center_lat, center_lon FROM g JOIN c USING (commune_code)""")(
-    lambda s, d: A.commune_summary(_t(s, d).sites, "31003"))
+      FROM g)
+SELECT commune_code, operator, technology, coalesce(count, 0) AS count, avg_lat, avg_lon,
+       CAST(total AS BIGINT) AS total, center_lat, center_lon FROM c LEFT JOIN g USING (commune_code)"""
+
+
+for _key, _code in (("commune_summary", "31003"), ("commune_summary_unknown", "99999")):
+    register(_key, _commune_summary_sql(_code))(lambda s, d, code=_code: A.commune_summary(_t(s, d).sites, code))
 
 register("departments", W("sites") + f"""
 SELECT s.department_code AS code, coalesce(n.department_name, s.department_code) AS name, s.antenna_count
@@ -187,7 +192,8 @@ FROM mart WHERE commune_code = '31003' AND technology = '4G'""")(
     lambda s, d: M.commune_coverage(_t(s, d).mart, "31003", "4G"))
 
 register("top_communes", W("mart") + """
-SELECT commune_code, commune_name, department_code, CAST(SUM(antenna_count) AS BIGINT) AS total
+SELECT commune_code, commune_name, department_code, CAST(SUM(antenna_count) AS BIGINT) AS total,
+       coalesce(commune_name || ' (' || department_code || ')', commune_code) AS label
 FROM mart GROUP BY commune_code, commune_name, department_code ORDER BY total DESC, commune_code LIMIT 10""")(
     lambda s, d: M.top_communes(_t(s, d).mart, None, 10))
 
@@ -241,8 +247,8 @@ UNION ALL SELECT 'antennas_total', NULL, NULL, NULL, COUNT(*) FROM sites""")(
 
 # ---------------------------------------------------------------- coverage
 from covgrid.operators import geometry as G  # noqa: E402
-from covgrid.session import materialize  # noqa: E402
 from covgrid.plans import coverage as C  # noqa: E402
+from covgrid.session import materialize  # noqa: E402
 
 
 def _lines(t: FX.Tables) -> DataFrame:
@@ -309,19 +315,30 @@ FROM agg LEFT JOIN {OPS_SQL} o ON agg.operator_code = o.code"""
 ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 
-def _stg(t: FX.Tables, tolerance: float = C.SIMPLIFY_TOLERANCE) -> DataFrame:
-    """stg_coverage_simplified, materialised once (it is a stored stage in
-    the reference pipeline and feeds several branches of the plans)."""
-    return materialize(C.simplified_coverage(t.coverage, tolerance), "stg")
-
-
 def _route_coverage(s, d, technology="4G", line_ids=None):
+    """Only the coverage of the technology, and near the asked lines, is
+    simplified.  That stage is written once when the query is built: it feeds
+    several branches of the plan, and each would simplify every ring again."""
     t = _t(s, d)
-    stg = _stg(t)
-    return C.route_coverage(t.line_vertices, _lines(t), stg, schema.ref_operators(s), technology, line_ids)
+    cov, lines = t.coverage.filter(F.col("technology") == technology), _lines(t)
+    if line_ids:
+        cov = C.coverage_near(cov, t.line_vertices.filter(F.col("line_id").isin(line_ids)))
+    stg = materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
+    return C.route_coverage(t.line_vertices, lines, stg, schema.ref_operators(s), technology, line_ids)
+
 
+register("route_coverage", ROUTE_COVERAGE_SQL)(
+    lambda s, d: _route_coverage(s, d).orderBy("line_id", F.desc_nulls_last("coverage_pct"), "operator"))
 
-register("route_coverage", ROUTE_COVERAGE_SQL)(lambda s, d: _route_coverage(s, d))
+register("route_contract_checks", ROUTE_CTES + f"""
+, rc AS ({ROUTE_SELECT})
+SELECT COUNT(*) AS rows_checked,
+       COUNT(*) FILTER (WHERE coverage_pct < 0 OR coverage_pct > 100) AS pct_out_of_range,
+       COUNT(*) FILTER (WHERE covered_length_km < 0 OR total_length_km < 0) AS negative_length,
+       COUNT(*) FILTER (WHERE covered_length_km > total_length_km + 0.1) AS covered_over_total,
+       COUNT(*) FILTER (WHERE line_id IS NULL OR operator IS NULL) AS missing_required
+FROM rc""")(
+    lambda s, d: C.route_contract_checks(_route_coverage(s, d)))
 
 register("simplified_coverage", W("squares") + f"""
 SELECT id, operator_code, technology, cx - hw AS bbox_xmin, cy - hw AS bbox_ymin, cx + hw AS bbox_xmax,

@@ -90,7 +90,8 @@ def department_stats(sites: DataFrame, department_code: str) -> DataFrame:
 def commune_summary(sites: DataFrame, commune_code: str) -> DataFrame:
     """Per (operator, technology): count and mean position (5 dp), with the
     commune total and centre (unweighted mean of the rounded group means,
-    summed in operator/technology order as the reference's loop does)."""
+    summed in operator/technology order).  An unknown commune gives one row
+    of count and total 0 without operator, technology or centre."""
     groups = (
         sites.filter(F.col("commune_code") == commune_code)
         .groupBy("commune_code", "operator", "technology")
@@ -98,16 +99,21 @@ def commune_summary(sites: DataFrame, commune_code: str) -> DataFrame:
              E.round_half(E.mean_exact("latitude"), 5).alias("avg_lat"),
              E.round_half(E.mean_exact("longitude"), 5).alias("avg_lon"))
     )
+    n = F.nullif(F.size("_g"), F.lit(0))
     # The group count per commune is bounded by operators x technologies.
-    per_commune = groups.groupBy("commune_code").agg(
-        F.sum("count").alias("total"),
+    per_commune = groups.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total"),
         F.array_sort(F.collect_list(F.struct("operator", "technology", "avg_lat", "avg_lon"))).alias("_g"),
     ).select(
-        "commune_code", "total",
-        (E.fold_sum(F.transform("_g", lambda g: g["avg_lat"])) / F.size("_g")).alias("center_lat"),
-        (E.fold_sum(F.transform("_g", lambda g: g["avg_lon"])) / F.size("_g")).alias("center_lon"),
+        F.lit(commune_code).alias("commune_code"), "total",
+        (E.fold_sum(F.transform("_g", lambda g: g["avg_lat"])) / n).alias("center_lat"),
+        (E.fold_sum(F.transform("_g", lambda g: g["avg_lon"])) / n).alias("center_lon"),
     )
-    return groups.join(per_commune, "commune_code").orderBy("operator", "technology")
+    return (per_commune.join(groups, "commune_code", "left")
+            .select("commune_code", "operator", "technology", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                    "avg_lat", "avg_lon", "total",
+                    "center_lat", "center_lon")
+            .orderBy("operator", "technology"))
 
 
 def departments(sites: DataFrame, dept_names: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def departments(sites: DataFrame, dept_names: DataFrame) -> DataFrame:
     counts = (sites.filter(F.col("department_code").isNotNull())
               .groupBy("department_code").agg(F.count(F.lit(1)).alias("antenna_count")))
     return (
-        counts.join(F.broadcast(dept_names), "department_code", "left")
+        counts.join(dept_names, "department_code", "left")
         .select(F.col("department_code").alias("code"),
                 F.coalesce("department_name", "department_code").alias("name"), "antenna_count")
         .orderBy("code")
@@ -135,7 +141,7 @@ def compare_operators(sites: DataFrame, operators: DataFrame, technology: str =
     """National ranking of operators by site count, with the first-last gap."""
     counts = (
         sites.filter(F.col("technology") == technology)
-        .join(F.broadcast(operators.select(F.col("code").alias("operator"), F.col("name").alias("operator_name"))),
+        .join(operators.select(F.col("code").alias("operator"), F.col("name").alias("operator_name")),
               "operator", "left")
         .groupBy("operator", "operator_name").agg(F.count(F.lit(1)).alias("site_count"))
     )
@@ -201,7 +207,7 @@ def antenna_export(sites: DataFrame, department: str | None = None, operator: st
 def antenna_features(sites: DataFrame, operators: DataFrame) -> DataFrame:
     """Antenna GeoJSON features inside the metropolitan box (41..52 N,
     -6..10 E); operator name falls back to the code."""
-    names = F.broadcast(operators.select(F.col("code").alias("operator"), F.col("name").alias("_name")))
+    names = operators.select(F.col("code").alias("operator"), F.col("name").alias("_name"))
     return (
         sites.filter(F.col("latitude").between(41, 52) & F.col("longitude").between(-6, 10))
         .join(names, "operator", "left")

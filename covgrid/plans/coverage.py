@@ -26,6 +26,19 @@ def simplified_coverage(coverage: DataFrame, tolerance: float = SIMPLIFY_TOLERAN
     return G.simplify_geometries(boxed, tolerance)
 
 
+def coverage_near(coverage: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Coverage rows whose box meets the extent of the line vertices.  Stored
+    box columns are used where there are some, so the filter reaches the scan;
+    a row outside holds no part of any of these lines."""
+    extent = vertices.agg(F.struct(F.min("x").alias("xmin"), F.min("y").alias("ymin"),
+                                   F.max("x").alias("xmax"), F.max("y").alias("ymax")).alias("box")).scalar()
+    names = ["bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"]
+    stored = set(names) <= set(coverage.columns)
+    xmin, ymin, xmax, ymax = [F.col(n) for n in names] if stored else G.geometry_bbox("rings")
+    return coverage.filter((xmin <= extent["xmax"]) & (xmax >= extent["xmin"])
+                           & (ymin <= extent["ymax"]) & (ymax >= extent["ymin"]))
+
+
 def simplified_summary(stg: DataFrame) -> DataFrame:
     """Per simplified geometry: bbox and the number of points kept."""
     n = F.aggregate(F.transform("rings", lambda r: F.size(r["pts"])), F.lit(0), lambda a, b: a + b)
@@ -45,10 +58,9 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
     intersected), so it is validated and otherwise unused.
     """
     check_range("buffer_km", buffer_km, 0.1, 10)
-    chosen = G.pick_features(lines)
     if line_ids:
-        chosen = chosen.filter(F.col("line_id").isin(line_ids))
-    segs = G.segments(vertices).join(chosen, ["line_id", "feature"], "left_semi")
+        vertices, lines = (df.filter(F.col("line_id").isin(line_ids)) for df in (vertices, lines))
+    segs = G.segments(vertices).join(G.pick_features(lines), ["line_id", "feature"], "left_semi")
     polys = G.rings(stg.filter(F.col("technology") == technology), "operator_code")
     pairs = S.covered_length(segs, polys, cell=cell, inside=inside)
     per = (
@@ -56,7 +68,7 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
         .groupBy("line_id", "operator_code")
         .agg(F.sum(F.col("inside_m") / 1000.0).alias("_cov"), F.max("length_km").alias("total_length_km"))
     )
-    names = F.broadcast(operators.select(F.col("code").alias("operator_code"), F.col("name").alias("operator_name")))
+    names = operators.select(F.col("code").alias("operator_code"), F.col("name").alias("operator_name"))
     tot = F.col("total_length_km")
     return (
         per.join(names, "operator_code", "left")
@@ -64,7 +76,20 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
                 E.round_half(F.least(F.col("_cov"), tot), 1).alias("covered_length_km"),
                 E.round_half(F.least(F.col("_cov") / F.when(tot != 0, tot) * 100.0, F.lit(100.0)), 1)
                 .alias("coverage_pct"))
-        .orderBy("line_id", F.desc_nulls_last("coverage_pct"), "operator")
+    )
+
+
+def route_contract_checks(route_rows: DataFrame) -> DataFrame:
+    """Result-contract violations of route coverage rows: percent outside
+    0..100, negative lengths, more covered than the line is long (beyond the
+    rounding to 0.1 km), missing line or operator."""
+    c = F.col
+    return route_rows.agg(
+        F.count(F.lit(1)).alias("rows_checked"),
+        F.count(F.when((c("coverage_pct") < 0) | (c("coverage_pct") > 100), 1)).alias("pct_out_of_range"),
+        F.count(F.when((c("covered_length_km") < 0) | (c("total_length_km") < 0), 1)).alias("negative_length"),
+        F.count(F.when(c("covered_length_km") > c("total_length_km") + 0.1, 1)).alias("covered_over_total"),
+        F.count(F.when(c("line_id").isNull() | c("operator").isNull(), 1)).alias("missing_required"),
     )
 
 
@@ -128,7 +153,7 @@ def coverage_features(stg: DataFrame, operators: DataFrame, technology: str = "4
         F.lit("["), F.array_join(F.transform(F.filter("rings", lambda r: r["part"] == p), ring_text), ","),
         F.lit("]")))
     geom = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.array_join(poly_text, ","), F.lit("]}"))
-    names = F.broadcast(operators.select(F.col("code").alias("operator_code"), F.col("name").alias("_n")))
+    names = operators.select(F.col("code").alias("operator_code"), F.col("name").alias("_n"))
     props = F.to_json(F.struct(F.col("operator_code").alias("operator"),
                                F.coalesce("_n", "operator_code").alias("operator_name"), "technology", "quarter"))
     return (s.join(names, "operator_code", "left")

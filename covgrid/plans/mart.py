@@ -43,6 +43,8 @@ def top_communes(mart: DataFrame, department_code: str | None = None, limit: int
         mart.filter(all_of(department_code=department_code))
         .groupBy("commune_code", "commune_name", "department_code")
         .agg(F.sum("antenna_count").cast("long").alias("total"))
+        .withColumn("label", F.coalesce(
+            F.concat("commune_name", F.lit(" ("), "department_code", F.lit(")")), "commune_code"))
         .orderBy(F.desc("total"), F.asc_nulls_last("commune_code")).limit(limit)
     )
 

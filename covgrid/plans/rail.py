@@ -225,23 +225,29 @@ def direct_route(stations: DataFrame, dep_station: str, arr_station: str) -> Dat
 # ---------------------------------------------------------------- segment
 def locate_fraction(segs: DataFrame, x: float | Column, y: float | Column, name: str) -> DataFrame:
     """Fraction of each feature's length at the point of the line closest
-    to (x, y) (first segment on ties), with the total length."""
+    to (x, y) (first segment on ties)."""
+    return locate_fractions(segs, {name: (x, y)})
+
+
+def locate_fractions(segs: DataFrame, points: dict[str, tuple]) -> DataFrame:
+    """One fraction column per named point, all in one pass over the segments."""
     c = F.col
     # Running length before each segment, summed in vertex order; the
     # window holds one line feature (a bounded group).
     w = Window.partitionBy("feature").orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
     s = segs.withColumn("_before", F.coalesce(F.sum("len").over(w), F.lit(0.0)))
-    px = x if isinstance(x, Column) else F.lit(float(x))
-    py = y if isinstance(y, Column) else F.lit(float(y))
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     l2 = dx * dx + dy * dy
-    t = F.when(l2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - c("x1")) * dx + (py - c("y1")) * dy) / l2)))\
-        .otherwise(F.lit(0.0))
-    d = E.seg_len(px, py, c("x1") + t * dx, c("y1") + t * dy)
-    at = c("_before") + t * c("len")
-    return s.groupBy("feature").agg(
-        F.min_by(at, F.struct(d, c("part"), c("seg"))).alias("_at"), F.max(c("_before") + c("len")).alias("_total")
-    ).select("feature", (F.col("_at") / F.col("_total")).alias(name))
+    nearest = []
+    for name, (x, y) in points.items():
+        px = x if isinstance(x, Column) else F.lit(float(x))
+        py = y if isinstance(y, Column) else F.lit(float(y))
+        t = F.when(l2 > 0, F.least(F.lit(1.0), F.greatest(
+            F.lit(0.0), ((px - c("x1")) * dx + (py - c("y1")) * dy) / l2))).otherwise(F.lit(0.0))
+        d = E.seg_len(px, py, c("x1") + t * dx, c("y1") + t * dy)
+        nearest.append(F.min_by(c("_before") + t * c("len"), F.struct(d, c("part"), c("seg"))).alias(name))
+    return s.groupBy("feature").agg(*nearest, F.max(c("_before") + c("len")).alias("_total")).select(
+        "feature", *[(c(name) / c("_total")).alias(name) for name in points])
 
 
 def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat: float, from_lon: float,
@@ -252,11 +258,12 @@ def route_segment(vertices: DataFrame, lines: DataFrame, line_id: str, from_lat:
     flattened coordinates, both ends included; with ``max_points`` more
     points are sampled down to that many plus the last; the length is the
     rounded line length times the fraction gap.  One row per line with the coordinates."""
-    v = chosen_vertices(vertices, lines, [line_id])
+    vertices, lines = (df.filter(F.col("line_id") == line_id) for df in (vertices, lines))
+    v = chosen_vertices(vertices, lines)
     segs = G.segments(v)
     fx, fy = E.lambert_xy(f"{float(from_lon)!r}D", f"{float(from_lat)!r}D")
     tx, ty = E.lambert_xy(f"{float(to_lon)!r}D", f"{float(to_lat)!r}D")
-    fr = locate_fraction(segs, fx, fy, "f1").join(locate_fraction(segs, tx, ty, "f2"), "feature")
+    fr = locate_fractions(segs, {"f1": (fx, fy), "f2": (tx, ty)})
     lon, lat = E.lambert_lonlat("x", "y")
     coords = (v.select("feature", "part", "seq", F.array(E.round_half(lon, 7), E.round_half(lat, 7)).alias("c"))
               .groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "c"))).alias("_v"))

@@ -13,7 +13,7 @@ from covgrid.functions import expr as E
 def coverage_stats(coverage: DataFrame, operators: DataFrame, technology: str = "4G") -> DataFrame:
     """Geometry count by operator, name, technology, quarter; unknown
     operators are kept (left join to the dimension)."""
-    names = F.broadcast(operators.select(F.col("code").alias("operator_code"), F.col("name").alias("operator_name")))
+    names = operators.select(F.col("code").alias("operator_code"), F.col("name").alias("operator_name"))
     return (
         coverage.filter(F.col("technology") == technology).select("operator_code", "technology", "quarter")
         .join(names, "operator_code", "left")

@@ -1,8 +1,8 @@
 """Table schemas and the small fixed dimension tables.
 
 Every function takes a SparkSession and returns a DataFrame; nothing here
-holds global state.  The dimension tables are a handful of rows each, so
-callers may ``broadcast()`` them: their size is bounded by construction.
+holds global state.  The dimension tables are a handful of rows each,
+so Spark broadcasts them by itself.
 """
 
 from __future__ import annotations

@@ -175,8 +175,9 @@ def load_coverage(coverage: DataFrame, table_path: str, files: DataFrame | None
     source file, replacing only the files being loaded (a reload does not
     duplicate rows, another file of the same quarter, technology and operator
     stays), and return the geometry count per source file.  ``files`` names
-    the files being loaded; without it they are read off the rows once more."""
-    write_table(coverage, table_path, ["quarter", "technology", "operator_code", "source_file"])
+    the files being loaded; without it they are read off the rows once more.
+    ``ingested_at`` is the time of the load."""
+    write_table(coverage.withColumn("ingested_at", F.current_timestamp()), table_path, ["quarter", "technology", "operator_code", "source_file"])
     loaded = coverage.sparkSession.read.parquet(table_path)
     files = (coverage if files is None else files).select("source_file").distinct()
     return loaded.join(files, "source_file", "left_semi").groupBy("source_file").agg(

@@ -67,7 +67,7 @@ def prop(name: str, col: str = "properties") -> Column:
 def line_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Operated railway lines: (lines, vertices).
 
-    lines:    line_id, feature, line_name (''), length_km
+    lines:    line_id, feature, line_name (''), length_km, ingested_at
     vertices: line_id, feature, part, seq, x, y   (Lambert-93 metres)
     Features without geometry or not operated are skipped; LineString and
     MultiLineString are both accepted."""
@@ -83,7 +83,8 @@ def line_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     lengths = G.line_lengths(G.segments(vertices))
     lines = (f.select("line_id", "feature").join(lengths, ["line_id", "feature"], "left")
              .select("line_id", "feature", F.lit("").alias("line_name"),
-                     F.coalesce("length_km", F.lit(0.0)).alias("length_km")))
+                     F.coalesce("length_km", F.lit(0.0)).alias("length_km"),
+                     F.current_timestamp().alias("ingested_at")))
     return lines, vertices
 
 
@@ -95,10 +96,12 @@ def station_features(features: DataFrame) -> DataFrame:
     f = f.filter(F.col("latitude").between(*METRO_LAT) & F.col("longitude").between(*METRO_LON))
     return f.select(prop("code_uic").alias("station_id"), prop("libelle").alias("station_name"),
                     prop("code_ligne").alias("line_code"), prop("commune").alias("commune"),
-                    prop("departemen").alias("department"), "latitude", "longitude")
+                    prop("departemen").alias("department"), "latitude", "longitude",
+                    F.current_timestamp().alias("ingested_at"))
 
 
 def named_lines(lines: DataFrame, stations: DataFrame) -> DataFrame:
     """Set each line's name from its stations (update-from-join)."""
     return (lines.join(G.line_names(stations), "line_id", "left")
-            .select("line_id", "feature", F.coalesce("label", "line_name").alias("line_name"), "length_km"))
+            .select("line_id", "feature", F.coalesce("label", "line_name").alias("line_name"), "length_km",
+                    *[c for c in ("ingested_at",) if c in lines.columns]))

@@ -58,6 +58,8 @@ def test_station_loader_and_names(spark, files):
     assert set(rows) == {"87271007", "5"}
     assert rows["5"]["commune"] == ""
     lines, _ = GJ.line_features(GJ.read_features(spark, files[0]))
+    for loaded in (st, lines, GJ.named_lines(lines, st)):
+        assert loaded.schema["ingested_at"].dataType.typeName() == "timestamp"
     named = {r["line_id"]: r["line_name"] for r in GJ.named_lines(lines, st).collect()}
     assert named["001000"] == "Paris Nord — Saint-Denis"
     assert named["002000"] == ""

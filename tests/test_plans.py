@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from covgrid import schema
 from covgrid.operators import geometry as G
 from covgrid.plans import antennas as A
+from covgrid.plans import coverage as C
 from covgrid.plans import rail as RL
 from covgrid.plans import report as RP
 from covgrid.sources import fixtures as FX
@@ -92,3 +93,36 @@ def test_box_filter_pushed_into_stored_sites(spark, tables, tmp_path):
     pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
     assert "latitude" in pushed and "longitude" in pushed and "technology" in pushed
     assert df.count() == 20
+
+
+def test_unknown_commune_has_total_zero(tables):
+    (r,) = A.commune_summary(tables.sites, "nowhere").collect()
+    assert (r["commune_code"], r["count"], r["total"]) == ("nowhere", 0, 0)
+    assert r["operator"] is None and r["center_lat"] is None and r["center_lon"] is None
+
+
+def test_coverage_near_keeps_what_meets_the_extent(spark, tables):
+    line = tables.line_vertices.filter("line_id = '000002'")
+    stored = C.simplified_coverage(tables.coverage.filter("technology = '4G'"))
+    box = line.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    want = {r["id"] for r in stored.collect() if r["bbox_xmin"] <= box[2] and r["bbox_xmax"] >= box[0]
+            and r["bbox_ymin"] <= box[3] and r["bbox_ymax"] >= box[1]}
+    raw = C.coverage_near(tables.coverage.filter("technology = '4G'"), line)
+    assert {r["id"] for r in raw.select("id").collect()} == want
+    assert {r["id"] for r in C.coverage_near(stored, line).select("id").collect()} == want
+    assert 0 < len(want) < stored.count()
+
+
+def test_route_contract_checks_counts_each_violation(spark):
+    rows = [("1", "OF", 10.0, 5.0, 50.0), ("2", "OF", 10.0, 5.0, 101.0), ("3", None, 10.0, 5.0, 50.0),
+            ("4", "OF", 10.0, 10.5, 100.0), ("5", "OF", 10.0, -1.0, 0.0)]
+    kind = "line_id string, operator string, total_length_km double, covered_length_km double, coverage_pct double"
+    assert C.route_contract_checks(spark.createDataFrame(rows, kind)).first().asDict() == {
+        "rows_checked": 5, "pct_out_of_range": 1, "negative_length": 1, "covered_over_total": 1, "missing_required": 1}
+
+
+def test_two_points_located_in_one_pass(spark):
+    segs = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 10.0, 0.0, 10.0), (1, 0, 1, 10.0, 0.0, 10.0, 30.0, 30.0)],
+                                 "feature long, part int, seg int, x1 double, y1 double, x2 double, y2 double, len double")
+    (r,) = RL.locate_fractions(segs, {"a": (5.0, 1.0), "b": (11.0, 20.0)}).collect()
+    assert (r["a"], r["b"]) == (5.0 / 40.0, 30.0 / 40.0)
