@@ -9,12 +9,15 @@ paragraphs are equal in every copy.
 1. Paragraphs of equal words share a content id (64 bits): copies are one row
    of the near-duplicate search.
 2. Contents of different words are banded by MinHash over their word shingles;
-   ``tune_bands`` picks the fewest hashes that collide a pair at the threshold
-   with the wanted recall.  A paragraph with too few shingles to reach the
-   threshold other than by equality needs no band.
+   ``tune_bands`` picks the fewest hashes (two a band at least) that collide a
+   pair at the threshold with the wanted recall.  A paragraph with too few
+   shingles to reach the threshold other than by equality needs no band.
 3. Rows are sorted by band key; every content is paired with the first and the
    previous one of its key (linear in the bucket), verified by exact Jaccard
-   similarity of the shingle sets, and clustered by connected components.
+   similarity of the shingle sets, and clustered by connected components.  Where
+   a bucket still holds several components, its members of different ones are
+   all compared, block by block: so every colliding pair is either compared or
+   in one component.
 4. A component held by two documents is repeated; the smallest document id
    keeps it.  Consecutive repeated paragraphs of a document form a passage (a
    gap of up to ``gap`` paragraphs, an edit, does not end it).
@@ -41,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
+from covgrid.llm.minhash_dedup import dealt, key_groups
 from covgrid.session import materialize
 
 REACH = 5
@@ -51,14 +55,16 @@ GAP = 2
 #: Paragraphs alone may show a passage up to this many words shorter at each end.
 CONTEXT = 24
 RECALL = 0.99
+#: Members of a bucket that are compared in one task; a larger bucket is dealt.
+BLOCK = 2048
 #: Tables of at most this many rows (of few numbers) are broadcast.
 BROADCAST_ROWS = 1 << 20
 
 
-def tune_bands(similarity: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
+def tune_bands(similarity: float, recall: float, least_rows: int = 2, most_rows: int = 4) -> tuple[int, int]:
     """(bands, rows) with the fewest hashes that reach the recall at the similarity."""
     options = []
-    for rows in range(1, most_rows + 1):
+    for rows in range(least_rows, most_rows + 1):
         bands = int(np.ceil(np.log1p(-recall) / np.log1p(-similarity ** rows)))
         options.append((bands * rows, bands, rows))
     _, bands, rows = min(options)
@@ -139,8 +145,8 @@ class Paragraphs:
             shared += 1
         self.least = shared
 
-    def _pass(self, emit, schema: str, near: bool, docs: DataFrame | None = None) -> DataFrame:
-        k, bands, rows, seeds, reach, longest = self.k, self.bands, self.rows, self.seeds, self.reach, self.longest
+    def _pass(self, emit, schema: str, near: bool, docs: DataFrame | None = None, bands: int = 0) -> DataFrame:
+        k, rows, seeds, reach, longest = self.k, self.rows, self.seeds, self.reach, self.longest
         least = self.least if near else 0
 
         def run(batches):
@@ -203,21 +209,31 @@ class Paragraphs:
 
         return self._pass(emit, "doc_id long, content long", False)
 
-    def keys(self, sets: bool = False) -> DataFrame:
-        """``key, content`` (and ``shingles``), contents once per block."""
+    def keys(self) -> DataFrame:
+        """``keys, content``, contents once per block."""
         def emit(ids, data, bounds, p):
             content, at = np.unique(p["content"][p["some"]], return_index=True)
             keys = np.ascontiguousarray(p["keys"][at])
-            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]),
-                                               pa.array(common.signed(keys.ravel()))), pa.array(common.signed(content))]
-            if sets:  # the shingles of each paragraph, one after the other
-                lo, n = p["span"][0][at], (p["span"][1] - p["span"][0])[at]
-                off = np.concatenate([[0], np.cumsum(n)])
-                flat = p["shingles"][np.arange(off[-1]) + np.repeat(lo - off[:-1], n)]
-                arrays.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(common.signed(flat))))
-            return pa.RecordBatch.from_arrays(arrays, ["keys", "content", "shingles"][: 2 + sets])
+            return pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]),
+                                         pa.array(common.signed(keys.ravel()))), pa.array(common.signed(content))],
+                ["keys", "content"])
 
-        return self._pass(emit, "keys array<long>, content long" + ", shingles array<long>" * sets, True)
+        return self._pass(emit, "keys array<long>, content long", True, bands=self.bands)
+
+    def sets(self) -> DataFrame:
+        """``content, shingles``, contents once per block."""
+        def emit(ids, data, bounds, p):
+            content, at = np.unique(p["content"][p["some"]], return_index=True)
+            lo, n = p["span"][0][at], (p["span"][1] - p["span"][0])[at]  # the shingles of each, one after the other
+            off = np.concatenate([[0], np.cumsum(n)])
+            flat = p["shingles"][np.arange(off[-1]) + np.repeat(lo - off[:-1], n)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(common.signed(content)),
+                pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(common.signed(flat)))],
+                ["content", "shingles"])
+
+        return self._pass(emit, "content long, shingles array<long>", True)
 
 
 def row_starts(row: np.ndarray, rows: int) -> np.ndarray:
@@ -236,8 +252,9 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _neighbours(batches):
-    """Pairs of contents that share a key, from rows sorted by key and content: each
-    with the first and the previous one of its key.  Linear, nothing is held."""
+    """``key, a, b, star``: pairs of contents that share a key, from rows sorted by key
+    and content: each with the first (``star``) and the previous one of its key.
+    Linear, nothing is held."""
     last_key = head = before = None
     for batch in batches:
         key, content = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -247,26 +264,79 @@ def _neighbours(batches):
         at = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
         first = np.where(at >= 0, content[at], content[0] if head is None else head)
         previous = np.concatenate([[content[0] if before is None else before], content[:-1]])
-        star, chain = first != content, ~begin & (previous != content) & (previous != first)
+        new = ~begin & (previous != content)
+        star, chain = new & (first != content), new & (previous != first)
         last_key, head, before = key[-1], first[-1], content[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([first[star], previous[chain]])),
-                                          pa.array(np.concatenate([content[star], content[chain]]))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([key[star], key[chain]])), pa.array(np.concatenate([first[star], previous[chain]])),
+            pa.array(np.concatenate([content[star], content[chain]])),
+            pa.array(np.repeat([True, False], [star.sum(), chain.sum()]))], ["key", "a", "b", "star"])
+
+
+def linked(off: np.ndarray, flat: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the labels: every two members of different labels are compared
+    unless earlier links have joined them.  Member i has the distinct shingles
+    ``flat[off[i]:off[i + 1]]``."""
+    n, size = len(label), np.diff(off)
+    shingle = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    member = np.repeat(np.arange(n), size)[order]
+    post = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+    label = np.unique(label, return_inverse=True)[1]
+    out = []
+    for i in range(n - 1):
+        mine = shingle[off[i]: off[i + 1]]
+        if len(mine):
+            both = np.bincount(np.concatenate([member[post[x]: post[x + 1]] for x in mine]), minlength=n)
+            met = (both >= similarity * (size + size[i] - both)) & (label != label[i])
+            met[:i] = False
+            rows = np.flatnonzero(met)
+            if len(rows):
+                names, at = np.unique(label[rows], return_index=True)
+                out += [(i, int(r)) for r in rows[at]]
+                label[np.isin(label, names)] = label[i]
+    return out
 
 
-def near_contents(p: Paragraphs, similarity: float) -> DataFrame:
+def near_contents(p: Paragraphs, similarity: float, block: int = BLOCK) -> DataFrame:
     """``id, component`` of the contents that are near-duplicates of another one."""
     rows = p.keys().select(F.explode("keys").alias("key"), "content")
-    pairs = materialize(rows.repartition("key").sortWithinPartitions("key", "content")
-                        .mapInArrow(_neighbours, "a long, b long").distinct(), "pairs")
+    met = materialize(rows.repartition("key").sortWithinPartitions("key", "content")
+                      .mapInArrow(_neighbours, "key long, a long, b long, star boolean"), "met")
+    pairs = materialize(met.select("a", "b").distinct(), "pairs")
     wanted = materialize(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), "wanted")
-    met = p.keys(sets=True).select("content", "shingles").join(hinted(wanted), "content", "left_semi")
-    met = materialize(met.dropDuplicates(["content"]), "near-sets")
-    sets = met.select("content", F.array_distinct("shingles").alias("shingles"))
+    sets = p.sets().join(hinted(wanted), "content", "left_semi").dropDuplicates(["content"])
+    sets = materialize(sets.select("content", F.array_distinct("shingles").alias("shingles")), "near-sets")
     joined = (pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
               .join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    return common.components(links)
+    links = materialize(joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    labels = common.components(links)
+
+    # buckets that still hold several components; of up to three members all pairs have been compared
+    large = met.where("star").groupBy("key").agg(F.count("*").alias("others")).where("others >= 3")
+    large = materialize(large, "buckets")
+    star = met.where("star").join(large.select("key"), "key", "left_semi")
+    members = star.select("key", F.col("b").alias("id")).union(star.select("key", F.col("a")).distinct())
+    named = (members.join(hinted(labels), "id", "left")
+             .select("key", "id", F.coalesce("component", "id").alias("label")))
+    named = materialize(named, "members")
+    mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+             .where("lo < hi").select("key", "size"))
+    open_rows = (dealt(named, materialize(mixed, "mixed"), block)
+                 .join(sets.withColumnRenamed("content", "id"), "id").select("key", "part", "id", "label", "shingles"))
+
+    def compare(batches):
+        for group in key_groups(batches, 2):
+            ids, lists = np.asarray(group.column("id")), group.column("shingles").combine_chunks()
+            off = np.concatenate([[0], np.cumsum(lists.value_lengths())])
+            found = np.array(linked(off, np.asarray(lists.flatten()), np.asarray(group.column("label")), similarity),
+                             np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
+
+    more = materialize(open_rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+                       .mapInArrow(compare, "a long, b long"), "links")
+    return labels if more.isEmpty() else common.components(links.union(more))
 
 
 def _same_words(batches):

@@ -162,6 +162,41 @@ def test_paragraphs_do_not_depend_on_neighbours():
     assert (both[both > 200] - 200).tolist() == alone.tolist()
 
 
+class OneBucket:
+    """Contents that all share a band key: unrelated ones, and near pairs amid them."""
+
+    def __init__(self, spark):
+        rng = np.random.default_rng(8)
+        self.shingles = [rng.integers(0, 1 << 40, 10).tolist() for _ in range(60)]
+        for _ in range(30):
+            s = rng.integers(0, 1 << 40, 10).tolist()
+            self.shingles += [s + [1, 2], s + [3, 1, 1]]
+        self.names = rng.permutation(len(self.shingles)).tolist()
+        rows = [([7], c, s) for c, s in zip(self.names, self.shingles)]
+        self.rows = spark.createDataFrame(rows, "keys array<long>, content long, shingles array<long>").repartition(3)
+
+    def keys(self):
+        return self.rows.select("keys", "content").union(self.rows.select("keys", "content"))
+
+    def sets(self):
+        return self.rows.select("content", "shingles")
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_substring_compares_every_colliding_pair(spark, block):
+    p = OneBucket(spark)
+    sets = {c: set(s) for c, s in zip(p.names, p.shingles)}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i: c for i, c in clusters(sets, near).items() if any(i in x for x in near)}
+    got = {r["id"]: r["component"] for r in substring_dedup.near_contents(p, 0.8, block).collect()}
+    assert len(near) == 30 and got == want
+
+
+def test_substring_bands_are_selective():
+    bands, rows = substring_dedup.tune_bands(0.8, 0.99)
+    assert rows >= 2 and 1 - (1 - 0.8 ** rows) ** bands >= 0.99
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", "\\1 <|end|>\n"), (1, 3, "assistant", "|><"),
             (2, 5, None, "x"), (2, 4, "a|b<", ""), (3, 0, "assistant", "\\### Assistant: </turn> ok"), (None, 0, "user", "n")]
