@@ -23,8 +23,10 @@ paragraphs are equal in every copy.
    gap of up to ``gap`` paragraphs, an edit, does not end it).
 5. The ends of a passage lie inside paragraphs that differ between documents.
    Where the paragraphs alone do not decide, the words before and after are
-   compared with those around the same paragraph in another document that holds
-   it.  Passages of at least ``min_words`` words are returned.
+   compared with those around every paragraph of the same component: equal ones
+   are one row, the rows are sorted, and the longest beginning shared with
+   another document is that with the next row of another document on either
+   side.  Passages of at least ``min_words`` words are returned.
 
 Counts are pre-aggregated before every shuffle; a very common paragraph is one
 row per block of text before its key is dealt.  Small tables (their row counts
@@ -339,16 +341,51 @@ def near_contents(p: Paragraphs, similarity: float, block: int = BLOCK) -> DataF
     return labels if more.isEmpty() else common.components(links.union(more))
 
 
-def _same_words(batches):
-    """Length of the common beginning of two lists of 32-bit word hashes."""
+def _longest_shared(batches):
+    """``component_id, side, h, more``: the longest beginning that each sequence of words
+    shares with one of another document, from distinct rows ``g, words, lo, hi, ...``
+    sorted by group and words.  The longest is that with the next sequence of another
+    document on either side; only consecutive ones of one document are held."""
+    last_g = last_words = last_doc = None
+    back, run = 0, []  # of the run of one document: [step, shared, keys]
+
+    def finish(step):
+        for row in reversed(run):
+            row[1] = max(row[1], step)
+            step = min(step, row[0])
+        out = [(*row[2], row[1]) for row in run if row[1]]
+        run.clear()
+        return out
+
     for batch in batches:
-        n = []
-        for x, y in zip(batch.column(1), batch.column(2)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-            m = min(len(x), len(y))
-            other = np.flatnonzero(x[:m] != y[:m])
-            n.append(int(other[0]) if len(other) else m)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["passage", "more"])
+        g, lo, hi = (np.asarray(batch.column(i)) for i in (0, 2, 3))
+        side, component, h = (batch.column(i).to_pylist() for i in (4, 5, 6))
+        out = []
+        for i, words in enumerate(batch.column(1).to_pylist()):
+            x = np.frombuffer(words, np.uint32)
+            several = lo[i] < hi[i]
+            if last_g is None or g[i] != last_g:
+                out += finish(0)
+                step = back = 0
+            else:
+                m = min(len(x), len(last_words))
+                other = np.flatnonzero(x[:m] != last_words[:m])
+                step = int(other[0]) if len(other) else m
+                if several or last_doc is None or lo[i] != last_doc:
+                    out += finish(step)
+                    back = step
+                else:
+                    back = min(back, step)
+            run.append([step, len(x) if several else back, (component[i], side[i], h[i])])
+            last_g, last_words, last_doc = g[i], x, None if several else lo[i]
+        yield _shared_rows(out)
+    yield _shared_rows(finish(0))
+
+
+def _shared_rows(rows):
+    component, side, h, more = zip(*rows) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(component, pa.int64()), pa.array(side, pa.string()), pa.array(h, pa.int64()),
+                                       pa.array(more, pa.int64())], ["component_id", "side", "h", "more"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -369,13 +406,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = (held.groupBy("component_id").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last"))
                 .where("first_doc < last").drop("last"))
     repeated = materialize(held.join(repeated, "component_id"), "repeated")
-    found = (p.spans().join(repeated, "content")
-             .withColumn("removed", F.col("first_doc") < F.col("doc_id")))
+    found = materialize(p.spans().join(repeated.drop("lo", "hi"), "content")
+                        .withColumn("removed", F.col("first_doc") < F.col("doc_id")), "found")
     run = Window.partitionBy("doc_id", "t", "removed").orderBy("no")
     step = F.when(F.col("no") - F.lag("no").over(run) <= gap + 1, 0).otherwise(1)
     islands = found.withColumn("step", step).withColumn("island", F.sum("step").over(run))
-    other = F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi"))
-    edge = F.struct("no", "content", other.alias("other"))
+    edge = F.struct("no", F.col("component_id").alias("near"))
     passages = (islands.groupBy("doc_id", "t", "removed", "island")
                 .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("covered"),
                      F.count("*").alias("n_paragraphs"), F.min("component_id").alias("component_id"),
@@ -386,19 +422,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the ends of passages that the whole paragraphs leave undecided
     short = passages.where(F.col("covered") < min_words)
     ends = (short.select("passage", "doc_id", "t", F.lit("before").alias("side"), "first.*")
-            .union(short.select("passage", "doc_id", "t", F.lit("after"), "last.*")).where("other <> doc_id"))
-    wanted = (ends.select("doc_id", "content").union(ends.select("other", "content"))
-              .groupBy("doc_id").agg(F.collect_set("content").alias("contents")))
-    around = materialize(p.contexts(materialize(wanted, "wanted")), "contexts")
-    here = (around.select("doc_id", "t", "no", F.col("before").alias("b1"), F.col("after").alias("a1"))
-            .dropDuplicates(["doc_id", "t", "no"]))
-    there = (around.groupBy(F.col("doc_id").alias("other"), "content")
-             .agg(F.min(F.struct("no", "before", "after")).alias("w")))
-    compared = ends.join(here, ["doc_id", "t", "no"]).join(there, ["other", "content"])
-    before = F.col("side") == "before"
-    more = (compared.select("passage", F.when(before, F.col("b1")).otherwise(F.col("a1")).alias("x"),
-                            F.when(before, F.col("w.before")).otherwise(F.col("w.after")).alias("y"))
-            .mapInArrow(_same_words, "passage long, more long").groupBy("passage").agg(F.sum("more").alias("more")))
+            .union(short.select("passage", "doc_id", "t", F.lit("after"), "last.*")))
+    near = found.join(hinted(materialize(ends.select(F.col("near").alias("component_id")).distinct(), "edges")),
+                      "component_id", "left_semi")
+    wanted = near.groupBy("doc_id").agg(F.collect_set("content").alias("contents"))
+    around = (p.contexts(materialize(wanted, "wanted")).dropDuplicates(["doc_id", "t", "no"])
+              .join(hinted(repeated.select("content", "component_id")), "content")
+              .select("doc_id", "t", "no", "component_id", F.explode(F.create_map(
+                  F.lit("before"), "before", F.lit("after"), "after")).alias("side", "words"))
+              .where("length(words) > 0").withColumn("h", F.xxhash64("words")))
+    around = materialize(around, "contexts")
+    # equal words are one row, and words that begin alike meet
+    words = (around.groupBy("component_id", "side", "h", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+             .select(F.xxhash64("component_id", "side", F.substring("words", 1, 4)).alias("g"), "words", "lo", "hi", "side",
+                     "component_id", "h"))
+    shared = (words.repartition("g").sortWithinPartitions("g", "words")
+              .mapInArrow(_longest_shared, "component_id long, side string, h long, more long"))
+    more = (ends.join(around.drop("words", "component_id"), ["doc_id", "t", "no", "side"])
+            .withColumnRenamed("near", "component_id").join(shared, ["component_id", "side", "h"])
+            .groupBy("passage").agg(F.sum("more").alias("more")))
     n_words = F.col("covered") + F.coalesce("more", F.lit(0))
     return (passages.join(more, "passage", "left").withColumn("n_words", n_words).where(n_words >= min_words)
             .select("doc_id", "t", "start", "stop", "n_words", "n_paragraphs", "component_id", "first_doc", "removed"))

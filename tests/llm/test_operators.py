@@ -197,6 +197,47 @@ def test_substring_bands_are_selective():
     assert rows >= 2 and 1 - (1 - 0.8 ** rows) ** bands >= 0.99
 
 
+def test_longest_shared_words_are_those_of_any_document():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    rows = collections.defaultdict(set)
+    for g in range(4):
+        for _ in range(80):
+            rows[g, rng.integers(0, 3, rng.integers(1, 7)).astype(np.uint32).tobytes()].add(int(rng.integers(0, 4)))
+    keys = sorted(rows)
+    cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([min(rows[k]) for k in keys]),
+            pa.array([max(rows[k]) for k in keys]), pa.array(["after"] * len(keys)), pa.array([k[0] for k in keys]),
+            pa.array(range(len(keys)))]
+    batch = pa.RecordBatch.from_arrays(cols, ["g", "words", "lo", "hi", "side", "component_id", "h"])
+    got = {}
+    for out in substring_dedup._longest_shared([batch.slice(i, 7) for i in range(0, len(keys), 7)]):
+        got.update(zip(out.column(2).to_pylist(), out.column(3).to_pylist()))
+
+    def same(a, b):
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for i, k in enumerate(keys):
+        want = max(same(k[1], o[1]) for o in keys if o[0] == k[0] and (rows[o] | rows[k]) > {min(rows[k])})
+        assert got.get(i, 0) == want
+
+
+def test_substring_ends_meet_any_holder(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for i in range(20):
+        passage = prose(54, rng)
+        w = passage.split()
+        rows += [(100 * i + 50, prose(30, rng) + " " + passage + " " + prose(30, rng)),
+                 (100 * i + 51, prose(30, rng) + " " + passage + " " + prose(30, rng))]
+        # smaller documents that hold the passage's paragraphs, each amid other words
+        rows += [(100 * i + j, prose(30, rng) + " " + " ".join(w[a:a + 24]) + " " + prose(30, rng))
+                 for j, a in enumerate((0, 10, 20, 30))]
+        want |= {100 * i + 50, 100 * i + 51}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", "\\1 <|end|>\n"), (1, 3, "assistant", "|><"),
             (2, 5, None, "x"), (2, 4, "a|b<", ""), (3, 0, "assistant", "\\### Assistant: </turn> ok"), (None, 0, "user", "n")]
