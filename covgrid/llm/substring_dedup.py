@@ -27,6 +27,10 @@ paragraphs are equal in every copy.
    are one row, the rows are sorted, and the longest beginning shared with
    another document is that with the next row of another document on either
    side.  Passages of at least ``min_words`` words are returned.
+6. A passage need not hold a whole paragraph.  Every run of ``min_words`` words
+   has a fingerprint, the smallest hash of its runs of half as many words; runs
+   with a fingerprint of two documents that no passage overlaps are looked up as
+   a whole, and those that two documents hold make up further passages.
 
 Counts are pre-aggregated before every shuffle; a very common paragraph is one
 row per block of text before its key is dealt.  Small tables (their row counts
@@ -54,8 +58,6 @@ LONGEST = 64
 MIN_WORDS = 50
 #: Unmatched paragraphs that do not end a passage.
 GAP = 2
-#: Paragraphs alone may show a passage up to this many words shorter at each end.
-CONTEXT = 24
 RECALL = 0.99
 #: Members of a bucket that are compared in one task; a larger bucket is dealt.
 BLOCK = 2048
@@ -111,7 +113,7 @@ def _block_paragraphs(data, bounds, rows: int, k: int, bands: int, band_rows: in
     prefix = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=prefix[1:])
     content = common.mix((prefix[cut] - prefix[first]) * down[first] + (cut - first).astype(np.uint64))
-    out = {"h": h, "words": row, "first": first, "row": row[first], "n": cut - first, "lo": starts[first], "hi": ends[cut - 1], "content": content}
+    out = {"h": h, "words": row, "starts": starts, "ends": ends, "first": first, "row": row[first], "n": cut - first, "lo": starts[first], "hi": ends[cut - 1], "content": content}
     if near:
         shingles = common.shingle_hashes(h, k) if len(h) >= k else np.zeros(0, np.uint64)
         out["some"] = np.flatnonzero(out["n"] - k + 1 >= near)
@@ -180,7 +182,9 @@ class Paragraphs:
 
     def contexts(self, wanted: DataFrame) -> DataFrame:
         """``doc_id, t, no, content, before, after`` of the paragraphs ``wanted(doc_id,
-        contents)``: 32-bit hashes of up to CONTEXT words before (nearest first) and after."""
+        contents)``: 32-bit hashes of up to ``longest`` words before (nearest first) and after."""
+        context = self.longest
+
         def emit(ids, data, bounds, p, asked):
             h = (p["h"] >> np.uint64(32)).astype(np.uint32)
             cut = np.searchsorted(p["words"], np.arange(len(bounds)))
@@ -196,13 +200,56 @@ class Paragraphs:
             stop = first + p["n"][at]
             return pa.RecordBatch.from_arrays([
                 ids.take(pa.array(row)), pa.array(text[row]), pa.array(no[at].astype(np.int32)), pa.array(content[at]),
-                pa.array([h[max(a, f - CONTEXT): f][::-1].tobytes() for a, f in zip(lo, first)], pa.binary()),
-                pa.array([h[e: min(b, e + CONTEXT)].tobytes() for b, e in zip(hi, stop)], pa.binary())],
+                pa.array([h[max(a, f - context): f][::-1].tobytes() for a, f in zip(lo, first)], pa.binary()),
+                pa.array([h[e: min(b, e + context)].tobytes() for b, e in zip(hi, stop)], pa.binary())],
                 names=["doc_id", "t", "no", "content", "before", "after"])
 
         return self._pass(emit, "doc_id long, t long, no int, content long, before binary, after binary", False,
                           self.docs.join(hinted(wanted), "doc_id").select("doc_id", "text", "contents"))
 
+    def fingerprints(self, min_words: int) -> DataFrame:
+        """``doc_id, t, fp, inner_start, inner_stop``: one row per stretch of runs of
+        ``min_words`` words that have one fingerprint, and the place that all of them
+        overlap (empty if stop <= start)."""
+        def emit(ids, data, bounds, p):
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            at, fp, _ = word_runs(p["h"], p["words"], min_words)
+            row = p["words"][at]
+            begin = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])])[: len(at)])
+            end = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
+            text = np.array([hash_bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
+            row = row[begin]
+            origin = chars[bounds[:-1]][row]
+            return pa.RecordBatch.from_arrays([
+                ids.take(pa.array(row)), pa.array(text[row]), pa.array(common.signed(fp[begin])),
+                pa.array(chars[p["starts"][at[end]]] - origin),
+                pa.array(chars[p["ends"][at[begin] + min_words - 1]] - origin)],
+                ["doc_id", "t", "fp", "inner_start", "inner_stop"])
+
+        return self._pass(emit, "doc_id long, t long, fp long, inner_start long, inner_stop long", False)
+
+    def runs(self, wanted: DataFrame, min_words: int) -> DataFrame:
+        """``doc_id, t, word, start, stop, run``: the runs of ``min_words`` words that have
+        a fingerprint of ``wanted(doc_id, fps)``."""
+        def emit(ids, data, bounds, p, asked):
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            at, fp, whole = word_runs(p["h"], p["words"], min_words)
+            off, flat = np.asarray(asked.offsets), np.asarray(asked.values)
+            fp, start = common.signed(fp), row_starts(p["words"][at], len(ids))
+            keep = np.concatenate([np.flatnonzero(np.isin(fp[a:b], flat[x:y])) + a for a, b, x, y in
+                                   zip(start, start[1:], off, off[1:])])
+            text = np.array([hash_bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
+            at, whole = at[keep], whole[keep]
+            row = p["words"][at]
+            origin = chars[bounds[:-1]][row]
+            return pa.RecordBatch.from_arrays([
+                ids.take(pa.array(row)), pa.array(text[row]), pa.array(at - row_starts(p["words"], len(ids))[row]),
+                pa.array(chars[p["starts"][at]] - origin), pa.array(chars[p["ends"][at + min_words - 1]] - origin),
+                pa.array(common.signed(whole))], ["doc_id", "t", "word", "start", "stop", "run"])
+
+        return self._pass(emit, "doc_id long, t long, word long, start long, stop long, run long", False,
+                          self.docs.join(hinted(wanted), "doc_id").select("doc_id", "text", "fps"))
+
     def holders(self) -> DataFrame:
         """``doc_id, content``, each once per block."""
         def emit(ids, data, bounds, p):
@@ -238,6 +285,26 @@ class Paragraphs:
         return self._pass(emit, "content long, shingles array<long>", True)
 
 
+def word_runs(h: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, fingerprint and hash of every run of ``min_words`` words of one row;
+    the fingerprint is the smallest hash of the runs of half as many words in it."""
+    n, part = len(h), (min_words + 1) // 2
+    if n < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = common._powers(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * up[:n], out=prefix[1:])
+    least = common.mix((prefix[part:] - prefix[:-part]) * down[: n - part + 1])
+    width, whole = 1, min_words - part + 1
+    while width < whole:  # the smallest of `width` neighbours
+        step = min(width, whole - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    at = np.flatnonzero(row[: n - min_words + 1] == row[min_words - 1:])
+    run = common.mix((prefix[min_words:] - prefix[:-min_words]) * down[: n - min_words + 1] + np.uint64(min_words))
+    return at, least[at], run[at]
+
+
 def row_starts(row: np.ndarray, rows: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(rows + 1))
 
@@ -416,7 +483,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("covered"),
                      F.count("*").alias("n_paragraphs"), F.min("component_id").alias("component_id"),
                      F.min("first_doc").alias("first_doc"), F.min(edge).alias("first"), F.max(edge).alias("last"))
-                .where(F.col("covered") + 2 * CONTEXT >= min_words).drop("island")
+                .drop("island")
                 .withColumn("passage", F.xxhash64("doc_id", "t", "removed", "start")))
     passages = materialize(passages, "passages")
     # the ends of passages that the whole paragraphs leave undecided
@@ -442,8 +509,42 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .withColumnRenamed("near", "component_id").join(shared, ["component_id", "side", "h"])
             .groupBy("passage").agg(F.sum("more").alias("more")))
     n_words = F.col("covered") + F.coalesce("more", F.lit(0))
-    return (passages.join(more, "passage", "left").withColumn("n_words", n_words).where(n_words >= min_words)
-            .select("doc_id", "t", "start", "stop", "n_words", "n_paragraphs", "component_id", "first_doc", "removed"))
+    passages = (passages.join(more, "passage", "left").withColumn("n_words", n_words).where(n_words >= min_words)
+                .select("doc_id", "t", "start", "stop", "n_words", "n_paragraphs", "component_id", "first_doc", "removed"))
+    passages = materialize(passages, "passages")
+    return passages.unionByName(further_passages(p, passages, min_words))
+
+
+def further_passages(p: Paragraphs, passages: DataFrame, min_words: int) -> DataFrame:
+    """Passages made up of runs of ``min_words`` words that two documents hold and that
+    none of ``passages`` overlaps; columns as there, ``n_paragraphs`` = 0."""
+    spans = materialize(passages.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+
+    def apart(df, start, stop):  # the rows that no passage overlaps
+        return (df.join(spans, ["doc_id", "t"], "left")
+                .where(~F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col(stop)) & (s["stop"] > F.col(start))),
+                                   F.lit(False))).drop("spans"))
+
+    prints = materialize(p.fingerprints(min_words), "fingerprints")
+    shared = prints.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+    shared = materialize(prints.join(hinted(materialize(shared, "shared")), "fp", "left_semi"), "shared")
+    # a passage overlaps all runs of a fingerprint if it overlaps their common place
+    inner = F.col("inner_start") < F.col("inner_stop")
+    left = apart(shared.where(inner), "inner_start", "inner_stop").select("fp").union(shared.where(~inner).select("fp"))
+    wanted = (shared.join(hinted(materialize(left.distinct(), "left")), "fp", "left_semi")
+              .groupBy("doc_id").agg(F.collect_set("fp").alias("fps")))
+    runs = materialize(p.runs(materialize(wanted, "wanted"), min_words), "runs")
+    held = runs.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last")
+    found = (apart(runs, "start", "stop").dropDuplicates(["doc_id", "t", "word"]).join(held.drop("last"), "run")
+             .withColumn("removed", F.col("first_doc") < F.col("doc_id")))
+    order = Window.partitionBy("doc_id", "t", "removed").orderBy("word")
+    step = F.when(F.col("word") - F.lag("word").over(order) < min_words, 0).otherwise(1)
+    return (found.withColumn("step", step).withColumn("island", F.sum("step").over(order))
+            .groupBy("doc_id", "t", "removed", "island")
+            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+                 (F.max("word") - F.min("word") + min_words).alias("n_words"), F.lit(0).cast("long").alias("n_paragraphs"),
+                 F.min("run").alias("component_id"), F.min("first_doc").alias("first_doc"))
+            .drop("island"))
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

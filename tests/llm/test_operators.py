@@ -238,6 +238,37 @@ def test_substring_ends_meet_any_holder(spark):
     assert got == want
 
 
+def test_substring_finds_every_shared_run(spark):
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    for i in range(60):
+        period = (1, 2, 4, 5, 100)[i % 5]  # repeated words, and plain passages
+        w = [f"w{i}x{j % period}" for j in range(50 + i % 11)]
+        for d in (2 * i, 2 * i + 1):
+            before, after = (["b%d.%d.%d" % (d, j, rng.integers(1000)) for j in range(70)] for _ in range(2))
+            rows.append((d, "é " + " ".join(before + w + ["ñ"] + after)))
+            want[d] = " ".join(w + ["ñ"])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = substring_dedup.repeated_passages(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == set(want) and out.count() == len(want)
+    text = dict(rows)
+    for d, r in got.items():
+        cut = text[d][r["start"]: r["stop"]]
+        assert r["n_words"] >= 50 and (r["n_paragraphs"] or (cut == want[d] and r["n_words"] == len(cut.split())))
+        assert r["removed"] == bool(d % 2) and r["first_doc"] == d - d % 2
+
+
+def test_word_runs_have_a_common_fingerprint():
+    h = RNG.integers(0, 1 << 62, 300, dtype=np.uint64)
+    row = np.repeat([0, 1, 2], [30, 150, 120])
+    at, fp, run = substring_dedup.word_runs(h, row, 50)
+    assert at.tolist() == [*range(30, 131), *range(180, 251)]
+    again, fp2, run2 = substring_dedup.word_runs(h[100:150], np.zeros(50, int), 50)
+    i = at.tolist().index(100)
+    assert again.tolist() == [0] and fp[i] == fp2[0] and run[i] == run2[0]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", "\\1 <|end|>\n"), (1, 3, "assistant", "|><"),
             (2, 5, None, "x"), (2, 4, "a|b<", ""), (3, 0, "assistant", "\\### Assistant: </turn> ok"), (None, 0, "user", "n")]
