@@ -14,8 +14,10 @@ emitted: each cell returns, per vector, its number of links and one edge to
 its component within the cell.  A cell of more than ``block`` vectors is dealt
 to several tasks as pairs of blocks.
 
-With the defaults a pair at cosine 0.98 exactly meets in one table with
-probability 0.96, so seven tables miss it with probability 2e-10.
+The scale follows from the number of dimensions and the threshold, so that a
+pair at the threshold is on average as far apart in a table as one at cosine
+0.98 in 64 dimensions.  That one meets in one table with probability 0.96, so
+seven tables miss it with probability 2e-10.
 
 Defined cases: a vector that is null, zero or holds null or non-finite
 components links with nothing, nor does one with a null label or a null id;
@@ -39,6 +41,7 @@ from covgrid.session import materialize
 
 TABLES = 7
 PROBES = 3
+#: Scale in 64 dimensions at cosine 0.98.
 SCALE = 5.0
 BLOCK = 4096
 
@@ -88,6 +91,11 @@ def cell_ids(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return common.mix(h)
 
 
+def scale_of(dim: int, threshold: float) -> float:
+    """The scale at which a pair at the threshold is about sqrt(1/8) apart."""
+    return SCALE * float(np.sqrt(max(dim, 8) / 64 * 0.02 / max(1 - threshold, 1e-6)))
+
+
 def cells_of(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarray:
     """vectors x tables x (1 + probes) cell names: home first."""
     steps = shortest_vectors()
@@ -105,7 +113,7 @@ def cells_of(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, scal
     return out
 
 
-def _hash_vectors(vectors: DataFrame, tables: int, probes: int, scale: float) -> DataFrame:
+def _hash_vectors(vectors: DataFrame, tables: int, probes: int, scale: float | None, threshold: float) -> DataFrame:
     """``id, size, vec binary, cells array<long>`` of ``vectors(id, size, label, v)``."""
 
     def run(batches):
@@ -122,7 +130,7 @@ def _hash_vectors(vectors: DataFrame, tables: int, probes: int, scale: float) ->
                     x = np.stack([flat[off[r]: off[r + 1]] for r in rows])
                     unit = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
                     unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                    cells = cells_of(unit, label[rows], tables, probes, scale)
+                    cells = cells_of(unit, label[rows], tables, probes, scale or scale_of(int(dim), threshold))
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
                         pa.array([v.tobytes() for v in unit], pa.binary()),
@@ -191,7 +199,7 @@ def _linked_in_cell(key: int, part: int, blocks: int, group, threshold: float, t
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE,
+                    threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float | None = None,
                     block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: ``id, n_links, component_id, kept``."""
     common.prepare(vectors.sparkSession)
@@ -207,7 +215,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(keyed.where("usable").groupBy("c1", "c2")
                           .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size")), "vector-classes")
     reps = keyed.where("usable").join(classes.select("c1", "c2", F.col("rep").alias("id"), "size"), ["c1", "c2", "id"])
-    hashed = materialize(_hash_vectors(reps.select("id", "size", "label", "v"), tables, probes, scale), "cells")
+    hashed = materialize(_hash_vectors(reps.select("id", "size", "label", "v"), tables, probes, scale, threshold), "cells")
 
     rows = hashed.select("id", F.posexplode("cells").alias("at", "key")).select(
         "id", "key", (F.col("at") % (1 + probes) == 0).alias("home"))

@@ -301,6 +301,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 16, 64])
+def test_embeddings_by_default_in_any_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v = np.concatenate([x, 0.9801 * x + np.sqrt(1 - 0.9801 ** 2) * side])
+    df = spark.createDataFrame([(i, [float(c) for c in vec], 1) for i, vec in enumerate(v)],
+                               "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(v))] == want.tolist() and want.min() >= 1
+
+
+def test_embedding_scale_of_64_dimensions_is_unchanged():
+    assert abs(embedding_dedup.scale_of(64, 0.98) - 5.0) < 1e-9
+
+
 def test_lattice():
     x = RNG.normal(size=(500, 8)) * 3
     p = embedding_dedup.nearest_e8(x)
