@@ -8,7 +8,7 @@ across tasks like any JSON-lines file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,14 @@ def read_features(spark: SparkSession, path: str, seq: bool = False) -> DataFram
     """Features with a key that is stable over evaluations and differs between
     files: (feature, properties, geometry).  In a collection the key is a hash
     of the file and the position in it; a line of a sequence file has no
-    position, so its key is a hash of the file and of its content (equal lines
-    of one file are one feature)."""
+    position, so its key is a hash of the file, of its content and of its number
+    among equal lines of the file."""
     if seq:
         df = spark.read.schema(FEATURE).json(path)
         key = F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct("properties", "geometry")))
-        return df.select(key.alias("feature"), "properties", "geometry").dropDuplicates(["feature"])
+        equal = Window.partitionBy("feature").orderBy("feature")
+        df = df.select(key.alias("feature"), "properties", "geometry").withColumn("n", F.row_number().over(equal))
+        return df.withColumn("feature", F.when(F.col("n") == 1, F.col("feature")).otherwise(F.xxhash64("feature", "n"))).drop("n")
     coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
     f = coll.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
     return f.select(F.xxhash64("file", "pos").alias("feature"), "f.properties", "f.geometry")

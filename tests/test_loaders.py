@@ -63,3 +63,14 @@ def test_station_loader_and_names(spark, files):
     named = {r["line_id"]: r["line_name"] for r in GJ.named_lines(lines, st).collect()}
     assert named["001000"] == "Paris Nord — Saint-Denis"
     assert named["002000"] == ""
+
+
+def test_equal_lines_of_a_sequence_are_all_kept(spark, tmp_path):
+    one = {"type": "Feature", "properties": {"a": "1"}, "geometry": {"type": "Point", "coordinates": [1.0, 45.0]}}
+    two = {**one, "properties": {"a": "2"}}
+    path = tmp_path / "rows.geojsonl"
+    path.write_text("".join(json.dumps(f) + "\n" for f in (one, two, one, one)))
+    rows = [sorted((r["feature"], r["properties"]["a"]) for r in GJ.read_features(spark, str(path), seq=True).collect())
+            for _ in range(2)]
+    assert rows[0] == rows[1] and len({f for f, _ in rows[0]}) == 4
+    assert sorted(a for _, a in rows[0]) == ["1", "1", "1", "2"]
