@@ -93,8 +93,12 @@ def _open(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{local}?mode=ro", uri=True)
 
 
-def _feature_table(con: sqlite3.Connection) -> tuple[str, str]:
-    return con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns LIMIT 1").fetchone()
+def _feature_table(con: sqlite3.Connection, path: str) -> tuple[str, str]:
+    """The one layer of a file; a file of several layers is refused, not read in part."""
+    layers = con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns ORDER BY 1, 2").fetchall()
+    if len(layers) != 1:
+        raise ValueError(f"{path} holds {len(layers)} layers, not one: {[name for name, _ in layers]}")
+    return layers[0]
 
 
 def _chunk_files(batches):
@@ -104,7 +108,7 @@ def _chunk_files(batches):
         for r in rows:
             con = _open(r["path"])
             try:
-                table, _ = _feature_table(con)
+                table, _ = _feature_table(con, r["path"])
                 lo, hi = con.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
             finally:
                 con.close()
@@ -124,7 +128,7 @@ def _read_chunks(batches):
             fids, paths, geoms = [], [], []
             con = _open(r["path"])
             try:
-                table, column = _feature_table(con)
+                table, column = _feature_table(con, r["path"])
                 cur = con.execute(f'SELECT rowid, "{column}" FROM "{table}" WHERE rowid BETWEEN ? AND ? '
                                   f'ORDER BY rowid', (r["lo"], r["hi"]))
                 for fid, blob in cur:

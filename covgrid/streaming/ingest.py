@@ -12,6 +12,8 @@ folder.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from covgrid import schema
 from covgrid.session import ensure_checkpoint_dir
 from covgrid.sources import coverage_files as CF
 
+LOG = logging.getLogger(__name__)
+
 # --- fixed values: coverage file name layout --------------------------------
 FILE_NAME_RE = r"^(\d{4}_T\d)_couv_Metropole_([A-Z0-9]+)_(\dG)_data\.gpkg$"
 # ------------------------------------------------------------------------------
@@ -26,7 +30,7 @@ FILE_NAME_RE = r"^(\d{4}_T\d)_couv_Metropole_([A-Z0-9]+)_(\dG)_data\.gpkg$"
 
 def landed_files(paths: DataFrame, operator_codes: DataFrame) -> DataFrame:
     """(path, quarter, operator_code, technology, source_file) from file
-    paths; names not following the layout are ignored, an unknown operator
+    paths; names not following the layout are left out (see ``left_out``), an unknown operator
     keeps the code of its file name."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     f = paths.select("path", name.alias("source_file"))
@@ -39,6 +43,11 @@ def landed_files(paths: DataFrame, operator_codes: DataFrame) -> DataFrame:
         "path", "quarter", F.coalesce("operator_code", "file_code").alias("operator_code"), "technology", "source_file")
 
 
+def left_out(paths: DataFrame) -> DataFrame:
+    """The paths whose names do not follow the layout."""
+    return paths.where(~F.regexp_extract("path", r"([^/]+)$", 1).rlike(FILE_NAME_RE)).select("path")
+
+
 def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, checkpoint: str | None = None,
                     available_now: bool = True):
     """Start the stream; returns the StreamingQuery.  With
@@ -51,6 +60,8 @@ def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, chec
     codes = schema.operator_codes(spark)
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
+        for r in left_out(batch).toLocalIterator():
+            LOG.warning("not loaded, the name does not follow the layout: %s", r["path"])
         files = landed_files(batch, codes)
         if files.isEmpty():
             return

@@ -102,3 +102,14 @@ def test_means_do_not_overflow(spark):
 
     got = spark.range(200_000_000).selectExpr("51.0D AS lat").agg(E.mean_exact("lat").alias("m")).first()["m"]
     assert got == 51.0
+
+
+def test_a_file_of_several_layers_is_refused(tmp_path):
+    path = str(tmp_path / "two.gpkg")
+    make_gpkg(path, [gpkg_blob(wkb_polygon([sq(0, 0, 2)]))])
+    con = sqlite3.connect(path)
+    assert CF._feature_table(con, path)
+    con.execute("INSERT INTO gpkg_geometry_columns (table_name, column_name) VALUES ('other', 'geom')")
+    with pytest.raises(ValueError, match="2 layers"):
+        CF._feature_table(con, path)
+    con.close()

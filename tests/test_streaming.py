@@ -35,3 +35,8 @@ def test_antenna_stats_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["operator"]: r["site_count"] for r in spark.sql("SELECT * FROM live_counts_test").collect()}
     assert got == {"OF": 5, "SFR": 5}
+
+
+def test_file_names_left_out_are_reported(spark):
+    paths = spark.createDataFrame([("/x/2025_T3_couv_Metropole_BOUY_4G_data.gpkg",), ("/x/notes.gpkg",)], "path string")
+    assert [r["path"] for r in ingest.left_out(paths).collect()] == ["/x/notes.gpkg"]
