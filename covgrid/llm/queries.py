@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from covgrid.llm import (bpe_codec, chat_format, decontaminate, embedding_dedup, language_id, line_dedup, lm_scoring,
-                         minhash_dedup, substring_dedup, url_filter)
+from covgrid.llm import (bpe_codec, byte_bpe, chat_format, decontaminate, embedding_dedup, language_id, line_dedup,
+                         lm_scoring, merkle_manifest, minhash_dedup, spelling_variants, substring_dedup, url_filter)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -162,6 +162,115 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "train_tokens", "base_score", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = byte_bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = codec.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "_bpe.n_tokens", F.sha2("_bpe.ids", 256).alias("ids_sha256"),
+                      F.sha2("_bpe.decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling_variants.group_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The table of the checksum's byte steps, built from its polynomial.
+CRC_TABLE_SQL = """
+crc AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of ``text`` (code points below 2048), beside ``crc``."""
+    code = f"""flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128
+      THEN [CAST(unicode(ch) AS BIGINT)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END))"""
+    return f"""xor(list_reduce(list_prepend(4294967295, {code}),
+      lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''),
+        '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, {crc32_sql("(doc || ':' || run)")} AS h FROM r, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+      FROM h),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS (SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest
+      FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word
+      UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+b AS (SELECT p.word, p.other, v.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near,
+             row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.other) AS k
+      FROM p JOIN v ON p.other = v.word),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * v.n THEN b.other END AS form,
+             CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n
+      FROM v LEFT JOIN b ON v.word = b.word AND b.k = 1),
+c AS (SELECT word, word AS at FROM v UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN c ON f.word = c.word JOIN f AS e ON c.at = e.word WHERE e.form IS NULL
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering drops the line ends of every other document's text, by the checksum of its id."""
+    docs = read(spark, sf_dir, "documents").select(merkle_manifest.COLUMNS)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle_manifest.manifest(docs, suspect={"text": text})
+    return out.select(F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root",
+                      F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _merkle_sql(levels: int = 18) -> str:
+    """One table of rows per level; ``levels`` of runs of three, for the sources and for their roots."""
+    def value(c):
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text):
+        return f"sha256({' || '.join(map(value, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+    def climb(name, tree):
+        """Tables ``name``1.. of rows (k, tree, pos, total, h, folded, proof); h: the node above the row."""
+        out = []
+        for i in range(levels):
+            out.append(f"""{name}r{i} AS (
+  SELECT {tree}, pos // 3 AS up, list(h ORDER BY pos) AS hs FROM (SELECT DISTINCT {tree}, pos, h FROM {name}{i})
+  GROUP BY ALL),
+{name}{i + 1} AS (
+  SELECT a.* REPLACE (a.pos // 3 AS pos, (a.total + 2) // 3 AS total,
+    CASE WHEN total > 1 THEN sha256(array_to_string(hs, '')) ELSE h END AS h,
+    CASE WHEN total > 1 THEN sha256(array_to_string(hs[:pos % 3], '') || folded || array_to_string(hs[pos % 3 + 2:], ''))
+         ELSE folded END AS folded,
+    CASE WHEN total > 1 THEN proof || array_to_string(hs[:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '')
+         ELSE proof END AS proof)
+  FROM {name}{i} a JOIN {name}r{i} r ON a.{tree} = r.{tree} AND a.pos // 3 = r.up)""")
+        return ",\n".join(out)
+
+    return f"""
+WITH {CRC_TABLE_SQL},
+d AS (SELECT *, coalesce('s' || source, '') AS skey,
+        CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+      FROM documents, crc),
+l AS (SELECT doc_id, skey, {leaf('text')} AS leaf, {leaf('changed')} AS folded FROM d),
+s0 AS (SELECT doc_id, skey, leaf, leaf AS h, folded, '' AS proof, count(*) OVER (PARTITION BY skey) AS total,
+         row_number() OVER (PARTITION BY skey ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+{climb('s', 'skey')},
+t0 AS (SELECT doc_id, leaf, h AS subroot, h, folded, proof, 0 AS one, count(DISTINCT skey) OVER () AS total,
+         dense_rank() OVER (ORDER BY skey) - 1 AS pos FROM s{levels}),
+{climb('t', 'one')}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM t{levels}"""
+
+
+OP13_SQL = _merkle_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -177,6 +286,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
@@ -185,4 +297,6 @@ ORACLE = {
     "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
