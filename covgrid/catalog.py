@@ -292,7 +292,7 @@ def _clip(h: str) -> tuple[str, str]:
 _T0, _T1 = _clip("p.hw")
 _H0, _H1 = _clip("p.hh")
 ROUTE_CTES = W("line_vertices", "stations", "squares") + _LINES_SQL + _sq_simplified(5000.0) + f"""
-, cl AS (SELECT s.line_id, s.feature, p.id, p.operator_code, s.len, p.hh, {_T0} AS t0, {_T1} AS t1,
+, cl AS (SELECT s.line_id, s.feature, s.seq AS seg_seq, p.id, p.operator_code, s.len, p.hh, {_T0} AS t0, {_T1} AS t1,
                 {_H0} AS h0, {_H1} AS h1,
                 (p.hh > 0 AND least(s.x1, s.x2) > p.cx - p.hh AND greatest(s.x1, s.x2) < p.cx + p.hh
                  AND least(s.y1, s.y2) > p.cy - p.hh AND greatest(s.y1, s.y2) < p.cy + p.hh) AS in_hole
@@ -315,21 +315,42 @@ FROM agg LEFT JOIN {OPS_SQL} o ON agg.operator_code = o.code"""
 ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 
-def _route_coverage(s, d, technology="4G", line_ids=None):
-    """Only the coverage of the technology, and near the asked lines, is
-    simplified.  That stage is written once when the query is built: it feeds
-    several branches of the plan, and each would simplify every ring again."""
+@lru_cache(maxsize=16)
+def _stage(s, d: str, technology: str) -> DataFrame:
+    """The simplified coverage of one technology, a stored table of the session:
+    written by the first query that reads it, shared by all others.  It keeps the
+    box columns, so a query for a few lines prunes its scan."""
+    cov = _t(s, d).coverage.filter(F.col("technology") == technology)
+    return materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
+
+
+def _route_coverage(s, d, technology="4G", line_ids=None, union=False):
     t = _t(s, d)
-    cov, lines = t.coverage.filter(F.col("technology") == technology), _lines(t)
+    stg, lines = _stage(s, d, technology), _lines(t)
     if line_ids:
-        cov = C.coverage_near(cov, t.line_vertices.filter(F.col("line_id").isin(line_ids)))
-    stg = materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
-    return C.route_coverage(t.line_vertices, lines, stg, schema.ref_operators(s), technology, line_ids)
+        stg = C.coverage_near(stg, t.line_vertices.filter(F.col("line_id").isin(line_ids)))
+    return C.route_coverage(t.line_vertices, lines, stg, schema.ref_operators(s), technology, line_ids, union=union)
 
 
 register("route_coverage", ROUTE_COVERAGE_SQL)(
     lambda s, d: _route_coverage(s, d).orderBy("line_id", F.desc_nulls_last("coverage_pct"), "operator"))
 
+register("route_coverage_union", ROUTE_CTES + f"""
+, iv AS (SELECT line_id, feature, seg_seq, len, operator_code, unnest(CASE WHEN hh > 0 AND h1 > h0
+                  THEN [{{'a': t0, 'b': greatest(t0, h0)}}, {{'a': least(t1, h1), 'b': t1}}] ELSE [{{'a': t0, 'b': t1}}] END) AS i
+         FROM cl WHERE t1 > t0),
+nw AS (SELECT *, i.a AS a, i.b AS b, max(i.b) OVER (PARTITION BY feature, seg_seq, operator_code ORDER BY i.a, i.b
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv WHERE i.b > i.a),
+uc AS (SELECT line_id, feature, operator_code, SUM(greatest(0.0, b - greatest(a, coalesce(reach, 0.0))) * len) AS m
+       FROM nw GROUP BY line_id, feature, operator_code),
+ag2 AS (SELECT agg.line_id, agg.operator_code, coalesce(uc.m, 0.0) / 1000.0 AS cov, total
+        FROM agg LEFT JOIN uc USING (line_id, operator_code))
+SELECT line_id, operator_code AS operator, o.name AS operator_name, total AS total_length_km,
+       {R('least(cov, total)', 1)} AS covered_length_km,
+       {R('least(cov / nullif(total, 0) * 100, 100)', 1)} AS coverage_pct
+FROM ag2 LEFT JOIN {OPS_SQL} o ON ag2.operator_code = o.code""")(
+    lambda s, d: _route_coverage(s, d, union=True))
+
 register("route_contract_checks", ROUTE_CTES + f"""
 , rc AS ({ROUTE_SELECT})
 SELECT COUNT(*) AS rows_checked,
@@ -368,6 +389,19 @@ WHERE px > cx - hw AND px < cx + hw AND py > cy - hw AND py < cy + hw
   AND NOT (hole_hw > 0 AND px > cx - hole_hw AND px < cx + hole_hw AND py > cy - hole_hw AND py < cy + hole_hw)""")(
     lambda s, d: C.operators_at_point(_t(s, d).coverage, *_PT, "4G"))
 
+_CX, _CY = sql_lambert_xy("longitude", "latitude")
+register("site_coverage", W("sites", "squares") + f"""
+, pt AS (SELECT id, operator, technology, {_CX} AS px, {_CY} AS py FROM sites),
+h AS (SELECT pt.id, list_sort(list(DISTINCT operator_code)) AS ops FROM pt JOIN squares q USING (technology)
+      WHERE px > cx - hw AND px < cx + hw AND py > cy - hw AND py < cy + hw
+        AND NOT (hole_hw > 0 AND px > cx - hole_hw AND px < cx + hole_hw AND py > cy - hole_hw AND py < cy + hole_hw)
+      GROUP BY pt.id)
+SELECT id, operator, technology, CAST(coalesce(len(ops), 0) AS BIGINT) AS n_operators,
+       coalesce(array_to_string(ops, ','), '') AS operators, coalesce(list_contains(ops, operator), false) AS own_operator
+FROM pt LEFT JOIN h USING (id)""")(
+    lambda s, d: C.site_coverage(_t(s, d).sites, _t(s, d).coverage))
+
+
 def _ring_sql(h: str) -> str:
     """GeoJSON text of a square ring (counter-clockwise from the lower-left
     corner, closed) of half-width ``h`` around (cx, cy), in degrees."""
@@ -534,6 +568,30 @@ register("transfers", TRANSFERS_SQL)(
     lambda s, d: RL.transfers(_t(s, d).line_vertices, _lines(_t(s, d)), _t(s, d).stations,
                               ["000002"], ["000064"], *_DEP, *_ARR))
 
+register("nearest_stations", W("sites", "stations") + f"""
+, st AS (SELECT station_id, station_name, {_SX} AS sx, {_SY} AS sy FROM stations),
+pt AS (SELECT id, {_SX} AS px, {_SY} AS py FROM sites),
+pr AS (SELECT id, station_id, station_name, sqrt((sx - px) * (sx - px) + (sy - py) * (sy - py)) AS d FROM pt, st)
+SELECT id, station_id, station_name, CAST(rank AS INTEGER) AS rank, {R('d / 1000.0', 3)} AS distance_km
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, station_id) AS rank FROM pr) WHERE rank <= 2""")(
+    lambda s, d: RL.nearest_stations(_t(s, d).sites, _t(s, d).stations, 2))
+
+_ST_T = ("(CASE WHEN len > 0 THEN least(1.0, greatest(0.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) "
+         "/ ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) ELSE 0.0 END)")
+register("station_places", W("line_vertices", "stations") + _LINES_SQL + f"""
+, ms AS (SELECT *, CAST(floor(len * 1e6 + 0.5) AS BIGINT) AS um FROM segs),
+mp AS (SELECT *, CAST(SUM(um) OVER (PARTITION BY feature ORDER BY seq) - um AS DOUBLE) / 1e6 AS before_m,
+              CAST(SUM(um) OVER (PARTITION BY feature) AS DOUBLE) / 1e6 AS total_m FROM ms),
+pr AS (SELECT station_id, station_name, line_code, {_SX} AS px, {_SY} AS py, mp.* FROM stations JOIN mp ON line_id = line_code),
+pt AS (SELECT *, {_ST_T} AS t FROM pr),
+pd AS (SELECT *, sqrt((px - (x1 + t * (x2 - x1))) * (px - (x1 + t * (x2 - x1)))
+                    + (py - (y1 + t * (y2 - y1))) * (py - (y1 + t * (y2 - y1)))) AS d FROM pt),
+b AS (SELECT station_id, min(station_name) AS station_name, min(line_code) AS line_id, min(d) AS d,
+             arg_min(before_m + t * len, (d, seq)) AS along_m, min(total_m) AS total_m FROM pd GROUP BY station_id)
+SELECT station_id, station_name, line_id, {R('along_m / 1000.0', 3)} AS along_km,
+       {R('along_m / nullif(total_m, 0)', 5)} AS fraction, {R('d / 1000.0', 3)} AS distance_km FROM b""")(
+    lambda s, d: RL.station_places(_t(s, d).stations, _t(s, d).line_vertices, _lines(_t(s, d))))
+
 # ----------------------------------------------------------------- reports
 register("table_counts", W("sites", "squares", "line_vertices", "stations", "mart") + """
 SELECT 'raw_antenna_sites' AS table_name, COUNT(*) AS row_count FROM sites

@@ -135,6 +135,18 @@ def cell(v, size: float) -> Column:
     return F.floor(_c(v) / F.lit(float(size))).cast("long")
 
 
+def z_order(cx, cy) -> Column:
+    """Place of a grid cell on the Z-shaped curve: the bits of both indices (16
+    each, counted from -32768) alternate, so cells near each other on the curve
+    are near each other on the map."""
+    def spaced(v):
+        v = F.pmod(_c(v) + F.lit(1 << 15), F.lit(1 << 16)).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+    return spaced(cx).bitwiseOR(F.shiftleft(spaced(cy), 1))
+
+
 def cell_range(lo, hi, size: float) -> Column:
     """Array of grid indices covering [lo, hi]."""
     return F.sequence(cell(lo, size), cell(hi, size))

@@ -5,7 +5,11 @@ Pattern: explode both sides to the integer grid cells their boxes overlap,
 equi-join on (cx, cy), then apply the exact test.  A pair met in several
 cells is kept only in its *reference cell* (the cell of the lower-left
 corner of the two boxes' intersection), so no ``distinct`` shuffle is
-needed.  Skewed cells (dense cities) are split by AQE's skew-join handling.
+needed.
+
+Lines meet polygons on the leaves of a quadtree: a cell that holds too many
+segments and edges is split into four, and again, so a dense city is many keys
+and an empty region few.
 """
 
 from __future__ import annotations
@@ -78,8 +82,70 @@ def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
                     "_t", "_u", "_ta", "_tb")
 
 
+# --------------------------------------------------------------- quadtree leaves
+QUAD_DEPTH = 6
+QUAD_LIMIT = 2_000
+
+
+def dense_cells(places: DataFrame, top: float, depth: int = QUAD_DEPTH, limit: int = QUAD_LIMIT) -> DataFrame:
+    """The inner nodes of a quadtree over ``places(x, y)``: ``(tx, ty, inner)`` for each
+    cell of side ``top`` with more than ``limit`` places.  ``inner[i]`` tells whether
+    node ``i`` of that cell (its levels one after the other, each row by row) is
+    split: it holds more than ``limit`` places and is not on the last level.  One
+    count per finest cell; an array has (4 ** depth - 1) / 3 entries."""
+    finest = float(top) / 2 ** depth
+    n = places.groupBy(E.cell("x", finest).alias("fx"), E.cell("y", finest).alias("fy")).agg(
+        F.count(F.lit(1)).alias("n"))
+    up = n.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    cells = up.selectExpr("d", f"shiftright(fx, {depth} - d) AS cx", f"shiftright(fy, {depth} - d) AS cy", "n")
+    cells = cells.groupBy("d", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    node = ("CAST((power(4, d) - 1) / 3 + pmod(cy, shiftleft(1L, d)) * shiftleft(1L, d) + pmod(cx, shiftleft(1L, d)) "
+            "AS INT) AS node")
+    nodes = cells.selectExpr("shiftright(cx, d) AS tx", "shiftright(cy, d) AS ty", node)
+    size = (4 ** depth - 1) // 3
+    return nodes.groupBy("tx", "ty").agg(F.collect_set("node").alias("_s")).selectExpr(
+        "tx", "ty", f"transform(sequence(0, {size - 1}), i -> array_contains(_s, i)) AS inner")
+
+
+def quad_cells(df: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str, dense: DataFrame, top: float,
+               depth: int = QUAD_DEPTH) -> DataFrame:
+    """Each row once per quadtree leaf that its box overlaps: ``qd`` (level), ``cx``,
+    ``cy`` (the cell among those of that level).  The row's cells of side ``top`` are
+    joined to the inner nodes; below a cell that has none, nothing is done."""
+    z = float(top)
+    at = df.withColumn("tx", F.explode(E.cell_range(xmin, xmax, z))).withColumn(
+        "ty", F.explode(E.cell_range(ymin, ymax, z)))
+    at = at.join(dense, ["tx", "ty"], "left")
+    cells = "array(named_struct('d', 0, 'cx', tx, 'cy', ty))"
+    for d in range(depth):
+        side = repr(z / 2 ** (d + 1))
+        first, width = (4 ** d - 1) // 3, 2 ** d
+        lo_x, hi_x, lo_y, hi_y = (f"CAST(floor({v} / {side}D) AS BIGINT)" for v in (xmin, xmax, ymin, ymax))
+        four = ", ".join(f"named_struct('d', {d + 1}, 'cx', 2 * c.cx + {i}, 'cy', 2 * c.cy + {j})"
+                         for j in (0, 1) for i in (0, 1))
+        cells = (f"flatten(transform({cells}, c -> IF(c.d = {d} AND element_at(inner, CAST({first} + pmod(c.cy, {width}) * "
+                 f"{width} + pmod(c.cx, {width}) AS INT) + 1), filter(array({four}), k -> k.cx BETWEEN {lo_x} AND {hi_x} "
+                 f"AND k.cy BETWEEN {lo_y} AND {hi_y}), array(c))))")
+    leaf = f"IF(inner IS NULL, array(named_struct('d', 0, 'cx', tx, 'cy', ty)), {cells})"
+    out = at.withColumn("_leaf", F.explode(F.expr(leaf)))
+    return out.select("*", F.col("_leaf.d").alias("qd"), F.col("_leaf.cx").alias("cx"),
+                      F.col("_leaf.cy").alias("cy")).drop("_leaf", "inner", "tx", "ty")
+
+
+def _overlap_in_ref_leaf(a: str, b: str, top: float) -> Column:
+    """Boxes a and b overlap and the current leaf (qd, cx, cy) holds the lower
+    left corner of their intersection."""
+    side = f"({float(top)!r}D / shiftleft(1, qd))"
+    return F.expr(
+        f"{a}x0 <= {b}x1 AND {b}x0 <= {a}x1 AND {a}y0 <= {b}y1 AND {b}y0 <= {a}y1"
+        f" AND cx = CAST(floor(greatest({a}x0, {b}x0) / {side}) AS BIGINT)"
+        f" AND cy = CAST(floor(greatest({a}y0, {b}y0) / {side}) AS BIGINT)")
+
+
+# ------------------------------------------------------------ lines in polygons
 def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.0,
-                   band: float | None = None, box_cell: float | None = None, inside: str = "ray") -> DataFrame:
+                   band: float | None = None, box_cell: float | None = None, inside: str = "ray",
+                   union: bool = False, limit: int = QUAD_LIMIT) -> DataFrame:
     """Length of each line feature inside each polygon it intersects.
 
     segs:       feature, part, seg, x1, y1, x2, y2, len (metres)
@@ -89,9 +155,13 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     returns     feature, id, operator_code, inside_m -- one row per pair whose
                 geometries intersect (touching only gives inside_m = 0).
 
-    ``cell`` grids segments against edges (edges are short); ``box_cell``
-    (default 4 x cell) grids segments against whole polygon-part boxes,
-    which can be large, so each box explodes to few cells.
+    With ``union`` the result has one row per feature and operator, without an
+    id: what several polygons of the operator cover counts once.
+
+    Segments longer than ``cell`` are cut.  Segments meet edges and the boxes of
+    whole polygon parts on the leaves of a quadtree from cells of ``box_cell``
+    (default 4 x cell) down, split while they hold more than ``limit`` segments
+    and edges.
 
     ``inside`` picks how pieces are classified: ``"ray"`` tests every piece
     midpoint against the polygon part's edges in its band; ``"walk"`` walks
@@ -100,33 +170,61 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     that starts inside the part's box, or a cut through a vertex or along an
     edge).  The walk reads far fewer edges on large rings.
     """
+    c = F.col
+    pieces = inside_pieces(segs, poly_rings, cell, band, box_cell, inside, limit)
+    held = c("n") % 2 == 1
+    if union:
+        # gaps and islands within each segment piece: what of an interval lies past all before it
+        w = Window.partitionBy(*SEG_KEY, "operator_code").orderBy("k", "t1")
+        reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.greatest(F.lit(0.0), c("t1") - F.greatest(c("k"), F.coalesce(reach, F.lit(0.0)))) * c("len")
+        parts = pieces.filter(held).select("feature", "operator_code", new.alias("_m"), F.lit(True).alias("_meets"))
+        touching = pieces.filter(~held & c("touch")).select("feature", "operator_code", F.lit(0.0).alias("_m"),
+                                                           F.lit(True).alias("_meets"))
+        return parts.unionByName(touching).groupBy("feature", "operator_code").agg(F.sum("_m").alias("inside_m"))
+    # per (feature, polygon): inside length, and whether they meet at all
+    # (an edge contact, or any piece inside).
+    per = pieces.groupBy("feature", "id", "operator_code").agg(
+        F.sum(F.when(held, c("piece_len")).otherwise(F.lit(0.0))).alias("inside_m"),
+        F.max(c("touch") | held).alias("meets"))
+    return per.filter("meets").select("feature", "id", "operator_code", "inside_m")
+
+
+def inside_pieces(segs: DataFrame, poly_rings: DataFrame, cell: float, band: float | None = None,
+                  box_cell: float | None = None, inside: str = "ray", limit: int = QUAD_LIMIT) -> DataFrame:
+    """The pieces into which polygon parts cut the segments near them: segment
+    keys, polygon keys, start ``k`` and end ``t1`` as fractions of the segment
+    of length ``len``, ``touch`` (the two meet) and ``n`` (odd: inside)."""
     band = band or cell
-    box_cell = box_cell or 4 * cell
+    top = box_cell or 4 * cell
     # Line segments are few next to coverage edges but each one drives many
     # cell and edge tests: always spread them over every task slot (AQE
     # may have coalesced their last shuffle into very few partitions).
-    slots = task_slots(segs.sparkSession)
-    segs = G.split_segments(segs, cell).select(*SEG_KEY, "npieces", "x1", "y1", "x2", "y2", "len").repartition(slots)
+    spark = segs.sparkSession
+    tasks = max(task_slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    segs = G.split_segments(segs, cell).select(*SEG_KEY, "npieces", "x1", "y1", "x2", "y2", "len").repartition(tasks)
     seg_box = _box(segs, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "s")
-    seg_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", cell)
 
     pr = spread(poly_rings.withColumnRenamed("part", "ppart"))
     pkey = ["id", "operator_code", "ppart"]
     pbox = G.ring_bbox(pr, *pkey).select(*pkey, F.col("xmin").alias("px0"), F.col("ymin").alias("py0"),
                                          F.col("xmax").alias("px1"), F.col("ymax").alias("py1"))
-    poly_cells = G.bbox_cells(pbox, "px0", "py0", "px1", "py1", box_cell)
-    seg_box_cells = G.bbox_cells(seg_box, "sx0", "sy0", "sx1", "sy1", box_cell)
+    edg = G.edges(pr.select(*pkey, "ring", "pts"))
+    dense = dense_cells(segs.select(F.col("x1").alias("x"), F.col("y1").alias("y"))
+                        .unionByName(edg.select(F.col("ax").alias("x"), F.col("ay").alias("y"))), top, limit=limit)
+    seg_cells = quad_cells(seg_box, "sx0", "sy0", "sx1", "sy1", dense, top)
 
     # 1. candidate (segment, polygon part) pairs from box cells: segments
     #    wholly inside a polygon meet no edge, so edges alone miss them.
-    cand = (seg_box_cells.join(poly_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "p", box_cell))
+    poly_cells = quad_cells(pbox, "px0", "py0", "px1", "py1", dense, top)
+    leaf = ["qd", "cx", "cy"]
+    cand = (seg_cells.join(poly_cells, leaf).filter(_overlap_in_ref_leaf("s", "p", top))
             .select(*SEG_KEY, *pkey, "npieces", "x1", "y1", "x2", "y2", "len"))
 
-    # 2. segment x edge contacts in shared cells -> split parameters.
-    edg = G.edges(pr.select(*pkey, "ring", "pts"))
+    # 2. segment x edge contacts in shared leaves -> split parameters.
     e_box = _box(edg, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), "e")
-    edge_cells = G.bbox_cells(e_box, "ex0", "ey0", "ex1", "ey1", cell)
-    se = (seg_cells.join(edge_cells, ["cx", "cy"]).filter(_overlap_in_ref_cell("s", "e", cell)))
+    edge_cells = quad_cells(e_box, "ex0", "ey0", "ex1", "ey1", dense, top)
+    se = seg_cells.join(edge_cells, leaf).filter(_overlap_in_ref_leaf("s", "e", top))
     hits = segment_edge_contacts(se).filter("hit")
 
     # 3. pieces between cuts: cut parameters become rows (plus 0 and 1 for
@@ -150,7 +248,7 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     # hit there, cleanly; any other hit there leaves the status unknown.
     toggle = (c("_nh") == 1) & (c("_clean") == 1) & (c("t") > 0)
     iv = tt.filter(c("t1") > c("t")).select(
-        *key, "touch", c("t").alias("k"), "t1", "npieces", toggle.alias("toggle"),
+        *key, "touch", c("t").alias("k"), "t1", "len", "npieces", toggle.alias("toggle"),
         ((c("_nh") > 0) & ~toggle).alias("ambiguous"),
         ((c("t1") - c("t")) * c("len")).alias("piece_len"),
         (c("x1") + (c("x2") - c("x1")) * (c("t") + c("t1")) / 2).alias("mx"),
@@ -174,20 +272,14 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     # Left join keeps pieces that cross no edge (outside, unless touching).
     pieces = (mids.join(er, on, "left")
               .groupBy(*[m(k) for k in SEG_KEY], m("id"), m("operator_code"), m("ppart"), m("k"))
-              .agg(F.first(m("piece_len")).alias("piece_len"), F.first(m("touch")).alias("touch"),
-                   F.count(e("ax")).alias("n")))
+              .agg(F.first(m("piece_len")).alias("piece_len"), F.first(m("t1")).alias("t1"),
+                   F.first(m("len")).alias("len"), F.first(m("touch")).alias("touch"), F.count(e("ax")).alias("n")))
 
     if inside == "walk":
         status = pieces.select(*SEG_KEY, *pkey, "k", (c("n") % 2).alias("_ray"))
         pieces = _walk_status(iv.join(status, SEG_KEY + pkey + ["k"], "left"))
 
-    # 5. per (feature, polygon): inside length, and whether they meet at all
-    #    (an edge contact, or any piece inside).
-    inside = c("n") % 2 == 1
-    per = pieces.groupBy("feature", "id", "operator_code").agg(
-        F.sum(F.when(inside, c("piece_len")).otherwise(F.lit(0.0))).alias("inside_m"),
-        F.max(c("touch") | inside).alias("meets"))
-    return per.filter("meets").select("feature", "id", "operator_code", "inside_m")
+    return pieces
 
 
 def _walk(iv: DataFrame) -> DataFrame:
@@ -225,5 +317,5 @@ def _walk_status(iv: DataFrame) -> DataFrame:
     anchor_status = F.when(c("known_out"), F.lit(0)).otherwise(F.coalesce(c("_ray"), F.lit(0)))
     first = F.first(F.when(c("anchor"), anchor_status), ignorenulls=True).over(
         wg.rowsBetween(Window.unboundedPreceding, 0))
-    return iv.select(*SEG_KEY, "id", "operator_code", "ppart", "k", "piece_len", "touch",
+    return iv.select(*SEG_KEY, "id", "operator_code", "ppart", "k", "t1", "len", "piece_len", "touch",
                      ((first + c("par")) % 2).cast("long").alias("n"))

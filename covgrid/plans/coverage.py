@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
 from covgrid.operators import geometry as G
+from covgrid.operators import points as P
 from covgrid.operators import spatial as S
 from covgrid.operators.predicates import check_range
 
 SIMPLIFY_TOLERANCE = 5000.0  # metres, analysis and per-operator export
 TILE_TOLERANCE = 750.0       # metres, map tile export
+BOX = ["bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"]
 
 
 def simplified_coverage(coverage: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE,
@@ -32,9 +34,8 @@ def coverage_near(coverage: DataFrame, vertices: DataFrame) -> DataFrame:
     a row outside holds no part of any of these lines."""
     extent = vertices.agg(F.struct(F.min("x").alias("xmin"), F.min("y").alias("ymin"),
                                    F.max("x").alias("xmax"), F.max("y").alias("ymax")).alias("box")).scalar()
-    names = ["bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"]
-    stored = set(names) <= set(coverage.columns)
-    xmin, ymin, xmax, ymax = [F.col(n) for n in names] if stored else G.geometry_bbox("rings")
+    stored = set(BOX) <= set(coverage.columns)
+    xmin, ymin, xmax, ymax = [F.col(n) for n in BOX] if stored else G.geometry_bbox("rings")
     return coverage.filter((xmin <= extent["xmax"]) & (xmax >= extent["xmin"])
                            & (ymin <= extent["ymax"]) & (ymax >= extent["ymin"]))
 
@@ -48,11 +49,11 @@ def simplified_summary(stg: DataFrame) -> DataFrame:
 
 def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operators: DataFrame,
                    technology: str = "4G", line_ids: list[str] | None = None, buffer_km: float = 2.0,
-                   cell: float = 10_000.0, inside: str = "ray") -> DataFrame:
+                   cell: float = 10_000.0, inside: str = "ray", union: bool = False) -> DataFrame:
     """Covered km and percent of each railway line per operator.
 
     Sums over overlapping polygons and quarters, then caps at the line
-    length; operators with no intersecting polygon are absent; touching
+    length; with ``union`` a stretch that several polygons cover counts once; operators with no intersecting polygon are absent; touching
     only gives a 0.0 row.  ``buffer_km`` only widens the reference's box
     prefilter, which cannot change the result (the line itself is
     intersected), so it is validated and otherwise unused.
@@ -62,7 +63,7 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
         vertices, lines = (df.filter(F.col("line_id").isin(line_ids)) for df in (vertices, lines))
     segs = G.segments(vertices).join(G.pick_features(lines), ["line_id", "feature"], "left_semi")
     polys = G.rings(stg.filter(F.col("technology") == technology), "operator_code")
-    pairs = S.covered_length(segs, polys, cell=cell, inside=inside)
+    pairs = S.covered_length(segs, polys, cell=cell, inside=inside, union=union)
     per = (
         pairs.join(lines.select("feature", "line_id", "length_km"), "feature")
         .groupBy("line_id", "operator_code")
@@ -112,13 +113,15 @@ def merged_route_coverage(route_rows: DataFrame) -> DataFrame:
 def operators_at_point(coverage: DataFrame, latitude: float, longitude: float,
                        technology: str | None = "4G", band: float = 10_000.0) -> DataFrame:
     """Operators whose coverage polygons contain a point (odd-even rule on
-    the edges of the point's y band; the ray runs to +x)."""
+    the edges of the point's y band; the ray runs to +x).  Stored box columns
+    (``sinks.write_clustered_coverage``) are used where there are some: the filter
+    then reaches the scan, and Parquet statistics skip what lies elsewhere."""
     cov = coverage.filter(F.col("technology") == technology) if technology else coverage
     x, y = E.lambert_xy(f"{float(longitude)!r}D", f"{float(latitude)!r}D")
     # Only geometries whose box holds the point are exploded to edges.
-    shells = F.flatten(F.transform(F.filter("rings", lambda r: r["ring"] == 0), lambda r: r["pts"]))
-    xs, ys = F.transform(shells, lambda p: p["x"]), F.transform(shells, lambda p: p["y"])
-    cov = cov.filter((F.array_min(xs) <= x) & (F.array_max(xs) >= x) & (F.array_min(ys) <= y) & (F.array_max(ys) >= y))
+    stored = set(BOX) <= set(coverage.columns)
+    x0, y0, x1, y1 = [F.col(n) for n in BOX] if stored else G.geometry_bbox("rings")
+    cov = cov.filter((x0 <= x) & (x1 >= x) & (y0 <= y) & (y1 >= y))
     edg = G.edges(G.rings(cov, "operator_code", "technology"))
     c = F.col
     pt = edg.select("*", x.alias("px"), y.alias("py"))
@@ -131,6 +134,22 @@ def operators_at_point(coverage: DataFrame, latitude: float, longitude: float,
     return inside.select(F.col("operator_code").alias("operator"), "technology").distinct()
 
 
+def site_coverage(sites: DataFrame, coverage: DataFrame, cell: float = P.CELL) -> DataFrame:
+    """For every site the operators whose coverage of the site's technology holds
+    it: their number, their codes in order, and whether the site's own is among
+    them.  All sites are joined at once (``points.points_in_polygons``)."""
+    x, y = E.lambert_xy("longitude", "latitude")
+    at = sites.select(F.col("id").alias("point_id"), "technology", x.alias("x"), y.alias("y"))
+    hits = P.points_in_polygons(at, G.rings(coverage, "operator_code", "technology"), ["technology"], cell)
+    # at most one entry per operator and site
+    found = hits.groupBy(F.col("point_id").alias("id")).agg(F.array_sort(F.collect_set("operator_code")).alias("_ops"))
+    ops = F.coalesce("_ops", F.array().cast("array<string>"))
+    return (sites.select("id", "operator", "technology").join(found, "id", "left")
+            .select("id", "operator", "technology", F.size(ops).cast("long").alias("n_operators"),
+                    F.array_join(ops, ",").alias("operators"),
+                    F.coalesce(F.array_contains(ops, F.col("operator")), F.lit(False)).alias("own_operator")))
+
+
 def coverage_features(stg: DataFrame, operators: DataFrame, technology: str = "4G",
                       operator_code: str | None = None) -> DataFrame:
     """GeoJSON features of simplified coverage in degrees: one row per

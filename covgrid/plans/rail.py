@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
 from covgrid.operators import geometry as G
+from covgrid.operators import points as P
 from covgrid.operators import spatial as S
 from covgrid.operators.predicates import check_range, like_any
 
@@ -160,6 +161,33 @@ def nearest_station_name(stations: DataFrame, latitude: float, longitude: float)
     return stations.agg(F.min_by("station_name", F.struct(d2, F.col("station_id"))).alias("station_name"))
 
 
+def nearest_stations(places: DataFrame, stations: DataFrame, k: int = 1) -> DataFrame:
+    """The ``k`` stations nearest to each place ``(id, latitude, longitude)`` in
+    metres of the projection, with their rank; ties to the lowest station id."""
+    x, y = E.lambert_xy("longitude", "latitude")
+    found = P.nearest(places.select(F.col("id").alias("point_id"), x.alias("x"), y.alias("y")),
+                      stations.select(F.col("station_id").alias("target_id"), x.alias("x"), y.alias("y")), k)
+    names = stations.select(F.col("station_id").alias("target_id"), "station_name")
+    return found.join(names, "target_id").select(
+        F.col("point_id").alias("id"), F.col("target_id").alias("station_id"), "station_name",
+        F.col("rank").cast("int").alias("rank"), E.round_half(F.col("distance") / 1000.0, 3).alias("distance_km"))
+
+
+def station_places(stations: DataFrame, vertices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Where each station lies along its line (one feature per line id): kilometres
+    from the line's start, fraction of its length, and kilometres off it."""
+    segs = G.segments(chosen_vertices(vertices, lines))
+    x, y = E.lambert_xy("longitude", "latitude")
+    at = stations.select(F.col("station_id").alias("point_id"), F.col("line_code").alias("line_id"),
+                         x.alias("x"), y.alias("y")).join(G.pick_features(lines), "line_id")
+    found = P.locate(at, segs)
+    return (found.join(stations.select(F.col("station_id").alias("point_id"), "station_name", "line_code"), "point_id")
+            .select(F.col("point_id").alias("station_id"), "station_name", F.col("line_code").alias("line_id"),
+                    E.round_half(F.col("along_m") / 1000.0, 3).alias("along_km"),
+                    E.round_half(F.col("along_m") / F.when(F.col("total_m") != 0, F.col("total_m")), 5).alias("fraction"),
+                    E.round_half(F.col("distance_m") / 1000.0, 3).alias("distance_km")))
+
+
 def transfers(vertices: DataFrame, lines: DataFrame, stations: DataFrame, dep_lines: list[str],
               arr_lines: list[str], dep_lat: float, dep_lon: float, arr_lat: float, arr_lon: float,
               limit: int = 5) -> DataFrame:

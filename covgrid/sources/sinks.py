@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covgrid.functions import expr as E
+from covgrid.operators import geometry as G
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
@@ -21,6 +24,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+def write_clustered_coverage(coverage: DataFrame, path: str, files: int, cell: float = 20_000.0) -> None:
+    """Coverage with stored box columns, one folder per technology, its rows dealt to
+    about ``files`` files by ranges of the Z-order curve of their box centres.  The
+    Parquet statistics of a file (and of each row group, rows being sorted within
+    it) then cover a small area, so a filter on the box columns skips the others."""
+    boxed = coverage.select("*", *G.geometry_bbox("rings"))
+    curve = E.z_order(E.cell((F.col("bbox_xmin") + F.col("bbox_xmax")) / 2, cell),
+                      E.cell((F.col("bbox_ymin") + F.col("bbox_ymax")) / 2, cell))
+    (boxed.withColumn("curve", curve).repartitionByRange(files, "technology", "curve")
+     .sortWithinPartitions("technology", "curve")
+     .write.mode("overwrite").partitionBy("technology").parquet(path))
+
+
 def write_features(features: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """GeoJSON features, one per line (GeoJSON text sequence), optionally
     one folder per partition value (e.g. operator / technology)."""
