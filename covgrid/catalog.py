@@ -317,10 +317,12 @@ ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 @lru_cache(maxsize=16)
 def _stage(s, d: str, technology: str) -> DataFrame:
-    """The simplified coverage of one technology, a stored table of the session:
+    """The simplified coverage of one technology, or of all, a stored table of the session:
     written by the first query that reads it, shared by all others.  It keeps the
     box columns, so a query for a few lines prunes its scan."""
-    cov = _t(s, d).coverage.filter(F.col("technology") == technology)
+    cov = _t(s, d).coverage
+    if technology != "all":
+        cov = cov.filter(F.col("technology") == technology)
     return materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
 
 
@@ -335,7 +337,8 @@ def _route_coverage(s, d, technology="4G", line_ids=None, union=False):
 register("route_coverage", ROUTE_COVERAGE_SQL)(
     lambda s, d: _route_coverage(s, d).orderBy("line_id", F.desc_nulls_last("coverage_pct"), "operator"))
 
-register("route_coverage_union", ROUTE_CTES + f"""
+ALL_CTES = ROUTE_CTES.replace("p.technology = '4G' AND ", "")
+register("route_coverage_union", ALL_CTES + f"""
 , iv AS (SELECT line_id, feature, seg_seq, len, operator_code, unnest(CASE WHEN hh > 0 AND h1 > h0
                   THEN [{{'a': t0, 'b': greatest(t0, h0)}}, {{'a': least(t1, h1), 'b': t1}}] ELSE [{{'a': t0, 'b': t1}}] END) AS i
          FROM cl WHERE t1 > t0),
@@ -349,7 +352,7 @@ SELECT line_id, operator_code AS operator, o.name AS operator_name, total AS tot
        {R('least(cov, total)', 1)} AS covered_length_km,
        {R('least(cov / nullif(total, 0) * 100, 100)', 1)} AS coverage_pct
 FROM ag2 LEFT JOIN {OPS_SQL} o ON ag2.operator_code = o.code""")(
-    lambda s, d: _route_coverage(s, d, union=True))
+    lambda s, d: _route_coverage(s, d, "all", union=True))
 
 register("route_contract_checks", ROUTE_CTES + f"""
 , rc AS ({ROUTE_SELECT})

@@ -54,7 +54,7 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
 
     Sums over overlapping polygons and quarters, then caps at the line
     length; with ``union`` a stretch that several polygons cover counts once; operators with no intersecting polygon are absent; touching
-    only gives a 0.0 row.  ``buffer_km`` only widens the reference's box
+    only gives a 0.0 row.  ``technology='all'`` takes every technology's polygons.  ``buffer_km`` only widens the reference's box
     prefilter, which cannot change the result (the line itself is
     intersected), so it is validated and otherwise unused.
     """
@@ -62,7 +62,7 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
     if line_ids:
         vertices, lines = (df.filter(F.col("line_id").isin(line_ids)) for df in (vertices, lines))
     segs = G.segments(vertices).join(G.pick_features(lines), ["line_id", "feature"], "left_semi")
-    polys = G.rings(stg.filter(F.col("technology") == technology), "operator_code")
+    polys = G.rings(stg if technology == "all" else stg.filter(F.col("technology") == technology), "operator_code")
     pairs = S.covered_length(segs, polys, cell=cell, inside=inside, union=union)
     per = (
         pairs.join(lines.select("feature", "line_id", "length_km"), "feature")
