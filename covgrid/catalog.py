@@ -316,22 +316,25 @@ ROUTE_COVERAGE_SQL = ROUTE_CTES + ROUTE_SELECT
 
 
 @lru_cache(maxsize=16)
-def _stage(s, d: str, technology: str) -> DataFrame:
+def _stage(s, d: str, technology: str) -> tuple[DataFrame, DataFrame | None]:
     """The simplified coverage of one technology, or of all, a stored table of the session:
     written by the first query that reads it, shared by all others.  It keeps the
-    box columns, so a query for a few lines prunes its scan."""
+    box columns, so a query for a few lines prunes its scan.  Beside it, the grid of
+    the dense cells of lines and coverage."""
     cov = _t(s, d).coverage
     if technology != "all":
         cov = cov.filter(F.col("technology") == technology)
-    return materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
+    stg = materialize(C.simplified_coverage(cov, C.SIMPLIFY_TOLERANCE), "stg")
+    return stg, C.stored_grid(_t(s, d).line_vertices, stg)
 
 
 def _route_coverage(s, d, technology="4G", line_ids=None, union=False):
     t = _t(s, d)
-    stg, lines = _stage(s, d, technology), _lines(t)
+    (stg, grid), lines = _stage(s, d, technology), _lines(t)
     if line_ids:
         stg = C.coverage_near(stg, t.line_vertices.filter(F.col("line_id").isin(line_ids)))
-    return C.route_coverage(t.line_vertices, lines, stg, schema.ref_operators(s), technology, line_ids, union=union)
+    return C.route_coverage(t.line_vertices, lines, stg, schema.ref_operators(s), technology, line_ids, union=union,
+                            grid=grid)
 
 
 register("route_coverage", ROUTE_COVERAGE_SQL)(
@@ -372,6 +375,19 @@ SELECT id, operator_code, technology, cx - hw AS bbox_xmin, cy - hw AS bbox_ymin
 FROM squares""")(
     lambda s, d: C.simplified_summary(C.simplified_coverage(_t(s, d).coverage, C.SIMPLIFY_TOLERANCE)))
 
+#: A bend of a side is kept where it is deeper than the tolerance; corners always are (see FIXTURES.md).
+register("simplified_shapes", W("squares") + """
+, b AS (SELECT id, cx, cy, hw + 10000 AS h, [CASE WHEN (id + k) % 3 = 0 THEN -1 ELSE 1 END
+               * [1000, 3500, 6000, 8000][(id + k * k) % 4 + 1] FOR k IN [0, 1, 2, 3]] AS d FROM squares),
+v AS (SELECT id, unnest([{'i': 0, 'x': cx - h, 'y': cy - h, 'd': NULL}, {'i': 1, 'x': cx, 'y': cy - (h + d[1]), 'd': d[1]},
+        {'i': 2, 'x': cx + h, 'y': cy - h, 'd': NULL}, {'i': 3, 'x': cx + h + d[2], 'y': cy, 'd': d[2]},
+        {'i': 4, 'x': cx + h, 'y': cy + h, 'd': NULL}, {'i': 5, 'x': cx, 'y': cy + h + d[3], 'd': d[3]},
+        {'i': 6, 'x': cx - h, 'y': cy + h, 'd': NULL}, {'i': 7, 'x': cx - (h + d[4]), 'y': cy, 'd': d[4]},
+        {'i': 8, 'x': cx - h, 'y': cy - h, 'd': NULL}]) AS p FROM b)
+SELECT id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, row_number() OVER (PARTITION BY id ORDER BY p.i) - 1 AS idx,
+       p.x AS x, p.y AS y FROM v WHERE p.d IS NULL OR abs(p.d) > 5000""")(
+    lambda s, d: C.simplified_points(_t(s, d).shapes))
+
 _ROUTE_LINES = ["000002", "000064"]
 register("merged_route_coverage", ROUTE_CTES + f"""
 , rc AS ({ROUTE_SELECT} WHERE line_id IN ('000002', '000064'))
@@ -571,6 +587,52 @@ register("transfers", TRANSFERS_SQL)(
     lambda s, d: RL.transfers(_t(s, d).line_vertices, _lines(_t(s, d)), _t(s, d).stations,
                               ["000002"], ["000064"], *_DEP, *_ARR))
 
+@lru_cache(maxsize=16)
+def _stored_contacts(s, d: str) -> DataFrame:
+    """All lines' contacts, a stored table of the session (see ``_stage``)."""
+    return materialize(RL.line_contacts(G.segments(_t(s, d).line_vertices)), "contacts")
+
+
+#: Contacts of all lines with each other, as in TRANSFERS_SQL of some lines with the others.
+_CONTACTS = TRANSFERS_SQL[TRANSFERS_SQL.index(", a AS ("):TRANSFERS_SQL.index("bridge AS (")]
+_CONTACTS = _CONTACTS.replace("WHERE line_id IN ('000002', '000064')", "").replace(
+    "WHERE line_id NOT IN ('000002', '000064')", "")
+register("routes", W("line_vertices", "stations", "station_pairs") + _LINES_SQL + _CONTACTS + f"""
+codes AS (SELECT DISTINCT station_name, line_code FROM stations),
+dep0 AS (SELECT DISTINCT pair_id, line_code FROM station_pairs JOIN codes ON dep_station = station_name),
+arr0 AS (SELECT DISTINCT pair_id, line_code FROM station_pairs JOIN codes ON arr_station = station_name),
+direct AS (SELECT pair_id, min(line_code) AS line_id FROM dep0 JOIN arr0 USING (pair_id, line_code) GROUP BY pair_id),
+dep AS (SELECT * FROM dep0 WHERE pair_id NOT IN (SELECT pair_id FROM direct)),
+arr AS (SELECT * FROM arr0 WHERE pair_id NOT IN (SELECT pair_id FROM direct)),
+toarr AS (SELECT DISTINCT pair_id, fb FROM adj JOIN arr ON line_a = line_code),
+own AS (SELECT pair_id, line_code AS line_b FROM dep UNION SELECT pair_id, line_code FROM arr),
+br AS (SELECT dep.pair_id, adj.* FROM adj JOIN dep ON line_a = line_code JOIN toarr t ON t.pair_id = dep.pair_id AND t.fb = adj.fb
+       ANTI JOIN own ON own.pair_id = dep.pair_id AND own.line_b = adj.line_b),
+st AS (SELECT line_code, station_id, station_name, {_SX} AS sx, {_SY} AS sy FROM stations),
+cand AS (SELECT br.*, st.* FROM br JOIN st ON st.line_code = br.line_b
+         UNION ALL SELECT br.*, st.* FROM br JOIN dep ON dep.pair_id = br.pair_id JOIN st ON st.line_code = dep.line_code),
+near AS (SELECT pair_id, fb, fa, arg_min(station_name, (sqrt((sx - cx) * (sx - cx) + (sy - cy) * (sy - cy)), station_id)) AS transfer_station
+         FROM cand GROUP BY pair_id, fb, fa),
+pos AS (SELECT station_name, {R(sql_mean_exact('latitude'), 6)} AS la, {R(sql_mean_exact('longitude'), 6)} AS lo FROM stations GROUP BY station_name),
+close AS (SELECT pos.station_name, arg_min(s.station_name, (sqrt((longitude - lo) * (longitude - lo) + (latitude - la) * (latitude - la)), station_id)) AS n
+          FROM pos, stations s GROUP BY pos.station_name),
+ends AS (SELECT DISTINCT pair_id, n FROM station_pairs JOIN close ON station_name IN (dep_station, arr_station)),
+first_pos AS (SELECT station_name AS transfer_station, arg_min(latitude, station_id) AS transfer_lat,
+                     arg_min(longitude, station_id) AS transfer_lon FROM stations GROUP BY station_name),
+opts AS (SELECT DISTINCT pair_id, line_id, line_name, {R('length_km', 1)} AS length_km, transfer_station
+         FROM near JOIN lines l ON l.feature = fb ANTI JOIN ends e ON e.pair_id = near.pair_id AND e.n = transfer_station),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY pair_id, transfer_station ORDER BY length_km DESC, line_id) AS r FROM opts),
+r2 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY pair_id ORDER BY length_km DESC, line_id, transfer_station) AS option
+       FROM r1 WHERE r = 1),
+res AS (SELECT pair_id, 'direct' AS kind, 1 AS option, line_id, line_name, {R('length_km', 1)} AS length_km,
+               NULL AS transfer_station, NULL AS transfer_lat, NULL AS transfer_lon FROM direct JOIN lines USING (line_id)
+        UNION ALL SELECT pair_id, 'transfer', option, line_id, line_name, length_km, transfer_station, transfer_lat, transfer_lon
+        FROM r2 JOIN first_pos USING (transfer_station) WHERE option <= 5)
+SELECT p.pair_id, dep_station, arr_station, coalesce(kind, 'none') AS kind, CAST(option AS INTEGER) AS option, line_id,
+       line_name, length_km, transfer_station, transfer_lat, transfer_lon FROM station_pairs p LEFT JOIN res USING (pair_id)""")(
+    lambda s, d: RL.routes(_t(s, d).station_pairs, _t(s, d).line_vertices, _lines(_t(s, d)), _t(s, d).stations,
+                           contacts=_stored_contacts(s, d)))
+
 register("nearest_stations", W("sites", "stations") + f"""
 , st AS (SELECT station_id, station_name, {_SX} AS sx, {_SY} AS sy FROM stations),
 pt AS (SELECT id, {_SX} AS px, {_SY} AS py FROM sites),

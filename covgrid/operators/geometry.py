@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
-from covgrid.session import ship_package, spread
+from covgrid.session import materialize, ship_package, spread
 
 
 # ------------------------------------------------------------------ lines
@@ -201,15 +201,91 @@ def _simplify_geometry_batches(tol: float, rings_col: str):
     return run
 
 
+#: A geometry with a ring of more points is simplified point by point over many tasks.
+LARGE_RING = 200_000
+
+
+def kept_points(points: DataFrame, tolerance: float) -> DataFrame:
+    """Douglas-Peucker on polylines of any length: the kept rows of ``points(key..,
+    seq, x, y)``, ``seq`` being dense from 0 within the other columns.
+
+    All polylines at once, one round per level of the recursion: every undecided
+    point knows the chord it lies under; each chord's farthest point (the first of
+    equals) splits it if it is farther than ``tolerance``, else its points are dropped.
+    A round is an aggregation by chord, merged before the shuffle, and an
+    equi-join of the split chords back to their points; a point leaves as soon as it is
+    decided.  Undecided points are written between rounds."""
+    key = [c for c in points.columns if c not in ("seq", "x", "y")]
+    c = F.col
+    end = points.groupBy(*key).agg(F.max("seq").alias("_j"))
+    at = points.select(*key, "seq", F.struct("x", "y").alias("_p"))
+    ends = (end.join(at.where("seq = 0").select(*key, c("_p").alias("_a")), key)
+            .join(at.select(*key, c("seq").alias("_j"), c("_p").alias("_b")), [*key, "_j"]))
+    kept = points.join(end, key).where("seq = 0 OR seq = _j").select(points.columns)
+    under = points.join(ends, key).where("seq > 0 AND seq < _j").select(
+        *points.columns, F.lit(0).cast(points.schema["seq"].dataType).alias("_i"), "_j", "_a", "_b")
+    done = [materialize(kept, "kept")]
+    while True:
+        under = materialize(under, "under")
+        if under.isEmpty():
+            break
+        d = under.selectExpr("*", "_b.x - _a.x AS _dx", "_b.y - _a.y AS _dy")
+        d = d.selectExpr("*", "_dx * _dx + _dy * _dy AS _l2")
+        d = d.selectExpr("*", "CASE WHEN _l2 = 0 THEN 0D ELSE least(1D, greatest(0D, ((x - _a.x) * _dx + (y - _a.y) * _dy) "
+                              "/ _l2)) END AS _t")
+        d = d.selectExpr("*", "hypot(x - (_a.x + _t * _dx), y - (_a.y + _t * _dy)) AS _d")
+        far = d.groupBy(*key, "_i").agg(F.max(F.struct("_d", (-c("seq")).alias("_s"), "x", "y")).alias("_f"))
+        far = far.where(c("_f._d") > tolerance).select(*key, "_i", (-c("_f._s")).alias("_m"),
+                                                       F.struct("_f.x", "_f.y").alias("_pm"))
+        split = under.join(far, [*key, "_i"])
+        done.append(materialize(split.where("seq = _m").select(points.columns), "kept"))
+        left = c("seq") < c("_m")
+        under = split.where("seq <> _m").select(
+            *points.columns, F.when(left, c("_i")).otherwise(c("_m")).alias("_i"),
+            F.when(left, c("_m")).otherwise(c("_j")).alias("_j"),
+            F.when(left, c("_a")).otherwise(c("_pm")).alias("_a"), F.when(left, c("_pm")).otherwise(c("_b")).alias("_b"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def simplify_large(geoms: DataFrame, tolerance: float, rings_col: str = "rings") -> DataFrame:
+    """The result of ``simplify_geometries`` for geometries of very large rings
+    (``id`` is unique): their points are dealt out as rows."""
+    rows = geoms.select("id", F.explode(rings_col).alias("r")).select("id", "r.part", "r.ring", F.posexplode("r.pts").alias(
+        "seq", "p")).select("id", "part", "ring", "seq", "p.x", "p.y")
+    kept = kept_points(materialize(rows, "points"), tolerance)
+    rings = (kept.groupBy("id", "part", "ring")
+             .agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("x", "y").alias("p")))).alias("_v"))
+             .where(F.size("_v") >= 4).select("id", "part", "ring", F.transform("_v", lambda v: v["p"]).alias("pts")))
+    shells = rings.where("ring = 0").select("id", "part")
+    rings = rings.join(shells, ["id", "part"], "left_semi")
+    found = rings.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "ring", "pts"))).alias("_rings"))
+    none = F.filter(rings_col, lambda r: F.lit(False))
+    return (geoms.join(found, "id", "left").withColumn(rings_col, F.coalesce(F.col("_rings"), none))
+            .select(geoms.columns))
+
+
 def simplify_geometries(geoms: DataFrame, tolerance: float, rings_col: str = "rings") -> DataFrame:
     """Douglas-Peucker on every ring of every geometry row (numpy inside
     Arrow batches; geometries are independent, so Spark spreads them over
     all tasks and no shuffle regroups rings).  Collapsed rings (< 4 points)
-    are dropped, and a collapsed shell takes its polygon part's holes."""
+    are dropped, and a collapsed shell takes its polygon part's holes.  For
+    geometries with a ring over ``LARGE_RING`` points see ``simplify_large``."""
     ship_package(geoms.sparkSession)
     return spread(geoms).mapInArrow(_simplify_geometry_batches(float(tolerance), rings_col), geoms.schema)
 
 
+def simplify_any(geoms: DataFrame, tolerance: float, rings_col: str = "rings", large: int = LARGE_RING) -> DataFrame:
+    """``simplify_geometries``, with the geometries that hold a ring of more than
+    ``large`` points through ``simplify_large``.  Runs the rounds of those at once, so
+    it is for writing a stage, not for a lazy query."""
+    big = F.coalesce(F.exists(rings_col, lambda r: F.size(r["pts"]) > large), F.lit(False))
+    return simplify_geometries(geoms.where(~big), tolerance, rings_col).unionByName(
+        simplify_large(geoms.where(big), tolerance, rings_col))
+
+
 def geometry_bbox(rings_col: str = "rings") -> list:
     """Bounding-box columns of a nested geometry, computed in the row."""
     pts = F.flatten(F.transform(rings_col, lambda r: r["pts"]))

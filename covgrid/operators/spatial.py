@@ -85,6 +85,8 @@ def segment_edge_contacts(pairs: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- quadtree leaves
 QUAD_DEPTH = 6
 QUAD_LIMIT = 2_000
+#: No cell is split that holds less than this share of all places, so no more cells than this are.
+QUAD_SPLITS = 10_000
 
 
 def dense_cells(places: DataFrame, top: float, depth: int = QUAD_DEPTH, limit: int = QUAD_LIMIT) -> DataFrame:
@@ -92,13 +94,18 @@ def dense_cells(places: DataFrame, top: float, depth: int = QUAD_DEPTH, limit: i
     cell of side ``top`` with more than ``limit`` places.  ``inner[i]`` tells whether
     node ``i`` of that cell (its levels one after the other, each row by row) is
     split: it holds more than ``limit`` places and is not on the last level.  One
-    count per finest cell; an array has (4 ** depth - 1) / 3 entries."""
+    count per finest cell; an array has (4 ** depth - 1) / 3 entries.
+
+    A cell is only split if it holds more than one part in ``QUAD_SPLITS`` of all
+    places, so there are fewer rows than that, whatever the data: 15 MB at most,
+    which is why ``quad_cells`` may broadcast them."""
     finest = float(top) / 2 ** depth
     n = places.groupBy(E.cell("x", finest).alias("fx"), E.cell("y", finest).alias("fy")).agg(
         F.count(F.lit(1)).alias("n"))
     up = n.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
     cells = up.selectExpr("d", f"shiftright(fx, {depth} - d) AS cx", f"shiftright(fy, {depth} - d) AS cy", "n")
-    cells = cells.groupBy("d", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    enough = n.agg(F.greatest(F.lit(limit), F.coalesce(F.sum("n"), F.lit(0)) / QUAD_SPLITS).alias("n")).scalar()
+    cells = cells.groupBy("d", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") > enough)
     node = ("CAST((power(4, d) - 1) / 3 + pmod(cy, shiftleft(1L, d)) * shiftleft(1L, d) + pmod(cx, shiftleft(1L, d)) "
             "AS INT) AS node")
     nodes = cells.selectExpr("shiftright(cx, d) AS tx", "shiftright(cy, d) AS ty", node)
@@ -107,15 +114,26 @@ def dense_cells(places: DataFrame, top: float, depth: int = QUAD_DEPTH, limit: i
         "tx", "ty", f"transform(sequence(0, {size - 1}), i -> array_contains(_s, i)) AS inner")
 
 
-def quad_cells(df: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str, dense: DataFrame, top: float,
+def meeting_places(segs: DataFrame, poly_rings: DataFrame) -> DataFrame:
+    """``(x, y)`` of what the quadtree of lines and polygons counts: one place per
+    segment and per polygon edge."""
+    edg = G.edges(poly_rings.select("pts"))
+    return segs.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(
+        edg.select(F.col("ax").alias("x"), F.col("ay").alias("y")))
+
+
+def quad_cells(df: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str, dense: DataFrame | None, top: float,
                depth: int = QUAD_DEPTH) -> DataFrame:
     """Each row once per quadtree leaf that its box overlaps: ``qd`` (level), ``cx``,
     ``cy`` (the cell among those of that level).  The row's cells of side ``top`` are
-    joined to the inner nodes; below a cell that has none, nothing is done."""
+    joined to the inner nodes; below a cell that has none, nothing is done.  No
+    ``dense`` table: no cell is split."""
     z = float(top)
+    if dense is None:
+        return G.bbox_cells(df.withColumn("qd", F.lit(0)), xmin, ymin, xmax, ymax, z)
     at = df.withColumn("tx", F.explode(E.cell_range(xmin, xmax, z))).withColumn(
         "ty", F.explode(E.cell_range(ymin, ymax, z)))
-    at = at.join(dense, ["tx", "ty"], "left")
+    at = at.join(F.broadcast(dense), ["tx", "ty"], "left")  # bounded, see dense_cells
     cells = "array(named_struct('d', 0, 'cx', tx, 'cy', ty))"
     for d in range(depth):
         side = repr(z / 2 ** (d + 1))
@@ -145,7 +163,7 @@ def _overlap_in_ref_leaf(a: str, b: str, top: float) -> Column:
 # ------------------------------------------------------------ lines in polygons
 def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.0,
                    band: float | None = None, box_cell: float | None = None, inside: str = "ray",
-                   union: bool = False, limit: int = QUAD_LIMIT) -> DataFrame:
+                   union: bool = False, limit: int = QUAD_LIMIT, grid: DataFrame | str | None = "count") -> DataFrame:
     """Length of each line feature inside each polygon it intersects.
 
     segs:       feature, part, seg, x1, y1, x2, y2, len (metres)
@@ -161,7 +179,8 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     Segments longer than ``cell`` are cut.  Segments meet edges and the boxes of
     whole polygon parts on the leaves of a quadtree from cells of ``box_cell``
     (default 4 x cell) down, split while they hold more than ``limit`` segments
-    and edges.
+    and edges.  They are counted in the same plan, or ``grid`` is a stored table
+    of such counts (``dense_cells``), or None where none is so dense.
 
     ``inside`` picks how pieces are classified: ``"ray"`` tests every piece
     midpoint against the polygon part's edges in its band; ``"walk"`` walks
@@ -171,7 +190,7 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
     edge).  The walk reads far fewer edges on large rings.
     """
     c = F.col
-    pieces = inside_pieces(segs, poly_rings, cell, band, box_cell, inside, limit)
+    pieces = inside_pieces(segs, poly_rings, cell, band, box_cell, inside, limit, grid)
     held = c("n") % 2 == 1
     if union:
         # gaps and islands within each segment piece: what of an interval lies past all before it
@@ -191,7 +210,8 @@ def covered_length(segs: DataFrame, poly_rings: DataFrame, cell: float = 10_000.
 
 
 def inside_pieces(segs: DataFrame, poly_rings: DataFrame, cell: float, band: float | None = None,
-                  box_cell: float | None = None, inside: str = "ray", limit: int = QUAD_LIMIT) -> DataFrame:
+                  box_cell: float | None = None, inside: str = "ray", limit: int = QUAD_LIMIT,
+                  grid: DataFrame | str | None = "count") -> DataFrame:
     """The pieces into which polygon parts cut the segments near them: segment
     keys, polygon keys, start ``k`` and end ``t1`` as fractions of the segment
     of length ``len``, ``touch`` (the two meet) and ``n`` (odd: inside)."""
@@ -210,8 +230,7 @@ def inside_pieces(segs: DataFrame, poly_rings: DataFrame, cell: float, band: flo
     pbox = G.ring_bbox(pr, *pkey).select(*pkey, F.col("xmin").alias("px0"), F.col("ymin").alias("py0"),
                                          F.col("xmax").alias("px1"), F.col("ymax").alias("py1"))
     edg = G.edges(pr.select(*pkey, "ring", "pts"))
-    dense = dense_cells(segs.select(F.col("x1").alias("x"), F.col("y1").alias("y"))
-                        .unionByName(edg.select(F.col("ax").alias("x"), F.col("ay").alias("y"))), top, limit=limit)
+    dense = dense_cells(meeting_places(segs, pr), top, limit=limit) if isinstance(grid, str) else grid
     seg_cells = quad_cells(seg_box, "sx0", "sy0", "sx1", "sy1", dense, top)
 
     # 1. candidate (segment, polygon part) pairs from box cells: segments

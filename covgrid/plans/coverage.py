@@ -11,6 +11,7 @@ from covgrid.operators import geometry as G
 from covgrid.operators import points as P
 from covgrid.operators import spatial as S
 from covgrid.operators.predicates import check_range
+from covgrid.session import materialize
 
 SIMPLIFY_TOLERANCE = 5000.0  # metres, analysis and per-operator export
 TILE_TOLERANCE = 750.0       # metres, map tile export
@@ -47,23 +48,33 @@ def simplified_summary(stg: DataFrame) -> DataFrame:
                       n.alias("n_points"))
 
 
+def simplified_points(shapes: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
+    """The vertices that simplification keeps: one row per geometry, part, ring and
+    place in the simplified ring."""
+    r = G.rings(G.simplify_geometries(shapes, tolerance))
+    p = r.select("id", "part", "ring", F.posexplode("pts").alias("idx", "p"))
+    return p.select("id", "part", "ring", F.col("idx").cast("long").alias("idx"), "p.x", "p.y")
+
+
 def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operators: DataFrame,
                    technology: str = "4G", line_ids: list[str] | None = None, buffer_km: float = 2.0,
-                   cell: float = 10_000.0, inside: str = "ray", union: bool = False) -> DataFrame:
+                   cell: float = 10_000.0, inside: str = "ray", union: bool = False,
+                   grid: DataFrame | str | None = "count") -> DataFrame:
     """Covered km and percent of each railway line per operator.
 
     Sums over overlapping polygons and quarters, then caps at the line
     length; with ``union`` a stretch that several polygons cover counts once; operators with no intersecting polygon are absent; touching
     only gives a 0.0 row.  ``technology='all'`` takes every technology's polygons.  ``buffer_km`` only widens the reference's box
     prefilter, which cannot change the result (the line itself is
-    intersected), so it is validated and otherwise unused.
+    intersected), so it is validated and otherwise unused.  ``grid``: see
+    ``spatial.covered_length``; ``stored_grid`` gives one.
     """
     check_range("buffer_km", buffer_km, 0.1, 10)
     if line_ids:
         vertices, lines = (df.filter(F.col("line_id").isin(line_ids)) for df in (vertices, lines))
     segs = G.segments(vertices).join(G.pick_features(lines), ["line_id", "feature"], "left_semi")
     polys = G.rings(stg if technology == "all" else stg.filter(F.col("technology") == technology), "operator_code")
-    pairs = S.covered_length(segs, polys, cell=cell, inside=inside, union=union)
+    pairs = S.covered_length(segs, polys, cell=cell, inside=inside, union=union, grid=grid)
     per = (
         pairs.join(lines.select("feature", "line_id", "length_km"), "feature")
         .groupBy("line_id", "operator_code")
@@ -80,6 +91,15 @@ def route_coverage(vertices: DataFrame, lines: DataFrame, stg: DataFrame, operat
     )
 
 
+def stored_grid(vertices: DataFrame, stg: DataFrame, cell: float = 10_000.0) -> DataFrame | None:
+    """The dense cells of the lines and the simplified coverage as a stored table, to be
+    kept beside the stage; None where no cell is dense.  Lines longer than ``cell``
+    are counted by the pieces they are cut into."""
+    segs = G.split_segments(G.segments(vertices), cell)
+    found = materialize(S.dense_cells(S.meeting_places(segs, G.rings(stg)), 4 * cell), "grid")
+    return None if found.isEmpty() else found
+
+
 def route_contract_checks(route_rows: DataFrame) -> DataFrame:
     """Result-contract violations of route coverage rows: percent outside
     0..100, negative lengths, more covered than the line is long (beyond the

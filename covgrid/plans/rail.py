@@ -337,3 +337,109 @@ def route_extent(stations: DataFrame, station_names: list[str], pad_lon: float =
     return pos.agg((F.min("lon") - pad_lon).alias("west"), (F.min("lat") - pad_lat).alias("south"),
                    (F.max("lon") + pad_lon).alias("east"), (F.max("lat") + pad_lat).alias("north"),
                    F.count(F.lit(1)).alias("stations"))
+
+
+# ------------------------------------------------------------ pairs of stations
+
+def line_contacts(segs: DataFrame, ends: DataFrame | None = None, distance: float = ADJACENCY_M) -> DataFrame:
+    """Lines within ``distance`` of the lines ``ends(line_id)``, or of any: ``(line_a, fa,
+    line_b, fb, contact)``, ``a`` an end line, in one pass for all of them.  Cells are
+    a few distances wide and segments are cut to that length, so a cell holds few."""
+    cell = 4 * distance
+    small = G.split_segments(segs, cell)
+    # pieces are numbered along their feature, so ties fall as between whole segments
+    small = small.withColumn("seg", F.col("seg").cast("long") * 1_000_000 + F.col("piece"))
+    own = small if ends is None else small.join(ends, "line_id", "left_semi")
+    return line_adjacency(own, small, distance, cell)
+
+
+def pair_transfers(pairs: DataFrame, vertices: DataFrame, lines: DataFrame, stations: DataFrame,
+                   limit: int = 5, contacts: DataFrame | None = None) -> DataFrame:
+    """Interchanges of each pair ``(pair_id, dep_station, arr_station)`` of station names:
+    what ``transfers`` gives for one pair, for a whole table, plus ``option`` from 1.
+
+    Every end line's contacts are found once, however many pairs it serves.  A
+    bridge's candidate stations are matched once per contact (of the bridge and
+    the departure line it touches) and once per contact and other departure line of
+    the pair.  ``contacts``: a stored table of all lines' contacts (``line_contacts``)."""
+    c = F.col
+    codes = stations.select("station_name", c("line_code").alias("line_id")).distinct()
+    side = lambda name: (pairs.select("pair_id", c(name).alias("station_name")).join(codes, "station_name")
+                         .select("pair_id", "line_id").distinct())
+    dep, arr = side("dep_station"), side("arr_station")
+    own = dep.union(arr).distinct()
+    adj = contacts
+    if adj is None:
+        adj = line_contacts(G.segments(vertices), own.select("line_id").distinct())
+    touch = adj.select(c("line_a"), c("fa"), c("line_b").alias("bridge"), c("fb").alias("feature"), "contact")
+    from_dep = touch.join(dep.withColumnRenamed("line_id", "line_a"), "line_a")
+    to_arr = (touch.join(arr.withColumnRenamed("line_id", "line_a"), "line_a").select("pair_id", "feature").distinct())
+    bridge = (from_dep.join(to_arr, ["pair_id", "feature"], "left_semi")
+              .join(own.withColumnRenamed("line_id", "bridge"), ["pair_id", "bridge"], "left_anti"))
+
+    # the station nearest to the contact, on the bridge or on any departure line of the pair
+    sx, sy = E.lambert_xy("longitude", "latitude")
+    st = stations.select(c("line_code").alias("on"), "station_id", "station_name", sx.alias("sx"), sy.alias("sy"))
+    contact = bridge.select("feature", "bridge", "fa", c("contact.x").alias("x"), c("contact.y").alias("y"))
+    d = E.seg_len("sx", "sy", "x", "y")
+    best = F.min(F.struct(d.alias("d"), "station_id", "station_name")).alias("best")
+    on_bridge = (contact.distinct().join(st, c("bridge") == c("on")).groupBy("feature", "fa").agg(best))
+    deps = bridge.select("pair_id", "feature", "fa", c("contact.x").alias("x"), c("contact.y").alias("y")).join(
+        dep.withColumnRenamed("line_id", "on"), "pair_id")
+    on_dep = (deps.select("feature", "fa", "x", "y", "on").distinct().join(st, "on")
+              .groupBy("feature", "fa", "on").agg(best))
+    near = (bridge.select("pair_id", "feature", "fa").join(on_bridge, ["feature", "fa"])
+            .unionByName(deps.select("pair_id", "feature", "fa", "on").join(on_dep, ["feature", "fa", "on"]).drop("on"))
+            .groupBy("pair_id", "feature", "fa").agg(F.min("best").alias("best")))
+
+    # the names nearest to the pair's own positions are no interchange
+    ends = (pairs.select("pair_id", c("dep_station").alias("station_name"))
+            .unionByName(pairs.select("pair_id", c("arr_station").alias("station_name"))))
+    at = station_positions(stations, ends.select("station_name").distinct())
+    close = P.nearest(at.select(c("station_name").alias("point_id"), c("longitude").alias("x"), c("latitude").alias("y")),
+                      stations.select(c("station_id").alias("target_id"), c("longitude").alias("x"),
+                                      c("latitude").alias("y")), finest=0.01)
+    close = close.join(stations.select(c("station_id").alias("target_id"), c("station_name").alias("name")), "target_id")
+    ends = (ends.join(close.select(c("point_id").alias("station_name"), "name"), "station_name")
+            .select("pair_id", c("name").alias("transfer_station")).distinct())
+    first = stations.groupBy(c("station_name").alias("transfer_station")).agg(
+        F.min_by("latitude", "station_id").alias("transfer_lat"), F.min_by("longitude", "station_id").alias("transfer_lon"))
+    opts = (near.join(lines.select("feature", "line_id", "line_name", "length_km"), "feature")
+            .select("pair_id", "line_id", "line_name", E.round_half("length_km", 1).alias("length_km"),
+                    c("best.station_name").alias("transfer_station")).distinct()
+            .join(ends, ["pair_id", "transfer_station"], "left_anti").join(first, "transfer_station"))
+    one = Window.partitionBy("pair_id", "transfer_station").orderBy(F.desc("length_km"), "line_id")
+    order = Window.partitionBy("pair_id").orderBy(F.desc("length_km"), "line_id", "transfer_station")
+    return (opts.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
+            .withColumn("option", F.row_number().over(order)).where(c("option") <= limit))
+
+
+def station_positions(stations: DataFrame, names: DataFrame) -> DataFrame:
+    """Mean position (6 dp) of the stations of each name, as the station search gives it."""
+    return (stations.join(names, "station_name", "left_semi").groupBy("station_name")
+            .agg(E.round_half(E.mean_exact("latitude"), 6).alias("latitude"),
+                 E.round_half(E.mean_exact("longitude"), 6).alias("longitude")))
+
+
+def routes(pairs: DataFrame, vertices: DataFrame, lines: DataFrame, stations: DataFrame, limit: int = 5,
+           contacts: DataFrame | None = None) -> DataFrame:
+    """How to get from one station to another, for a table of pairs ``(pair_id,
+    dep_station, arr_station)``: ``direct`` rows name the first common line; a pair
+    without one gets its ``transfer`` rows instead; a pair with neither, or with an
+    unknown station, gets one ``none`` row.  One plan: the pairs that have a direct
+    route are taken out by an anti-join before any contact is sought."""
+    c = F.col
+    codes = stations.select("station_name", "line_code").distinct()
+    dep = pairs.join(codes.withColumnRenamed("station_name", "dep_station"), "dep_station")
+    both = dep.join(codes.withColumnRenamed("station_name", "arr_station"), ["arr_station", "line_code"])
+    direct = both.groupBy("pair_id").agg(F.min("line_code").alias("line_id"))
+    names = lines.groupBy("line_id").agg(F.max_by(F.struct("line_name", "length_km"), F.struct(
+        c("length_km"), -c("feature"))).alias("l"))
+    found = direct.join(names, "line_id", "left").select(
+        "pair_id", F.lit("direct").alias("kind"), F.lit(1).alias("option"), "line_id", "l.line_name",
+        E.round_half("l.length_km", 1).alias("length_km"), F.lit(None).cast("string").alias("transfer_station"),
+        F.lit(None).cast("double").alias("transfer_lat"), F.lit(None).cast("double").alias("transfer_lon"))
+    rest = pairs.join(direct, "pair_id", "left_anti")
+    changes = pair_transfers(rest, vertices, lines, stations, limit, contacts).withColumn("kind", F.lit("transfer"))
+    out = found.unionByName(changes.select(found.columns))
+    return pairs.join(out, "pair_id", "left").withColumn("kind", F.coalesce("kind", F.lit("none")))

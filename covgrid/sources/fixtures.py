@@ -70,6 +70,21 @@ def coverage(part: DataFrame) -> DataFrame:
         "concat_ws('_', quarter, operator_code, technology) AS source_file")
 
 
+def shapes(part: DataFrame) -> DataFrame:
+    """Polygons that are not convex: squares whose four sides are bent at their
+    middle, out or in, by 1,000 to 8,000 m.  (id, operator_code, technology, rings)."""
+    h = "(hw + 10000)"
+    bend = lambda k: (f"(CASE WHEN (id + {k}) % 3 = 0 THEN -1 ELSE 1 END * "
+                      f"element_at(array(1000, 3500, 6000, 8000), CAST((id + {k} * {k}) % 4 AS INT) + 1))")
+    pts = [("cx - {h}", "cy - {h}"), ("cx", "cy - ({h} + {0})"), ("cx + {h}", "cy - {h}"), ("cx + {h} + {1}", "cy"),
+           ("cx + {h}", "cy + {h}"), ("cx", "cy + {h} + {2}"), ("cx - {h}", "cy + {h}"), ("cx - ({h} + {3})", "cy"),
+           ("cx - {h}", "cy - {h}")]
+    ring = ", ".join("named_struct('x', {}, 'y', {})".format(*(v.format(*(bend(k) for k in range(4)), h=h) for v in p))
+                     for p in pts)
+    return coverage_squares(part).selectExpr(
+        "id", "operator_code", "technology", f"array(named_struct('part', 0, 'ring', 0, 'pts', array({ring}))) AS rings")
+
+
 def line_vertices(supplier: DataFrame) -> DataFrame:
     """Railway line vertices (line_id, feature, part, seq, x, y) in metres:
     45 vertices per supplier, zig-zagging so every segment moves in x and y."""
@@ -100,6 +115,15 @@ def stations(supplier: DataFrame) -> DataFrame:
     )
 
 
+def station_pairs(supplier: DataFrame) -> DataFrame:
+    """Pairs of station names to travel between: every third on one line, every
+    tenth to a name that no station has, the others anywhere."""
+    return supplier.selectExpr(
+        "s_suppkey AS pair_id", "concat('Gare ', CAST((s_suppkey * 7) % 130 AS STRING)) AS dep_station",
+        "concat('Gare ', CAST(CASE WHEN s_suppkey % 10 = 0 THEN 999 WHEN s_suppkey % 3 = 0 THEN (s_suppkey * 7 + 12) % 130 "
+        "ELSE (s_suppkey * 11 + 6) % 130 END AS STRING)) AS arr_station")
+
+
 def fixture_mart(sites_df: DataFrame) -> DataFrame:
     """mart_coverage_by_commune as the test fixture defines it: the real
     antenna aggregate plus invented coverage_pct / population."""
@@ -140,6 +164,10 @@ class Tables:
     def coverage(self) -> DataFrame:
         return coverage(self._read("part"))
 
+    @cached_property
+    def shapes(self) -> DataFrame:
+        return shapes(self._read("part"))
+
     @cached_property
     def line_vertices(self) -> DataFrame:
         return line_vertices(self._supplier)
@@ -148,6 +176,10 @@ class Tables:
     def stations(self) -> DataFrame:
         return stations(self._supplier)
 
+    @cached_property
+    def station_pairs(self) -> DataFrame:
+        return station_pairs(self._supplier)
+
     @cached_property
     def mart(self) -> DataFrame:
         return fixture_mart(self.sites)
@@ -193,6 +225,10 @@ SELECT lpad(CAST(s_suppkey * 10 + i AS VARCHAR), 8, '0') AS station_id,
        46.5 + (6150000 + (s_suppkey * 64217 % 800000) + (CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END) * i * 15000 - 6600000) / CAST(111200 AS DOUBLE) AS latitude,
        3 + (150000 + (s_suppkey * 78901 % 600000) + i * 40000 - 700000) / CAST(76500 AS DOUBLE) AS longitude
 FROM (SELECT s_suppkey, unnest([0, 4, 8]) AS i FROM supplier)""",
+    "station_pairs": """
+SELECT s_suppkey AS pair_id, concat('Gare ', CAST((s_suppkey * 7) % 130 AS VARCHAR)) AS dep_station,
+       concat('Gare ', CAST(CASE WHEN s_suppkey % 10 = 0 THEN 999 WHEN s_suppkey % 3 = 0 THEN (s_suppkey * 7 + 12) % 130 ELSE (s_suppkey * 11 + 6) % 130 END AS VARCHAR)) AS arr_station
+FROM supplier""",
     "mart": """
 SELECT commune_code, commune_name, department_code, operator AS operator_code, technology,
        '2025_T3' AS quarter,
@@ -207,7 +243,7 @@ GROUP BY commune_code, commune_name, department_code, operator, technology""",
 def oracle_with(*names: str) -> str:
     """``WITH`` prefix defining the named derived tables (dependencies
     first) for an oracle query."""
-    order = ["sites", "squares", "line_vertices", "stations", "mart"]
+    order = ["sites", "squares", "line_vertices", "stations", "station_pairs", "mart"]
     need = set(names)
     if "mart" in need:
         need.add("sites")

@@ -1,8 +1,11 @@
 """Douglas-Peucker simplification of nested geometries."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from covgrid.operators import geometry as G
+from covgrid.sources import fixtures as FX
 
 SCHEMA = "id long, rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>"
 
@@ -69,3 +72,41 @@ def test_wiggly_ring_matches_textbook_dp(spark):
     for tol in (300.0, 1000.0, 5000.0):
         (_, _, kept), = simplified(spark, [(0, 0, pts)], tol)
         assert kept == _dp_reference(pts, tol), tol
+
+
+# ------------------------------------------------------- rings beyond one task
+def _wave(n, seed):
+    """A closed, rough ring: several waves and noise."""
+    rng = np.random.default_rng(seed)
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = 50_000 + 9_000 * np.sin(5 * a) + 2_500 * np.sin(31 * a) + rng.normal(0, 300, n)
+    x, y = 600_000 + r * np.cos(a), 6_600_000 + r * np.sin(a)
+    return np.r_[x, x[:1]], np.r_[y, y[:1]]
+
+
+@pytest.mark.parametrize("n,tol", [(300_000, 6_000.0)])
+def test_kept_points_equal_numpy(spark, n, tol):
+    x, y = _wave(n, n)
+    pdf = pd.DataFrame({"ring": 1, "seq": np.arange(len(x)), "x": x, "y": y})
+    lines = pd.DataFrame({"ring": 2, "seq": np.arange(50), "x": np.arange(50.0) * 100, "y": np.arange(50.0) % 2 * 9_000})
+    points = spark.createDataFrame(pd.concat([pdf, lines]))  # a closed ring and an open line in one run
+    got = G.kept_points(points, tol).collect()
+    for ring, xs, ys in ((1, x, y), (2, lines.x.to_numpy(), lines.y.to_numpy())):
+        kept = sorted(r.seq for r in got if r.ring == ring)
+        assert kept == np.flatnonzero(G._dp_keep(xs, ys, tol)).tolist()
+    assert len(got) < n / 2
+
+
+def test_large_geometries_equal_small_ones(spark):
+    """Both ways on the same shapes: bent squares, one with a collapsing hole, one that collapses, one empty."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(25)
+    shapes = FX.shapes(part).select("id", "rings")
+    sq = [(0.0, 0.0), (9e4, 0.0), (9e4, 9e4), (0.0, 9e4), (0.0, 0.0)]
+    hole = [(1e4, 1e4), (1.1e4, 1e4), (1.1e4, 1.1e4), (1e4, 1e4)]
+    rows = [(900, [(0, 0, sq), (0, 1, hole)]), (901, [(0, 0, hole), (0, 1, hole)]), (902, [])]
+    shapes = shapes.unionByName(spark.createDataFrame(rows, shapes.schema))
+    small = {r.id: r.rings for r in G.simplify_geometries(shapes, 5_000.0).collect()}
+    large = {r.id: r.rings for r in G.simplify_any(shapes, 5_000.0, large=8).collect()}
+    assert large == small and len(small[900]) == 1 and small[901] == [] == small[902]
+    sizes = {len(r[0].pts) for i, r in small.items() if i < 900}
+    assert len(sizes) > 1 and min(sizes) < 9  # some bends are kept, others dropped
