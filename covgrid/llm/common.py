@@ -182,6 +182,32 @@ def bounded(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Bits of the filter of ``chosen``: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def chosen(df: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``id`` is in ``ids``.  A semi-join would shuffle every
+    row (and its text) for a few ids; so rows whose id meets no set bit of a bitmap
+    of the ids go first, where they are.  The bitmap is of fixed size: 64-bit words
+    are put together by a distributed aggregation, and at most ``bits / 64`` of them
+    reach the driver.  With very many ids it lets more rows through, and the join
+    still decides."""
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = ids.select(place.alias("p")).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p % 64 AS INT)) AS b")
+    words = at.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bitmap = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def may_be(places: pa.Array) -> pa.Array:
+        p = places.to_numpy(zero_copy_only=False)
+        return pa.array((bitmap.value[p >> 6] >> (p & 63)) & 1 == 1)
+
+    return df.where(F.col("id").isNotNull()).where(may_be(place)).join(ids, "id", "left_semi")
+
+
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """The rows of ``counts(.., n)`` with the largest ``n``, at most ``limit`` of
     them, without a global sort: counts are ranked in steps of an eighth of a

@@ -264,7 +264,7 @@ def dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
 
     def sets(batches):
         for batch in batches:
@@ -278,8 +278,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array(out, pa.binary())], ["id", "s"])
 
-    full = materialize(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary"),
-                       "sets")
+    full = materialize(common.chosen(docs, ids).select("id", "text").mapInArrow(sets, "id long, s binary"), "sets")
 
     def test(batches):
         for batch in batches:
@@ -352,9 +351,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
              .where("lo < hi").select("key", "size"))
     mixed = materialize(mixed, "mixed")
-    open_ids = named.join(mixed.select("key"), "key", "left_semi").select("id").distinct()
-    finer = materialize(long_signatures(docs.join(open_ids, "id", "left_semi").select("id", "text"), k, more_hashes,
-                                        bands, rows), "signatures")
+    open_ids = materialize(named.join(mixed.select("key"), "key", "left_semi").select("id").distinct(), "ids")
+    finer = materialize(long_signatures(common.chosen(docs, open_ids).select("id", "text"), k, more_hashes, bands, rows),
+                        "signatures")
     finer_steps = least_matches(t, more_hashes, BATCH, miss)
     open_rows = (dealt(named, mixed, block).join(finer, "id")
                  .select("key", "part", "id", "sig", "keys", "label"))

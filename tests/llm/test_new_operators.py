@@ -283,3 +283,18 @@ def test_op13_query(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in queries.op13_merkle_manifest(spark, str(tmp_path)).collect()), key=repr)
     assert got == brute_manifest([r.asDict() for r in df.collect()])
+
+
+# ------------------------------------------------------------------ chosen rows
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_chosen_equals_semi_join(spark, bits):
+    """A bitmap of one word lets nearly all through; the result is the same."""
+    from covgrid.llm import common
+
+    common.prepare(spark)
+    df = spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(400)] + [(5, "t5")], "id long, text string")
+    ids = spark.createDataFrame([(i * 13,) for i in range(40)] + [(-4,), (5,), (399,)], "id long")
+    got = sorted(map(tuple, common.chosen(df, ids, bits).collect()))
+    assert got == sorted(map(tuple, df.join(ids, "id", "left_semi").collect())) and ("t5",) * 2 == tuple(
+        t for i, t in got if i == 5)
+    assert common.chosen(df, ids.limit(0), bits).count() == 0
