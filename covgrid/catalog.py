@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covgrid import schema
+from covgrid.functions import expr as E
 from covgrid.functions.expr import sql_fixed_sum, sql_mean_exact, sql_planar_km, sql_round_half as R
 from covgrid.plans import antennas as A
 from covgrid.plans import mart as M
@@ -743,3 +744,92 @@ register("route_extent", W("stations") + f"""
 SELECT min(lon) - 0.5 AS west, min(lat) - 0.3 AS south, max(lon) + 0.5 AS east, max(lat) + 0.3 AS north,
        COUNT(*) AS stations FROM p""")(
     lambda s, d: RL.route_extent(_t(s, d).stations, ["Gare 14", "Gare 38"]))
+
+# ------------------------------------------------------------------- loads
+from covgrid.plans import loads as LD  # noqa: E402
+from covgrid.session import stage_path  # noqa: E402
+from covgrid.sources import coverage_files as CF  # noqa: E402
+from covgrid.sources import sinks  # noqa: E402
+
+
+@lru_cache(maxsize=16)
+def _loaded_coverage(s, d: str) -> DataFrame:
+    """A delivery of geometry blobs, loaded; its b files loaded once more."""
+    blobs = materialize(CF.encode_blobs(FX.delivery(_t(s, d).coverage)), "delivery")
+    return LD.load_twice(blobs, blobs.filter(F.col("source_file").endswith("_b")), stage_path(s, "raw-coverage"))
+
+
+register("coverage_load", W("squares") + """
+SELECT quarter, technology, operator_code, concat_ws('_', quarter, operator_code, technology,
+         CASE WHEN CAST(floor(id / 24) AS BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END) AS source_file,
+       COUNT(*) AS geometry_count, CAST(SUM(CASE WHEN hole_hw > 0 THEN 2 ELSE 1 END) AS BIGINT) AS rings,
+       CAST(SUM(CASE WHEN hole_hw > 0 THEN 10 ELSE 5 END) AS BIGINT) AS points,
+       CAST(SUM(4 * hw * hw - 4 * hole_hw * hole_hw) AS BIGINT) AS area_m2, true AS dated
+FROM squares GROUP BY ALL""")(
+    lambda s, d: LD.coverage_load(_loaded_coverage(s, d)))
+
+register("coverage_load_partition", W("squares") + """
+SELECT id, operator_code, technology, quarter, CAST(CASE WHEN hole_hw > 0 THEN 2 ELSE 1 END AS INTEGER) AS rings,
+       cx - hw AS bbox_xmin, cy - hw AS bbox_ymin, cx + hw AS bbox_xmax, cy + hw AS bbox_ymax
+FROM squares WHERE quarter = '2025_T3' AND technology = '4G' AND operator_code IN ('OF', 'SFR')""")(
+    lambda s, d: _loaded_coverage(s, d).filter("quarter = '2025_T3' AND technology = '4G' AND operator_code IN ('OF', 'SFR')")
+    .select("id", "operator_code", "technology", "quarter", F.size("rings").alias("rings"), *G.geometry_bbox("rings")))
+
+_WANTED = [("OF", "4G"), ("SFR", "2G"), ("ABSENT", "4G")]
+
+
+@lru_cache(maxsize=16)
+def _prepared(s, d: str) -> str:
+    path = stage_path(s, "prepared")
+    sinks.write_features(C.coverage_features(C.simplified_coverage(_t(s, d).coverage, C.TILE_TOLERANCE),
+                                             schema.ref_operators(s), "all"), path, ["operator", "technology"])
+    return path
+
+
+register("prepared_features", "SELECT operator, technology, feature FROM (" + _features_sql(750.0, "") + ") WHERE " + " OR ".join(
+    f"(operator = '{o}' AND technology = '{k}')" for o, k in _WANTED))(
+    lambda s, d: LD.prepared_features(s, _prepared(s, d), _WANTED))
+
+
+@lru_cache(maxsize=16)
+def _loaded_railway(s, d: str) -> tuple[DataFrame, DataFrame]:
+    t = _t(s, d)
+    parted = t.line_vertices.withColumn("part", F.expr("CASE WHEN feature % 3 = 0 AND seq >= 23 THEN 1 ELSE 0 END"))
+    names = t.line_vertices.select("line_id", "feature").distinct().select(
+        "line_id", "feature", F.lit("").alias("line_name"), F.lit(0.0).alias("length_km"))
+    routes = RL.route_geojson(parted, names).join(names.select("line_id", "feature"), "line_id")
+    at = t.stations.select("*", E.round_half("longitude", 7).alias("lon"), E.round_half("latitude", 7).alias("lat"))
+    paths = stage_path(s, "line-files"), stage_path(s, "station-files")
+    for text, path in zip((FX.line_feature_texts(routes), FX.station_feature_texts(at)), paths):
+        sinks.write_features(text, path, ["folder"])
+    return LD.railway_load(*paths, s)
+
+
+_KEPT_STATIONS = f"""
+, kept AS (
+  SELECT station_id, station_name, line_code, CASE WHEN k % 5 = 0 THEN 'None' ELSE commune END AS commune,
+         CASE WHEN k % 6 = 0 THEN '' ELSE department END AS department, lat AS latitude, lon AS longitude
+  FROM (SELECT *, CAST(station_id AS BIGINT) AS k, {R('latitude', 7)} AS lat, {R('longitude', 7)} AS lon FROM stations)
+  WHERE k % 9 <> 0 AND k % 14 <> 0 AND k % 10 <> 0 AND k % 12 <> 0 AND lat BETWEEN 41 AND 52 AND lon BETWEEN -6 AND 10)
+"""
+register("station_load", W("stations") + _KEPT_STATIONS + "SELECT *, true AS dated FROM kept")(
+    lambda s, d: _loaded_railway(s, d)[1].withColumn("dated", F.col("ingested_at").isNotNull()).drop("ingested_at"))
+
+_LX, _LY = sql_lambert_xy("lon", "lat")
+register("line_load", W("line_vertices", "stations") + _KEPT_STATIONS + f"""
+, ll AS (SELECT CASE WHEN feature % 13 = 0 THEN '' ELSE line_id END AS line_id, feature, seq,
+                CASE WHEN feature % 3 = 0 AND seq >= 23 THEN 1 ELSE 0 END AS part, {R(_LON, 7)} AS lon, {R(_LAT, 7)} AS lat
+         FROM line_vertices WHERE feature % 7 <> 0 AND feature % 11 <> 0),
+xy AS (SELECT *, {_LX} AS x, {_LY} AS y FROM ll),
+sg AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM xy WINDOW w AS (PARTITION BY feature, part ORDER BY seq)),
+l AS (SELECT line_id, feature, max(part) + 1 AS parts, COUNT(*) AS vertices,
+             {sql_fixed_sum('sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))', 6)} / 1000.0 AS length_km
+      FROM sg GROUP BY line_id, feature),
+names AS (SELECT line_code AS line_id, min(station_name) || ' — ' || max(station_name) AS label
+          FROM kept WHERE station_name <> '' GROUP BY line_code HAVING COUNT(DISTINCT station_name) >= 2)
+SELECT l.line_id, coalesce(n.label, '') AS line_name, CAST(parts AS BIGINT) AS parts, vertices, {R('length_km', 3)} AS length_km,
+       true AS dated
+FROM (SELECT *, unnest(range(CASE WHEN feature % 17 = 0 THEN 2 ELSE 1 END)) AS again FROM l) l LEFT JOIN names n USING (line_id)""")(
+    lambda s, d: _loaded_railway(s, d)[0].select(
+        "line_id", "line_name", "parts", "vertices", E.round_half("length_km", 3).alias("length_km"),
+        F.col("ingested_at").isNotNull().alias("dated")))

@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import sqlite3
 import struct
+from itertools import groupby
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covgrid import schema
 from covgrid.session import ship_package, task_slots
@@ -28,6 +31,7 @@ CHUNK_ROWS = 16  # geometries per read task unit (a national polygon can hold 30
 
 # --- fixed values: GeoPackage binary header envelope sizes by indicator ----
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
+SRS = 2154  # Lambert-93
 # --------------------------------------------------------------------------
 
 
@@ -86,6 +90,55 @@ def gpkg_rings(blob: bytes) -> list:
     return out
 
 
+def gpkg_blob(rings: list) -> bytes:
+    """A GeoPackage blob of the rings [(part, ring, n x 2 points)], which are in order."""
+    points = [p for _, _, p in rings if len(p)]
+    box = np.concatenate(points) if points else None
+    head = b"GP" + bytes([0, 1 | (2 if box is not None else 16)]) + struct.pack("<i", SRS)
+    if box is not None:
+        head += struct.pack("<4d", box[:, 0].min(), box[:, 0].max(), box[:, 1].min(), box[:, 1].max())
+    parts = [list(group) for _, group in groupby(rings, key=lambda r: r[0])]
+    body = [struct.pack("<BII", 1, 6, len(parts))]
+    for part in parts:
+        body.append(struct.pack("<BII", 1, 3, len(part)))
+        for _, _, p in part:
+            body += [struct.pack("<I", len(p)), np.ascontiguousarray(p, "<f8").tobytes()]
+    return head + b"".join(body)
+
+
+def _ring_column(geoms: list) -> pa.Array:
+    """Arrow column of geometries given as lists of (part, ring, xs, ys)."""
+    ring_off, pt_off, parts, ring_ids, xs, ys = [0], [0], [], [], [], []
+    for g in geoms:
+        for part, ring, x, y in g:
+            parts.append(part)
+            ring_ids.append(ring)
+            xs.append(x)
+            ys.append(y)
+            pt_off.append(pt_off[-1] + len(x))
+        ring_off.append(ring_off[-1] + len(g))
+    cx = np.concatenate(xs) if xs else np.zeros(0)
+    cy = np.concatenate(ys) if ys else np.zeros(0)
+    pts = pa.ListArray.from_arrays(pa.array(pt_off, pa.int32()),
+                                   pa.StructArray.from_arrays([pa.array(cx), pa.array(cy)], ["x", "y"]))
+    rings = pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(ring_ids, pa.int32()), pts],
+                                       ["part", "ring", "pts"])
+    return pa.ListArray.from_arrays(pa.array(ring_off, pa.int32()), rings)
+
+
+def _ring_rows(column: pa.Array):
+    """Per row of a ``rings`` column the list of (part, ring, n x 2 points)."""
+    part, ring, pts = column.flatten().flatten()
+    x, y = (c.to_numpy(zero_copy_only=False) for c in pts.flatten().flatten())
+    part, ring = part.to_numpy(), ring.to_numpy()
+    stops = np.cumsum(pc.list_value_length(pts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    for n in pc.list_value_length(column).fill_null(0).to_pylist():
+        yield [(part[i], ring[i], np.stack([x[a:stops[i]], y[a:stops[i]]], 1))
+               for i in range(at, at + n) for a in (stops[i - 1] if i else 0,)]
+        at += n
+
+
 def _open(path: str) -> sqlite3.Connection:
     """Read-only SQLite connection; accepts plain paths and file: URIs (as
     Spark's file sources report them).  Other schemes need a POSIX mount."""
@@ -137,26 +190,46 @@ def _read_chunks(batches):
                     geoms.append(gpkg_rings(blob) if blob is not None else [])
             finally:
                 con.close()
-            ring_off, pt_off, parts, ring_ids, xs, ys = [0], [0], [], [], [], []
-            for g in geoms:
-                for part, ring, x, y in g:
-                    parts.append(part)
-                    ring_ids.append(ring)
-                    xs.append(x)
-                    ys.append(y)
-                    pt_off.append(pt_off[-1] + len(x))
-                ring_off.append(ring_off[-1] + len(g))
-            cx = np.concatenate(xs) if xs else np.zeros(0)
-            cy = np.concatenate(ys) if ys else np.zeros(0)
-            pts = pa.ListArray.from_arrays(pa.array(pt_off, pa.int32()),
-                                           pa.StructArray.from_arrays([pa.array(cx), pa.array(cy)], ["x", "y"]))
-            rings = pa.StructArray.from_arrays([pa.array(parts, pa.int32()), pa.array(ring_ids, pa.int32()), pts],
-                                               ["part", "ring", "pts"])
-            col = pa.ListArray.from_arrays(pa.array(ring_off, pa.int32()), rings)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(fids, pa.int64()), col],
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(fids, pa.int64()), _ring_column(geoms)],
                                              names=["path", "fid", "rings"])
 
 
+def parse_blobs(rows: DataFrame, blob: str = "geom") -> DataFrame:
+    """``rows`` with the column of geometry blobs replaced by ``rings``: for
+    coverage delivered as a table instead of files.  A null blob has no rings."""
+    ship_package(rows.sparkSession)
+    others = [f for f in rows.schema.fields if f.name != blob]
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(blob)
+            for lo in range(0, b.num_rows, CHUNK_ROWS):  # geometries are large
+                part = b.slice(lo, CHUNK_ROWS)
+                geoms = [gpkg_rings(v.as_py()) if v.is_valid else [] for v in part.column(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i) for i in range(b.num_columns) if i != at] + [_ring_column(geoms)],
+                    names=[f.name for f in others] + ["rings"])
+
+    return rows.mapInArrow(run, T.StructType([*others, schema.COVERAGE_SCHEMA["rings"]]))
+
+
+def encode_blobs(coverage: DataFrame, blob: str = "geom") -> DataFrame:
+    """The reverse of ``parse_blobs``: ``rings`` as GeoPackage geometry blobs
+    (little-endian MultiPolygon, Lambert-93, box in the header)."""
+    ship_package(coverage.sparkSession)
+    others = [f for f in coverage.schema.fields if f.name != "rings"]
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("rings")
+            blobs = [gpkg_blob(geometry) for geometry in _ring_rows(b.column(at))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i) for i in range(b.num_columns) if i != at] + [pa.array(blobs, pa.binary())],
+                names=[f.name for f in others] + [blob])
+
+    return coverage.mapInArrow(run, T.StructType([*others, T.StructField(blob, T.BinaryType())]))
+
+
 def read_geopackages(files: DataFrame) -> DataFrame:
     """Coverage rows from GeoPackage files.
 

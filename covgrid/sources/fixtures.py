@@ -123,6 +123,42 @@ def station_pairs(supplier: DataFrame) -> DataFrame:
         "concat('Gare ', CAST(CASE WHEN s_suppkey % 10 = 0 THEN 999 WHEN s_suppkey % 3 = 0 THEN (s_suppkey * 7 + 12) % 130 "
         "ELSE (s_suppkey * 11 + 6) % 130 END AS STRING)) AS arr_station")
 
+def line_feature_texts(routes: DataFrame) -> DataFrame:
+    """Line features as GeoJSON text from ``routes(feature, line_id, geometry)``, as a
+    delivery holds them: every 7th line is out of use, every 11th has no
+    geometry, every 13th no code, every 17th comes twice.  Two folders."""
+    rows = routes.select("*", F.explode(F.expr(
+        "CASE WHEN feature % 17 = 0 THEN array(1, 2) ELSE array(1) END")).alias("copy"))
+    return rows.selectExpr(
+        "feature % 2 AS folder",
+        "concat('{\"type\":\"Feature\",\"properties\":{', "
+        "CASE WHEN feature % 13 = 0 THEN '' ELSE concat('\"code_ligne\":\"', line_id, '\",') END, "
+        "'\"libelle\":\"', CASE WHEN feature % 7 = 0 THEN 'Neutralisée' ELSE 'Exploitée' END, "
+        "'\"},\"geometry\":', CASE WHEN feature % 11 = 0 THEN 'null' ELSE geometry END, '}') AS feature")
+
+
+def station_feature_texts(stations_df: DataFrame) -> DataFrame:
+    """Station features as GeoJSON text: every 9th is no passenger station, every 12th
+    lies overseas, every 14th has no geometry, every 10th is an area; every 5th has a null
+    commune, every 6th no department.  Numbers count stations by their id."""
+    k = "CAST(station_id AS BIGINT)"
+    return stations_df.selectExpr(
+        f"{k} % 2 AS folder",
+        "concat('{\"type\":\"Feature\",\"properties\":{\"code_uic\":\"', station_id, '\",\"libelle\":\"', station_name, "
+        f"'\",\"code_ligne\":\"', line_code, '\",\"commune\":', CASE WHEN {k} % 5 = 0 THEN 'null' ELSE concat('\"', commune, '\"') END, "
+        f"CASE WHEN {k} % 6 = 0 THEN '' ELSE concat(',\"departemen\":\"', department, '\"') END, "
+        f"',\"voyageurs\":\"', CASE WHEN {k} % 9 = 0 THEN 'N' ELSE 'O' END, '\"}},\"geometry\":', "
+        f"CASE WHEN {k} % 14 = 0 THEN 'null' WHEN {k} % 10 = 0 THEN "
+        "'{\"type\":\"Polygon\",\"coordinates\":[[[2,48],[3,48],[3,49],[2,48]]]}' "
+        f"ELSE concat('{{\"type\":\"Point\",\"coordinates\":[', format_string('%.7f', lon), ',', "
+        f"format_string('%.7f', CASE WHEN {k} % 12 = 0 THEN lat - 30 ELSE lat END), ']}}') END, '}}') AS feature")
+
+
+def delivery(coverage_df: DataFrame) -> DataFrame:
+    """Coverage as delivered: two files, a and b, for every quarter, operator and technology."""
+    return coverage_df.withColumn("source_file", F.expr(
+        "concat(source_file, CASE WHEN CAST(floor(id / 24) AS BIGINT) % 2 = 0 THEN '_a' ELSE '_b' END)"))
+
 
 def fixture_mart(sites_df: DataFrame) -> DataFrame:
     """mart_coverage_by_commune as the test fixture defines it: the real

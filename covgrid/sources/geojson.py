@@ -8,7 +8,7 @@ across tasks like any JSON-lines file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +41,25 @@ METRO_LAT = (41.0, 52.0)        # stations kept inside this latitude range
 METRO_LON = (-6.0, 10.0)        # and this longitude range
 # ------------------------------------------------------------------------------
 
+EQUAL_LINES = 4096  # equal lines of a sequence file numbered at a time
+
 
 def read_features(spark: SparkSession, path: str, seq: bool = False) -> DataFrame:
     """Features with a key that is stable over evaluations and differs between
     files: (feature, properties, geometry).  In a collection the key is a hash
     of the file and the position in it; a line of a sequence file has no
     position, so its key is a hash of the file, of its content and of its number
-    among equal lines of the file."""
+    among equal lines of the file, which are counted before the shuffle."""
     if seq:
-        df = spark.read.schema(FEATURE).json(path)
-        key = F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct("properties", "geometry")))
-        equal = Window.partitionBy("feature").orderBy("feature")
-        df = df.select(key.alias("feature"), "properties", "geometry").withColumn("n", F.row_number().over(equal))
-        return df.withColumn("feature", F.when(F.col("n") == 1, F.col("feature")).otherwise(F.xxhash64("feature", "n"))).drop("n")
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        equal = lines.where(F.trim("value") != "").groupBy("file", "value").agg(F.count(F.lit(1)).alias("n"))
+        # a line repeated very often is dealt out block by block, never as one array
+        block = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {EQUAL_LINES}"))).alias("b"))
+        each = block.select("file", "value", F.explode(F.sequence(
+            F.col("b") * EQUAL_LINES + 1, F.least("n", (F.col("b") + 1) * EQUAL_LINES))).alias("k"))
+        key = F.when(F.col("k") == 1, F.xxhash64("file", "value")).otherwise(F.xxhash64("file", "value", "k"))
+        return (each.select(key.alias("feature"), F.from_json("value", FEATURE).alias("f"))
+                .select("feature", "f.properties", "f.geometry"))
     coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
     f = coll.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("pos", "f"))
     return f.select(F.xxhash64("file", "pos").alias("feature"), "f.properties", "f.geometry")
