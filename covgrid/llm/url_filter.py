@@ -16,8 +16,10 @@ urls:
    significantly from the pooled share (z-test; a branch without labels does
    not differ);
 4. a template is rejected (block) when its smoothed purity
-   ``(good + weight * prior) / (labelled + weight)`` is below ``min_purity``;
-   the prior is the share of good labels overall (1 without labels).
+   ``(good + weight * prior) / (labelled + weight)`` lies significantly below
+   the prior, the share of good labels overall (1 without labels): by more than
+   ``sqrt(reject_z2)`` standard errors of ``labelled + weight`` labels.  Where labels hold
+   no signal, nothing but such chance deviations is rejected.
 
 All steps after the first work on one row per (host, distinct generalised
 path), pre-aggregated before the shuffle; a hot host is an ordinary key of
@@ -43,8 +45,8 @@ DEPTH = 4
 MAX_CHILDREN = 20
 MIN_SUPPORT = 5
 WEIGHT = 10.0
-MIN_PURITY = 0.5
 Z2 = 3.84  # 95 % two-sided
+REJECT_Z2 = 9.55  # 99.9 % one-sided, as very many templates are tested
 
 #: Placeholders of step 1: (regular expression of the stem, placeholder).
 SHAPES = [("^[0-9]+$", "{n}"), ("^[0-9a-fA-F-]{8,}$", "{x}"), ("^.{25,}$", "{s}")]
@@ -84,7 +86,7 @@ def _segment(path: Column, i: int, depth: int) -> Column:
 
 def learn_templates(leaves: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN,
                     min_support: int = MIN_SUPPORT, weight: float = WEIGHT,
-                    min_purity: float = MIN_PURITY) -> DataFrame:
+                    reject_z2: float = REJECT_Z2) -> DataFrame:
     """``leaves(host, s1.., n, m, bad)`` -> ``host, s1.., template, purity, blocked``."""
     s = [f"s{i}" for i in range(1, depth + 1)]
     t = [f"t{i}" for i in range(1, depth + 1)]
@@ -110,10 +112,12 @@ def learn_templates(leaves: DataFrame, depth: int = DEPTH, max_children: int = M
                      .alias("prior")).first()["prior"]
     total = (tree.groupBy("host", *t).agg(F.sum("m").alias("pm"), F.sum("bad").alias("pb"))
              .select("host", *t, ((F.col("pm") - F.col("pb") + F.lit(weight * prior))
-                                  / (F.col("pm") + F.lit(float(weight)))).alias("purity")))
+                                  / (F.col("pm") + F.lit(float(weight)))).alias("purity"), "pm"))
+    below = F.lit(prior) - F.col("purity")
+    blocked = (below > 0) & (below * below * (F.col("pm") + F.lit(float(weight))) > F.lit(reject_z2 * (prior * (1 - prior))))
     return tree.join(total, ["host", *t]).select(
         "host", *s, F.concat_ws("/", "host", *t).alias("template"), "purity",
-        (F.col("purity") < F.lit(min_purity)).alias("blocked"))
+        blocked.alias("blocked"))
 
 
 def judge_urls(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", bad_col: str = "bad",
@@ -140,7 +144,7 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str
 
 
 def oracle(urls_sql: str, rules: list[tuple[str, str, str]], depth: int = DEPTH, max_children: int = MAX_CHILDREN,
-           min_support: int = MIN_SUPPORT, weight: float = WEIGHT, min_purity: float = MIN_PURITY) -> str:
+           min_support: int = MIN_SUPPORT, weight: float = WEIGHT, reject_z2: float = REJECT_Z2) -> str:
     """DuckDB SQL of ``judge_urls`` for a query giving ``page_id, url, bad``."""
     s = [f"s{i}" for i in range(1, depth + 1)]
     t = [f"t{i}" for i in range(1, depth + 1)]
@@ -179,13 +183,14 @@ def oracle(urls_sql: str, rules: list[tuple[str, str, str]], depth: int = DEPTH,
         at = f"merged{i}"
     keys = ", ".join(["host", *t])
     ctes.append(f"prior AS (SELECT coalesce(1 - sum(bad)::DOUBLE / nullif(sum(m), 0), 1.0) AS prior FROM {at})")
-    ctes.append(f"total AS (SELECT {keys}, (sum(m) - sum(bad) + {weight} * any_value(prior)) / (sum(m) + {weight}) AS purity"
-                f" FROM {at}, prior GROUP BY {keys})")
-    ctes.append(f"found AS (SELECT host, {', '.join(s)}, concat_ws('/', {keys}) AS template, purity FROM {at} JOIN total USING ({keys}))")
+    ctes.append(f"total AS (SELECT {keys}, (sum(m) - sum(bad) + {weight} * any_value(prior)) / (sum(m) + {weight}) AS purity,"
+                f" sum(m) AS pm, any_value(prior) AS prior FROM {at}, prior GROUP BY {keys})")
+    ctes.append(f"found AS (SELECT host, {', '.join(s)}, concat_ws('/', {keys}) AS template, purity, prior > purity"
+                f" AND (prior - purity) * (prior - purity) * (pm + {weight}) > {reject_z2} * (prior * (1 - prior)) AS blocked FROM {at} JOIN total USING ({keys}))")
     rule = verdict = "NULL"
     for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{h + p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
     return (f"WITH {', '.join(ctes)} SELECT page_id, host, path, {rule} AS rule,"
-            f" coalesce({verdict}, CASE WHEN purity < {min_purity} THEN 'block' ELSE 'allow' END) AS verdict,"
+            f" coalesce({verdict}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict,"
             f" template, purity FROM c JOIN found USING (host, {', '.join(s)})")

@@ -351,6 +351,24 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_templates_of_one_host_are_judged_apart(spark):
+    """One host: a section of mostly bad urls, one of mostly good ones, a thin one; every row twice."""
+    rows = ([(f"http://one.net/casino/{i}", i % 10 != 0) for i in range(60)]
+            + [(f"http://one.net/wiki/{i}", i % 10 == 0) for i in range(60)]
+            + [("http://one.net/casino/7777", None), ("http://one.net/wiki/7777", None), ("http://one.net/thin/a", True)])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] * 2, "page_id long, url string, bad boolean")
+    got = url_filter.judge_urls(df, RULES).select("url", "_url.verdict").collect()
+    assert len(got) == 2 * len(rows)
+    assert {r["verdict"] for r in got if "/casino/" in r["url"]} == {"block"}
+    assert {r["verdict"] for r in got if "/casino/" not in r["url"]} == {"allow"}
+
+
+def test_labels_without_signal_reject_nothing(spark):
+    rows = [(i, f"http://h{i % 5}.net/s{i % 3}/{i}", i % 4 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    assert url_filter.judge_urls(df, RULES).where("_url.verdict = 'block'").count() == 0
+
+
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(1)
     sounds = {"aa": ["ka", "lu", "mi"], "bb": ["sch", "er", "ung"], "cc": ["eau", "oi", "que"]}
