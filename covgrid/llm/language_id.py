@@ -13,8 +13,10 @@ score is below ``sure`` is flagged ambiguous.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 without any learned language every text is ``und``; rows with a null language
-are not learned from; ties go to the alphabetically first language; extra
-columns are kept; an empty table gives no rows.
+are not learned from; ties go to the alphabetically first language; repeated
+rows are judged alike; extra columns are kept, but the result replaces one of its
+own name (``_lang``, or as ``out`` says); an empty table gives no rows.  Any number of
+languages is learned: the model holds a weight per n-gram and code bit.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covgrid.llm import common
+from covgrid.session import materialize
 
 ORDERS = (2, 3, 4)
 DIM = 1 << 17
-#: More languages than this are refused: the model is DIM x code bits.
-MAX_LANGUAGES = 64
+#: Up to this many languages codes are chosen by their smallest distance, which costs a
+#: comparison of all pairs; beyond, random codes of twice the length are far apart anyhow.
+COMPARED = 64
+#: Shares are summed as whole multiples of 1 / UNIT.
+UNIT = 1 << 60
 SMOOTHING = 0.5
 CLIP = 6.0
 #: Evidence of a text grows with its n-grams up to this many.
@@ -47,14 +53,19 @@ _LETTER[np.r_[65:91, 97:123]] = True
 
 
 def codewords(n: int) -> np.ndarray:
-    """``n`` codewords of +1/-1: the exhaustive code for few languages, else the
-    best of some random codes by smallest distance."""
+    """``n`` codewords of +1/-1: the exhaustive code for few languages, the best of some
+    random codes by smallest distance for more, a longer random code for very many."""
     if n <= 1:
         return np.ones((n, 0), np.float32)
     if n <= 5:
         cols = [[1 if i == 0 or not (b >> (i - 1)) & 1 else -1 for i in range(n)] for b in range(1, 1 << (n - 1))]
         return np.array(cols, np.float32).T
     rng = np.random.default_rng(7)
+    if n > COMPARED:
+        while True:
+            code = rng.choice(np.array([-1, 1], np.float32), (n, 10 * ceil(log2(n))))
+            if len(np.unique(code, axis=0)) == n and (np.abs(code.sum(0)) < n).all():
+                return code
     best, most = None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.float32), (n, 5 * ceil(log2(n))))
@@ -140,37 +151,52 @@ class Model:
         return codewords(len(self.langs))
 
 
+def bit_sums(counts: DataFrame, totals: list[tuple[str, int]], code: np.ndarray) -> DataFrame:
+    """``feature, bits``: per code bit the smoothed shares of the n-gram summed over the
+    languages on the bit's side, then over all of them; as exact decimals, so the order of
+    rows does not matter."""
+    rows = [(lang, float(n + SMOOTHING * DIM), (row > 0).tolist()) for (lang, n), row in zip(totals, code)]
+    sides = counts.sparkSession.createDataFrame(rows, "lang string, total double, side array<boolean>")
+    share = (F.col("n") / F.col("total") * F.lit(float(UNIT))).cast("decimal(20,0)")
+    at = counts.join(sides, "lang").select("feature", "side", share.alias("share"))
+    of = [F.sum(F.when(F.col("side")[b], F.col("share"))) for b in range(code.shape[1])] + [F.sum("share")]
+    return at.groupBy("feature").agg(F.array(*[F.coalesce(c, F.lit(0)).cast("double") for c in of]).alias("bits"))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from all rows of ``labelled`` with a language."""
     common.prepare(labelled.sparkSession)
-    langs = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct()
-             .limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs.sort()
-    # at most MAX_LANGUAGES x DIM sums, whatever the corpus
-    sums = count_ngrams(labelled, text_col, lang_col).toPandas()
-    counts = np.zeros((len(langs), DIM))
-    counts[np.searchsorted(langs, sums["lang"].to_numpy(str)) if len(sums) else [], sums["feature"]] = sums["n"]
-    share = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * DIM)
-    code = codewords(len(langs))
-    weights = np.zeros((DIM, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        side = code[:, b] > 0
-        weights[:, b] = np.clip(np.log(share[side].mean(0) / share[~side].mean(0)), -CLIP, CLIP)
-    return Model(langs, weights)
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", sure: float = SURE) -> DataFrame:
-    """``docs`` plus a struct column ``_lang``: ``lang, score, ambiguous``."""
+    counts = materialize(count_ngrams(labelled, text_col, lang_col), "ngrams")
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang")).distinct()
+    totals = (known.join(counts.groupBy("lang").agg(F.sum("n").alias("n")), "lang", "left")
+              .select("lang", F.coalesce("n", F.lit(0)).alias("n")).collect())  # one row per language
+    totals = sorted((r["lang"], r["n"]) for r in totals)
+    code = codewords(len(totals))
+    bits = code.shape[1]
+    if not bits:
+        return Model([lang for lang, _ in totals], np.zeros((DIM, 0), np.float32))
+    sums = np.zeros((DIM, bits + 1))
+    found = bit_sums(counts, totals, code).toPandas()  # DIM x (bits + 1) numbers at most
+    if len(found):
+        sums[found["feature"].to_numpy()] = np.stack(found["bits"].to_numpy())
+    smooth = SMOOTHING / (np.array([n for _, n in totals], float) + SMOOTHING * DIM)
+    side = code > 0
+    one = (sums[:, :bits] / UNIT + smooth @ side) / side.sum(0)
+    zero = ((sums[:, bits:] - sums[:, :bits]) / UNIT + smooth @ ~side) / (~side).sum(0)
+    return Model([lang for lang, _ in totals], np.clip(np.log(one / zero), -CLIP, CLIP).astype(np.float32))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", sure: float = SURE, out: str = "_lang") -> DataFrame:
+    """``docs`` plus a struct column ``out``: ``lang, score, ambiguous``."""
     spark = docs.sparkSession
     common.prepare(spark)
-    sent = spark.sparkContext.broadcast((model.langs, model.weights))  # bounded by MAX_LANGUAGES
+    sent = spark.sparkContext.broadcast((model.langs, model.weights))  # DIM x code bits, about 10 log2(languages)
 
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
     def judge(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, weights = sent.value
         code = codewords(len(langs)).astype(np.float64)
+        ones = (code > 0).astype(np.float64).T
         for texts in column:
             best, score = [], []
             for i, j, data, bounds in common.text_blocks(texts, 1 << 18):
@@ -186,14 +212,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", sure: float =
                             total += s
                             grams += n
                 z = total / np.maximum(grams, 1)[:, None] * np.minimum(grams, FULL_EVIDENCE)[:, None]
-                cost = np.logaddexp(0, -z[:, None, :] * code[None]).sum(2)  # texts x languages
+                # log(1 + exp(-z)) = log(1 + exp(z)) - z, so only the bits that are one differ
+                loss = np.logaddexp(0, z).sum(1)
                 letter = np.add.reduceat(np.append(_LETTER[data], False).astype(np.int64), bounds[:-1]) > 0
                 letter &= bounds[1:] > bounds[:-1]
                 for r in range(j - i):
                     known = bool(langs) and (letter[r] or any(map(str.isalpha, texts[i + r].as_py() or "")))
                     if known:
-                        at = int(cost[r].argmin())
-                        w = np.exp(cost[r][at] - cost[r])
+                        cost = loss[r] - z[r] @ ones
+                        at = int(cost.argmin())
+                        w = np.exp(cost[at] - cost)
                         best.append(langs[at])
                         score.append(float(1 / w.sum()))
                     else:
@@ -203,4 +231,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", sure: float =
                 [pa.array(best, pa.string()), pa.array(score, pa.float64()),
                  pa.array([s < sure for s in score], pa.bool_())], ["lang", "score", "ambiguous"])
 
-    return docs.withColumn("_lang", judge(F.col(text_col)))
+    return docs.withColumn(out, judge(F.col(text_col)))

@@ -387,9 +387,48 @@ def test_language(spark, docs, empty):
 
 
 def test_codewords_are_apart():
-    for n in (2, 4, 5, 9, 20):
+    for n in (2, 4, 5, 9, 20, 65, 1000):
         code = language_id.codewords(n)
         assert len({tuple(c) for c in code}) == n
+        apart = [(code[i] != code[j]).sum() for i in range(min(n, 70)) for j in range(i)]
+        assert min(apart) >= (1 if n < 6 else code.shape[1] // 8)
+
+
+def test_any_number_of_languages(spark):
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(97, 123)]
+    sounds = ["".join(rng.choice(letters, 3)) for _ in range(400)]
+    own = {f"l{i:02d}": rng.choice(sounds, 6) for i in range(70)}
+    rows = [(lang, " ".join("".join(rng.choice(s, 2)) for _ in range(40))) for lang, s in own.items() for _ in range(6)]
+    df = spark.createDataFrame(rows + [("only null text", None), ("l00", rows[0][1])], "lang string, text string")
+    model = language_id.fit(df)
+    assert len(model.langs) == 71 and model.langs == sorted(model.langs)
+    got = language_id.predict(df.withColumn("_lang", F.lit(1)).where("text IS NOT NULL"), model, out="found").collect()
+    assert np.mean([r["lang"] == r["found"]["lang"] for r in got]) > 0.98 and {r["_lang"] for r in got} == {1}
+
+
+def test_language_weights_equal_those_of_dense_counts(spark):
+    rows = [("aa", "ka lu mi ka"), ("bb", "sch er ung"), ("cc", "eau oi que oi"), ("aa", "mi mi lu")]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    counts = np.zeros((3, language_id.DIM))
+    for lang, text in rows:
+        for order in language_id.ORDERS:
+            np.add.at(counts[["aa", "bb", "cc"].index(lang)], language_id.ngrams(np.frombuffer(text.encode(), np.uint8), order), 1)
+    share = (counts + language_id.SMOOTHING) / (counts.sum(1, keepdims=True) + language_id.SMOOTHING * language_id.DIM)
+    code = model.code
+    for b in range(code.shape[1]):
+        side = code[:, b] > 0
+        want = np.clip(np.log(share[side].mean(0) / share[~side].mean(0)), -language_id.CLIP, language_id.CLIP)
+        assert np.allclose(model.weights[:, b], want, atol=1e-5)
+
+
+def test_a_very_long_text_has_the_language_of_its_parts(spark):
+    rows = [("aa", "ka lu mi " * 30), ("bb", "sch er ung " * 30)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    long = spark.createDataFrame([(0, "sch er ung " * 200_000), (1, None), (2, ""), (3, "ka lu mi"), (3, "ka lu mi")],
+                                 "doc_id long, text string")
+    got = [(r["doc_id"], r["_lang"]["lang"]) for r in language_id.predict(long, model).collect()]
+    assert sorted(got) == [(0, "bb"), (1, "und"), (2, "und"), (3, "aa"), (3, "aa")]
 
 
 def test_bpe(docs, empty):
