@@ -33,6 +33,8 @@ from covgrid.session import materialize, stage_path
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\f\r"
+#: Shorter keys are never dropped.
+MIN_CHARS = 10
 LAST_ID = (1 << 63) - 1
 KEY = ["h1", "h2"]
 
@@ -96,7 +98,7 @@ class Runs:
             self.levels[k + 1].append(self.write(merged.groupBy(*KEY).agg(F.lit(True).alias("new"))).select(*KEY))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                   batches: int = 4, fanout: int = 2) -> DataFrame:
     """``d, t, pos`` of the lines to drop."""
     spark = docs.sparkSession
@@ -131,7 +133,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select("d", "t", "pos"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with every column, plus a struct column ``_lines`` of ``n_lines``
     (before dropping), ``n_dropped`` and ``kept`` (the remaining lines joined by
