@@ -3,12 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that the
 stage before it kept.  All but the last return the columns of ``documents``;
 ``n_chars`` follows the text.  Rows that share a document id share its fate; a
-null id is never joined to anything and stays.
+null id is never joined to anything and stays.  A column of the documents may bear
+the name of an operator's result; empty tables give no rows.
 
 1. ``language_id``: documents without a letter, or whose language stays
    ambiguous, go.
 2. ``line_dedup``: repeated lines go, except in the first document; a document
-   that loses all its text goes.
+   that loses lines and keeps none long enough to be compared (a copy of which only
+   scraps remain) goes.
 3. ``minhash_near_dedup``: five-word shingles, similarity 0.8; the smallest
    document id of each group stays.
 4. ``benchmark_decontamination``: documents that hold a window of a benchmark
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covgrid.llm import bpe_codec, decontaminate, language_id, line_dedup, minhash_dedup
+from covgrid.llm import bpe_codec, common, decontaminate, language_id, line_dedup, minhash_dedup
 from covgrid.session import materialize
 
 
@@ -34,17 +36,22 @@ def tokenizer_path() -> str:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled documents; a text alone decides."""
     model = language_id.fit(docs)
-    found = language_id.predict(docs, model)
-    return found.where((F.col("_lang.lang") != language_id.UNKNOWN) & ~F.col("_lang.ambiguous")).select(docs.columns)
+    found = language_id.predict(common.packed(docs, text=F.col("text")), model)
+    kept = found.where((F.col("_lang.lang") != language_id.UNKNOWN) & ~F.col("_lang.ambiguous"))
+    return common.unpacked(kept, docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    packed = common.packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), n_chars=F.col("n_chars"))
+    out = line_dedup.dedup_lines(packed)
     changed = F.col("_lines.n_dropped") > 0
-    out = out.where(~changed | (F.btrim(F.col("_lines.kept"), F.lit(line_dedup.BLANK)) != ""))
+    whole = F.exists(F.split("_lines.kept", "\n"), lambda line: F.length(
+        F.btrim(line, F.lit(line_dedup.BLANK))) >= line_dedup.MIN_CHARS)
+    out = out.where(~changed | whole)
     text = F.when(changed, F.col("_lines.kept")).otherwise(F.col("text"))
     n_chars = F.when(changed, F.length("_lines.kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    out = out.withColumns({"text": text, "n_chars": n_chars})
+    return out.select(*[F.col(c) if c in ("text", "n_chars") else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
