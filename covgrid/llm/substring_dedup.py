@@ -20,7 +20,9 @@ paragraphs are equal in every copy.
    in one component.
 4. A component held by two documents is repeated; the smallest document id
    keeps it.  Consecutive repeated paragraphs of a document form a passage (a
-   gap of up to ``gap`` paragraphs, an edit, does not end it).
+   gap of up to ``gap`` paragraphs, an edit, does not end it) as long as another
+   document takes the same step from one to the next: pieces of several documents
+   that only one document strings together are passages each for itself.
 5. The ends of a passage lie inside paragraphs that differ between documents.
    Where the paragraphs alone do not decide, the words before and after are
    compared with those around every paragraph of the same component: equal ones
@@ -408,6 +410,20 @@ def near_contents(p: Paragraphs, similarity: float, block: int = BLOCK) -> DataF
     return labels if more.isEmpty() else common.components(links.union(more))
 
 
+def common_steps(found: DataFrame, gap: int) -> DataFrame:
+    """``before, component_id, common`` (true): the steps from a repeated paragraph to one of
+    the next ``gap + 1`` that two documents take.  Paragraphs that stand together in
+    one document only, as pieces of several others do, are no passage."""
+    order = Window.partitionBy("doc_id", "t").orderBy("no")
+    after = F.array(*[F.struct(F.lead("no", k).over(order).alias("no"), F.lead("component_id", k).over(order).alias("c"))
+                      for k in range(1, gap + 2)])
+    steps = (found.select("doc_id", "no", F.col("component_id").alias("before"), after.alias("after"))
+             .select("doc_id", "no", "before", F.explode("after").alias("to")).where(F.col("to.no") - F.col("no") <= gap + 1))
+    return (steps.groupBy("before", F.col("to.c").alias("component_id"))
+            .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+            .select("before", "component_id", F.lit(True).alias("common")))
+
+
 def _longest_shared(batches):
     """``component_id, side, h, more``: the longest beginning that each sequence of words
     shares with one of another document, from distinct rows ``g, words, lo, hi, ...``
@@ -476,8 +492,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = materialize(p.spans().join(repeated.drop("lo", "hi"), "content")
                         .withColumn("removed", F.col("first_doc") < F.col("doc_id")), "found")
     run = Window.partitionBy("doc_id", "t", "removed").orderBy("no")
-    step = F.when(F.col("no") - F.lag("no").over(run) <= gap + 1, 0).otherwise(1)
-    islands = found.withColumn("step", step).withColumn("island", F.sum("step").over(run))
+    follows = found.withColumn("before", F.when(F.col("no") - F.lag("no").over(run) <= gap + 1,
+                                                F.lag("component_id").over(run)))
+    follows = follows.join(common_steps(found, gap), ["before", "component_id"], "left")
+    step = F.when(F.col("common"), 0).otherwise(1)
+    islands = follows.withColumn("step", step).withColumn("island", F.sum("step").over(run))
     edge = F.struct("no", F.col("component_id").alias("near"))
     passages = (islands.groupBy("doc_id", "t", "removed", "island")
                 .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("covered"),

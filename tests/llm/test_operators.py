@@ -488,3 +488,18 @@ def test_mean_seeded_hash_is_stable():
     h, *_ = common.token_hashes(data, np.array([0, len(data)]), common.WHITE)
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pieces_of_several_documents_are_no_passage(spark):
+    rng = np.random.default_rng(11)
+    rows, stitched = [], []
+    for case in range(20):
+        b, c = ([f"w{case}x{n}" for n in rng.integers(0, 10 ** 9, 30)] for _ in range(2))
+        own = lambda n: [f"u{x}" for x in rng.integers(0, 10 ** 9, n)]
+        rows += [(case * 10, " ".join(own(80) + b + own(80))), (case * 10 + 1, " ".join(own(80) + c + own(80))),
+                 (case * 10 + 2, " ".join(own(80) + b + c + own(80)))]
+        stitched.append(case * 10 + 2)
+    whole = [f"v{x}" for x in rng.integers(0, 10 ** 9, 70)]
+    rows += [(900, " ".join(whole)), (901, " ".join(["a", *whole, "z"]))]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {900, 901}
