@@ -177,6 +177,28 @@ SELECT CAST(zoom AS INTEGER) AS zoom, CAST(floor(tx) AS BIGINT) AS tile_x, CAST(
 FROM p GROUP BY 1, 2, 3, 4, 5""")(
     lambda s, d: A.tile_clusters(_t(s, d).sites))
 
+register("tile_clusters_merged", W("sites") + f"""
+, p AS (SELECT zoom, latitude, longitude, {_TILE_X} * 5.12 AS px, {_TILE_Y} * 5.12 AS py
+        FROM (SELECT latitude, longitude, unnest(range(7, 15)) AS zoom FROM sites
+              WHERE latitude BETWEEN 41 AND 52 AND longitude BETWEEN -6 AND 10)),
+c AS (SELECT zoom, CAST(floor(px) AS BIGINT) AS cx, CAST(floor(py) AS BIGINT) AS cy, COUNT(*) AS n,
+             {sql_mean_exact('px')} AS mx, {sql_mean_exact('py')} AS my,
+             {sql_fixed_sum('latitude', 9)} AS lat, {sql_fixed_sum('longitude', 9)} AS lon
+      FROM p GROUP BY 1, 2, 3),
+pr AS (SELECT a.zoom, a.cx, a.cy, b.cx AS ox, b.cy AS oy, b.n AS bn
+       FROM (SELECT *, unnest([-1, 0, 1]) AS i FROM c) a JOIN c b
+         ON a.zoom = b.zoom AND b.cx = a.cx + a.i AND b.cy BETWEEN a.cy - 1 AND a.cy + 1
+       WHERE (a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my) <= 1.0
+         AND (b.n > a.n OR (b.n = a.n AND (b.cx < a.cx OR (b.cx = a.cx AND b.cy < a.cy))))),
+weak AS (SELECT DISTINCT zoom, cx AS ox, cy AS oy FROM pr),
+j AS (SELECT zoom, cx, cy, ox, oy FROM pr ANTI JOIN weak USING (zoom, ox, oy)
+      QUALIFY row_number() OVER (PARTITION BY zoom, cx, cy ORDER BY bn DESC, ox, oy) = 1)
+SELECT CAST(zoom AS INTEGER) AS zoom, coalesce(j.ox, cx) AS cell_x, coalesce(j.oy, cy) AS cell_y, COUNT(*) AS cells,
+       CAST(SUM(n) AS BIGINT) AS point_count,
+       {R(sql_fixed_sum('lat', 9) + ' / SUM(n)', 5)} AS latitude, {R(sql_fixed_sum('lon', 9) + ' / SUM(n)', 5)} AS longitude
+FROM c LEFT JOIN j USING (zoom, cx, cy) GROUP BY 1, 2, 3""")(
+    lambda s, d: A.merged_clusters(_t(s, d).sites))
+
 # -------------------------------------------------------------------- mart
 register("mart_build", W("sites") + """
 SELECT commune_code, commune_name, department_code, operator AS operator_code, technology,

@@ -247,6 +247,43 @@ def tile_clusters(sites: DataFrame, min_zoom: int = 7, max_zoom: int = 14, clust
     )
 
 
+def merged_clusters(sites: DataFrame, min_zoom: int = 7, max_zoom: int = 14, cluster_px: int = 50) -> DataFrame:
+    """Point clusters per zoom level that no tile or cell border cuts.
+
+    Points are first counted by ``cluster_px`` pixel cells of the whole map.  A cell
+    whose mean place has no stronger cell's within ``cluster_px`` pixels is a seed (more
+    points are stronger, then the smaller cell address); each other cell joins the
+    strongest seed within that distance, or stays a cluster of its own.  Means lie in
+    their cells, so only the eight neighbours of a cell can be that near: everything
+    after the count is an equi-join of cells, whatever the number of points."""
+    c = F.col
+    z = F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))).alias("zoom")
+    pts = sites.filter(c("latitude").between(41, 52) & c("longitude").between(-6, 10)).select("latitude", "longitude", z)
+    x, y = E.web_mercator_tile("longitude", "latitude", "zoom")
+    per_tile = F.lit(256.0 / cluster_px)
+    pts = pts.select("zoom", "latitude", "longitude", (x * per_tile).alias("px"), (y * per_tile).alias("py"))
+    cells = pts.groupBy("zoom", F.floor("px").alias("cx"), F.floor("py").alias("cy")).agg(
+        F.count(F.lit(1)).alias("n"), E.mean_exact("px").alias("mx"), E.mean_exact("py").alias("my"),
+        E.fixed_sum("latitude", 9).alias("lat"), E.fixed_sum("longitude", 9).alias("lon"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    near = cells.select("zoom", "cx", "cy", "n", "mx", "my", F.explode(steps).alias("s")).select(
+        "zoom", (c("cx") + c("s.i")).alias("bx"), (c("cy") + c("s.j")).alias("by"), "cx", "cy", "n", "mx", "my")
+    other = cells.select("zoom", c("cx").alias("bx"), c("cy").alias("by"), c("n").alias("bn"), c("mx").alias("bmx"), c("my").alias("bmy"))
+    dx, dy = c("mx") - c("bmx"), c("my") - c("bmy")
+    stronger = F.struct(c("bn"), -c("bx"), -c("by")) > F.struct(c("n"), -c("cx"), -c("cy"))
+    pairs = near.join(other, ["zoom", "bx", "by"]).where((dx * dx + dy * dy <= 1.0) & stronger)
+    weaker = pairs.select("zoom", c("cx").alias("bx"), c("cy").alias("by")).distinct()  # these are no seeds
+    joined = (pairs.join(weaker, ["zoom", "bx", "by"], "left_anti").groupBy("zoom", "cx", "cy")
+              .agg(F.max(F.struct("bn", (-c("bx")).alias("x"), (-c("by")).alias("y"))).alias("to")))
+    owned = cells.join(joined, ["zoom", "cx", "cy"], "left").select(
+        "zoom", F.coalesce(-c("to.x"), c("cx")).alias("cell_x"), F.coalesce(-c("to.y"), c("cy")).alias("cell_y"), "n", "lat", "lon")
+    total = F.sum("n")
+    return owned.groupBy("zoom", "cell_x", "cell_y").agg(
+        F.count(F.lit(1)).alias("cells"), total.alias("point_count"),
+        E.round_half(E.fixed_sum("lat", 9) / total, 5).alias("latitude"),
+        E.round_half(E.fixed_sum("lon", 9) / total, 5).alias("longitude"))
+
+
 def sample_sites(spark) -> DataFrame:
     """Sample seeder: 8 communes x 4 operators x 4 technologies with 3-8
     sites each on a small diagonal.  The count uses a stable formula in

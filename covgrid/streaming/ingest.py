@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from covgrid import schema
 from covgrid.session import ensure_checkpoint_dir
 from covgrid.sources import coverage_files as CF
+from covgrid.streaming import derived as DV
 
 LOG = logging.getLogger(__name__)
 
@@ -49,9 +50,10 @@ def left_out(paths: DataFrame) -> DataFrame:
 
 
 def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, checkpoint: str | None = None,
-                    available_now: bool = True):
+                    available_now: bool = True, derived: tuple[str, str] | None = None):
     """Start the stream; returns the StreamingQuery.  With
-    ``available_now`` it processes what has landed and stops."""
+    ``available_now`` it processes what has landed and stops.  ``derived`` names the paths of
+    the simplified rows and of the counts that follow every batch (``streaming.derived``)."""
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/coverage-stream"
     paths = (spark.readStream.format("binaryFile")
              .schema("path string, modificationTime timestamp, length long, content binary")
@@ -66,6 +68,8 @@ def coverage_stream(spark: SparkSession, landing_dir: str, table_path: str, chec
         if files.isEmpty():
             return
         CF.load_coverage(CF.read_geopackages(files), table_path, files)  # the write is done here
+        if derived:
+            DV.refresh(files, table_path, *derived)
 
     writer = paths.writeStream.foreachBatch(load_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -1,9 +1,10 @@
 """Streaming ingestion of landed coverage files and live antenna counts."""
 
+import glob
 import os
 
 from covgrid.schema import SITES_SCHEMA
-from covgrid.streaming import ingest
+from covgrid.streaming import derived, ingest
 from test_sources import gpkg_blob, make_gpkg, sq, wkb_polygon
 
 
@@ -40,3 +41,35 @@ def test_antenna_stats_stream(spark, tmp_path):
 def test_file_names_left_out_are_reported(spark):
     paths = spark.createDataFrame([("/x/2025_T3_couv_Metropole_BOUY_4G_data.gpkg",), ("/x/notes.gpkg",)], "path string")
     assert [r["path"] for r in ingest.left_out(paths).collect()] == ["/x/notes.gpkg"]
+
+
+def test_derived_tables_follow_every_batch(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    table, stg, counts = (str(tmp_path / n) for n in ("raw", "stg", "counts"))
+
+    def land(name, n, h):
+        make_gpkg(str(landing / f"2025_T3_couv_Metropole_{name}_data.gpkg"),
+                  [gpkg_blob(wkb_polygon([sq(i * 50_000.0, 0, h)])) for i in range(n)])
+
+    def written(path):
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+
+    def rows(df):
+        return sorted(str(sorted(r.asDict(True).items())) for r in df.collect())
+
+    before = None
+    for batch in ([("BOUY_4G", 4, 9_000.0), ("SFR0_3G", 3, 9_000.0)], [("BOUY_3G", 2, 8_000.0), ("OF_4G", 1, 10.0)], []):
+        for file in batch:
+            land(*file)
+        ingest.coverage_stream(spark, str(landing), table, str(tmp_path / "ckpt"), derived=(stg, counts)).awaitTermination(180)
+        raw = spark.read.parquet(table)
+        assert rows(spark.read.parquet(stg)) == rows(derived.simplified_rows(raw))
+        assert rows(spark.read.parquet(counts)) == rows(derived.group_counts(raw))
+        now = {p: written(p) for p in (stg, counts)}
+        for p in now if before else ():
+            assert before[p].items() <= now[p].items()  # partitions of other files stay as they were
+        before = now
+    files = spark.read.parquet(table).select(*derived.GROUP, "source_file").distinct()
+    derived.refresh(files, table, stg, counts)  # a replay
+    assert rows(spark.read.parquet(stg)) == rows(derived.simplified_rows(spark.read.parquet(table)))
