@@ -1,25 +1,38 @@
 r"""Language-model scoring with a log-bilinear model trained by noise-contrastive
 estimation.
 
-1. Token counts over all training documents come from one distributed sum;
-   N tokens, V distinct ones.  A document's tokens are its words
+1. Word pairs (token, the token before it; a mark of its own stands before a
+   document's first token) are counted over all training documents by one
+   distributed sum, a table that grows with the corpus.  Token counts come from
+   it: N tokens, V distinct ones.  A document's tokens are its words
    ``[^\x20\x09-\x0D]+``, A-Z lower-cased, and one end.
 2. The ``outputs`` most frequent tokens are outcomes of their own; every other
    token, known or not, falls into one of ``buckets`` outcomes by its ending.
    Pairs of (context outcome, outcome) are counted over all training
    documents: a table of bounded size that sums up the whole corpus.
-3. The model: score(c, w) = q_c . r_w + b_w, with context and outcome vectors.
-   It is trained in numpy on the pair counts by noise-contrastive estimation
-   against the unigram distribution: each observed pair is told from ``noise``
-   noise outcomes of its context; the sum over noise draws is taken in
-   expectation, so training is deterministic.
+3. The dense part of the model: score(c, w) = q_c . r_w + b_w, with context and
+   outcome vectors.  It is trained in numpy on the outcome pairs by
+   noise-contrastive estimation against the unigram distribution: each observed
+   pair is told from ``noise`` noise outcomes of its context; the sum over noise
+   draws is taken in expectation, so training is deterministic.
 4. A batched matrix product gives the scores of all outcomes for all contexts,
    and with their log-sum the normalised log-probabilities.  A token inside a
    bucket has the bucket's probability times (c + 0.1) / (sum of the bucket's
-   c + 0.1, and 0.1 for an unknown token).
-5. Documents are scored in one pass.  The ``head`` most frequent counts are at
-   hand in every task; a document's other tokens meet their counts in an
-   equi-join, so no vocabulary has to fit anywhere.
+   c + 0.1, and 0.1 for an unknown token).  This is P0(w | context).
+5. The sparse part: every observed pair of tokens (u, w), of the whole growing
+   vocabulary, has a direct weight d_uw, and every context u a bias a_u, beside
+   the dense score.  A discount D is taken off each observed pair's count and
+   given to data drawn from P0.  For these weights, one per pair, the
+   noise-contrastive optimum has a closed form whatever the noise,
+   exp(score) = (max(n_uw - D, 0) + D T_u P0(w | u)) / n_u, with T_u the distinct
+   tokens seen after u; so no descent is run for them.  It sums to one over all
+   words.  It equals an absolutely discounted pair model that falls back to the
+   dense model.  D = n1 / (n1 + 2 n2), from the pairs seen once and twice, kept
+   within 0.1 and 0.9.  A context that was never seen has P0 alone.
+6. Documents are scored in one pass.  The ``head`` most frequent tokens and the
+   ``pair_head`` most frequent pairs are at hand in every task; what else a
+   document holds meets its counts in equi-joins, so neither vocabulary nor
+   pairs have to fit anywhere, and the sizes of the heads change no result.
 
 Defined cases: a null or empty text is one end; documents for which
 ``train`` is null or false are scored, not learned from; without training
@@ -37,10 +50,14 @@ from pyspark.sql import functions as F
 from covgrid.llm import common
 from covgrid.session import materialize
 
-END = np.uint64(0x5E4D5E4D5E4D5E4D)
 OUTPUTS = 1024
 BUCKETS = 128
+#: A token's hash holds its bucket in the lowest bits.
+LOW = np.uint64(BUCKETS - 1)
+END = np.uint64(0x5E4D5E4D5E4D5E4D) & ~LOW
+START = np.uint64(0x3A713A713A713A71) & ~LOW
 HEAD = 1 << 17
+PAIR_HEAD = 1 << 20
 DIM = 32
 NOISE = 16
 STEPS = 150
@@ -48,84 +65,105 @@ SMOOTH = 0.1
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray):
-    """Hash, ending bucket and row of every token of a block, with the ends."""
+    """Hash (with the ending bucket) and row of every token of a block, with the ends."""
     h, starts, ends, row = common.token_hashes(data, bounds, common.WHITE)
     n, rows = len(h), len(bounds) - 1
     low = common.LOWER[data] if len(data) else data
     last = low[ends - 1].astype(np.uint64)
     before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)] if n else last, 0).astype(np.uint64)
-    bucket = (common.mix(before * np.uint64(256) + last + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
-    out, place, owner = np.full(n + rows, END), np.zeros(n + rows, np.int64), np.zeros(n + rows, np.int64)
+    bucket = common.mix(before * np.uint64(256) + last + np.uint64(1)) & LOW
+    out, owner = np.full(n + rows, END), np.zeros(n + rows, np.int64)
     at = np.arange(n) + row
-    out[at], place[at], owner[at] = h, bucket, row
+    out[at], owner[at] = (h & ~LOW) | bucket, row
     owner[common.row_slices(row, rows)[1:] + np.arange(rows)] = np.arange(rows)
-    return out, place, owner
+    return out, owner
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """``h, bucket, n`` of ``docs(text)``."""
+def before(values: np.ndarray, owner: np.ndarray, start) -> np.ndarray:
+    """The value before each token; ``start`` at the start of a document."""
+    c = np.full(len(values), start, values.dtype)
+    same = owner[1:] == owner[:-1]
+    c[1:][same] = values[:-1][same]
+    return c
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The 64-bit key of a pair; ``pair_key`` is the same as a column."""
+    return ((u << np.uint64(21)) | (u >> np.uint64(43))) ^ w
+
+
+def pair_key(u: str, w: str):
+    return F.shiftleft(u, 21).bitwiseOR(F.shiftrightunsigned(u, 43)).bitwiseXOR(F.col(w))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """``u, w, n``: how often token w follows u, over ``docs(text)``."""
 
     def run(batches):
         held, size = [], 0
 
         def merged():
-            h, b, n = (np.concatenate(x) for x in zip(*held))
-            u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            return u, b[at], np.bincount(inv, weights=n).astype(np.int64)
+            u, w, n = (np.concatenate(x) for x in zip(*held))
+            _, at, inv = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+            return u[at], w[at], np.bincount(inv, weights=n).astype(np.int64)
 
         def flush():
-            h, b, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(common.signed(h)), pa.array(b.astype(np.int32)), pa.array(n)],
-                                              ["h", "bucket", "n"])
+            u, w, n = merged()
+            return pa.RecordBatch.from_arrays([pa.array(common.signed(u)), pa.array(common.signed(w)), pa.array(n)],
+                                              ["u", "w", "n"])
 
         for batch in batches:
             for _, _, data, bounds in common.text_blocks(batch.column(0)):
-                h, place, _ = tokens(data, bounds)
-                u, at, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((u, place[at], n))
-                size += len(u)
-                if size > 2_000_000:
+                w, owner = tokens(data, bounds)
+                u = before(w, owner, START)
+                _, at, n = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
+                held.append((u[at], w[at], n))
+                size += len(at)
+                if size > 1_500_000:
                     held[:] = [merged()]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > 750_000:
                         yield flush()
                         held.clear()
                         size = 0
         if held:
             yield flush()
 
-    parts = docs.mapInArrow(run, "h long, bucket int, n long")
-    return parts.groupBy("h").agg(F.max("bucket").alias("bucket"), F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+
+
+def count_tokens(pairs: DataFrame) -> DataFrame:
+    """``h, n, uses, types`` of each token: occurrences, occurrences as a context
+    and distinct tokens after it; also of the mark before first tokens (n = 0)."""
+    none = F.lit(0).cast("long")
+    after = pairs.select(F.col("w").alias("h"), "n", none.alias("uses"), none.alias("types"))
+    ahead = pairs.select(F.col("u").alias("h"), none.alias("n"), F.col("n").alias("uses"), F.lit(1).cast("long").alias("types"))
+    return after.union(ahead).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "uses", "types")])
 
 
 class Vocabulary:
-    """The most frequent tokens, sorted by hash, and which outcome each one is."""
+    """The most frequent tokens, sorted by hash, which outcome each one is, and
+    the sums over each one as a context; the last place of the sums is the start."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, bucket: np.ndarray, outputs: int):
+    def __init__(self, h: np.ndarray, n: np.ndarray, uses: np.ndarray, types: np.ndarray, start: tuple, outputs: int):
         order = np.argsort(h)
-        self.h, self.n, bucket = h[order], n[order], bucket[order]
+        self.h, self.n = h[order], n[order]
+        self.uses, self.types = np.append(uses[order], start[0]), np.append(types[order], start[1])
         rank = np.lexsort((self.h, -self.n))
         rank = np.concatenate([rank[self.h[rank] == END], rank[self.h[rank] != END]])[:outputs]
-        self.outputs = outputs
-        self.outcome = outputs + bucket
+        self.outputs = len(rank)  # fewer where there are fewer tokens
+        self.outcome = self.outputs + (self.h & LOW).astype(np.int64)
         self.outcome[rank] = np.arange(len(rank))  # the end first
-        self.total = outputs + BUCKETS
+        self.total = self.outputs + BUCKETS
 
-    def look_up(self, h: np.ndarray, place: np.ndarray):
+    def look_up(self, h: np.ndarray):
         """(outcome, index in the head or -1) of every token."""
+        outcome = self.outputs + (h & LOW).astype(np.int64)
         if not len(self.h):
-            return self.outputs + place, np.full(len(h), -1)
+            return outcome, np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         known = self.h[at] == h
-        return np.where(known, self.outcome[at], self.outputs + place), np.where(known, at, -1)
-
-
-def contexts(outcome: np.ndarray, owner: np.ndarray, total: int) -> np.ndarray:
-    """The outcome before each token; ``total`` at the start of a document."""
-    c = np.full(len(outcome), total)
-    same = owner[1:] == owner[:-1]
-    c[1:][same] = outcome[:-1][same]
-    return c
+        return np.where(known, self.outcome[at], outcome), np.where(known, at, -1)
 
 
 def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:
@@ -136,9 +174,9 @@ def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:
         counts = np.zeros((voc.total + 1) * voc.total, np.int64)
         for batch in batches:
             for _, _, data, bounds in common.text_blocks(batch.column(0)):
-                h, place, owner = tokens(data, bounds)
-                outcome, _ = voc.look_up(h, place)
-                u, n = np.unique(contexts(outcome, owner, voc.total) * voc.total + outcome, return_counts=True)
+                h, owner = tokens(data, bounds)
+                outcome, _ = voc.look_up(h)
+                u, n = np.unique(before(outcome, owner, voc.total) * voc.total + outcome, return_counts=True)
                 counts[u] += n
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
@@ -194,82 +232,142 @@ def table_of(params) -> np.ndarray:
     return _KEPT["table"]
 
 
+class Model:
+    """What scoring needs: the written tables of counts, and the bounded parts
+    (heads, vectors, masses of the buckets, discount)."""
+
+    def __init__(self, learn: DataFrame, outputs: int, head: int, pair_head: int, dim: int, noise: int, steps: int):
+        self.pairs = materialize(count_words(learn), "pair-counts")
+        counts = materialize(count_tokens(self.pairs), "token-counts")
+        start = counts.where(F.col("h") == int(common.signed(START))).select("uses", "types").first() or (0, 0)
+        self.counts = counts.where("n > 0")
+        self.n, self.v = self.counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        top = common.most_frequent(self.counts, head).toPandas()  # at most `head` rows
+        h = top["h"].to_numpy(np.int64).view(np.uint64)
+        n = top["n"].to_numpy(np.int64)
+        self.voc = Vocabulary(h, n, top["uses"].to_numpy(np.int64), top["types"].to_numpy(np.int64), tuple(start), outputs)
+        sent = learn.sparkSession.sparkContext.broadcast(self.voc)
+        cells = count_pairs(learn, sent).toPandas()  # at most (outcomes + 1) * outcomes rows
+        table = np.zeros((self.voc.total + 1) * self.voc.total)
+        table[cells["cell"].to_numpy(np.int64)] = cells["n"]
+        self.params = train(table.reshape(self.voc.total + 1, self.voc.total), dim, noise, steps)
+
+        # mass of each bucket: all its tokens less those with an outcome of their own
+        mass = np.full(BUCKETS, SMOOTH)
+        bucket = F.col("h").bitwiseAND(F.lit(int(LOW)).cast("long")).cast("int")
+        for r in self.counts.groupBy(bucket.alias("b")).agg((F.sum("n") + SMOOTH * F.count("*")).alias("mass")).collect():
+            mass[r["b"]] += r["mass"]
+        own = self.voc.outcome < self.voc.outputs
+        np.subtract.at(mass, (self.voc.h[own] & LOW).astype(np.int64), self.voc.n[own] + SMOOTH)
+        self.mass = np.maximum(mass, SMOOTH)
+
+        seen = {r["n"]: r["count"] for r in self.pairs.where("n <= 2").groupBy("n").count().collect()}
+        once, twice = seen.get(1, 0), seen.get(2, 0)
+        self.discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
+        often = common.most_frequent(self.pairs, pair_head).toPandas()  # at most `pair_head` rows
+        key = pair_keys(*(often[c].to_numpy(np.int64).view(np.uint64) for c in ("u", "w")))
+        order = np.argsort(key)
+        self.often, self.often_n = key[order], often["n"].to_numpy(np.int64)[order]
+
+    def sent(self) -> tuple:
+        return self.voc, self.params, self.mass, self.discount, self.often, self.often_n
+
+
+def add_rest(scored: DataFrame, model: Model) -> DataFrame:
+    """``row, logs, more, direct``: what the pairs outside the heads add to each row.
+    Of a pair, ``g`` is its fallback term D T_u P0 as far as the heads give it:
+    ``w`` (where its count is to be met) and ``u`` (where its sums are) are not null."""
+    each = scored.select("row", F.explode(F.arrays_zip("p", "times", "g", "u", "w")).alias("x")).select("row", "x.*")
+    none = F.lit(0.0)
+
+    after = each.where("w IS NOT NULL").join(model.counts.select(F.col("h").alias("w"), "n"), "w", "left")
+    n = F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)
+    after = after.select("row", "p", "times", (F.col("g") * n).alias("g"), "u", (F.col("times") * F.log10(n)).alias("logs"),
+                         F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more"))
+    each = after.union(each.where("w IS NULL").select("row", "p", "times", F.col("g").cast("double"), "u", none, F.lit(0)))
+
+    sums = model.counts.select(F.col("h").alias("u"), "uses", "types")
+    ahead = each.where("u IS NOT NULL").join(sums, "u", "left")
+    ahead = ahead.select("row", "p", "times", (F.col("g") * F.coalesce(F.col("types") * model.discount, F.lit(1.0))).alias("g"),
+                         "logs", "more", (-F.col("times") * F.log10(F.coalesce("uses", F.lit(1)))).alias("direct"))
+    each = ahead.union(each.where("u IS NULL").select("row", "p", "times", "g", "logs", "more", none))
+
+    seen = model.pairs.select(pair_key("u", "w").alias("p"), "n")
+    left = F.greatest(F.coalesce("n", F.lit(0)) - F.lit(model.discount), none)
+    return (each.join(seen, "p", "left").groupBy("row")
+            .agg(F.sum("logs").alias("logs"), F.sum("more").alias("more"),
+                 F.sum(F.col("direct") + F.col("times") * F.log10(left + F.col("g"))).alias("direct")))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train",
-          outputs: int = OUTPUTS, head: int = HEAD, dim: int = DIM, noise: int = NOISE, steps: int = STEPS) -> DataFrame:
+          outputs: int = OUTPUTS, head: int = HEAD, pair_head: int = PAIR_HEAD, dim: int = DIM, noise: int = NOISE,
+          steps: int = STEPS) -> DataFrame:
     """One row per row of ``docs``: ``id, learned, n_tokens, n_known, train_tokens,
     base_score, score`` (log10 probabilities of the text)."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    common.prepare(spark)
-    learn = docs.where(F.col(train_col)).select(F.col(text_col).alias("text"))
-    counts = materialize(count_tokens(learn), "token-counts")
-    n_train, v = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = common.most_frequent(counts, head).toPandas()  # at most `head` rows
-    voc = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64),
-                     top["bucket"].to_numpy(np.int64), outputs)
-    sent = sc.broadcast(voc)
-    cells = count_pairs(learn, sent).toPandas()  # at most (outcomes + 1) * outcomes rows
-    pairs = np.zeros((voc.total + 1) * voc.total)
-    pairs[cells["cell"].to_numpy(np.int64)] = cells["n"]
-    params = train(pairs.reshape(voc.total + 1, voc.total), dim, noise, steps)
-
-    # mass of each bucket: all its tokens less those with an outcome of their own
-    mass = np.full(BUCKETS, SMOOTH)
-    for r in counts.groupBy("bucket").agg((F.sum("n") + SMOOTH * F.count("*")).alias("mass")).collect():
-        mass[r["bucket"]] += r["mass"]
-    own = top[voc_own(voc, top)]
-    np.subtract.at(mass, own["bucket"].to_numpy(np.int64), own["n"].to_numpy(float) + SMOOTH)
-    model = sc.broadcast((params, np.log10(np.maximum(mass, SMOOTH))))
+    common.prepare(docs.sparkSession)
+    model = Model(docs.where(F.col(train_col)).select(F.col(text_col).alias("text")),
+                  outputs, head, pair_head, dim, noise, steps)
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches):
-        voc = sent.value
-        table, bucket_mass = table_of(model.value[0]), model.value[1]
-        count_log = np.log10(voc.n + SMOOTH)
+        voc, params, mass, discount, often, often_n = sent.value
+        table, mass = table_of(params), np.log10(mass)
+        count_log = np.append(np.log10(voc.n + SMOOTH), 0.0)  # the last place: not in the head
+        uses, types = np.append(voc.uses, 0), np.append(voc.types, 0)
         for batch in batches:
             for i, j, data, bounds in common.text_blocks(batch.column(1)):
-                h, place, owner = tokens(data, bounds)
-                outcome, at = voc.look_up(h, place)
-                p = table[contexts(outcome, owner, voc.total), outcome].astype(np.float64)
+                rows = j - i
+                w, owner = tokens(data, bounds)
+                outcome, at = voc.look_up(w)
+                u, ahead = before(w, owner, START), before(at, owner, len(voc.h))
+                logs = count_log[at]
+                p0 = table[before(outcome, owner, voc.total), outcome].astype(np.float64)
                 inside = outcome >= voc.outputs
-                p[inside] -= bucket_mass[outcome[inside] - voc.outputs]
+                p0[inside] += logs[inside] - mass[outcome[inside] - voc.outputs]
+                fresh = (ahead >= 0) & (uses[ahead] == 0)  # no training document has the context
+                weight = np.where((ahead < 0) | fresh, 1.0, discount * types[ahead])
+                g = weight * 10.0 ** p0
+                direct = -np.log10(np.maximum(uses[ahead], 1))
+                key = pair_keys(u, w)
+                place = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
+                met = (often[place] == key) if len(often) else np.zeros(len(key), bool)
+                done = met & (at >= 0) & (ahead >= 0)
+                direct[done] += np.log10(np.maximum(often_n[place[done]] - discount, 0) + g[done])
+                rest = np.flatnonzero(~done)
+                rest = rest[np.lexsort((key[rest], owner[rest]))]
+                new = np.ones(len(rest), bool)
+                new[1:] = (key[rest][1:] != key[rest][:-1]) | (owner[rest][1:] != owner[rest][:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(rest)))
+                rest = rest[first]
+                off = pa.array(np.searchsorted(owner[rest], np.arange(rows + 1)).astype(np.int32))
+
+                def lists(values, kind, mask=None):
+                    return pa.ListArray.from_arrays(off, pa.array(values, kind, mask=mask))
+
                 known = at >= 0
-                logs = np.where(known, count_log[np.maximum(at, 0)] if len(count_log) else 0.0, 0.0)
-                p[inside] += logs[inside]
-                rows = j - i
-                rest, rest_owner = h[~known], owner[~known]
-                cut = np.searchsorted(rest_owner, np.arange(rows + 1))
-                parts = [np.unique(rest[a:b], return_counts=True) for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, rows), batch.column(2).slice(i, rows),
                     pa.array(np.bincount(owner, minlength=rows)),
                     pa.array(np.bincount(owner[known], minlength=rows)),
                     pa.array(np.bincount(owner, weights=logs, minlength=rows)),
-                    pa.array(np.bincount(owner, weights=p, minlength=rows)),
-                    common.list_array([common.signed(x[0]) for x in parts], pa.int64()),
-                    common.list_array([x[1] for x in parts], pa.int64())],
-                    names=["id", "learned", "n_tokens", "known", "base", "model", "rest", "times"])
+                    pa.array(np.bincount(owner, weights=direct, minlength=rows)),
+                    lists(common.signed(key[rest]), pa.int64()), lists(times, pa.int32()),
+                    lists(g[rest].astype(np.float32), pa.float32()),
+                    lists(common.signed(u[rest]), pa.int64(), ahead[rest] >= 0),
+                    lists(common.signed(w[rest]), pa.int64(), at[rest] >= 0)],
+                    names=["id", "learned", "n_tokens", "known", "base", "model", "p", "times", "g", "u", "w"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                           F.coalesce(F.col(train_col), F.lit(False)).alias("learned"))
               .mapInArrow(run, f"id {kind}, learned boolean, n_tokens long, known long, base double, model double, "
-                               "rest array<long>, times array<long>"))
+                               "p array<long>, times array<int>, g array<float>, u array<long>, w array<long>"))
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")  # numbered once
-    rare = (scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x"))
-            .select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
-            .join(counts.select("h", "n"), "h", "left")
-            .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("logs"),
-                                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more")))
-    logs = F.coalesce("logs", F.lit(0.0))
-    return (scored.drop("rest", "times").join(rare, "row", "left")
+    none = F.lit(0.0)
+    return (scored.drop("p", "times", "g", "u", "w").join(add_rest(scored, model), "row", "left")
             .select("id", "learned", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-                    F.lit(int(n_train)).cast("long").alias("train_tokens"),
-                    (F.col("base") + logs - F.col("n_tokens") * F.lit(float(np.log10(n_train + SMOOTH * (v + 1)))))
-                    .alias("base_score"),
-                    (F.col("model") + logs).alias("score")))
-
-
-def voc_own(voc: Vocabulary, top) -> np.ndarray:
-    """Which rows of the head have an outcome of their own."""
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    return voc.outcome[np.searchsorted(voc.h, h)] < voc.outputs if len(h) else np.zeros(0, bool)
+                    F.lit(int(model.n)).cast("long").alias("train_tokens"),
+                    (F.col("base") + F.coalesce("logs", none)
+                     - F.col("n_tokens") * F.lit(float(np.log10(model.n + SMOOTH * (model.v + 1))))).alias("base_score"),
+                    (F.col("model") + F.coalesce("direct", none)).alias("score")))

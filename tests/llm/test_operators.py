@@ -466,7 +466,7 @@ def test_lm(docs, empty):
             counts.update(words(t) + ["</s>"])
     n, v = sum(counts.values()), len(counts)
     for head in (1 << 17, 20):
-        for r in lm_scoring.score(df, head=head, outputs=16, steps=20).collect():
+        for r in lm_scoring.score(df, head=head, pair_head=head, outputs=16, steps=20).collect():
             text = BASE if r["id"] is None else TEXTS[r["id"]]
             tok = words(text) + ["</s>"]
             base = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tok)
