@@ -109,6 +109,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def flush():
             u, w, n = merged()
+            order = np.argsort(u, kind="stable")  # equal ones side by side pack better
+            u, w, n = u[order], w[order], n[order]
             return pa.RecordBatch.from_arrays([pa.array(common.signed(u)), pa.array(common.signed(w)), pa.array(n)],
                                               ["u", "w", "n"])
 
@@ -129,7 +131,9 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    # dealt by u and a part of w: the tasks have combined their pairs, and a frequent u is split
+    parts = docs.mapInArrow(run, "u long, w long, n long").withColumn("part", F.shiftrightunsigned("w", 58))
+    return parts.repartition("u", "part").groupBy("u", "part", "w").agg(F.sum("n").alias("n")).drop("part")
 
 
 def count_tokens(pairs: DataFrame) -> DataFrame:
@@ -242,12 +246,12 @@ class Model:
         start = counts.where(F.col("h") == int(common.signed(START))).select("uses", "types").first() or (0, 0)
         self.counts = counts.where("n > 0")
         self.n, self.v = self.counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        top = common.most_frequent(self.counts, head).toPandas()  # at most `head` rows
+        top = common.most_frequent(self.counts, head).toArrow().to_pandas()  # at most `head` rows
         h = top["h"].to_numpy(np.int64).view(np.uint64)
         n = top["n"].to_numpy(np.int64)
         self.voc = Vocabulary(h, n, top["uses"].to_numpy(np.int64), top["types"].to_numpy(np.int64), tuple(start), outputs)
         sent = learn.sparkSession.sparkContext.broadcast(self.voc)
-        cells = count_pairs(learn, sent).toPandas()  # at most (outcomes + 1) * outcomes rows
+        cells = count_pairs(learn, sent).toArrow().to_pandas()  # at most (outcomes + 1) * outcomes rows
         table = np.zeros((self.voc.total + 1) * self.voc.total)
         table[cells["cell"].to_numpy(np.int64)] = cells["n"]
         self.params = train(table.reshape(self.voc.total + 1, self.voc.total), dim, noise, steps)
@@ -264,7 +268,7 @@ class Model:
         seen = {r["n"]: r["count"] for r in self.pairs.where("n <= 2").groupBy("n").count().collect()}
         once, twice = seen.get(1, 0), seen.get(2, 0)
         self.discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
-        often = common.most_frequent(self.pairs, pair_head).toPandas()  # at most `pair_head` rows
+        often = common.most_frequent(self.pairs, pair_head).toArrow().to_pandas()  # at most `pair_head` rows
         key = pair_keys(*(often[c].to_numpy(np.int64).view(np.uint64) for c in ("u", "w")))
         order = np.argsort(key)
         self.often, self.often_n = key[order], often["n"].to_numpy(np.int64)[order]
