@@ -68,6 +68,25 @@ def test_points_in_polygons(spark, shapes, cell):
     assert got == expected and len(got) > 100
 
 
+@pytest.mark.parametrize("cell", [7.0, 50.0, 1000.0])
+def test_operators_of_points(spark, shapes, cell):
+    """The distinct operators of points_in_polygons, with polygons of one operator over each other."""
+    rng = random.Random(int(cell))
+    twice = shapes + [(s + 1000, o, t, part, rs) for s, o, t, part, rs in shapes]
+    pts = [(i, rng.uniform(-50, 800), rng.uniform(-50, 500), rng.choice(["4G", "5G"])) for i in range(1500)]
+    df = spark.createDataFrame(pts, "point_id long, x double, y double, technology string")
+    out = P.operators_of_points(df, rings_of(spark, twice), ["technology"], cell)
+    got = [tuple(r) for r in out.collect()]
+    expected = {(i, o) for i, x, y, t in pts for s, o, tech, part, rs in twice if tech == t and odd(rs, x, y)}
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_point_joins_broadcast_no_cells(spark):
+    """Exploded cells and blocks of targets are estimated far too small; they must not be sent to the driver."""
+    import __spark_entry__ as entry
+    assert "BroadcastHashJoin" not in plan(entry.queries()["site_coverage"](spark, SF))
+
+
 def test_inside_cells_spare_the_edge_test(spark, shapes):
     """Every point of an inside cell is inside, and a large polygon is mostly such cells."""
     edges = G.edges(rings_of(spark, shapes).select("id", "operator_code", "technology", "part", "ring", "pts"))
