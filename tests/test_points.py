@@ -87,6 +87,19 @@ def test_point_joins_broadcast_no_cells(spark):
     assert "BroadcastHashJoin" not in plan(entry.queries()["site_coverage"](spark, SF))
 
 
+def test_nearest_makes_no_row_per_pair(spark):
+    """Points meet blocks of targets; no window or aggregation takes a row per compared pair."""
+    pts = spark.range(400).selectExpr("id AS point_id", "CAST(id % 20 AS DOUBLE) AS x", "CAST(id / 20 AS DOUBLE) AS y")
+    goals = spark.range(2000).selectExpr("id AS target_id", "CAST(id % 40 AS DOUBLE) / 4 AS x", "CAST(floor(id / 40) AS DOUBLE) / 4 AS y")
+    got = P.nearest(pts, goals, 3, finest=8.0)
+    assert "_targets" in plan(got)
+    assert got.count() == 1200
+    import numpy as np
+    g = np.array([[r.x, r.y] for r in goals.orderBy("target_id").collect()])
+    for r in pts.join(got.where("rank = 1"), "point_id").collect():
+        assert np.hypot(g[:, 0] - r.x, g[:, 1] - r.y).min() == pytest.approx(r.distance)
+
+
 def test_inside_cells_spare_the_edge_test(spark, shapes):
     """Every point of an inside cell is inside, and a large polygon is mostly such cells."""
     edges = G.edges(rings_of(spark, shapes).select("id", "operator_code", "technology", "part", "ring", "pts"))
