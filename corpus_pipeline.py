@@ -36,13 +36,13 @@ def tokenizer_path() -> str:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled documents; a text alone decides."""
     model = language_id.fit(docs)
-    found = language_id.predict(common.packed(docs, text=F.col("text")), model)
+    found = language_id.predict(common.packed(docs, ["text"], text=F.col("text")), model)
     kept = found.where((F.col("_lang.lang") != language_id.UNKNOWN) & ~F.col("_lang.ambiguous"))
-    return common.unpacked(kept, docs.columns)
+    return common.unpacked(kept, docs.columns, text=F.col("text")).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = common.packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), n_chars=F.col("n_chars"))
+    packed = common.packed(docs, ["text"], doc_id=F.col("doc_id"), text=F.col("text"), n_chars=F.col("n_chars"))
     out = line_dedup.dedup_lines(packed)
     changed = F.col("_lines.n_dropped") > 0
     whole = F.exists(F.split("_lines.kept", "\n"), lambda line: F.length(

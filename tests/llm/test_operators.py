@@ -117,6 +117,14 @@ def test_line_dedup_order_of_batches(spark):
     assert {r["doc_id"]: r["_lines"]["n_dropped"] for r in out} == {i: int(i >= 7) for i in range(60)}
 
 
+def test_line_dedup_shuffles_a_text_once(docs):
+    """The packed row holds no second copy of the text; a null text and the order of columns stay."""
+    out = line_dedup.dedup_lines(docs.select("text", "doc_id"))
+    assert "text, text#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == ["text", "doc_id", "_lines"]
+    assert out.where("text is null").count() == docs.where("text is null").count()
+
+
 def test_decontaminate(spark, docs, empty):
     w = BASE.split()
     items = [("a", " ".join(w[5:30])), ("b", "One, TWO"), ("c", None), ("d", ""), (None, PASSAGE), ("a", " ".join(w[5:30])),
