@@ -1,5 +1,7 @@
 """Routes for a table of station pairs: direct, by an interchange, or none."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from covgrid.functions import expr as E
@@ -43,3 +45,18 @@ def test_routes(spark):
         assert {r.transfer_station for r in one} == {"Quai", "Centre"}  # a tie with Pont goes to the smaller id
     assert [r.option for r in rows if r.pair_id == 3] == [None]
     assert RL.routes(df.limit(0), vertices, lines, st).count() == 0
+
+
+def test_nearest_of_group_in_blocks(spark):
+    """The nearest station of a point's own group, ties to the smaller id, whatever the blocks."""
+    points = spark.createDataFrame([(g, f, f % 3, float(f * 7 % 11), float(f)) for g in "ab" for f in range(20)],
+                                   "g string, feature long, fa long, x double, y double")
+    rows = [("a", "s2", "two", 4.0, 4.0), ("a", "s1", "one", 4.0, 4.0), ("a", "s3", "three", 9.0, 15.0), ("b", "s9", "nine", 0.0, 0.0),
+            ("c", "s0", "none", 1.0, 1.0)]
+    stations = spark.createDataFrame(rows, "g string, station_id string, station_name string, sx double, sy double")
+    out = RL.nearest_of_group(points, stations, "g", block=3).collect()
+    assert len(out) == 40 and out[0].asDict().keys() == {"g", "feature", "fa", "near"}
+    for r in out:
+        x, y = float(r["feature"] * 7 % 11), float(r["feature"])
+        want = min((math.sqrt((x - s[3]) ** 2 + (y - s[4]) ** 2), s[1], s[2]) for s in rows if s[0] == r["g"])
+        assert (r["near"]["station_id"], r["near"]["station_name"]) == want[1:] and abs(r["near"]["d"] - want[0]) < 1e-9
