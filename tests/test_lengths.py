@@ -67,3 +67,17 @@ def test_no_lines_or_no_polygons(spark):
     segs, rings = case(spark)
     assert L.operator_lengths(segs.limit(0), rings).count() == 0
     assert L.operator_lengths(segs, rings.limit(0)).count() == 0
+
+
+def test_leaf_where_nothing_meets_gives_an_empty_batch_of_the_same_kinds():
+    """Lines and parts of one leaf that miss each other; the lengths of no rows stay doubles."""
+    import pyarrow as pa
+    from covgrid.operators import lengths
+    square = [(1, 1.0, 1.0, 2.0, 1.0), (1, 2.0, 1.0, 2.0, 2.0), (1, 2.0, 2.0, 1.0, 2.0), (1, 1.0, 2.0, 1.0, 1.0)]
+    for y, rows in ((5.0, 0), (1.5, 1)):
+        leaf = pa.table({"qd": pa.array([0, 0, 0], pa.int32()), "cx": [0, 0, 0], "cy": [0, 0, 0], "feature": [7, 7, None],
+                         "operator_code": pa.array([None, None, "OF"], pa.string()), "n": [-1, -1, 0],
+                         "v": [[0.0, y, 1.5, y], [1.5, y, 9.0, y], [float(x) for e in square for x in e]]})
+        out = next(lengths._sums(leaf, 10.0, False))
+        assert [f.type for f in out.schema] == [pa.int64(), pa.string(), pa.float64()]
+        assert out.num_rows == rows and out.column("inside_m").to_pylist() == [1.0] * rows
