@@ -144,9 +144,9 @@ def signatures(docs: DataFrame, k: int, hashes: int, bands: int, rows: int) -> D
     return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def long_signatures(docs: DataFrame, k: int, hashes: int, bands: int, rows: int) -> DataFrame:
-    """``id, sig, keys`` of ``docs(id, text)``: a signature of ``hashes`` positions,
-    which begins with the shorter one, and the band keys."""
+def long_signatures(docs: DataFrame, ids: DataFrame, k: int, hashes: int, bands: int, rows: int) -> DataFrame:
+    """``id, sig, keys`` of the ``docs(id, text)`` of ``ids``: a signature of ``hashes``
+    positions, which begins with the shorter one, and the band keys."""
     a, b = _seeds(hashes)
 
     def run(batches):
@@ -166,7 +166,7 @@ def long_signatures(docs: DataFrame, k: int, hashes: int, bands: int, rows: int)
             if out:
                 yield flush(at, out)
 
-    return docs.mapInArrow(run, "id long, sig binary, keys binary")
+    return common.made_of_chosen(docs, ids, run, "id long, sig binary, keys binary")
 
 
 def key_groups(batches, keys: int):
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array(out, pa.binary())], ["id", "s"])
 
-    full = materialize(common.chosen(docs, ids).select("id", "text").mapInArrow(sets, "id long, s binary"), "sets")
+    full = materialize(common.made_of_chosen(docs, ids, sets, "id long, s binary"), "sets")
 
     def test(batches):
         for batch in batches:
@@ -352,8 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where("lo < hi").select("key", "size"))
     mixed = materialize(mixed, "mixed")
     open_ids = materialize(named.join(mixed.select("key"), "key", "left_semi").select("id").distinct(), "ids")
-    finer = materialize(long_signatures(common.chosen(docs, open_ids).select("id", "text"), k, more_hashes, bands, rows),
-                        "signatures")
+    finer = materialize(long_signatures(docs, open_ids, k, more_hashes, bands, rows), "signatures")
     finer_steps = least_matches(t, more_hashes, BATCH, miss)
     open_rows = (dealt(named, mixed, block).join(finer, "id")
                  .select("key", "part", "id", "sig", "keys", "label"))

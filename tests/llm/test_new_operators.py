@@ -298,3 +298,23 @@ def test_chosen_equals_semi_join(spark, bits):
     assert got == sorted(map(tuple, df.join(ids, "id", "left_semi").collect())) and ("t5",) * 2 == tuple(
         t for i, t in got if i == 5)
     assert common.chosen(df, ids.limit(0), bits).count() == 0
+
+
+def test_near_duplicates_keep_one_worker_a_task(spark, monkeypatch):
+    """No table is written by a plan with a Python filter before another Python step:
+    both would be workers of one task, and idle ones keep their memory."""
+    from covgrid.llm import minhash_dedup
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:n]) for n in (60, 58, 57, 30, 29)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, written = [], minhash_dedup.materialize
+
+    def kept(df, name="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "materialize", kept)
+    found = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, k=3, percent=85).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert any("MapInArrow" in p for p in plans) and not any("ArrowEvalPython" in p for p in plans)
