@@ -12,8 +12,9 @@ paragraphs are equal in every copy.
    ``tune_bands`` picks the fewest hashes (two a band at least) that collide a
    pair at the threshold with the wanted recall.  A paragraph with too few
    shingles to reach the threshold other than by equality needs no band.
-3. Rows are sorted by band key; every content is paired with the first and the
-   previous one of its key (linear in the bucket), verified by exact Jaccard
+3. Band keys and contents are dealt by ranges of the key, packed as sorted arrays:
+   nearly every key has one content and ends there.  Every other content is paired
+   with the first and the previous one of its key (linear in the bucket), verified by exact Jaccard
    similarity of the shingle sets, and clustered by connected components.  Where
    a bucket still holds several components, its members of different ones are
    all compared, block by block: so every colliding pair is either compared or
@@ -65,6 +66,10 @@ RECALL = 0.99
 BLOCK = 2048
 #: Tables of at most this many rows (of few numbers) are broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Ranges of band keys: all (key, content) pairs of one are held by a task at once.
+PARTS = 4096
+#: Pairs that a task holds before it sends them.
+PACKED = 1 << 21
 
 
 def tune_bands(similarity: float, recall: float, least_rows: int = 2, most_rows: int = 4) -> tuple[int, int]:
@@ -103,19 +108,25 @@ def paragraph_ends(h: np.ndarray, row: np.ndarray, rows: int, reach: int, longes
     return cuts
 
 
+def _block_words(data, bounds):
+    h, starts, ends, row = common.token_hashes(data, bounds, common.WHITE)
+    return {"h": h, "words": row, "starts": starts, "ends": ends} if len(h) else None
+
+
 def _block_paragraphs(data, bounds, rows: int, k: int, bands: int, band_rows: int, seeds, reach, longest, near: bool):
     """Paragraphs of a block as arrays: row, first word, words, byte span, content
     and, with ``near``, band keys and shingles of those that can be near-duplicates."""
-    h, starts, ends, row = common.token_hashes(data, bounds, common.WHITE)
-    if not len(h):
+    words = _block_words(data, bounds)
+    if words is None:
         return None
+    h, row, starts, ends = words.values()
     cut = paragraph_ends(h, row, rows, reach, longest)
     first = np.concatenate([[0], cut[:-1]])
     up, down = common._powers(len(h) + 1)
     prefix = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=prefix[1:])
     content = common.mix((prefix[cut] - prefix[first]) * down[first] + (cut - first).astype(np.uint64))
-    out = {"h": h, "words": row, "starts": starts, "ends": ends, "first": first, "row": row[first], "n": cut - first, "lo": starts[first], "hi": ends[cut - 1], "content": content}
+    out = words | {"first": first, "row": row[first], "n": cut - first, "lo": starts[first], "hi": ends[cut - 1], "content": content}
     if near:
         shingles = common.shingle_hashes(h, k) if len(h) >= k else np.zeros(0, np.uint64)
         out["some"] = np.flatnonzero(out["n"] - k + 1 >= near)
@@ -151,33 +162,39 @@ class Paragraphs:
             shared += 1
         self.least = shared
 
-    def _pass(self, emit, schema: str, near: bool, docs: DataFrame | None = None, bands: int = 0) -> DataFrame:
+    def _pass(self, emit, schema: str, near: bool, docs: DataFrame | None = None, bands: int = 0,
+              gather=None, paragraphs: bool = True) -> DataFrame:
         k, rows, seeds, reach, longest = self.k, self.rows, self.seeds, self.reach, self.longest
         least = self.least if near else 0
 
         def run(batches):
             for batch in batches:
                 for i, j, data, bounds in common.text_blocks(batch.column(1)):
-                    p = _block_paragraphs(data, bounds, j - i, k, bands, rows, seeds, reach, longest, least)
+                    p = (_block_paragraphs(data, bounds, j - i, k, bands, rows, seeds, reach, longest, least)
+                         if paragraphs else _block_words(data, bounds))
                     if p is not None:  # further columns go to emit() as they are
                         yield emit(batch.column(0).slice(i, j - i), data, bounds, p,
                                    *[c.slice(i, j - i) for c in batch.columns[2:]])
 
-        return (docs or self.docs).mapInArrow(run, schema)
+        return (docs or self.docs).mapInArrow(lambda batches: gather(run(batches)) if gather else run(batches), schema)
 
-    def spans(self) -> DataFrame:
+    def spans(self, wanted: DataFrame) -> DataFrame:
         """``doc_id, t, no, start, stop, n_words, content``: paragraphs with their place
-        in the text (code points)."""
+        in the text (code points); those of ``wanted(content)`` and few others."""
+        bitmap = common.bitmap_of(wanted.select(F.shiftrightunsigned("content", 38).alias("p")), 1 << 26)
+
         def emit(ids, data, bounds, p):
+            held = common.marked(bitmap.value, (p["content"] >> np.uint64(38)).astype(np.int64))
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
             origin = chars[bounds[:-1]][p["row"]]
             begin = np.concatenate([[True], p["row"][1:] != p["row"][:-1]])
             no = np.arange(len(begin)) - np.maximum.accumulate(np.where(begin, np.arange(len(begin)), 0))
             text = [hash_bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            row = p["row"][held]
             return pa.RecordBatch.from_arrays([
-                ids.take(pa.array(p["row"])), pa.array(np.array(text, np.int64)[p["row"]]), pa.array(no.astype(np.int32)),
-                pa.array(chars[p["lo"]] - origin), pa.array(chars[p["hi"]] - origin),
-                pa.array(p["n"].astype(np.int32)), pa.array(common.signed(p["content"]))],
+                ids.take(pa.array(row)), pa.array(np.array(text, np.int64)[row]), pa.array(no[held].astype(np.int32)),
+                pa.array((chars[p["lo"]] - origin)[held]), pa.array((chars[p["hi"]] - origin)[held]),
+                pa.array(p["n"][held].astype(np.int32)), pa.array(common.signed(p["content"][held]))],
                 names=["doc_id", "t", "no", "start", "stop", "n_words", "content"])
 
         return self._pass(emit, "doc_id long, t long, no int, start long, stop long, n_words int, content long", False)
@@ -228,7 +245,8 @@ class Paragraphs:
                 pa.array(chars[p["ends"][at[begin] + min_words - 1]] - origin)],
                 ["doc_id", "t", "fp", "inner_start", "inner_stop"])
 
-        return self._pass(emit, "doc_id long, t long, fp long, inner_start long, inner_stop long", False)
+        return self._pass(emit, "doc_id long, t long, fp long, inner_start long, inner_stop long", False,
+                          paragraphs=False)
 
     def runs(self, wanted: DataFrame, min_words: int) -> DataFrame:
         """``doc_id, t, word, start, stop, run``: the runs of ``min_words`` words that have
@@ -250,27 +268,26 @@ class Paragraphs:
                 pa.array(common.signed(whole))], ["doc_id", "t", "word", "start", "stop", "run"])
 
         return self._pass(emit, "doc_id long, t long, word long, start long, stop long, run long", False,
-                          self.docs.join(hinted(wanted), "doc_id").select("doc_id", "text", "fps"))
+                          self.docs.join(hinted(wanted), "doc_id").select("doc_id", "text", "fps"), paragraphs=False)
 
     def holders(self) -> DataFrame:
         """``doc_id, content``, each once per block."""
         def emit(ids, data, bounds, p):
-            pair = np.unique(np.stack([p["row"], common.signed(p["content"])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(pair[:, 0])), pa.array(pair[:, 1])], ["doc_id", "content"])
+            order = np.argsort(p["content"], kind="stable")  # the rows of one content ascend
+            row, content = p["row"][order], p["content"][order]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (content[1:] != content[:-1])])
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(row[new])), pa.array(common.signed(content[new]))],
+                                              ["doc_id", "content"])
 
         return self._pass(emit, "doc_id long, content long", False)
 
     def keys(self) -> DataFrame:
-        """``keys, content``, contents once per block."""
+        """``part, pairs``: see ``packed``."""
         def emit(ids, data, bounds, p):
             content, at = np.unique(p["content"][p["some"]], return_index=True)
-            keys = np.ascontiguousarray(p["keys"][at])
-            return pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]),
-                                         pa.array(common.signed(keys.ravel()))), pa.array(common.signed(content))],
-                ["keys", "content"])
+            return p["keys"][at], content
 
-        return self._pass(emit, "keys array<long>, content long", True, bands=self.bands)
+        return self._pass(emit, PACKED_ROWS, True, bands=self.bands, gather=packed)
 
     def sets(self) -> DataFrame:
         """``content, shingles``, contents once per block."""
@@ -322,22 +339,62 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if common.bounded(df, limit) else df
 
 
+PACKED_ROWS = "part int, pairs binary"
+
+
+def packed(found):
+    """``part, pairs``: band keys and contents, from arrays of the keys (one row per
+    content) and of the contents, as pairs sorted by key and cut at ranges of the key."""
+    def flush():
+        key = np.concatenate([k.ravel() for k, _ in held])
+        content = np.concatenate([np.repeat(c, k.shape[1]) for k, c in held])
+        order = np.argsort(key)
+        pairs = np.stack([key[order], content[order]], 1)
+        part = (pairs[:, 0] >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(
+            [pairs[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(pairs)])], pa.binary())], ["part", "pairs"])
+
+    held, size = [], 0
+    for keys, content in found:
+        held.append((keys, content))
+        size += keys.size
+        if size > PACKED:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def packed_rows(batches):
+    """``packed`` of rows ``keys array<long>, content``."""
+    def found():
+        for batch in batches:
+            content = np.asarray(batch.column(1)).view(np.uint64)
+            if len(content):
+                yield np.asarray(batch.column(0).flatten()).view(np.uint64).reshape(len(content), -1), content
+
+    return packed(found())
+
+
 def _neighbours(batches):
-    """``key, a, b, star``: pairs of contents that share a key, from rows sorted by key
-    and content: each with the first (``star``) and the previous one of its key.
-    Linear, nothing is held."""
-    last_key = head = before = None
-    for batch in batches:
-        key, content = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(key):
+    """``key, a, b, star``: pairs of contents that share a key, from packed rows sorted by
+    part: each with the first (``star``) and the previous one of its key."""
+    for group in key_groups(batches, 1):
+        pairs = np.frombuffer(b"".join(group.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0])
+        key = pairs[order, 0]
+        same = key[1:] == key[:-1]
+        some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # of keys met more than once
+        order = some[np.lexsort((pairs[some, 1], pairs[some, 0]))]
+        if not len(order):
             continue
-        begin = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
-        first = np.where(at >= 0, content[at], content[0] if head is None else head)
-        previous = np.concatenate([[content[0] if before is None else before], content[:-1]])
+        key, content = pairs[order, 0], pairs[order, 1]
+        begin = np.concatenate([[True], key[1:] != key[:-1]])
+        first = content[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+        previous = np.concatenate([content[:1], content[:-1]])
         new = ~begin & (previous != content)
         star, chain = new & (first != content), new & (previous != first)
-        last_key, head, before = key[-1], first[-1], content[-1]
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([key[star], key[chain]])), pa.array(np.concatenate([first[star], previous[chain]])),
             pa.array(np.concatenate([content[star], content[chain]])),
@@ -371,8 +428,10 @@ def linked(off: np.ndarray, flat: np.ndarray, label: np.ndarray, similarity: flo
 
 def near_contents(p: Paragraphs, similarity: float, block: int = BLOCK) -> DataFrame:
     """``id, component`` of the contents that are near-duplicates of another one."""
-    rows = p.keys().select(F.explode("keys").alias("key"), "content")
-    met = materialize(rows.repartition("key").sortWithinPartitions("key", "content")
+    rows = p.keys()
+    if "pairs" not in rows.columns:  # keys array<long>, content
+        rows = rows.mapInArrow(packed_rows, PACKED_ROWS)
+    met = materialize(rows.repartition("part").sortWithinPartitions("part")
                       .mapInArrow(_neighbours, "key long, a long, b long, star boolean"), "met")
     pairs = materialize(met.select("a", "b").distinct(), "pairs")
     wanted = materialize(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), "wanted")
@@ -489,7 +548,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = (held.groupBy("component_id").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last"))
                 .where("first_doc < last").drop("last"))
     repeated = materialize(held.join(repeated, "component_id"), "repeated")
-    found = materialize(p.spans().join(repeated.drop("lo", "hi"), "content")
+    found = materialize(p.spans(repeated).join(repeated.drop("lo", "hi"), "content")
                         .withColumn("removed", F.col("first_doc") < F.col("doc_id")), "found")
     run = Window.partitionBy("doc_id", "t", "removed").orderBy("no")
     follows = found.withColumn("before", F.when(F.col("no") - F.lag("no").over(run) <= gap + 1,

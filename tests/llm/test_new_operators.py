@@ -300,6 +300,36 @@ def test_chosen_equals_semi_join(spark, bits):
     assert common.chosen(df, ids.limit(0), bits).count() == 0
 
 
+def test_band_keys_are_dealt_packed(spark):
+    """One row per range of keys goes through the shuffle, not one per key and content;
+    the pairs are those of all contents that share a key, whatever the batches."""
+    from covgrid.llm import substring_dedup as sd
+
+    words = [[f"p{d}x{i}" for i in range(400)] for d in range(6)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(words)], "doc_id long, text string")
+    rows = sd.Paragraphs(docs, "doc_id", "text", 5, 0.8, 0.99, 5, 64).keys().collect()
+    pairs = np.concatenate([np.frombuffer(r["pairs"], np.int64).reshape(-1, 2) for r in rows])
+    assert len(pairs)
+    assert all(((np.frombuffer(r["pairs"], np.uint64)[::2] >> np.uint64(52)) == r["part"]).all() for r in rows)
+
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 60, 300, dtype=np.int64)[rng.integers(0, 300, (500, 3))]
+    contents = rng.permutation(500).astype(np.int64) - 250
+    of = {}
+    for c, own in zip(contents.tolist(), keys.tolist()):
+        for x in own:
+            of.setdefault(x, set()).add(c)
+    want = set()
+    for x, held in of.items():
+        held = sorted(held)
+        want |= {(x, held[0], c, True) for c in held[1:]} | {(x, a, b, False) for a, b in zip(held[1:], held[2:])}
+    table = spark.createDataFrame([(k, c) for k, c in zip(keys.tolist(), contents.tolist())] * 2, "keys array<long>, content long")
+    for parts in (1, 7):
+        got = (table.repartition(parts).mapInArrow(sd.packed_rows, sd.PACKED_ROWS).repartition("part")
+               .sortWithinPartitions("part").mapInArrow(sd._neighbours, "key long, a long, b long, star boolean").collect())
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_near_duplicates_keep_one_worker_a_task(spark, monkeypatch):
     """No table is written by a plan with a Python filter before another Python step:
     both would be workers of one task, and idle ones keep their memory."""
