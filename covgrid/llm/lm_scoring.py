@@ -587,7 +587,7 @@ def answer(entries: DataFrame, sent, kind: str) -> DataFrame:
                 n = np.bincount(inv, weights=times * (row >> np.uint64(ROW)))
                 u, w = places(keys)
                 direct = dense.direct(n, u, dense.of_head(voc.context[u], w))[inv]
-                yield by_row(schema, names, home, row, direct=(times * direct, np.float32))
+                yield by_row(schema, names, home, row, direct=(times * direct, np.float64))
 
             x, y, size = read_loose(batch, group)
             if not len(x):
@@ -622,7 +622,7 @@ def answer(entries: DataFrame, sent, kind: str) -> DataFrame:
             k = ahead & ~rare
             direct[k] = np.log10(seen[k] + weight[k] * dense.of_head(voc.context_of(x[k]), place[k]))
             token = ~ahead
-            yield by_row(schema, names, home, row, direct=(times * direct, np.float32),
+            yield by_row(schema, names, home, row, direct=(times * direct, np.float64),
                          logs=(np.where(token, times * logs, 0.0), np.float64),
                          more=(times * (token & (count > SMOOTH)), np.uint32))
             k = np.flatnonzero(rare)
@@ -650,7 +650,7 @@ def gather(answers: DataFrame, kind: str) -> DataFrame:
                 ids, learned = home.column("ids").flatten(), home.column("learned").flatten()
                 sums = home.column("sums").flatten().to_numpy().reshape(-1, 4).copy()
             parts.append([values_of(batch.column(c), np.dtype(t).itemsize, t)[0] for c, t in (
-                ("row", np.uint16), ("direct", np.float32), ("row2", np.uint16), ("w", np.uint64), ("a", np.float64),
+                ("row", np.uint16), ("direct", np.float64), ("row2", np.uint16), ("w", np.uint64), ("a", np.float64),
                 ("b", np.float64), ("times", np.uint32), ("row3", np.uint16), ("w3", np.uint64), ("n3", np.float64))])
             row, logs, more = parts[-1][0], *(values_of(batch.column(c), np.dtype(t).itemsize, t) for c, t in (
                 ("logs", np.float64), ("more", np.uint32)))
