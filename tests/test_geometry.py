@@ -149,3 +149,26 @@ def test_walk_matches_ray(spark, case):
         out = S.covered_length(segs, p, cell=cell, inside=mode).collect()
         got[mode] = {r["id"]: round(r["inside_m"], 9) for r in out}
     assert got["ray"] == got["walk"]
+
+
+def test_vertices_are_not_sent_through_the_driver(spark):
+    """Exploded vertices are estimated at a fraction of their size: the plans that read those of all lines never broadcast them."""
+    from pyspark.sql import functions as F
+
+    from covgrid.plans import coverage as C
+    from covgrid.plans import rail as RL
+    v = spark.range(50).select(F.col("id").cast("string").alias("line_id"), F.col("id").alias("feature"), F.lit(0).alias("part"),
+                               F.explode(F.sequence(F.lit(0), F.lit(44))).alias("seq")).selectExpr(
+        "*", "CAST(feature * 5000 + seq * 300 AS DOUBLE) AS x", "CAST(seq % 2 * 400 + seq * 100 AS DOUBLE) AS y")
+    stations = spark.createDataFrame([("s1", "Gare", "1", 47.0, 2.0)],
+                                     "station_id string, station_name string, line_code string, latitude double, longitude double")
+    lines = G.lines_table(v, stations)
+    ring = [{"part": 0, "ring": 0, "pts": [(0.0, 0.0), (9e3, 0.0), (9e3, 9e3), (0.0, 9e3), (0.0, 0.0)]}]
+    stg = spark.createDataFrame([(1, "OF", "4G", ring)], "id long, operator_code string, technology string, "
+                                "rings array<struct<part:int,ring:int,pts:array<struct<x:double,y:double>>>>")
+    operators = spark.createDataFrame([("OF", "Orange")], "code string, name string")
+    for df in (lines, C.route_coverage(v, lines, stg, operators), RL.station_places(stations, v, lines)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in text.splitlines() if "Join" in x and "seq#" in x]
+        assert joins and not [x for x in joins if "Broadcast" in x]
+    assert lines.count() == 50
