@@ -234,3 +234,61 @@ def test_long_line_is_read_by_blocks(spark):
     assert abs(rows[1].total_m - 20_000 * step) < 0.1
     widest = P.measured(segs).groupBy("feature", "part", "block").count().agg(F.max("count")).first()[0]
     assert widest == P.BLOCK
+
+
+def _nearest_by_hand(points, goals, k):
+    """``(point, target, distance)``, ties to the smaller target."""
+    return sorted((p, t, d) for p, x, y in points
+                  for d, t in sorted((math.sqrt((u - x) * (u - x) + (v - y) * (v - y)), t) for t, u, v in goals)[:k])
+
+
+def test_nearest_meets_dense_cells_in_numpy(spark, monkeypatch):
+    """Thousands of targets in one finest cell: blocks of points are compared in Arrow batches, not array by array per
+    point, with ties, targets that come twice and a point far from all."""
+    monkeypatch.setattr(P, "POINTS", 40)
+    rng = random.Random(11)
+    goals = [(f"t{i:04}", float(rng.randint(0, 90)), float(rng.randint(0, 90))) for i in range(1500)]
+    goals += goals[:20] + [("z", 5_000.0, 5_000.0)]
+    points = [(i, float(rng.randint(0, 90)), rng.uniform(0, 90)) for i in range(300)] + [(900, 1e6, -1e6), (901, 4_900.0, 5_100.0)]
+    out = P.nearest(spark.createDataFrame(points, "point_id long, x double, y double"),
+                    spark.createDataFrame(goals, "target_id string, x double, y double"), 3, finest=100.0, levels=5)
+    assert "MapInArrow" in plan(out) and "array_sort" not in plan(out)
+    got = sorted((r.point_id, r.target_id, r.distance) for r in out.collect())
+    assert got == sorted(_nearest_by_hand(points, goals, 3))
+
+
+def test_targets_of_a_block_in_steps():
+    """A block with more targets than are held at once: each step gives the nearest of its own, the best of all among them."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    points = [(i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(7)]
+    goals = [(100 + i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(60)]
+    rows = [{"c": c, "_targets": False, "point_id": p + 10 * c, "target_id": None, "x": x, "y": y} if k == 0 else
+            {"c": c, "_targets": True, "point_id": None, "target_id": p, "x": x, "y": y}
+            for c in (0, 1) for k, some in ((0, points), (1, goals)) for p, x, y in some]
+    schema = pa.schema([("c", pa.int64()), ("_targets", pa.bool_()), ("point_id", pa.int64()), ("target_id", pa.int64()),
+                        ("x", pa.float64()), ("y", pa.float64())])
+    nobody = [r | {"c": 2} for r in rows if r["_targets"] and r["c"] == 1]  # a block without points
+    after = [r | {"c": 3, "point_id": r["point_id"] and r["point_id"] + 30} for r in rows[:9]]
+    batches = pa.Table.from_pylist(rows + nobody + after, schema).to_batches(max_chunksize=9)
+    for most in (12, 1000):
+        found = [r for b in P._nearest_of_blocks(["c"], 2, most)(batches) for r in b.to_pylist()]
+        best = {p: sorted((r["distance"], r["target_id"]) for r in found if r["point_id"] == p)[:2] for p in {r["point_id"] for r in found}}
+        for c in (0, 1):
+            assert sorted((p, t, d) for p, b in best.items() if p // 10 == c for d, t in b) == sorted(
+                (p + 10 * c, t, d) for p, t, d in _nearest_by_hand(points, goals, 2))
+
+
+def test_k_best_of_many_pairs():
+    """Points split in four and targets left out give what all pairs give."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n, m in ((3000, 2000), (1, 5), (4000, 1)):
+        p, t = np.floor(rng.uniform(0, 300, (2, n))), np.floor(rng.uniform(0, 300, (2, m)))
+        got = {}
+        for i, j, d in P._k_best(*p, *t, 2):
+            for a, b, c in zip(i, j, d):
+                got.setdefault(a, []).append((c, b))
+        d = np.sqrt((t[0] - p[0][:, None]) ** 2 + (t[1] - p[1][:, None]) ** 2)
+        order = np.argsort(d, axis=1, kind="stable")[:, :2]
+        assert all(got[i] == [(d[i, j], j) for j in order[i]] for i in range(n))
