@@ -60,3 +60,42 @@ def test_nearest_of_group_in_blocks(spark):
         x, y = float(r["feature"] * 7 % 11), float(r["feature"])
         want = min((math.sqrt((x - s[3]) ** 2 + (y - s[4]) ** 2), s[1], s[2]) for s in rows if s[0] == r["g"])
         assert (r["near"]["station_id"], r["near"]["station_name"]) == want[1:] and abs(r["near"]["d"] - want[0]) < 1e-9
+
+
+def test_bridges_in_rounds(spark, monkeypatch):
+    """Bridges met in rounds give what all at once give, pairs that have all their options leave, and the contacts of all
+    lines are never held at once: near lines are as many as the square of the lines."""
+    v, st = [], []
+    for i in range(36):  # 18 lines east, 18 north, each crossing all of the other kind; lengths in fives
+        n, far = i // 2, 60e3 + 2e3 * (i % 10 // 2)
+        at = [(600e3 + far * t, 6500e3 + 3e3 * n) if i % 2 else (600e3 + 3e3 * n, 6500e3 + far * t) for t in (0, 0.5, 1)]
+        v += [(f"L{i:02}", i, 0, k, x, y) for k, (x, y) in enumerate(at)]
+        st += [(f"s{i:02}{k}", f"Gare {(i * 5 + k * 7) % 23}", f"L{i:02}", x, y) for k, (x, y) in enumerate(at)]
+    v += [("X", 50, 0, 0, 100e3, 6200e3), ("X", 50, 0, 1, 110e3, 6200e3), ("Y", 51, 0, 0, 100e3, 6202e3), ("Y", 51, 0, 1, 109e3, 6202e3),
+          ("Z", 52, 0, 0, 105e3, 6199e3), ("Z", 52, 0, 1, 105e3, 6204e3)]  # two lines apart, joined by the shortest of all
+    st += [("x", "Ici", "X", 100e3, 6200e3), ("y", "Là", "Y", 100e3, 6202e3), ("z", "Milieu", "Z", 105e3, 6201e3)]
+    vertices = spark.createDataFrame(v, "line_id string, feature long, part int, seq int, x double, y double")
+    lon, lat = E.lambert_lonlat("x", "y")
+    stations = spark.createDataFrame(st, "station_id string, station_name string, line_code string, x double, y double").select(
+        "station_id", "station_name", "line_code", lat.alias("latitude"), lon.alias("longitude"))
+    pairs = spark.createDataFrame([(i, f"Gare {i % 23}", f"Gare {i * 7 % 25}") for i in range(40)] + [(90, "Ici", "Là")],
+                                  "pair_id long, dep_station string, arr_station string")
+    lines = G.lines_table(vertices, stations)
+    held, left, store = [], [], RL.materialize
+
+    def counted(df, name="stage"):
+        out = store(df, name)
+        if name in ("contacts", "left"):
+            (held if name == "contacts" else left).append(out.count())
+        return out
+
+    monkeypatch.setattr(RL, "materialize", counted)
+    key = lambda df: sorted((r.pair_id, r.option or 0, repr(r)) for r in df.select(sorted(df.columns)).collect())
+    want = key(RL.routes(pairs, vertices, lines, stations, limit=2))
+    everything, = held
+    held.clear()
+    left.clear()
+    got = key(RL.routes(pairs, vertices, lines, stations, limit=2, rounds=(3, 6), one_round=5))
+    assert got == want and len(held) == 3 and left[0] > 3 * left[-1] > 0
+    assert sum(held) < everything / 2
+    assert any(p == 90 and "'Milieu'" in r for p, _, r in got)  # by the last bridge
